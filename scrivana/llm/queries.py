@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm import chat, mixing, tokens, topk
+from scrivana.llm import chat, mixing, pii, quality, tokens, topk
 
 #: Target shares of the rows, by source.
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "quality_score", "expected_grade", "tail_probability", "selected")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("mix_count")
 
@@ -29,6 +34,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_rows(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(spark, table(spark, sf_dir, "documents"))
+
+
 SAID = "</s>[INST] ok [/INST]"
 
 
@@ -39,4 +48,4 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_tokens": op6_tokens, "op8_chat": op8_chat}
+    return {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat}
