@@ -158,3 +158,44 @@ def windows(values: np.ndarray, width: int, base: int) -> np.ndarray:
     prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * up, dtype=np.uint64)])
     down = powers(pow(base, -1, 1 << 64), n)
     return mix64((prefix[width:] - prefix[:-width]) * down)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from rows sorted by whole-number keys, each with where its groups begin and end."""
+    held: list[pa.RecordBatch] = []
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        changed = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            changed |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(changed) + 1, [table.num_rows]])
+
+    def key(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch.column(k)[i].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and key(held[0], 0) == key(batch, batch.num_rows - 1):
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        ends = cuts(table)
+        if len(ends) > 2:
+            yield table.slice(0, int(ends[-2])), ends[:-1]
+        rest = table.slice(int(ends[-2])).combine_chunks()
+        held = rest.to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, cuts(table)
+
+
+def by_groups(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(table, ends) on whole groups; many small groups share one call."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in whole_groups(batches, keys):
+            yield from run(table, ends)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
