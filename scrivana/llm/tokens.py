@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +41,51 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Fixed values of byte-level BPE vocabularies: the pattern that splits texts, and the bytes that stand for
+#: themselves as characters; the other bytes follow from U+0100 on, in order.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+THEMSELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_others = [b for b in range(256) if b not in THEMSELVES]
+AS_CHARACTERS = {b: chr(b) for b in THEMSELVES} | {b: chr(0x100 + i) for i, b in enumerate(_others)}
+
+
+class Pieces(dict):
+    """Ids of a piece of text between two splits, as bytes; merges, which the library makes, never cross its ends."""
+
+    def __init__(self, model, dtype):
+        self.model, self.code = model, {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(AS_CHARACTERS))
+        ids = array(self.code, [t.id for t in tokens]).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+class Units(dict):
+    """Ids of a unit with the space before it, as bytes; None for a unit that must not stand alone."""
+
+    def __init__(self, pieces: Pieces):
+        self.split, self.pieces = regex.compile(PATTERN).findall, pieces
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+    def __missing__(self, unit: str) -> bytes | None:
+        sound = unit and not unit[0].isspace() and not unit[-1].isspace()
+        ids = self.plain(" " + unit) if sound else None
+        if len(unit) <= 64:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library, each distinct space-separated unit once.
+    """Whole texts to ids by the tokenizers library's vocabulary and merges, each distinct unit once.
 
     The vocabulary's splitting pattern always splits before a single space between two characters that aren't
-    white space, and merges never cross a split. So a text's ids are those of its units in a row, units after the
-    first with their space. A text that has white space beside a space is encoded as it is.
+    white space, and merges never cross a split. So a text's ids are those of its space-separated units in a row,
+    units after the first with their space. A text with white space beside a space is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -53,30 +94,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes | None] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = {w for s in split for w in s[1:]}
-        new.difference_update(known)
-        sound = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(dict.fromkeys(new, None))
-        known.update(zip(sound, self._direct([" " + w for w in sound])))
-        heads = self._direct([s[0] for s in split])
-        out: list[bytes] = []
-        for text, s, head in zip(texts, split, heads):
-            tail = [known[w] for w in s[1:]]
-            if tail and (s[0] == "" or s[0][-1].isspace() or None in tail):
-                out += self._direct([text])
-            else:
-                out.append(head + b"".join(tail))
-        return out
+        self.pieces = Pieces(self.tokenizer.model, self.dtype)
+        self.units = Units(self.pieces)
+
+    def encode(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        if not rest:
+            return self.direct(text)
+        if not head or head[-1].isspace():
+            return self.direct(text)
+        if len(self.units) > KEPT_WORDS:
+            self.units.clear()
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+        ids = list(map(self.units.__getitem__, rest))
+        return self.direct(text) if None in ids else self.units.plain(head) + b"".join(ids)
+
+    def direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -176,7 +211,7 @@ def write_sequences(spark: SparkSession, docs: DataFrame, to: str | None = None,
                 at = f"{to}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
                 writer = ShardWriter(at, length, enc.dtype)
             texts = pc.fill_null(table.column("text"), "").to_pylist()
-            writer.add(table.column("doc_id").combine_chunks(), [x + end for x in enc.encode(texts)])
+            writer.add(table.column("doc_id").combine_chunks(), [enc.encode(t) + end for t in texts])
         if writer is not None:
             n_docs, n_tokens, n_sequences = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": at, "n_docs": n_docs, "n_tokens": n_tokens, "n_sequences": n_sequences}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
