@@ -44,5 +44,34 @@ FROM f GROUP BY conv_id
 """
 
 
+def _sets(table: str, key: str) -> str:
+    """Distinct five-word shingles; a text of fewer words is one shorter shingle."""
+    return f"""(SELECT DISTINCT {key}, len(w) AS n_words, s FROM (
+        SELECT {key}, w, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM (SELECT {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table})))"""
+
+
+#: No item of the table has fewer than five words.
+OP9 = f"""
+WITH d AS {_sets('documents', 'doc_id')}, b AS {_sets('benchmark', 'item_id')},
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_shingles FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 100 >= n_shingles * 75
+"""
+
+OP10 = f"""
+WITH RECURSIVE d AS MATERIALIZED {_sets('documents', 'doc_id')},
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM d x JOIN d y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k * 100 >= 75 * (p.n + q.n - k)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op4_topk": OP4, "op8_chat": OP8}
+    return {"op3_mixing": OP3, "op4_topk": OP4, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_neardup": OP10}

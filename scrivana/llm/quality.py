@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivana.llm.common import Words, blocks
 
@@ -209,7 +210,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Ordinal, at_least: int, t
             columns = [c.combine_chunks() for c in table.columns]
             yield from pa.Table.from_arrays(columns + values, names=names + [name for name, _ in added]).to_batches()
 
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in added:
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm import chat, mixing, neardup, pii, quality, tokens, topk
+from scrivana.llm import chat, decontaminate, mixing, neardup, pii, quality, tokens, topk
 
 #: Target shares of the rows, by source.
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
@@ -47,9 +47,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_rows(spark, turns)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs: which document contains which item, and how much of it."""
+    _, pairs = decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("n_shared").cast("long").alias("n_shared"), F.col("n_shingles").cast("long").alias("n_shingles"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat, "op10_neardup": op10_neardup}
+    return {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_neardup": op10_neardup}
