@@ -31,6 +31,17 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank::int AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP5 = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+r AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+m AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM s SEMI JOIN r USING (h)),
+p AS (SELECT doc_id, list(j) AS gone FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(gone, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN p USING (doc_id)
+"""
+
 OP8 = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '{SAID}' UNION ALL SELECT -7, 1, 'assistant', '{SAID}'),
@@ -74,4 +85,4 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op4_topk": OP4, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_neardup": OP10}
+    return {"op3_mixing": OP3, "op4_topk": OP4, "op5_windowdup": OP5, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_neardup": OP10}

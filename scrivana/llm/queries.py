@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm import chat, decontaminate, mixing, neardup, pii, quality, tokens, topk
+from scrivana.llm import chat, decontaminate, mixing, neardup, pii, quality, tokens, topk, windowdup
 
 #: Target shares of the rows, by source.
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
@@ -30,6 +30,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_windowdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = windowdup.remove_repeated(spark, table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_rows(spark, table(spark, sf_dir, "documents"))
 
@@ -58,4 +63,4 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_neardup": op10_neardup}
+    return {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op5_windowdup": op5_windowdup, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_neardup": op10_neardup}
