@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm import chat, decontaminate, mixing, neardup, pii, quality, tokens, topk, windowdup
+from scrivana.llm import chat, decontaminate, mixing, neardup, pii, quality, suffixdup, tokens, topk, windowdup
 
 #: Target shares of the rows, by source.
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
@@ -22,6 +22,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "quality_score", "expected_grade", "tail_probability", "selected")
 
 
+def op2_suffixdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixdup.remove_repeated_bytes(spark, table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("mix_count")
 
@@ -63,4 +68,4 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op5_windowdup": op5_windowdup, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_neardup": op10_neardup}
+    return {"op1_quality": op1_quality, "op2_suffixdup": op2_suffixdup, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op5_windowdup": op5_windowdup, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_neardup": op10_neardup}
