@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivana.llm.common import Scratch, blocks, parts_for, shared_dir, text_bytes
@@ -189,15 +189,17 @@ class ShardWriter:
         return self.n_docs, self.n_tokens, self.n_sequences
 
 
-def write_sequences(spark: SparkSession, docs: DataFrame, to: str | None = None, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, scratch: Scratch | None = None) -> DataFrame:
+def write_sequences(spark: SparkSession, docs: DataFrame, order: Column | None = None, to: str | None = None, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, scratch: Scratch | None = None) -> DataFrame:
     """Writes the shards below ``to`` (default: the shared folder) and returns their manifest, one row each.
 
+    Documents stand in the order of ``order``, then doc_id (ascending doc_id by default).
     A shard's folder has a name of its own for every attempt; the manifest names the attempt that counted.
     """
     scratch = scratch or Scratch(spark, "tokens")
     tokenizer = tokenizer or tokenizer_path()
     to = _local_uri(to or f"{scratch.root}/sequences")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *([order.alias("place")] if order is not None else []))
+    by = ["place", "doc_id"] if order is not None else ["doc_id"]
     n = parts_for(text_bytes(own), SHARD_BYTES)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,7 @@ def write_sequences(spark: SparkSession, docs: DataFrame, to: str | None = None,
             n_docs, n_tokens, n_sequences = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": at, "n_docs": n_docs, "n_tokens": n_tokens, "n_sequences": n_sequences}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
 
-    return scratch.put("manifest", own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST))
+    return scratch.put("manifest", own.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(write, MANIFEST))
 
 
 def open_shard(path: str) -> tuple[pa.ipc.RecordBatchFileReader, pa.ipc.RecordBatchFileReader]:
