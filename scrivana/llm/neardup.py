@@ -12,8 +12,10 @@ at least 0.75; groups are the connected components.
 3. Pairs are first verified by their signatures (an estimate 5 standard deviations below the threshold is refused),
    then on full sets.
 4. After a first round of components, each bucket with members of two or more components compares all of them
-   block by block, but only pairs of different components, so no link between two components is lost and copies
-   within one are never expanded into pairs. The components of both rounds' links are the result.
+   block by block, but only pairs of different components, and each pair in its first common bucket alone. What the
+   signatures don't refuse is verified on full sets in place, and only links that tie components together come out:
+   no connection is lost, and neither copies nor unlike members of a large group are expanded into rows of pairs.
+   The components of both rounds' links are the result.
 
 Nulls count as empty texts; rows that repeat a doc_id are all returned, in one group (of different texts, the one
 with the least digest is put into buckets, and any of them can confirm a link); a null doc_id is left out; an
@@ -40,7 +42,7 @@ HASHES = BANDS * ROWS
 REFUSE_BELOW = 0.75 - 5 * (0.75 * 0.25 / HASHES) ** 0.5
 #: An estimate that takes a member out of a block's further comparisons.
 NEAR = 0.7
-BLOCK = 1024
+BLOCK = 512
 #: Ids that may be broadcast to find texts again (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -115,7 +117,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(bucket, node, signature position) rows: one a band for each class."""
+    """(bucket, band, node): one row a band for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +128,9 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
             pairs = s.reshape(len(s), BANDS, ROWS).astype(np.uint64)
             key = mix64((pairs[:, :, 0] << np.uint64(32) | pairs[:, :, 1]) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             key = mix64(key ^ mix64((pairs[:, :, 2] << np.uint64(32) | pairs[:, :, 3]) + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(nodes, BANDS))], names=["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(s))), pa.array(np.repeat(nodes, BANDS))], names=["bucket", "band", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "bucket long, node long")
+    return classes.select("node", "signature").mapInArrow(run, "bucket long, band int, node long")
 
 
 def signatures(column) -> np.ndarray:
@@ -169,17 +171,28 @@ def medoid_pairs(nodes: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def cross_pairs(left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> Iterator[tuple[int, int]]:
-    """Pairs of different components whose estimate isn't refused; right None: within one block."""
-    nodes, comp, s = left
-    other_nodes, other_comp, other = left if right is None else right
-    for i in range(len(nodes)):
-        after = i + 1 if right is None else 0
-        far = after + np.flatnonzero(other_comp[after:] != comp[i])
+def open_pairs(s: np.ndarray, comp: np.ndarray, block: np.ndarray, one: int, two: int, band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions i and j > i in a group that may be linked: from blocks ``one`` and ``two``, of different components,
+    not refused by their estimate, and in no common bucket of an earlier band (there the pair is looked at)."""
+    split = s.reshape(len(s), BANDS, ROWS)
+    for i in range(len(s)):
+        far = np.flatnonzero(comp != comp[i])
+        far = far[(far > i) & ((block[far] != block[i]) if one != two else (block[far] == one))] if len(far) else far
         if len(far):
-            alike = (other[far] == s[i]).mean(axis=1)
-            for j in far[alike >= REFUSE_BELOW]:
-                yield int(nodes[i]), int(other_nodes[j])
+            far = far[(s[far] == s[i]).mean(axis=1) >= REFUSE_BELOW]
+        if len(far):
+            far = far[(split[far] == split[i]).all(axis=2).argmax(axis=1) == band]
+        if len(far):
+            yield i, far
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """The exact test on two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return common * DENOMINATOR >= (len(a) + len(b) - common) * NUMERATOR
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -193,7 +206,7 @@ def in_blocks(buckets: DataFrame) -> DataFrame:
     """Buckets of two or more members, each member with the number of its block."""
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    return buckets.join(sizes, "bucket").select("bucket", "node", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), n_blocks.cast("long")).cast("int").alias("block"))
+    return buckets.join(sizes, "bucket").select("bucket", "band", "node", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), n_blocks.cast("long")).cast("int").alias("block"))
 
 
 def first_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
@@ -221,40 +234,83 @@ def joined_blocks(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return wide.join(sizes, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node", F.lit(1)), F.col("fewer").cast("long")).cast("int").alias("block"))
 
 
-def later_pairs(members: DataFrame, signed: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket, by pairs of blocks."""
+GRID = "bucket long, i int, j int, band int, block int, node long, component long"
+
+
+def later_links(members: DataFrame, signed: DataFrame, components: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified links between different components in one bucket, block pair by block pair.
+
+    A first pass on signatures finds the members that have a pair to look at; the second has their full sets, and
+    returns no more links than tie the members of a block pair together.
+    """
     placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     open_ = placed.join(split, "bucket")
     # a block meets every block of its bucket once
     grid = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    grid = grid.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    grid = grid.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "component")
 
-    def run(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nodes, comp, block, one, two = (table.column(c).to_numpy() for c in ("node", "component", "block", "i", "j"))
+    def groups(table: pa.Table, ends: np.ndarray):
+        columns = [table.column(c).to_numpy() for c in ("i", "j", "band", "block", "node", "component")]
         s = signatures(table.column("signature"))
         for a, b in zip(ends, ends[1:]):
-            left, right = ((nodes[x], comp[x], s[x]) for x in (a + np.flatnonzero(block[a:b] == one[a]), a + np.flatnonzero(block[a:b] == two[a])))
-            pairs = list(cross_pairs(left, None if one[a] == two[a] else right))
-            if pairs:
-                yield pair_batch(pairs)
+            i, j, band, block, node, comp = (c[a:b] for c in columns)
+            yield a, node, comp, open_pairs(s[a:b], comp, block, i[0], j[0], band[0])
+
+    def wanted(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for a, _, _, pairs in groups(table, ends):
+            for x, ys in pairs:
+                keep[a + x] = True
+                keep[a + ys] = True
+        yield from table.drop_columns(["signature"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def link(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets, found = table.column("shingles"), []
+        for a, node, comp, pairs in groups(table, ends):
+            held: dict[int, np.ndarray] = {}
+
+            def of(x: int) -> np.ndarray:
+                if x not in held:
+                    held[x] = np.frombuffer(sets[a + x].as_py(), dtype=np.uint64)
+                return held[x]
+
+            top = np.unique(comp, return_inverse=True)[1]
+            top = top.copy()
+            for x, ys in pairs:
+                for y in ys:
+                    if top[x] != top[y] and similar(of(x), of(int(y))):
+                        top[top == top[y]] = top[x]
+                        found.append((int(node[x]), int(node[y])))
+        yield pair_batch(found)
+
+    keys = ["bucket", "i", "j"]
+    some = scratch.put("open", by_groups(grid.join(signed, "node").select("bucket", "i", "j", "band", "block", "node", "component", "signature"), keys, wanted, GRID))
+    ids = scratch.put("open-ids", some.select(F.col("node").alias("doc_id")).distinct())
+    sets = scratch.put("open-sets", full_sets(docs, ids, as_bytes=True))
+    return by_groups(some.join(signed, "node").join(sets, "node"), keys, link, "a long, b long").distinct()
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, as_bytes: bool = False) -> DataFrame:
+    """(node, shingles) of the documents with these ids, from their texts."""
 
-    return by_groups(grid.join(signed, "node"), ["bucket", "i", "j"], run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches, "text", 1 << 20):
+            flat, start = shingle_sets(table.column("text"))
+            if as_bytes:
+                sets = pa.array([flat[a:b].tobytes() for a, b in zip(start, start[1:])], pa.binary())
+            else:
+                sets = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), sets], names=["node", "shingles"])
+
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, f"node long, shingles {'binary' if as_bytes else 'array<long>'}")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     ids = scratch.put(f"{tag}-ids", pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    n = ids.count()
-    wanted = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "text", 1 << 20):
-            flat, start = shingle_sets(table.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), lists], names=["node", "shingles"])
-
-    sets = scratch.put(f"{tag}-sets", docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>"))
+    sets = scratch.put(f"{tag}-sets", full_sets(docs, ids))
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = pairs.join(a, "a").join(b, "b")
@@ -280,10 +336,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     pairs = scratch.put("pairs-1", pairs.union(first_pairs(joined_blocks(members, pairs), reps)).distinct())
     links = scratch.put("links-1", verify(pairs, texts, scratch, "verify-1"))
     components = scratch.put("components-1", connected_components(links, scratch, "cc-1"))
-    more = scratch.put("pairs-2", later_pairs(members, reps, components).join(pairs, ["a", "b"], "left_anti"))
     scratch.drop("verify-1-sets")
     scratch.release()
-    links = links.union(scratch.put("links-2", verify(more, texts, scratch, "verify-2")))
+    links = links.union(scratch.put("links-2", later_links(members, reps, components, texts, scratch)))
     components = scratch.put("components-2", connected_components(links, scratch, "cc-2"))
     out = by_class.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
