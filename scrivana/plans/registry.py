@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from scrivana.plans import corpora, reports
+
+
+def _all() -> dict:
+    return reports.QUERIES | corpora.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: q.run for name, q in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in _all().items() if q.sql}
