@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 # White space, dashes and quotes that count as the same character.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
@@ -97,7 +98,7 @@ def character_error_rate(reference: Column, prediction: Column) -> Column:
     return _rate(edit_distance(reference, prediction), F.length(reference), F.length(prediction) == 0)
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _list_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance of two word lists, row by row of the table of distances."""
 

@@ -7,13 +7,17 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from scrivana.functions.text import NormalisationPolicy, html_escape, normalise
+from scrivana.functions import text
+from scrivana.functions.text import NormalisationPolicy, html_escape, unicode_form
 
 #: Spans beyond this are cut, as texts come from anywhere.
 LARGEST_SPAN = 64
-GRID = "array<array<array<string>>>"
+GRID = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
+_PAIR = T.StructType([T.StructField("ref", T.IntegerType()), T.StructField("pred", T.IntegerType())])
+ALIGNED = T.StructType([T.StructField("pairs", T.ArrayType(_PAIR)), T.StructField("missing", T.IntegerType()), T.StructField("spurious", T.IntegerType())])
 #: Joins the cells of a row; it can't stand in a cell.
 UNIT = "\x1f"
 
@@ -90,9 +94,9 @@ def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[list[str]]:
     return grid
 
 
-def read_tables(text: str) -> list[list[list[str]]]:
+def read_tables(page: str) -> list[list[list[str]]]:
     outline = Outline()
-    outline.feed(text)
+    outline.feed(page)
     outline.close()
     return [lay_out(rows) for rows in outline.tables]
 
@@ -137,7 +141,7 @@ def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
     return [(k, k) for k in range(head)] + middle[::-1] + ends
 
 
-@pandas_udf("struct<pairs:array<struct<ref:int,pred:int>>,missing:int,spurious:int>")
+@pandas_udf(ALIGNED)
 def align_rows(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     """Rows of two tables, given as signatures, paired along a shortest edit script."""
     out = []
@@ -157,12 +161,8 @@ def cell_forms(grid: Column, policy: NormalisationPolicy | None) -> Column:
 
 def normalise_cell(cell: Column, policy: NormalisationPolicy) -> Column:
     """Lambdas hold built-in expressions only, so the Unicode form is applied to whole pages before parsing."""
-    from dataclasses import replace
-
-    from scrivana.functions import text as T
-
-    plain = replace(policy, unicode_form="none", fold_case=False)
-    for wanted, step in ((plain.fold_dashes, T.fold_dashes), (plain.fold_quotes, T.fold_quotes), (plain.strip_markdown, T.strip_markdown), (plain.collapse_whitespace, T.collapse_whitespace)):
+    steps = ((policy.fold_dashes, text.fold_dashes), (policy.fold_quotes, text.fold_quotes), (policy.strip_markdown, text.strip_markdown), (policy.collapse_whitespace, text.collapse_whitespace))
+    for wanted, step in steps:
         cell = step(cell) if wanted else cell
     return F.lower(cell) if policy.fold_case else cell
 
@@ -191,8 +191,6 @@ def score_tables(pages: DataFrame, key: list[str], reference: str, prediction: s
 
     reference and prediction: columns of HTML. The rate is null where the reference has no cells.
     """
-    from scrivana.functions.text import unicode_form
-
     ref, pred = (F.col(c) if policy is None else unicode_form(F.col(c), policy.unicode_form) for c in (reference, prediction))
     grids = pages.select(*key, parse_tables(ref).alias("_r"), parse_tables(pred).alias("_p"))
     grids = grids.withColumns({"_r": cell_forms(F.col("_r"), policy), "_p": cell_forms(F.col("_p"), policy)})

@@ -2,6 +2,252 @@
 
 from __future__ import annotations
 
-from scrivana.plans.common import Query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivana.functions import lists, values
+from scrivana.operators import events, index, score, tables
+from scrivana.plans.common import Query, table
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None):
+    def keep(f):
+        QUERIES[f.__name__] = Query(f, sql)
+        return f
+
+    return keep
+
+
+@query("""SELECT d.doc_id, d.lang, l.quality, l.doc_id IS NOT NULL AS present FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def left_join_allow_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    predictions = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("prediction"))
+    joined = score.with_predictions(pages, predictions, ["doc_id"], allow_missing=True)
+    return joined.select("doc_id", "lang", "quality", F.col("prediction").isNotNull().alias("present"))
+
+
+@query("""
+SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+""")
+def completeness_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.set_differences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+WITH a AS (SELECT doc_id, sha256(text) AS t FROM documents WHERE doc_id % 13 <> 0),
+b AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'x' ELSE sha256(text) END AS t FROM documents WHERE doc_id % 19 <> 0)
+SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' WHEN coalesce(a.t <> b.t, false) THEN 'different' ELSE 'same' END AS status
+FROM a FULL JOIN b USING (doc_id)
+""")
+def vintage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, digest = F.col("doc_id"), F.sha2("text", 256)
+    docs = table(spark, sf_dir, "documents")
+    left = docs.where(key % 13 != 0).select("doc_id", digest.alias("transcript_sha256"))
+    right = docs.where(key % 19 != 0).select("doc_id", F.when(key % 17 == 0, F.lit(None)).when(key % 11 == 0, "x").otherwise(digest).alias("transcript_sha256"))
+    return index.vintage_diff(left, right, "doc_id", ["transcript_sha256"])
+
+
+@query("""
+SELECT lang, sha256(string_agg(lpad(doc_id::varchar, 12, '0') || chr(0) || sha256(text) || chr(10), '' ORDER BY doc_id)) AS fingerprint, count(*) AS rows FROM documents GROUP BY lang
+""")
+def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("stem"), F.sha2("text", 256).alias("digest"))
+    return index.fingerprint(docs, ["lang"], "stem", "digest")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem)
+SELECT l_partkey, count(*) AS held_by, (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS groups FROM p GROUP BY l_partkey HAVING count(*) < (SELECT count(DISTINCT l_returnflag) FROM lineitem)
+""")
+def matched_page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.unmatched_members(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_partkey"])
+
+
+@query("""SELECT lang AS family, source AS corpus, count(*) AS pages, array_to_string(list_sort(list(DISTINCT CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END)), ',') AS doc_types FROM documents GROUP BY ALL""")
+def matrix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.col("source").alias("corpus"), F.when(F.col("n_chars") > 2000, "long").otherwise("short").alias("doc_type"))
+    return index.matrix(docs, ["family", "corpus"]).withColumn("doc_types", F.array_join("doc_types", ","))
+
+
+@query("""
+SELECT source AS corpus, 'doc_' || doc_id AS case_id, lang AS doc_type FROM documents UNION ALL SELECT 'pages', 'page_' || page_id, 'html' FROM pages
+""")
+def pooled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus"), F.concat(F.lit("doc_"), "doc_id", F.lit("_"), "lang").alias("stem"), F.col("lang").alias("doc_type"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("corpus"), F.concat(F.lit("page_"), "page_id", F.lit("_html")).alias("stem"), F.lit("html").alias("doc_type"))
+    return docs.unionByName(pages).select("corpus", index.case_of(F.col("stem"), F.col("doc_type")).alias("case_id"), "doc_type")
+
+
+@query("""
+WITH old AS (SELECT o_orderkey, o_orderstatus AS v, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 <> 0),
+new AS (SELECT o_orderkey, 'new' AS v, -o_orderkey AS seq FROM orders WHERE o_orderkey % 4 = 0),
+b AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.v, o.v) AS v, o.o_orderkey IS NULL AS a, coalesce(o.seq, n.seq) AS s FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey
+      WHERE n.o_orderkey IS NOT NULL OR o.o_orderkey % 5 <> 0)
+SELECT o_orderkey, v, (row_number() OVER (ORDER BY a, s) - 1)::bigint AS position FROM b
+""")
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    old = orders.where(key % 3 != 0).select("o_orderkey", F.col("o_orderstatus").alias("v"), key.alias("seq"))
+    new = orders.where(key % 4 == 0).select("o_orderkey", F.lit("new").alias("v"), (-key).alias("seq"))
+    there = orders.where(key % 5 != 0).select("o_orderkey")
+    merged = index.keyed_upsert(old, new, ["o_orderkey"], "seq", there)
+    # positions without gathering the table: each range of places counts what stands before it
+    placed = merged.repartitionByRange("place").sortWithinPartitions("place").withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+    from pyspark.sql import Window
+
+    before = before.withColumn("start", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))
+    return placed.join(F.broadcast(before), "_part").select("o_orderkey", "v", (F.col("start") + F.col("_id") - F.col("first")).alias("position"))
+
+
+@query("""SELECT n_nationkey, r_name AS tier FROM nation CROSS JOIN region""")
+def model_corpus_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiers = table(spark, sf_dir, "region").select(F.col("r_name").alias("tier"))
+    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(tiers))
+
+
+_PREFIXES = [("STANDARD", "s1"), ("STANDARD ANODIZED", "s2"), ("SMALL", "m1"), ("ECONOMY", "e1"), ("ECONOMY BRUSHED", "e2"), ("PROMO", "p1"), ("LARGE BURNISHED", "l2")]
+_PREFIX_VALUES = ", ".join(f"('{p}', '{s}')" for p, s in _PREFIXES)
+
+
+@query(f"""
+WITH x(prefix, scheme) AS (VALUES {_PREFIX_VALUES})
+SELECT p_partkey, p_type, arg_max(scheme, length(prefix)) AS scheme FROM part LEFT JOIN x ON starts_with(p_type, prefix) GROUP BY ALL
+""")
+def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefixes = spark.createDataFrame(_PREFIXES, "prefix string, scheme string")
+    return index.longest_prefix(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", prefixes, "prefix", "scheme")
+
+
+@query("""
+WITH b(name) AS (VALUES ('Asia NATION_1'), ('EUROPE nation_2'), ('africa Nowhere'), ('ASIA FRANCE'), ('Europe germany'), ('AMERICA CANADA extra'))
+SELECT DISTINCT name FROM b JOIN region ON true JOIN nation ON true WHERE lower(name) = lower(r_name) || ' ' || lower(n_name)
+""")
+def reachable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocked = spark.createDataFrame([(x,) for x in ("Asia NATION_1", "EUROPE nation_2", "africa Nowhere", "ASIA FRANCE", "Europe germany", "AMERICA CANADA extra")], "name string")
+    return index.reachable_names(table(spark, sf_dir, "region").select(F.col("r_name").alias("word")), table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")), blocked)
+
+
+_WEIGHTS = ", ".join(map(str, values.ABN_WEIGHTS))
+
+
+@query(f"""
+WITH d AS (SELECT c_custkey, substr(sha256(c_custkey::varchar), 1, 15) AS h FROM customer),
+n AS (SELECT c_custkey, lpad((('0x' || h)::bigint % 100000000000)::varchar, 11, '0') AS abn FROM d)
+SELECT c_custkey, abn, list_sum(list_transform(range(1, 12), lambda i: (substr(abn, i, 1)::int - (i = 1)::int) * [{_WEIGHTS}][i])) % 89 = 0 AS valid FROM n
+""")
+def abn_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = values.hash_slice(F.sha2(F.col("c_custkey").cast("string"), 256), 0, 15) % 100000000000
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lpad(number.cast("string"), 11, "0").alias("abn"))
+    return rows.select("c_custkey", "abn", values.abn_is_valid(F.col("abn")).alias("valid"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, sha256(doc_id || '|' || lang || '|' || source) AS x, sha256('CASE' || doc_id || ':pos:01/02/2024') AS t FROM documents)
+SELECT doc_id, ('0x' || substr(x, 1, 8))::bigint & 2147483647 AS seed,
+  ['Amex', 'Cash', 'Cash', 'Visa', 'Visa', 'Visa'][(('0x' || substr(t, 11, 4))::bigint % 6 + 1)::int] AS method,
+  lpad((8 + ('0x' || substr(t, 1, 2))::bigint % 12)::varchar, 2, '0') || ':' || lpad((('0x' || substr(t, 3, 2))::bigint % 60)::varchar, 2, '0') AS pos_time FROM h
+""")
+def hash_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    case, date = F.concat(F.lit("CASE"), F.col("doc_id").cast("string")), F.lit("01/02/2024")
+    slip = values.card_slip(case, date, F.col("n_chars").cast("decimal(18,2)"), {"Visa": 3, "Cash": 2, "Amex": 1}, ["First", "Second"])
+    till = values.receipt_pos(case, date, values.PosPools(("Ana", "Ben", "Cleo")))
+    return docs.select("doc_id", values.page_seed(F.col("doc_id").cast("string"), F.col("lang"), F.col("source")).alias("seed"), slip["method"].alias("method"), till["POS_TIME"].alias("pos_time"))
+
+
+@query("""
+WITH h AS (SELECT o_orderkey, sha256(o_orderkey::varchar) AS x FROM orders),
+c AS (SELECT o_orderkey, list_transform(range(0, 16), lambda i: ('0x' || substr(x, (i * 4 + 1)::int, 4))::hugeint) AS c FROM h)
+SELECT o_orderkey, lpad((list_reduce(c, lambda a, b: (a * 65536 + b) % 10000000000))::varchar, 10, '0') AS reference FROM c
+""")
+def bank_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.bank_reference(F.col("o_orderkey").cast("string")).alias("reference"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS k FROM orders)
+SELECT o_orderstatus, count(*) AS rows, array_to_string(list(o_orderkey ORDER BY o_orderkey) FILTER (k <= 3), ',') AS examples FROM r GROUP BY 1
+""")
+def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.examples(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderkey", 3)
+    return found.withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as the rows of a table with a header row."""
+
+    def cells(*texts):
+        return F.array(*(F.struct(t.cast("string").alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan")) for t in texts))
+
+    line = table(spark, sf_dir, "lineitem").withColumn("place", (F.col("l_linenumber") * 10000000000 + F.col("l_partkey")) * 256 + F.ascii("l_returnflag"))
+    body = line.select("l_orderkey", "place", F.lit(False).alias("header"), cells(F.col("l_linenumber"), F.concat(F.lit("A&B <"), F.col("l_partkey").cast("string"), F.lit(">")), F.col("l_returnflag")).alias("cells"))
+    head = line.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).cast("long").alias("place"), F.lit(True).alias("header"), cells(F.lit("No"), F.lit("Item"), F.lit("Flag")).alias("cells"))
+    return body.unionByName(head)
+
+
+@query("""
+SELECT l_orderkey, '<table><thead><tr><th>No</th><th>Item</th><th>Flag</th></tr></thead><tbody>' || string_agg('<tr><td>' || l_linenumber || '</td><td>A&amp;B &lt;' || l_partkey || '&gt;</td><td>' || l_returnflag || '</td></tr>', '' ORDER BY l_linenumber, l_partkey, l_returnflag) || '</tbody></table>' AS html
+FROM lineitem GROUP BY l_orderkey
+""")
+def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.render_tables(order_rows(spark, sf_dir), ["l_orderkey"], "place")
+
+
+@query("""
+SELECT l_orderkey, 0 AS row_no, 'No|Item|Flag' AS cells FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag)::int, l_linenumber || '|A&B <' || l_partkey || '>|' || l_returnflag FROM lineitem
+""")
+def table_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = table_render(spark, sf_dir).select("l_orderkey", tables.parse_tables("html")[0].alias("grid"))
+    return grids.select("l_orderkey", F.posexplode("grid").alias("row_no", "row")).select("l_orderkey", "row_no", F.array_join("row", "|").alias("cells"))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, (3 * (n + 1))::int AS table_cells_compared, (CASE WHEN l_orderkey % 2 = 0 THEN 3 * n WHEN l_orderkey % 3 = 0 THEN 3 * (n + 1) - 1 ELSE 3 * (n + 1) END)::int AS table_cells_correct,
+  0 AS table_cells_misplaced, (l_orderkey % 2 = 0)::int AS table_rows_missing, 0 AS table_rows_spurious, 1 AS table_count_ref, 1 AS table_count_pred,
+  round(CASE WHEN l_orderkey % 2 = 0 THEN 3 WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END / (3 * (n + 1)), 6) AS table_cell_error_rate FROM n
+""")
+def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even orders lose their header row; of the rest, every third has one heading changed."""
+    key = F.col("l_orderkey")
+    lost = F.regexp_replace("html", "<thead>.*</thead>", "")
+    changed = F.replace(F.col("html"), F.lit("<th>Flag</th>"), F.lit("<th>Flags</th>"))
+    pages = table_render(spark, sf_dir).select("l_orderkey", F.col("html").alias("reference"), F.when(key % 2 == 0, lost).when(key % 3 == 0, changed).otherwise(F.col("html")).alias("prediction"))
+    return tables.score_tables(pages, ["l_orderkey"], "reference", "prediction").withColumn("table_cell_error_rate", F.round("table_cell_error_rate", 6))
+
+
+@query("""
+SELECT conv_id, string_agg(CASE role WHEN 'system' THEN '# ' || text WHEN 'user' THEN text ELSE 'Answer: ' || text END, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id
+""")
+def transcript_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("role") == "system", "title").when(F.col("role") == "user", "line").otherwise("pair")
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", events.block_text(kind, F.col("text"), F.lit("Answer:"), F.col("text")).alias("block"))
+    return events.transcripts(blocks, ["conv_id"], "turn", "block")
+
+
+@query(None)
+def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against its own text without dashes and double spaces, as a model might return it."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") <= 2000)
+    pages = docs.select("doc_id", F.col("text").alias("reference"), F.when(F.col("doc_id") % 9 != 0, F.regexp_replace("text", "[,.!]", "")).alias("prediction"))
+    return score.score_pages(pages, ["doc_id"], tables=False).drop("reference", "prediction")
+
+
+@query("""
+SELECT c_custkey, 'Dear ' || c_name || ' of ' || c_mktsegment || ',' AS text FROM customer
+""")
+def interpolate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.create_map(F.lit("NAME"), F.col("c_name"), F.lit("SEGMENT"), F.col("c_mktsegment"), F.lit("NONE"), F.lit("NOT_FOUND"))
+    return table(spark, sf_dir, "customer").select("c_custkey", lists.interpolate(F.lit("Dear {NAME}{NONE} of {SEGMENT},"), fields).alias("text"))
+
+
+@query("""SELECT o_orderkey, ((floor(o_totalprice::decimal(18,2) / 5) + 1 + o_orderkey % 3) * 5)::double AS tendered FROM orders""")
+def cash_tender(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tendered, _ = values.cash_tender(F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey") % 3, 5)
+    return table(spark, sf_dir, "orders").select("o_orderkey", tendered.cast("double").alias("tendered"))
