@@ -152,11 +152,11 @@ def align_rows(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["pairs", "missing", "spurious"])
 
 
-def cell_forms(grid: Column, policy: NormalisationPolicy | None) -> Column:
-    """Cells as they are compared: raw (None), or normalised where no step needs Python."""
+def cell_forms(grids: Column, policy: NormalisationPolicy | None) -> Column:
+    """Cells of a page's tables as they are compared: raw (None), or normalised where no step needs Python."""
     if policy is None:
-        return grid
-    return F.transform(grid, lambda row: F.transform(row, lambda cell: normalise_cell(cell, policy)))
+        return grids
+    return F.transform(grids, lambda grid: F.transform(grid, lambda row: F.transform(row, lambda cell: normalise_cell(cell, policy))))
 
 
 def normalise_cell(cell: Column, policy: NormalisationPolicy) -> Column:
