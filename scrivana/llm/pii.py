@@ -144,8 +144,9 @@ def context_vote(before: str, after: str) -> int:
     return -1 if before[-1:].isalnum() or after[:1].isalnum() else 0
 
 
-def variety_vote(s: str) -> int:
-    kinds = len(set(_NOT_DIGIT.sub("", s)) or set(s))
+def variety_vote(kind: str, s: str) -> int:
+    """Of the digits where a kind is written in digits, else of all characters."""
+    kinds = len(set(_NOT_DIGIT.sub("", s) if kind in ("identity", "local_phone") else s))
     return -1 if kinds <= 2 else 1 if kinds >= 6 else 0
 
 
@@ -168,7 +169,7 @@ def candidates(text: str, has_digits: bool, taken: list[tuple[str, int, int]]) -
                 continue
             busy.append((a, b))
             before, after = text[max(0, a - 32) : a], text[b : b + 2]
-            votes = (form_vote(kind, s), cue_vote(kind, before), context_vote(before, after), variety_vote(s))
+            votes = (form_vote(kind, s), cue_vote(kind, before), context_vote(before, after), variety_vote(kind, s))
             out.append({"kind": kind, "start": a, "end": b, "votes": "".join("-0+"[v + 1] for v in votes), "size": min(3, (b - a) // 12)})
     return out
 
@@ -206,7 +207,7 @@ class LabelModel:
     def __init__(self, patterns: list[tuple[str, str]], counts: np.ndarray, rounds: int = 50):
         self.kinds = sorted({k for k, _ in patterns})
         kind = np.array([self.kinds.index(k) for k, _ in patterns], dtype=int)
-        votes = np.array([["-0+".index(c) for c in v] for _, v in patterns], dtype=int).reshape(len(patterns), -1)
+        votes = np.array([["-0+".index(c) for c in v] for _, v in patterns], dtype=int).reshape(len(patterns), len(LABELERS))
         # the start: what most votes say
         p = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(axis=1)))
         # a labeler is taken to be right more often than not before any count is seen
