@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -54,9 +55,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Lets Spark's cleaner remove shuffle files of plans that are over."""
+        """Lets Spark's cleaner remove the shuffle files of plans that are over, and gives it a moment.
+
+        A plan is held until the events that name it are delivered, so those come first.
+        """
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
