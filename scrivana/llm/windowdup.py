@@ -65,8 +65,9 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, width: int = WIDTH, sc
     scratch = scratch or Scratch(spark, "windowdup")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = text_bytes(rows)
-    size = entry_bytes(n)
-    n_buckets = buckets_for(n // 6, size)
+    n_windows = n // 4  # a word and its space are hardly shorter
+    size = entry_bytes(n_windows)
+    n_buckets = buckets_for(n_windows, size)
     chunks = scratch.put("chunks", as_chunks(rows))
     answers = scratch.put("answers", repeated_elsewhere(chunks, lambda texts: ChunkWindows(texts, width).values(), size, n_buckets))
     scratch.release()
