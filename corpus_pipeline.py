@@ -24,10 +24,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each near-duplicate group, once. Rows without an id can't be grouped and stay."""
     groups = neardup.near_duplicates(spark, docs)
     kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    first = docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

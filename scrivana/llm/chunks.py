@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import Scratch, blocks, by_groups, no_nulls, parts_for
+from scrivana.llm.common import blocks, by_groups, no_nulls, parts_for
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20

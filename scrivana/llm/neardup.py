@@ -330,15 +330,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     reps = signed.where("n_shingles > 0").join(by_class.where("node = doc_id").select(F.col("doc_id")).distinct(), "doc_id", "left_semi")
     reps = scratch.put("reps", reps.groupBy(F.col("doc_id").alias("node")).agg(F.min_by("signature", "digest").alias("signature")))
     members = scratch.put("members", in_blocks(bucket_rows(reps)))
-    texts = own
 
     pairs = scratch.put("pairs-0", first_pairs(members, reps))
     pairs = scratch.put("pairs-1", pairs.union(first_pairs(joined_blocks(members, pairs), reps)).distinct())
-    links = scratch.put("links-1", verify(pairs, texts, scratch, "verify-1"))
+    links = scratch.put("links-1", verify(pairs, own, scratch, "verify-1"))
     components = scratch.put("components-1", connected_components(links, scratch, "cc-1"))
     scratch.drop("verify-1-sets")
     scratch.release()
-    links = links.union(scratch.put("links-2", later_links(members, reps, components, texts, scratch)))
+    links = links.union(scratch.put("links-2", later_links(members, reps, components, own, scratch)))
     components = scratch.put("components-2", connected_components(links, scratch, "cc-2"))
     out = by_class.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

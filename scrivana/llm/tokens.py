@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import Scratch, blocks, parts_for, shared_dir, text_bytes
+from scrivana.llm.common import Scratch, blocks, parts_for, text_bytes
 
 END_ID = 2
 LENGTH = 2048

@@ -69,6 +69,12 @@ def test_empty_documents(spark, folder, tmp_path):
         assert docs.count() == 0
 
 
+def test_repeated_and_unnamed_rows(spark, docs):
+    df = docs({1: "a b c d e f", 2: "a b c d e f", 3: "g h i j k l"})
+    df = df.union(df).union(docs({None: "no id at all here then"}))
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.one_of_each_group(spark, df, "").collect()) == [0, 1, 3]
+
+
 def test_entry_without_the_subpackage(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
