@@ -6,6 +6,19 @@ from scrivana.llm.queries import SAID, WEIGHTS
 
 _VALUES = ", ".join(f"('{s}', {w})" for s, w in WEIGHTS.items())
 
+OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM w JOIN m USING (s) WHERE doc_id > least),
+b AS (SELECT doc_id, j, substr(h, 2 * j - 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS j FROM d)),
+k AS (SELECT b.doc_id, string_agg(x, '' ORDER BY j) AS kept FROM b ANTI JOIN c USING (doc_id, j) GROUP BY b.doc_id),
+n AS (SELECT c.doc_id, count(*) AS n_removed, count(*) FILTER (p.j IS NULL) AS n_spans FROM c LEFT JOIN c p ON p.doc_id = c.doc_id AND p.j = c.j - 1 GROUP BY c.doc_id)
+SELECT doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP3 = f"""
 WITH w(source, weight) AS (VALUES {_VALUES}),
 n AS (SELECT source, count(*) AS rows FROM documents JOIN w USING (source) GROUP BY source),
@@ -85,4 +98,4 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op4_topk": OP4, "op5_windowdup": OP5, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_neardup": OP10}
+    return {"op2_suffixdup": OP2, "op3_mixing": OP3, "op4_topk": OP4, "op5_windowdup": OP5, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_neardup": OP10}
