@@ -135,3 +135,25 @@ def card_slip(case_id: Column, date: Column, total: Column, weights: dict[str, i
         "tendered": F.when(by_cash, tendered),
         "change": F.when(by_cash, change),
     }
+
+
+def make_abn(number: Column) -> Column:
+    """A valid business number from the last nine digits of a number: the first two digits make the sum come out."""
+    body = F.lpad((number % 10**9).cast("string"), 9, "0")
+    total = F.aggregate(F.zip_with(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.substring(body, i, F.lit(1)).cast("int")), F.array(*(F.lit(w) for w in ABN_WEIGHTS[2:])), lambda d, w: d * w), F.lit(0), lambda a, x: a + x)
+    lead = F.pmod(-total, F.lit(ABN_MODULUS))
+    digits = F.concat((F.floor(lead / 10) + 1).cast("string"), (lead % 10).cast("string"), body)
+    return F.concat_ws(" ", F.substring(digits, 1, 2), F.substring(digits, 3, 3), F.substring(digits, 6, 3), F.substring(digits, 9, 3))
+
+
+def seeded_choice(pool: Column, seed: Column) -> Column:
+    """A pool's member that a seed settles."""
+    return pick(pool, hash_slice(F.sha2(seed.cast("string"), 256), 0, 12))
+
+
+def cycled_choice(pool: list[str], position: Column, seed: int) -> Column:
+    """No member again before all have been taken: the pool in an order of its own for each round of positions (from 0)."""
+    n, members = len(pool), F.array(*map(F.lit, pool))
+    turn = F.floor(position / n)
+    ranked = F.array_sort(F.transform(members, lambda x: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), turn.cast("string"), x), 256).alias("h"), x.alias("x"))))
+    return F.element_at(ranked, (position % n).cast("int") + 1)["x"]

@@ -117,3 +117,29 @@ def scoring_policy(path: str | Path):
         return ScoringPolicy(NormalisationPolicy(**steps), float(multiple), tuple(reporting["percentiles"]), tables["cell_comparison"])
     except (ValueError, TypeError) as e:
         raise ConfigError(str(e), str(path), "see the message", "correct the value") from None
+
+
+def pools(path: str | Path, root: str, required: dict[str, type]) -> dict:
+    """Content pools below ``root``: each required key of its type, lists and mappings not empty."""
+    whole = mapping(mapping(read_yaml(path), str(path)).get(root), f"{path}:{root}")
+    for key, kind in required.items():
+        value = whole.get(key)
+        if not isinstance(value, kind) or isinstance(value, bool) and kind is not bool or kind in (list, dict) and not value:
+            raise ConfigError(f"{key} is {value!r}", f"{path}:{root}.{key}", f"a {kind.__name__}, not empty", "fill the pool")
+    return whole
+
+
+@dataclass(frozen=True)
+class Selection:
+    doc_types: tuple[str, ...]
+    families: tuple[str, ...]
+
+
+def selection(path: str | Path, doc_types: list[str], families: list[str]) -> Selection:
+    """Document types and families to build, each one known and named once."""
+    whole = mapping(read_yaml(path), str(path), {"doc_types", "families"})
+    for key, known in (("doc_types", doc_types), ("families", families)):
+        chosen = whole[key]
+        if not isinstance(chosen, list) or not chosen or len(set(chosen)) < len(chosen) or set(chosen) - set(known):
+            raise ConfigError(f"{key} {chosen!r}", f"{path}:{key}", f"a list of some of {sorted(known)}, each once", "correct the list")
+    return Selection(tuple(whole["doc_types"]), tuple(whole["families"]))
