@@ -157,3 +157,22 @@ def cycled_choice(pool: list[str], position: Column, seed: int) -> Column:
     turn = F.floor(position / n)
     ranked = F.array_sort(F.transform(members, lambda x: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), turn.cast("string"), x), 256).alias("h"), x.alias("x"))))
     return F.element_at(ranked, (position % n).cast("int") + 1)["x"]
+
+
+def counted_description(description: Column, quantity: Column, prefix: str = "{quantity}x ") -> Column:
+    """A receipt line's text, with its quantity in front unless there is one of it or none is stated."""
+    stated = F.replace(F.lit(prefix), F.lit("{quantity}"), quantity)
+    return F.when(is_present(quantity) & (quantity != "1"), F.concat(stated, description)).otherwise(description)
+
+
+def currency(value: Column, style: str = "symbol", suffix: str | None = None) -> Column:
+    """An amount with its symbol, or plain, and an optional suffix."""
+    if style not in ("symbol", "plain"):
+        raise ValueError(f"currency style {style!r}; expected symbol or plain")
+    text = format_amount(value) if style == "symbol" else F.replace(format_amount(value), F.lit("$"), F.lit(""))
+    return F.concat(text, F.lit(f" {suffix}")) if suffix else text
+
+
+def signed_balance(value: Column, credit: str = "CR", debit: str = "DR") -> Column:
+    """A balance without its sign, the side it is on after it."""
+    return F.concat(format_amount(F.abs(value)), F.when(value >= 0, f" {credit}").otherwise(f" {debit}"))

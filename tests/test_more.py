@@ -67,3 +67,6 @@ def test_small_values(spark):
     assert df.select(values.long_timestamp(F.col("d"), F.col("t"))).first()[0] == "07 Oct 2023 at 02:05 PM"
     assert lists.flatten_fields(df, ["A", "B"]).first()[:] == ("c", "1", "NOT_FOUND")
     assert float(df.select(values.subtotal(F.lit(11).cast("decimal(18,2)"), F.lit(1).cast("decimal(18,2)"))).first()[0]) == 10
+    money = F.lit("-1234.505").cast("decimal(18,3)")
+    row = df.select(values.signed_balance(money), values.currency(-money, "plain", "Cr"), values.counted_description(F.lit("tea"), F.lit("2")), values.counted_description(F.lit("tea"), F.lit("1"))).first()
+    assert row[:] == ("$1,234.51 DR", "1,234.51 Cr", "2x tea", "tea")
