@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivana import ship
+
 CHECKPOINT = "spark.checkpoint.dir"
 
 
@@ -40,6 +42,7 @@ class Scratch:
     """Named tables of one run of an operator, each written once and read from then on."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

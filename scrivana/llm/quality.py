@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrivana import ship
 from scrivana.llm.common import Words, blocks
 
 BITS = 18
@@ -173,6 +174,7 @@ def fit(doc: np.ndarray, what: np.ndarray, value: np.ndarray, grades: np.ndarray
 
 def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = SAMPLE, seed: int = SEED, key: str = "doc_id", text: str = "text", grade: str = "grade") -> Ordinal:
     """Fits on at most ``sample`` rows of ``ratings`` (key, grade); their texts are found by a broadcast of the keys."""
+    ship(spark)
     rated = ratings.select(F.col(key).alias("rated_key"), F.col(grade).cast("int").alias("rated_grade")).where(F.col("rated_key").isNotNull() & F.col("rated_grade").between(0, n_grades - 1))
     chosen = rated.dropDuplicates(["rated_key"]).orderBy(F.xxhash64(F.lit(seed), "rated_key"), "rated_key").limit(sample)
     rows = docs.select(F.col(key).alias("rated_key"), F.col(text).alias("rated_text")).join(F.broadcast(chosen), "rated_key")
