@@ -57,7 +57,7 @@ def of_word(word: bytes) -> tuple[int, int]:
     at = _shapes.get(classes)
     if at is None:
         at = place(b"s:" + shape(classes))
-        if len(_shapes) < 100_000:
+        if len(_shapes) < 20_000:
             _shapes[classes] = at
     return place(b"w:" + core[:64]) if core else -1, at
 
@@ -66,7 +66,7 @@ _known: dict[bytes, tuple[int, int]] = {}
 
 
 def word_places(lexicon: list[bytes]) -> np.ndarray:
-    if len(_known) > 400_000:
+    if len(_known) > 120_000:
         _known.clear()
     out = []
     for w in lexicon:

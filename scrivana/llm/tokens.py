@@ -29,7 +29,7 @@ END_ID = 2
 LENGTH = 2048
 SHARD_BYTES = 24 << 20
 #: Words kept with their ids in each Python worker; beyond it the memory starts again.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
