@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.chunks import Distinct, as_chunks, bucket_of, buckets_for, entry_bytes, of_chunk, unpack
+from scrivana.llm.chunks import Distinct, as_chunks, bucket_of, buckets_for, of_chunk, unpack
 from scrivana.llm.common import Scratch, by_groups, mix64, parts_for, powers, text_bytes
 from scrivana.llm.suffixes import Suffixes, equal_runs
 from scrivana.llm.windowdup import intervals
@@ -120,16 +120,38 @@ class Spans:
         self.piece_hash = hashes[self.anchor]
 
     def values(self, anchor_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two values for each span: the first begins with ``anchor_bits`` of its anchor's hash, the rest hash the span."""
+        """Two values for each span: the first begins with ``anchor_bits`` of its anchor's hash, the rest and all of the second hash the span.
+
+        The two are chains of their own over the span's 8-byte words, so a bit of either counts in full, also among
+        the spans of one anchor.
+        """
         if not len(self.first):
             none = np.zeros(0, dtype=np.uint64)
             return none, none
-        prefix = prefix_hashes(self.data, BASES[1])
-        span = (prefix[self.last + self.length] - prefix[self.first]) * power_table(BASES[1], len(self.data), inverse=True)[self.first]
-        shape = (self.last - self.first).astype(np.uint64) << np.uint64(32) | (self.anchor - self.first).astype(np.uint64)
-        span = mix64(span + mix64(shape + np.uint64(1)))
+        words = np.ndarray(len(self.data) - 7, dtype="<u8", buffer=self.data, strides=(1,))
+        size = self.last + self.length - self.first
+        shape = size.astype(np.uint64) << np.uint64(32) | (self.anchor - self.first).astype(np.uint64)
+        one, two = mix64(shape + np.uint64(BASES[0])), mix64(shape + np.uint64(BASES[1]))
+        for k in range(0, int(size.max()) - 7, 8):
+            at = np.flatnonzero(size >= k + 8)
+            word = words[self.first[at] + k]
+            one[at], two[at] = mix64(one[at] ^ word), mix64(two[at] + word * np.uint64(BASES[1]))
+        word = words[self.last + self.length - 8]
+        one, two = mix64(one ^ word), mix64(two + word * np.uint64(BASES[1]))
         low = np.uint64(64 - anchor_bits)
-        return self.piece_hash >> low << low | span >> np.uint64(anchor_bits), mix64(span + np.uint64(7))
+        return self.piece_hash >> low << low | one >> np.uint64(anchor_bits), two
+
+
+def value_sizes(n_spans: int) -> tuple[int, int]:
+    """Bits of the anchor's hash and bytes of a span's whole value.
+
+    Beside the anchor's bits stand enough of the span's own (2 log2 n + 16, up to 16 bytes in all) for a chance of about
+    2**-17 of any false match, even if all spans had one anchor. From some 130 GB on, 16 bytes leave 73 bits or more,
+    which is as good for anchors of up to 2**28 distinct spans.
+    """
+    each = math.log2(n_spans)
+    anchor_bits = min(55, math.ceil(each + 12))
+    return anchor_bits, min(16, math.ceil((anchor_bits + 2 * each + 16) / 8))
 
 
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
@@ -288,8 +310,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
     chunks = scratch.put("chunks", as_chunks(ranged, CHUNK_BYTES))
     scratch.release()
     n_spans = max(1024, n // 12)
-    anchor_bits = min(56, 8 * math.ceil((math.log2(n_spans) + 12) / 8))
-    width = entry_bytes(n_spans)
+    anchor_bits, width = value_sizes(n_spans)
     n_buckets = buckets_for(n_spans, width)
     answers = scratch.put("answers", span_answers(chunks, width, anchor_bits, n_buckets))
     scratch.release()

@@ -76,6 +76,24 @@ def test_bytes(spark, docs, clashing, monkeypatch, many):
     assert bytes_of(spark, clashing(df)) == by_bytes(rows)
 
 
+def test_spans_of_one_anchor(spark):
+    """Many documents around one line of 40 bytes: no 50 bytes repeat, so nothing may be cut."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    line = "".join(rng.choices(letters, k=40))
+    rows = [(i, "".join(rng.choices(letters, k=35)) + line + "".join(rng.choices(letters, k=35))) for i in range(110_000)]
+    got = suffixdup.remove_repeated_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert got.agg(F.count(F.lit(1)), F.sum("n_bytes"), F.sum("n_removed")).first()[:] == (110_000, 110 * 110_000, 0)
+
+
+@pytest.mark.parametrize("n_bytes", [10**8, 5 * 10**8, 3 * 10**10])
+def test_values_of_spans_of_one_anchor(n_bytes):
+    """Beside the anchor's bits, enough bits of the span for all pairs of spans."""
+    n = n_bytes // 12
+    anchor_bits, width = suffixdup.value_sizes(n)
+    assert n * n / 2 / 2.0 ** (8 * width - anchor_bits) <= 2.0**-16
+
+
 def test_words(spark, clashing, monkeypatch):
     rng = random.Random(9)
     base = [[rng.choice(["a", "b", "ç", "d,"]) + str(rng.randint(0, 30)) for _ in range(200)] for _ in range(4)]
