@@ -38,17 +38,20 @@ def score_pages(pages: DataFrame, key: list[str], policy: ScoringPolicy = Scorin
     ref, pred = F.col("reference"), F.col("prediction")
     rows = pages.withColumns({"_r": T.normalise(ref, policy.normalisation), "_p": T.normalise(pred, policy.normalisation)})
     there = pred.isNotNull()
-    rows = rows.withColumns({
-        "ref_chars": F.length(ref),
-        "pred_chars": F.length(pred),
-        "prediction_present": there,
-        "strict_edit_distance": T.edit_distance(ref, pred),
-        "strict_cer": F.when(there, T.character_error_rate(ref, pred)),
-        "normalised_edit_distance": T.edit_distance(F.col("_r"), F.col("_p")),
-        "normalised_cer": F.when(there, T.character_error_rate(F.col("_r"), F.col("_p"))),
-        "normalised_wer": F.when(there, T.word_error_rate(F.col("_r"), F.col("_p"))),
-        "degenerate": F.when(there, T.is_degenerate(ref, pred, policy.degenerate_length_multiple)),
-    }).drop("_r", "_p")
+    rows = rows.withColumn("_d", T.text_distances(ref, pred, F.col("_r"), F.col("_p")))
+    strict, normalised = F.col("_d.strict"), F.col("_d.normalised")
+    rows = rows.select(
+        *pages.columns,
+        F.length(ref).alias("ref_chars"),
+        F.length(pred).alias("pred_chars"),
+        there.alias("prediction_present"),
+        strict.alias("strict_edit_distance"),
+        F.when(there, T.error_rate(strict, F.length(ref), F.length(pred))).alias("strict_cer"),
+        normalised.alias("normalised_edit_distance"),
+        F.when(there, T.error_rate(normalised, F.col("_d.reference_chars"), F.col("_d.prediction_chars"))).alias("normalised_cer"),
+        F.when(there, T.error_rate(F.col("_d.words"), F.col("_d.reference_words"), F.col("_d.prediction_words"))).alias("normalised_wer"),
+        F.when(there, T.is_degenerate(ref, pred, policy.degenerate_length_multiple)).alias("degenerate"),
+    )
     if not tables:
         return rows
     fields = score_tables(rows.where(there), key, "reference", "prediction", policy.normalisation if policy.cell_comparison == "normalised" else None)

@@ -5,6 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
+from scrivana.plans import registry
 
 
 def normalise(s):
@@ -53,3 +54,39 @@ def test_rates(spark):
 def test_casefold_and_nulls(spark):
     df = spark.createDataFrame([("Straße",), (None,), ("ABC",)], "t string")
     assert [r[0] for r in df.select(T.casefold(F.col("t"))).collect()] == ["strasse", None, "abc"]
+
+
+def test_sequence_distance():
+    rng = random.Random(7)
+    for _ in range(1500):
+        a, b = ("".join(rng.choices("abcé", k=rng.randint(0, 40))) for _ in "ab")
+        b = rng.choice([b, a[: rng.randint(0, 40)] + b, "".join(x for x in a if x != "b"), a[::-1], a])
+        assert T.sequence_distance(a, b) == distance(a, b) == T.sequence_distance(list(b), list(a))
+    a, b = (rng.choices(range(900), k=1200) for _ in "ab")
+    assert T.sequence_distance(a, b) == distance(a, b)
+
+
+def test_score_documents_scores_every_document(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [None, "", "Short, one.", " ... ", "a, b. c! " * 400, "".join(rng.choices("ab ,.!é–*|#\u00a0\n", k=2600)), "x.y " * 520]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.queries()["score_documents"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [i for i, _ in rows]
+    known = {}
+    for i, ref in rows:
+        pred = None if ref is None or i % 9 == 0 else re.sub("[,.!]", "", ref)
+        r = got[i]
+        assert (r["ref_chars"], r["pred_chars"], r["prediction_present"]) == (None if ref is None else len(ref), None if pred is None else len(pred), pred is not None)
+        if pred is None:
+            assert all(r[c] is None for c in ("strict_edit_distance", "strict_cer", "normalised_edit_distance", "normalised_cer", "normalised_wer", "degenerate"))
+            continue
+        a, b = normalise(ref), normalise(pred)
+        if ref not in known:
+            known[ref] = distance(ref, pred), distance(a, b), distance(a.split(), b.split())
+        strict, normal, words = known[ref]
+        assert (r["strict_edit_distance"], r["normalised_edit_distance"]) == (strict, normal)
+        assert r["strict_cer"] == (strict / len(ref) if ref else float(bool(pred)))
+        assert r["normalised_cer"] == (normal / len(a) if a else float(bool(b)))
+        assert r["normalised_wer"] == (words / len(a.split()) if a.split() else float(bool(b.split())))
+        assert r["degenerate"] == (bool(pred) and (not ref or len(pred) > 3 * len(ref)))
