@@ -1,11 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, DataFrame functions only.
+"""Benchmark decontamination: MinHash containment search from the item's side, DataFrame functions only.
 
 Test items are short and documents long, so Jaccard signatures of whole documents would see nothing. Containment
 is asked from the item's side: under any hash function, the least shingle of an item lies in a document with
-probability equal to the share of the item's shingles that the document contains. Items are partitioned by the
-size of their shingle set (powers of two); a partition's probes are the minima of as many hash functions as keep
-the chance of missing an item at the threshold below 1e-6, and an item no larger than that is probed with all of
-its shingles, which can't miss. A document that holds a probe is a candidate for the item; each candidate pair is
+probability equal to the share of the item's shingles that the document contains. An item's probes are the minima
+of as many hash functions as keep the chance of missing it at the threshold below 1e-6. That number depends on the
+threshold alone, so a partitioning of items by size would have no effect; only an item of no more shingles than that
+stands apart: it is probed with all of them, which can't miss. A document that holds a probe is a candidate for the item; each candidate pair is
 then verified by counting the item's distinct shingles in the document exactly.
 
 Shingles are five words (A-Z lower-cased; an item with fewer words is one shorter shingle, met by the document's
@@ -58,7 +58,7 @@ def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") ->
 
 
 def probes(of_items: DataFrame) -> DataFrame:
-    """(item, width, shingle): per size partition, the minima of N_HASHES functions, or all shingles of small items."""
+    """(item, width, shingle): the minima of N_HASHES functions, whatever the item's size, or all shingles of small items."""
     partition = F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
     sized = of_items.withColumn("size_class", partition)
     small = sized.where(F.col("n") <= N_HASHES).select("item", "width", "shingle")
