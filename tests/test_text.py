@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+from oracle import SF
 from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
@@ -38,6 +39,17 @@ def test_normalise_matches_python(spark):
     assert got == {i: normalise(t) for i, t in enumerate(texts)}
 
 
+def test_doc_normalise_default_has_every_document(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [None, "", "plain *ascii*", "ﬁn – “é”\u00a0x"] + ["".join(rng.choices("ab# \t\n\x1c\x85\u2028|:-*_`–‘”ﬁé", k=rng.randint(0, 400))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.normalised) for r in registry.queries()["doc_normalise_default"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(i, None if t is None else normalise(t)) for i, t in enumerate(texts)]
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = [(r.doc_id, r.normalised) for r in registry.queries()["doc_normalise_default"](spark, SF).collect()]
+    assert sorted(got) == sorted((r.doc_id, normalise(r.text)) for r in rows)
+
+
 def test_rates(spark):
     rng = random.Random(5)
     pairs = [tuple(" ".join(rng.choice(["a", "bb", "é", "d"]) for _ in range(rng.randint(0, 6))) for _ in "ab") for _ in range(200)] + [("", ""), ("", "x"), ("x", "")]
