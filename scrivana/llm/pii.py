@@ -94,7 +94,7 @@ _CANDIDATES = (
     ("identity", True, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("local_phone", True, re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")),
     ("account", True, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")),
-    ("secret", True, re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_/+-])")),
+    ("secret", True, re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_/+-])")),
     ("name", False, re.compile(r"(?<!\w)(?:" + "|".join(_TITLES) + r")\.? [A-ZÀ-Þ][a-zß-ÿ]{1,30}(?: [A-ZÀ-Þ][a-zß-ÿ]{1,30})?(?!\w)")),
 )
 _CUES = {

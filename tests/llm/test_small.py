@@ -132,6 +132,15 @@ def test_personal_data(spark, docs, clashing):
     assert pii.personal_data(spark, docs([])).count() == 0
 
 
+def test_long_secrets_are_candidates():
+    """Tokens of any length are candidates, as a whole, and are found in linear time."""
+    for n in (19, 20, 200, 201, 5000, 300_000):
+        token = ("aB3_" * n)[:n]
+        got = pii.candidates(f"key: {token}.", True, [])
+        assert [(c["kind"], c["start"], c["end"]) for c in got] == ([("secret", 5, 5 + n)] if n >= 20 else [])
+    assert pii.candidates(("aB3_" * 100_000) + "/x", True, []) == []
+
+
 def test_label_model_finds_the_reliable_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.5
