@@ -6,30 +6,33 @@ padding of the shard's last sequence; a second file says where each document sta
 thus bytes [k * length * width, (k + 1) * length * width) of a memory-mapped buffer.
 
 Nulls count as empty texts; an empty text is its end id alone; rows that repeat a doc_id are all written, side
-by side; a null doc_id sorts first; an empty table gives no shard; other columns are not read.
+by side in the order of their texts; a null doc_id sorts first; an empty table gives no shard; other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scrivana.llm.common import Scratch, blocks, parts_for, text_bytes
+from scrivana.llm.common import Scratch, blocks, no_nulls, parts_for, text_bytes
 
 END_ID = 2
 LENGTH = 2048
 SHARD_BYTES = 24 << 20
-#: Words kept with their ids in each Python worker; beyond it the memory starts again.
-KEPT_WORDS = 250_000
+#: Texts encoded at once.
+BLOCK_BYTES = 4 << 20
+#: Pieces kept with their ids in each Python worker: so many new ones, and as many from before.
+KEPT_PIECES = 250_000
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -41,77 +44,115 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Fixed values of byte-level BPE vocabularies: the pattern that splits texts, and the bytes that stand for
-#: themselves as characters; the other bytes follow from U+0100 on, in order.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-THEMSELVES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_others = [b for b in range(256) if b not in THEMSELVES]
-AS_CHARACTERS = {b: chr(b) for b in THEMSELVES} | {b: chr(0x100 + i) for i, b in enumerate(_others)}
-
-
-class Pieces(dict):
-    """Ids of a piece of text between two splits, as bytes; merges, which the library makes, never cross its ends."""
-
-    def __init__(self, model, dtype):
-        self.model, self.code = model, {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
-
-    def __missing__(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(AS_CHARACTERS))
-        ids = array(self.code, [t.id for t in tokens]).tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
-class Units(dict):
-    """Ids of a unit with the space before it, as bytes; None for a unit that must not stand alone."""
-
-    def __init__(self, pieces: Pieces):
-        self.split, self.pieces = regex.compile(PATTERN).findall, pieces
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
-
-    def __missing__(self, unit: str) -> bytes | None:
-        sound = unit and not unit[0].isspace() and not unit[-1].isspace()
-        ids = self.plain(" " + unit) if sound else None
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+_LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+#: Units whose splits are plain: letters, then full stops and the like, on one line or several.
+PLAIN = rf"^ ?{_LETTER}+[.,;:!?]*(\n{_LETTER}+[.,;:!?]*)*$"
+SPLITS = r"([.,;:!?]+|\n)"
+#: A piece that is split between two tabs as it is alone.
+_JOINS = re.compile(r" ?[^\s\u180e](?:[^\t]*[^\s\u180e])?").fullmatch
+_WHITE = r"^[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library's vocabulary and merges, each distinct unit once.
+    """Whole texts to ids by the tokenizers library, each distinct piece of a text once.
 
-    The vocabulary's splitting pattern always splits before a single space between two characters that aren't
-    white space, and merges never cross a split. So a text's ids are those of its space-separated units in a row,
-    units after the first with their space. A text with white space beside a space is encoded as it is.
+    The vocabulary's pattern always splits before a space that something other than white space follows, and merges
+    never cross a split. So a text's ids are those of its units in a row: its parts between such spaces, each after the
+    first with its space. A plain unit falls into pieces the same way: a run of Latin letters with its space, a run of
+    full stops and the like, a line end. Any other unit is one piece, and so is a whole text that holds a control string.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.pieces = Pieces(self.tokenizer.model, self.dtype)
-        self.units = Units(self.pieces)
-
-    def encode(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        if not rest:
-            return self.direct(text)
-        if not head or head[-1].isspace():
-            return self.direct(text)
-        if len(self.units) > KEPT_WORDS:
-            self.units.clear()
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
-        ids = list(map(self.units.__getitem__, rest))
-        return self.direct(text) if None in ids else self.units.plain(head) + b"".join(ids)
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        self.controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.tab = self.library("\t")[0]
+        self.known, self.before = {"": b""}, {"": b""}
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all texts in a row."""
+        units, start, codes = self.units(no_nulls(texts))
+        flat, ends = self.pieces_of(units)
+        distinct = flat.dictionary_encode()
+        ids = self.ids_of(distinct.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        stored = pa.array(np.frombuffer(b"".join(ids), dtype=self.dtype))
+        of_piece = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), stored)
+        before = np.concatenate([[0], np.cumsum(sizes[distinct.indices.to_numpy()])])[ends]
+        of_unit = pa.LargeListArray.from_arrays(pa.array(before), of_piece.take(distinct.indices).flatten())
+        upto = np.concatenate([[0], np.cumsum(np.diff(before)[codes])])
+        return np.diff(upto[start]), of_unit.take(pa.array(codes)).flatten().to_numpy()
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct units, where each text's units begin (with the end appended), and all units in order, as numbers."""
+        lists = pc.split_pattern(texts, " ")
+        start = lists.offsets.to_numpy().astype(np.int64)
+        start, parts = start - start[0], lists.flatten()
+        glued = pc.or_(pc.equal(pc.binary_length(parts), 0), pc.match_substring_regex(parts, _WHITE)).to_numpy(zero_copy_only=False).copy()
+        for control in self.controls:
+            glued |= np.repeat(pc.match_substring(texts, control).to_numpy(zero_copy_only=False), np.diff(start))
+        glued[start[:-1]] = False
+        if glued.any():
+            real = np.flatnonzero(~glued)
+            parts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(real, len(glued)), pa.int32()), parts), pa.scalar(" ", pa.large_string()))
+            start = np.searchsorted(real, start)
+        first = np.zeros(len(parts), dtype=bool)
+        first[start[:-1]] = True
+        led, heads = parts.filter(pa.array(~first)).dictionary_encode(), parts.filter(pa.array(first)).dictionary_encode()
+        codes = np.empty(len(parts), dtype=np.int64)
+        codes[~first] = led.indices.to_numpy()
+        codes[first] = heads.indices.to_numpy().astype(np.int64) + len(led.dictionary)
+        none, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+        return pa.concat_arrays([pc.binary_join_element_wise(none, led.dictionary, space), heads.dictionary]), start, codes
+
+    def pieces_of(self, units: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All units' pieces in order, and where each unit's begin (with the end appended)."""
+        plain = pc.match_substring_regex(units, PLAIN)
+        split = pc.split_pattern(pc.replace_substring_regex(units.filter(plain), SPLITS, "\x00\\1\x00"), "\x00")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        counts = np.ones(len(units), dtype=np.int64)
+        counts[is_plain] = np.diff(split.offsets.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        from_plain = np.repeat(is_plain, counts)
+        place = np.empty(len(from_plain), dtype=np.int64)
+        place[from_plain] = np.arange(from_plain.sum())
+        place[~from_plain] = np.arange((~from_plain).sum()) + from_plain.sum()
+        return pa.concat_arrays([split.flatten(), units.filter(pc.invert(plain))]).take(pa.array(place)), ends
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; many new ones go to the library at once, with tabs between, which are pieces of their own."""
+        if len(self.known) > KEPT_PIECES:
+            self.known, self.before = {}, self.known
+        out = list(map(self.known.get, pieces))
+        new = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = self.known[pieces[i]] = self.before.get(pieces[i])
+            if out[i] is None:
+                new.append(i)
+        joined = [i for i in new if _JOINS(pieces[i])]
+        groups = [joined[k : k + 512] for k in range(0, len(joined), 512)]
+        lines = ["\t".join([pieces[i] for i in some]) for some in groups]
+        width = self.dtype.itemsize
+        for some, line, encoded in zip(groups, lines, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype=self.dtype)
+            cuts, raw = (np.flatnonzero(ids == self.tab) * width).tolist(), ids.tobytes()
+            if len(cuts) == len(some) - 1 and not any(c in line for c in self.controls):
+                for i, a, b in zip(some, [0, *(x + width for x in cuts)], [*cuts, len(raw)]):
+                    out[i] = raw[a:b]
+        for i in new:
+            if out[i] is None:
+                out[i] = self.library(pieces[i]).tobytes()
+            if len(pieces[i]) <= 64:
+                self.known[pieces[i]] = out[i]
+            else:
+                del self.known[pieces[i]]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -150,22 +191,22 @@ class ShardWriter:
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.index_sink = self.files.open_output_stream(f"{path}/documents.arrow")
         self.index = pa.ipc.new_file(self.index_sink, self.index_schema)
-        self.held: list[bytes] = []
-        self.held_bytes = self.n_tokens = self.n_docs = self.n_sequences = 0
+        self.held: list[np.ndarray] = []
+        self.n_held = self.n_tokens = self.n_docs = self.n_sequences = 0
 
-    def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
-        sizes = np.array([len(x) for x in encoded], dtype=np.int64) // self.dtype.itemsize
+    def add(self, doc_ids: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with so many ids each, all of them in a row."""
         starts = self.n_tokens + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.index.write_batch(pa.record_batch([doc_ids.cast(pa.int64()), pa.array(starts), pa.array(sizes)], schema=self.index_schema))
-        self.n_docs += len(encoded)
-        self.n_tokens += int(sizes.sum())
-        self.held += encoded
-        self.held_bytes += sum(map(len, encoded))
-        if self.held_bytes >= self.per_batch * self.length * self.dtype.itemsize:
+        self.n_docs += len(sizes)
+        self.n_tokens += len(ids)
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= self.per_batch * self.length:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
-        flat = np.frombuffer(b"".join(self.held), dtype=self.dtype)
+        flat = np.concatenate([*self.held, np.zeros(0, dtype=self.dtype)])
         whole = len(flat) // self.length
         rest = flat[whole * self.length :]
         flat, real = flat[: whole * self.length], whole * self.length
@@ -178,7 +219,7 @@ class ShardWriter:
             mask = np.arange(at * self.length, at * self.length + len(part)) < real
             self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(part), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.n_sequences += whole
-        self.held, self.held_bytes = ([rest.tobytes()] if len(rest) else []), rest.nbytes
+        self.held, self.n_held = [rest.copy()], len(rest)
 
     def close(self) -> tuple[int, int, int]:
         self._flush(last=True)
@@ -207,18 +248,17 @@ def write_sequences(spark: SparkSession, docs: DataFrame, order: Column | None =
 
         shard, writer, at = TaskContext.get().partitionId(), None, ""
         enc = encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        for table in blocks(batches, "text", 1 << 20):
+        for table in blocks(batches, "text", BLOCK_BYTES):
             if writer is None:
                 at = f"{to}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
                 writer = ShardWriter(at, length, enc.dtype)
-            texts = pc.fill_null(table.column("text"), "").to_pylist()
-            writer.add(table.column("doc_id").combine_chunks(), [enc.encode(t) + end for t in texts])
+            sizes, ids = enc.encode(table.column("text"))
+            writer.add(table.column("doc_id").combine_chunks(), sizes + 1, np.insert(ids, np.cumsum(sizes), end_id))
         if writer is not None:
             n_docs, n_tokens, n_sequences = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": at, "n_docs": n_docs, "n_tokens": n_tokens, "n_sequences": n_sequences}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
 
-    return scratch.put("manifest", own.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(write, MANIFEST))
+    return scratch.put("manifest", own.repartitionByRange(n, *by).sortWithinPartitions(*by, "text").mapInArrow(write, MANIFEST))
 
 
 def open_shard(path: str) -> tuple[pa.ipc.RecordBatchFileReader, pa.ipc.RecordBatchFileReader]:
@@ -249,22 +289,30 @@ def sequence_at(sequences: pa.ipc.RecordBatchFileReader, k: int, per_batch: int
     raise IndexError(k)
 
 
-def read_sequences(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of the manifest.
+#: Shards whose sizes are summed in one window.
+SUMMED = 2048
 
-    The driver holds one number for each shard, to place shards one after another.
-    """
-    shards = sorted((r["shard"], r["path"], r["n_tokens"]) for r in manifest.collect())
-    offset, rows = 0, []
-    for _, path, n_tokens in shards:
-        rows.append((path, offset))
-        offset += n_tokens
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """(path, base): each shard with the ids of all shards before it; sums within groups of shards, then over groups."""
+    group = F.floor(F.col("shard") / SUMMED).alias("group")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.select("shard", "path", "n_tokens", group)
+    within = F.coalesce(F.sum("n_tokens").over(before.partitionBy("group")), F.lit(0))
+    groups = shards.groupBy("group").agg(F.sum("n_tokens").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("group", earlier.alias("earlier"))
+    return shards.select("path", "group", within.alias("within")).join(groups, "group").select("path", (F.col("within") + F.col("earlier")).alias("base"))
+
+
+def read_sequences(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of the manifest."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sequences, index = open_shard(path)
-                ids, held, at = shard_ids(sequences), np.zeros(0, dtype=np.uint16), 0
+                ids, held, at = shard_ids(sequences), np.zeros(0, dtype=np.uint32), 0
                 for k in range(index.num_record_batches):
                     part = index.get_batch(k)
                     sums = []
@@ -280,9 +328,7 @@ def read_sequences(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         sums.append(crc)
                     yield pa.RecordBatch.from_arrays([part.column(0), pc.add(part.column(1), base), part.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    if not rows:
-        return spark.createDataFrame([], READ_BACK)
-    return spark.createDataFrame(rows, "path string, base long").repartition(len(rows)).mapInArrow(read, READ_BACK)
+    return placed(manifest).repartition(max(1, manifest.count())).mapInArrow(read, READ_BACK)
 
 
 def token_rows(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

@@ -2,27 +2,57 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from scrivana.llm import tokens as T
 
 ENCODER = T.encoder(T.tokenizer_path())
+LIBRARY = Tokenizer.from_file(T.tokenizer_path())
 
 
 def reference(text):
-    return ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t's1aé日<|endoftext|>")), max_size=40))
-def test_encoder_matches_the_library(text):
-    assert np.frombuffer(ENCODER.encode(text), dtype=ENCODER.dtype).tolist() == reference(text)
+def encoded(texts):
+    sizes, ids = ENCODER.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+PARTS = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u180e", "\u2003", "\x00", "\x1f", "'s", "don't", "the", "Über", "1", "42", ".", "...", "?!", "é", "日本", "<|endoftext|>", "<|", "|>", "a"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.lists(PARTS, max_size=12).map("".join), st.text(alphabet=st.characters(codec="utf-8"), max_size=20)), min_size=1, max_size=6))
+def test_encoder_matches_the_library(texts):
+    assert encoded(texts) == list(map(reference, texts))
+
+
+def test_control_strings_and_nulls():
+    assert encoded(["a <|endoftext|> b", None, ""]) == [[64, 220, 50256, 275], [], []]
+    assert encoded(["x " * 3 + "<|endoftext|>" + "y" * 1000]) == [reference("x " * 3 + "<|endoftext|>" + "y" * 1000)]
+
+
+def test_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "KEPT_PIECES", 10)
+    texts = [" ".join(f"word{a} {a}x." for a in range(k, k + 30)) for k in range(0, 60, 10)]
+    for text in texts * 2:
+        assert encoded([text]) == [reference(text)]
+
+
+def test_shards_are_placed_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(T, "SUMMED", 3)
+    rows = [(i, f"p{i}", 0, i * i + 1, 0) for i in (0, 1, 2, 4, 5, 9, 11)]
+    got = {r.path: r.base for r in T.placed(spark.createDataFrame(rows[::-1], T.MANIFEST)).collect()}
+    assert got == {f"p{i}": sum(x[3] for x in rows if x[0] < i) for i, *_ in rows}
 
 
 def brute(rows):
     at, out = 0, []
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         ids = [*reference(t or ""), T.END_ID]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         at += len(ids)
@@ -33,7 +63,7 @@ def test_round_trip(spark, clashing, monkeypatch):
     monkeypatch.setattr(T, "SHARD_BYTES", 4000)
     rng = random.Random(2)
     rows = [(i, None if i % 11 == 0 else " ".join(rng.choice(["the", "Ünt", "x.\n", "", "42"]) for _ in range(rng.randint(0, 80)))) for i in range(120)]
-    rows += [(500, "word " * 30_000), (501, "a" * 5000)]
+    rows += [(500, "word " * 30_000), (501, "a" * 5000), (8, "again <|endoftext|>"), (8, "again <|endoftext|>"), (8, None)]
     rng.shuffle(rows)
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     manifest = T.write_sequences(spark, df, length=64)
