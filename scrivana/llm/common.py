@@ -6,9 +6,7 @@ executor costs only its own tasks. A stage that needs numpy reads *chunks*: rows
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,8 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: With it, Spark removes the shuffle files of a query when the query is over.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Named tables of one run of an operator, each written once and read from then on."""
+    """Named tables of one run of an operator, each written once and read from then on, so that nothing needs the shuffle
+    files of the query that wrote it."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
@@ -48,25 +51,18 @@ class Scratch:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        del df
-        return self.spark.read.schema(schema).parquet(path)
+        before = self.spark.conf.get(CLEANED, None)
+        self.spark.conf.set(CLEANED, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANED) if before is None else self.spark.conf.set(CLEANED, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of plans that are over, and gives it a moment.
-
-        A plan is held until the events that name it are delivered, so those come first.
-        """
-        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(1)
-
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: what the number of chunks follows."""

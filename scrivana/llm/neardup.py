@@ -336,7 +336,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     links = scratch.put("links-1", verify(pairs, own, scratch, "verify-1"))
     components = scratch.put("components-1", connected_components(links, scratch, "cc-1"))
     scratch.drop("verify-1-sets")
-    scratch.release()
     links = links.union(scratch.put("links-2", later_links(members, reps, components, own, scratch)))
     components = scratch.put("components-2", connected_components(links, scratch, "cc-2"))
     out = by_class.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))

@@ -10,10 +10,11 @@ chunks is the order of documents.
 
 1. Each chunk sends each distinct (anchor, span) once. A bucket answers: this very span is in an earlier chunk; or
    the anchor has other spans too; or neither, which settles all of the span's strings.
-2. What is not settled (spans around the ends of repeated text) is sent with its bytes to the anchor's bucket. There
-   the strings' suffixes are sorted by hash-compared mergesort, common extensions of 50 bytes are verified byte by
-   byte, and each run's least document decides. Anchors with very many spans send each string to a bucket by its own
-   hash instead, so no group is gathered in one task.
+2. What is not settled (spans around the ends of repeated text) is sent with its bytes to the anchor's bucket, each
+   distinct span once a chunk. There a string whose hash no other string has is equal to none; the others' suffixes are
+   sorted by hash-compared mergesort, common extensions of 50 bytes are verified byte by byte, and each run's least
+   document decides. Anchors with very many spans send each distinct string, once a chunk, to a bucket by its own hash
+   instead, so no group is gathered in one task.
 3. The answers join the texts, and the marked bytes are cut.
 
 Nulls count as empty; a text of fewer than 50 bytes stays whole; rows that repeat a doc_id are documents in the
@@ -45,6 +46,7 @@ MANY_SPANS = 4096
 BASES = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB)
 _PLACE = 24
 _BLOCK = 1 << 20
+_PAIRS = 1 << 15
 
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -198,10 +200,11 @@ def span_answers(chunks: DataFrame, width: int, anchor_bits: int, n_buckets: int
     return answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
 
 
-#: kind 0: a chunk's marks so far (bits) and its open strings, by sort bucket: first and last start of each span.
+#: kind 0: a chunk's marks so far (bits); its open strings, by sort bucket: first and last start of each span; and
+#: starts that copy the marks of others: to, from, how many in a row.
 #: kind 1: what goes to a sort bucket: groups, sizes and documents of spans, and their bytes.
-OPENED = "kind int, chunk long, bucket int, marks binary, first array<int>, last array<int>, groups array<long>, places array<int>, docs array<int>, data binary"
-_OPENED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())), ("groups", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("data", pa.binary())])
+OPENED = "kind int, chunk long, bucket int, marks binary, first array<int>, last array<int>, copy_to array<int>, copy_from array<int>, copied array<int>, groups array<long>, places array<int>, docs array<int>, data binary"
+_OPENED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())), *((name, pa.list_(pa.int32())) for name in ("copy_to", "copy_from", "copied")), ("groups", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("data", pa.binary())])
 
 
 def open_spans(chunks: DataFrame, answers: DataFrame, width: int, anchor_bits: int, n_buckets: int, n_sorts: int) -> DataFrame:
@@ -221,37 +224,53 @@ def open_spans(chunks: DataFrame, answers: DataFrame, width: int, anchor_bits: i
         for x in answers or ():
             a, b = places[x["bucket"]]
             code[a:b] = np.frombuffer(x["bits"], dtype=np.uint8)
-        # within the chunk, the first of equal spans speaks for those in its document; later documents repeat it
+        # within the chunk, the first of equal spans speaks for all: later documents repeat it, its own one copies its answer
         spoke = own.first[own.place]
+        first_of_all = spoke == np.arange(len(spoke))
         settled = (code[own.place] == SETTLED) | (spans.doc > spans.doc[spoke])
-        change = np.zeros(len(spans.data) + 1, dtype=np.int32)
-        np.add.at(change, spans.first[settled], 1)
-        np.add.at(change, spans.last[settled] + 1, -1)
-        marks = np.cumsum(change[:-1]) > 0
-        rest = np.flatnonzero(~settled & (code[own.place] >= MIXED))
-        first, last = spans.first[rest], spans.last[rest]
-        group, doc = spans.piece_hash[rest] if len(rest) else np.zeros(0, dtype=np.uint64), spans.doc[rest]
-        place = spans.anchor[rest] - first
+        open_ = ~settled & (code[own.place] >= MIXED)
+        copy = np.flatnonzero(open_ & ~first_of_all)
+        rest = np.flatnonzero(open_ & first_of_all)
+        first, last, doc = spans.first[rest], spans.last[rest], spans.doc[rest]
+        group, place = spans.piece_hash[rest] if len(rest) else np.zeros(0, dtype=np.uint64), spans.anchor[rest] - first
+        begins, ends = [spans.first[settled]], [spans.last[settled]]
+        copies = [(spans.first[copy], spans.first[spoke[copy]], spans.last[copy] - spans.first[copy] + 1)]
         many = code[own.place[rest]] == MANY
         if many.any():
             counts = last[many] - first[many] + 1
-            each = np.repeat(first[many], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            each = in_rows(first[many], counts)
+            its_doc = np.repeat(doc[many], counts)
             prefix = prefix_hashes(spans.data, BASES[1])
             strings = mix64((prefix[each + spans.length] - prefix[each]) * power_table(BASES[1], len(spans.data), inverse=True)[each])
-            few = ~many
+            _, least, same = np.unique(strings, return_index=True, return_inverse=True)
+            least = least[same]
+            again = np.flatnonzero(least != np.arange(len(each)))
+            again = again[equal_strings(spans.data, each[again], each[least[again]], spans.length)]
+            later = its_doc[again] > its_doc[least[again]]
+            begins.append(each[again[later]])
+            ends.append(each[again[later]])
+            near = again[~later]
+            copies.append((each[near], each[least[near]], np.ones(len(near), dtype=np.int64)))
+            alone = np.ones(len(each), dtype=bool)
+            alone[again] = False
+            few, each = ~many, each[alone]
             first, last = np.concatenate([first[few], each]), np.concatenate([last[few], each])
-            group, doc = np.concatenate([group[few], strings]), np.concatenate([doc[few], np.repeat(doc[many], counts)])
+            group, doc = np.concatenate([group[few], strings[alone]]), np.concatenate([doc[few], its_doc[alone]])
             place = np.concatenate([place[few], np.full(len(each), -1)])
+        change = np.zeros(len(spans.data) + 1, dtype=np.int32)
+        np.add.at(change, np.concatenate(begins), 1)
+        np.add.at(change, np.concatenate(ends) + 1, -1)
+        marks = np.cumsum(change[:-1]) > 0
         bucket = bucket_of(mix64(group.copy()), n_sorts) if len(group) else np.zeros(0, dtype=np.int64)
         order = np.argsort(bucket, kind="stable")
         first, last, group, doc, place, bucket = (x[order] for x in (first, last, group, doc, place, bucket))
-        yield row(0, chunk, None, np.packbits(marks).tobytes(), first, last)
+        yield row(0, chunk, None, np.packbits(marks).tobytes(), first, last, *(np.concatenate(x) for x in zip(*copies)))
         begin = np.flatnonzero(np.concatenate([[len(bucket) > 0], bucket[1:] != bucket[:-1]]))
         for b, x, y in zip(bucket[begin].tolist(), begin, np.append(begin[1:], len(bucket))):
             f, t = first[x:y], last[x:y] + spans.length
             n = t - f
-            at = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield row(1, chunk, b, None, None, last[x:y] - f, group[x:y].view(np.int64), place[x:y], doc[x:y], spans.data[at].tobytes())
+            at = in_rows(f, n)
+            yield row(1, chunk, b, None, None, last[x:y] - f, None, None, None, group[x:y].view(np.int64), place[x:y], doc[x:y], spans.data[at].tobytes())
 
     def row(*values) -> pa.RecordBatch:
         values = [*values, *[None] * (len(_OPENED) - len(values))]
@@ -260,10 +279,33 @@ def open_spans(chunks: DataFrame, answers: DataFrame, width: int, anchor_bits: i
     return chunks.join(answers, "chunk", "left").mapInArrow(run, OPENED)
 
 
+def equal_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Byte by byte, some strings at a time."""
+    reach = np.arange(length)
+    out = [(data[a[i : i + _PAIRS, None] + reach] == data[b[i : i + _PAIRS, None] + reach]).all(axis=1) for i in range(0, len(a), _PAIRS)]
+    return np.concatenate([*out, np.zeros(0, dtype=bool)])
+
+
+def in_rows(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, ``counts`` of them."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 def counted_bits(raw: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, dtype=np.uint8, offset=4), count=int.from_bytes(raw[:4], "little")).astype(bool)
 
 
+def shared(hashes: np.ndarray) -> np.ndarray:
+    """Which values stand more than once."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    same = ordered[1:] == ordered[:-1]
+    out = np.zeros(len(hashes), dtype=bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
 def sorted_answers(opened: DataFrame) -> DataFrame:
     """(chunk, sorts): for each sort bucket, the number of strings and a bit each: does an earlier document have it?"""
 
@@ -277,18 +319,23 @@ def sorted_answers(opened: DataFrame) -> DataFrame:
             rank = np.repeat(np.argsort(np.argsort(chunk[a:b])), n_spans).astype(np.int64) << 32 | doc
             begins = np.cumsum(extra + LENGTH) - (extra + LENGTH)
             counts = extra.astype(np.int64) + 1
-            step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = np.repeat(begins, counts) + step
-            # strings compare only with those of the same group whose anchor stands at the same place
-            offset = np.where(np.repeat(place, counts) < 0, -1, np.repeat(place, counts) - step)
-            by = np.lexsort((offset, np.repeat(group, counts)))
-            g, o = np.repeat(group, counts)[by], offset[by]
-            number = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (o[1:] != o[:-1])]))
-            order, run_of = equal_runs(Suffixes(text, LENGTH), at[by], number)
-            ranks = np.repeat(rank, counts)[by][order]
-            least = np.minimum.reduceat(ranks, np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]])))
-            later = np.empty(len(at), dtype=bool)
-            later[by[order]] = ranks > least[run_of]
+            at = in_rows(begins, counts)
+            step = at - np.repeat(begins, counts)
+            later = np.zeros(len(at), dtype=bool)
+            # a string whose hash no other has is equal to none; the others' suffixes are sorted
+            suffixes = Suffixes(text, LENGTH)
+            twin = np.flatnonzero(shared(suffixes.hashed(at, LENGTH)))
+            if len(twin):
+                span = np.repeat(np.arange(len(counts)), counts)[twin]
+                # strings compare only with those of the same group whose anchor stands at the same place
+                offset = np.where(place[span] < 0, -1, place[span] - step[twin])
+                by = np.lexsort((offset, group[span]))
+                g, o = group[span][by], offset[by]
+                number = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (o[1:] != o[:-1])]))
+                order, run_of = equal_runs(suffixes, at[twin[by]], number)
+                ranks = rank[span[by]][order]
+                least = np.minimum.reduceat(ranks, np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]])))
+                later[twin[by[order]]] = ranks > least[run_of]
             cut = np.cumsum(np.add.reduceat(counts, np.cumsum(n_spans) - n_spans))[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(chunk[a:b]), pa.array(bucket[a:b]), pa.array([len(x).to_bytes(4, "little") + np.packbits(x).tobytes() for x in np.split(later, cut)], pa.binary())], schema=ANSWER)
 
@@ -308,16 +355,13 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
     n = text_bytes(rows)
     ranged = rows.repartitionByRange(parts_for(n, 8 * CHUNK_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
     chunks = scratch.put("chunks", as_chunks(ranged, CHUNK_BYTES))
-    scratch.release()
     n_spans = max(1024, n // 12)
     anchor_bits, width = value_sizes(n_spans)
     n_buckets = buckets_for(n_spans, width)
     answers = scratch.put("answers", span_answers(chunks, width, anchor_bits, n_buckets))
-    scratch.release()
     opened = scratch.put("opened", open_spans(chunks, answers, width, anchor_bits, n_buckets, parts_for(n // 4, SORT_BYTES)))
     sorts = scratch.put("sorts", sorted_answers(opened))
-    scratch.release()
-    state = opened.where("kind = 0").select("chunk", "marks", "first", "last")
+    state = opened.where("kind = 0").select("chunk", "marks", "first", "last", "copy_to", "copy_from", "copied")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,10 +373,11 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
                 starts = np.unpackbits(np.frombuffer(batch.column("marks")[i].as_py(), dtype=np.uint8), count=n).astype(bool)
                 sorts = batch.column("sorts")[i].as_py()
                 if sorts:
-                    first, last = (batch.column(c).slice(i, 1).flatten().to_numpy().astype(np.int64) for c in ("first", "last"))
-                    counts = last - first + 1
-                    strings = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    first, last, to, source, copied = (batch.column(c).slice(i, 1).flatten().to_numpy().astype(np.int64) for c in ("first", "last", "copy_to", "copy_from", "copied"))
+                    strings = in_rows(first, last - first + 1)
                     starts[strings[np.concatenate([counted_bits(x["bits"]) for x in sorts])]] = True
+                    for _ in range(2):  # a span may copy a string that copies another
+                        starts[in_rows(to, copied)] |= starts[in_rows(source, copied)]
                 yield cut(ids, values, starts)
 
     def cut(ids: np.ndarray, values: list[bytes], starts: np.ndarray) -> pa.RecordBatch:

@@ -70,7 +70,6 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, width: int = WIDTH, sc
     n_buckets = buckets_for(n_windows, size)
     chunks = scratch.put("chunks", as_chunks(rows))
     answers = scratch.put("answers", repeated_elsewhere(chunks, lambda texts: ChunkWindows(texts, width).values(), size, n_buckets))
-    scratch.release()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
