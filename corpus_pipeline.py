@@ -66,5 +66,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.put(name, stage(spark, docs, sf_dir))
-        scratch.release()
     return docs
