@@ -7,8 +7,17 @@ import tempfile
 import zipfile
 
 
+#: Bytes of one Arrow batch to Python: rows here may be whole documents, and a batch stands in memory several times.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def ship(spark) -> None:
-    """Sends this package to the executors, once a session, so that Python workers find it wherever they run."""
+    """Sends this package to the executors, once a context, so that Python workers find it wherever they run.
+
+    A session that has no limit of its own for Arrow batches gets one.
+    """
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_scrivana_shipped", False):
         return
