@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scrivana.llm.common import blocks, by_groups, no_nulls, parts_for
 
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 CHUNKS = "chunk long, doc_ids array<long>, texts array<string>"
 
