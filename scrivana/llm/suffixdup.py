@@ -8,13 +8,13 @@ of equals) is the string's anchor, whatever surrounds it, so equal strings have
 Neighbouring strings with one anchor form a span of at most 76 bytes. Chunks hold ranges of doc_id, so the order of
 chunks is the order of documents.
 
-1. Each chunk sends each distinct (anchor, span) once. A bucket answers: this very span is in an earlier chunk; or
-   the anchor has other spans too; or neither, which settles all of the span's strings.
-2. What is not settled (spans around the ends of repeated text) is sent with its bytes to the anchor's bucket, each
-   distinct span once a chunk. There a string whose hash no other string has is equal to none; the others' suffixes are
-   sorted by hash-compared mergesort, common extensions of 50 bytes are verified byte by byte, and each run's least
-   document decides. Anchors with very many spans send each distinct string, once a chunk, to a bucket by its own hash
-   instead, so no group is gathered in one task.
+1. Each chunk sends the hash of each distinct (anchor, span) once. A bucket answers whether an anchor was sent more
+   than once, by whatever span or chunk. An anchor that wasn't has strings that stand nowhere else.
+2. All other spans are sent with their bytes to the anchor's bucket, each distinct one once a chunk (within a chunk,
+   equal spans are found by hash and verified byte by byte). There a string whose hash no other string has is equal to
+   none; the others' suffixes are sorted by hash-compared mergesort, common extensions of 50 bytes are verified byte by
+   byte, and each run's least document decides. Anchors with very many spans send each distinct string, once a chunk,
+   to a bucket by its own hash instead, so no group is gathered in one task.
 3. The answers join the texts, and the marked bytes are cut.
 
 Nulls count as empty; a text of fewer than 50 bytes stays whole; rows that repeat a doc_id are documents in the
@@ -43,6 +43,7 @@ CHUNK_BYTES = 2 << 20
 SORT_BYTES = 2 << 20
 #: An anchor with more spans than this sends strings one by one.
 MANY_SPANS = 4096
+LEAST_BUCKETS = 24
 BASES = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB)
 _PLACE = 24
 _BLOCK = 1 << 20
@@ -144,30 +145,42 @@ class Spans:
         return self.piece_hash >> low << low | one >> np.uint64(anchor_bits), two
 
 
-def value_sizes(n_spans: int) -> tuple[int, int]:
-    """Bits of the anchor's hash and bytes of a span's whole value.
+def anchor_bits_for(n_spans: int) -> int:
+    """So many that different anchors hardly ever meet by chance; where they do, more is sorted and nothing else changes."""
+    return min(55, math.ceil(math.log2(n_spans) + 12))
 
-    Beside the anchor's bits stand enough of the span's own (2 log2 n + 16, up to 16 bytes in all) for a chance of about
-    2**-17 of any false match, even if all spans had one anchor. From some 130 GB on, 16 bytes leave 73 bits or more,
-    which is as good for anchors of up to 2**28 distinct spans.
-    """
-    each = math.log2(n_spans)
-    anchor_bits = min(55, math.ceil(each + 12))
-    return anchor_bits, min(16, math.ceil((anchor_bits + 2 * each + 16) / 8))
+
+def distinct_spans(spans: Spans, anchor_bits: int) -> tuple[Distinct, np.ndarray, np.ndarray]:
+    """The chunk's distinct spans by hash; for each span the first that equals it byte by byte; and the spans, of one
+    hash with an earlier one, that don't."""
+    own = Distinct(*spans.values(anchor_bits), 16)
+    spoke, size, wrong = own.first[own.place], spans.last + spans.length - spans.first, []
+    again = np.flatnonzero(spoke != np.arange(len(spoke)))
+    for i in range(0, len(again), _PAIRS):
+        some = again[i : i + _PAIRS]
+        n = np.minimum(size[some], size[spoke[some]])
+        differs = spans.data[in_rows(spans.first[some], n)] != spans.data[in_rows(spans.first[spoke[some]], n)]
+        wrong.append(some[(size[some] != size[spoke[some]]) | np.logical_or.reduceat(differs, np.cumsum(n) - n)])
+    wrong = np.concatenate([*wrong, again[:0]])
+    spoke[wrong] = wrong
+    return own, spoke, wrong
 
 
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
-SETTLED, MIXED, MANY = 1, 2, 3
+OPEN, MANY = 1, 2
+#: Bytes of a span's hash that are sent.
+WIDTH = 10
 
 
-def span_answers(chunks: DataFrame, width: int, anchor_bits: int, n_buckets: int) -> DataFrame:
+def span_answers(chunks: DataFrame, anchor_bits: int, n_buckets: int) -> DataFrame:
     """(chunk, answers): one byte for each distinct span of the chunk, in order."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, _, texts = of_chunk(batch, i)
-                own = Distinct(*Spans(texts).values(anchor_bits), width)
+                own = Distinct(*Spans(texts).values(anchor_bits), 16)
+                own.width = WIDTH
                 full = list(zip(*own.buckets(n_buckets)))
                 for k in range(0, len(full), 64):
                     some = full[k : k + 64]
@@ -178,20 +191,17 @@ def span_answers(chunks: DataFrame, width: int, anchor_bits: int, n_buckets: int
         for a, b in zip(ends, ends[1:]):
             by_chunk = a + np.argsort(chunk[a:b], kind="stable")
             held = [table.column("block")[int(i)].as_py() for i in by_chunk]
-            sizes = np.array([len(x) // width for x in held])
-            one, two = unpack(b"".join(held), width)
+            sizes = np.array([len(x) // WIDTH for x in held])
+            one, two = unpack(b"".join(held), WIDTH)
             held.clear()
             order = np.lexsort((two, one))
             one, two = one[order], two[order]
             new_span = np.ones(len(one), dtype=bool)
             new_span[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             top = one >> np.uint64(64 - anchor_bits)
-            new_anchor = np.ones(len(one), dtype=bool)
-            new_anchor[1:] = top[1:] != top[:-1]
-            begins = np.flatnonzero(new_anchor)
-            spans = np.add.reduceat(new_span.astype(np.int64), begins)
-            code = np.repeat(np.where(spans > MANY_SPANS, MANY, np.where(spans > 1, MIXED, 0)), np.diff(np.append(begins, len(one))))
-            code[~new_span] = SETTLED
+            begins = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+            sent, spans = np.diff(np.append(begins, len(one))), np.add.reduceat(new_span.astype(np.int64), begins)
+            code = np.repeat(np.where(spans > MANY_SPANS, MANY, np.where(sent > 1, OPEN, 0)), sent)
             out = np.empty(len(one), dtype=np.uint8)
             out[order] = code
             yield pa.RecordBatch.from_arrays([pa.array(chunk[by_chunk]), pa.array(bucket[by_chunk]), pa.array([x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])], pa.binary())], schema=ANSWER)
@@ -207,7 +217,7 @@ OPENED = "kind int, chunk long, bucket int, marks binary, first array<int>, last
 _OPENED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())), *((name, pa.list_(pa.int32())) for name in ("copy_to", "copy_from", "copied")), ("groups", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("data", pa.binary())])
 
 
-def open_spans(chunks: DataFrame, answers: DataFrame, width: int, anchor_bits: int, n_buckets: int, n_sorts: int) -> DataFrame:
+def open_spans(chunks: DataFrame, answers: DataFrame, anchor_bits: int, n_buckets: int, n_sorts: int) -> DataFrame:
     """What the answers settle, and the spans that remain, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,24 +228,24 @@ def open_spans(chunks: DataFrame, answers: DataFrame, width: int, anchor_bits: i
 
     def one_chunk(chunk: int, texts: pa.Array, answers: list[dict] | None) -> Iterator[pa.RecordBatch]:
         spans = Spans(texts)
-        own = Distinct(*spans.values(anchor_bits), width)
+        own, spoke, wrong = distinct_spans(spans, anchor_bits)
         places = {int(n): (a, b) for n, a, b in zip(*own.buckets(n_buckets))}
         code = np.zeros(len(own.one), dtype=np.uint8)
         for x in answers or ():
             a, b = places[x["bucket"]]
             code[a:b] = np.frombuffer(x["bits"], dtype=np.uint8)
-        # within the chunk, the first of equal spans speaks for all: later documents repeat it, its own one copies its answer
-        spoke = own.first[own.place]
-        first_of_all = spoke == np.arange(len(spoke))
-        settled = (code[own.place] == SETTLED) | (spans.doc > spans.doc[spoke])
-        open_ = ~settled & (code[own.place] >= MIXED)
+        # the first of equal spans speaks for all: later documents repeat it, its own one copies its answer
+        code[own.place[wrong]] = np.maximum(code[own.place[wrong]], OPEN)
+        code, first_of_all = code[own.place], spoke == np.arange(len(spoke))
+        settled = spans.doc > spans.doc[spoke]
+        open_ = ~settled & (code > 0)
         copy = np.flatnonzero(open_ & ~first_of_all)
         rest = np.flatnonzero(open_ & first_of_all)
         first, last, doc = spans.first[rest], spans.last[rest], spans.doc[rest]
         group, place = spans.piece_hash[rest] if len(rest) else np.zeros(0, dtype=np.uint64), spans.anchor[rest] - first
         begins, ends = [spans.first[settled]], [spans.last[settled]]
         copies = [(spans.first[copy], spans.first[spoke[copy]], spans.last[copy] - spans.first[copy] + 1)]
-        many = code[own.place[rest]] == MANY
+        many = code[rest] == MANY
         if many.any():
             counts = last[many] - first[many] + 1
             each = in_rows(first[many], counts)
@@ -356,10 +366,9 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
     ranged = rows.repartitionByRange(parts_for(n, 8 * CHUNK_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
     chunks = scratch.put("chunks", as_chunks(ranged, CHUNK_BYTES))
     n_spans = max(1024, n // 12)
-    anchor_bits, width = value_sizes(n_spans)
-    n_buckets = buckets_for(n_spans, width)
-    answers = scratch.put("answers", span_answers(chunks, width, anchor_bits, n_buckets))
-    opened = scratch.put("opened", open_spans(chunks, answers, width, anchor_bits, n_buckets, parts_for(n // 4, SORT_BYTES)))
+    anchor_bits, n_buckets = anchor_bits_for(n_spans), max(LEAST_BUCKETS, buckets_for(n_spans, WIDTH))
+    answers = scratch.put("answers", span_answers(chunks, anchor_bits, n_buckets))
+    opened = scratch.put("opened", open_spans(chunks, answers, anchor_bits, n_buckets, parts_for(n // 2, SORT_BYTES, LEAST_BUCKETS)))
     sorts = scratch.put("sorts", sorted_answers(opened))
     state = opened.where("kind = 0").select("chunk", "marks", "first", "last", "copy_to", "copy_from", "copied")
 

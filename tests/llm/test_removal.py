@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivana.llm import suffixdup, windowdup
+from scrivana.llm.common import Scratch
 from scrivana.llm.suffixes import Suffixes, equal_runs, sort_within
 
 
@@ -86,12 +87,34 @@ def test_spans_of_one_anchor(spark):
     assert got.agg(F.count(F.lit(1)), F.sum("n_bytes"), F.sum("n_removed")).first()[:] == (110_000, 110 * 110_000, 0)
 
 
-@pytest.mark.parametrize("n_bytes", [10**8, 5 * 10**8, 3 * 10**10])
-def test_values_of_spans_of_one_anchor(n_bytes):
-    """Beside the anchor's bits, enough bits of the span for all pairs of spans."""
-    n = n_bytes // 12
-    anchor_bits, width = suffixdup.value_sizes(n)
-    assert n * n / 2 / 2.0 ** (8 * width - anchor_bits) <= 2.0**-16
+def test_spans_of_one_hash(spark, monkeypatch):
+    """With a hash that calls all spans equal, bytes and the sort still tell them apart."""
+
+    class Alike(suffixdup.Spans):
+        def values(self, anchor_bits):
+            return np.zeros(len(self.first), dtype=np.uint64), np.zeros(len(self.first), dtype=np.uint64)
+
+    monkeypatch.setattr(suffixdup, "Spans", Alike)
+    for chunk_bytes in (4000, 1 << 20):
+        monkeypatch.setattr(suffixdup, "CHUNK_BYTES", chunk_bytes)
+        rows = pieces(random.Random(5), 90)
+        assert bytes_of(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == by_bytes(rows)
+
+
+def test_line_in_every_document(spark, monkeypatch):
+    """A string that all documents hold is sent once a chunk, not once an occurrence."""
+    rng = random.Random(13)
+    line = "".join(rng.choices("abcdefghijklmnop", k=60))
+    rows = [(i, "".join(rng.choices("qrstuvwxyz", k=60)) + line + "".join(rng.choices("qrstuvwxyz", k=60))) for i in range(2000)]
+    monkeypatch.setattr(suffixdup, "MANY_SPANS", 100)
+    monkeypatch.setattr(suffixdup, "CHUNK_BYTES", 100_000)
+    held = {}
+    put = Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, name, df: held.setdefault(name, put(self, name, df)))
+    assert bytes_of(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == by_bytes(rows)
+    strings = held["opened"].where("kind = 1").select("chunk", F.explode(F.arrays_zip("groups", "places")).alias("x")).where("x.places < 0")
+    sent = strings.groupBy("x.groups").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk").alias("chunks"))
+    assert sent.where("n > chunks").count() == 0 and sent.where("n > 1").count() >= 11
 
 
 def test_words(spark, clashing, monkeypatch):
