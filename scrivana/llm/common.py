@@ -64,6 +64,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have; Spark's names don't tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: what the number of chunks follows."""
     row = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n"), F.count(F.lit(1)).alias("rows")).first()

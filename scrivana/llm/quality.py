@@ -9,9 +9,10 @@ share of each word shape (its character classes), the share of words equal to th
 
 The model is fitted on at most ``sample`` rated documents, those with the smallest hash of seed and key, so the
 driver's memory has a bound; every document is scored. Nulls and empty texts have only the size features.
-Unrated rows, null grades and grades out of range are not fitted on; without two grades to learn from, every
-document gets the same score. Repeated rows are scored alike; other columns pass through; an empty table gives an
-empty table.
+Unrated rows, null grades and grades out of range are not fitted on; of several ratings of one key the lowest counts,
+of several texts the least; without two grades to learn from, every document gets the same score. Repeated rows are
+scored alike. Other columns pass through; where one has the name of a result, the result's name gets an underscore.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrivana import ship
-from scrivana.llm.common import Words, blocks
+from scrivana.llm.common import Words, blocks, free_name
 
 BITS = 18
 SAMPLE = 10_000
 SEED = 11
 BLOCK = 2 << 20
+RESULTS = (("quality_score", "double"), ("expected_grade", "double"), ("tail_probability", "double"), ("selected", "boolean"))
 
 #: Classes of bytes for word shapes: capital, small letter (or any byte beyond ASCII), digit; others stand for themselves.
 _CLASSES = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
@@ -48,8 +50,8 @@ def place(feature: bytes) -> int:
 
 def shape(classes: bytes) -> bytes:
     """Runs of a class count as one of it, of another character as two; a capital first letter as a small one."""
-    out = _RUN.sub(lambda m: m[1] if m[1] in b"aA0" else m[1] * 2, classes[:64])
-    return (b"a" + out[2:] if out.startswith(b"Aa") else b"a" + out[1:] if classes[:2] == b"A" else out)[:12]
+    out = _RUN.sub(lambda m: m[1] if m[1] in b"aA0" else m[1] * 2, classes)
+    return b"a" + out[2:] if out.startswith(b"Aa") else b"a" + out[1:] if classes[:2] == b"A" else out
 
 
 def of_word(word: bytes) -> tuple[int, int]:
@@ -57,9 +59,9 @@ def of_word(word: bytes) -> tuple[int, int]:
     at = _shapes.get(classes)
     if at is None:
         at = place(b"s:" + shape(classes))
-        if len(_shapes) < 20_000:
+        if len(_shapes) < 20_000 and len(classes) <= 64:
             _shapes[classes] = at
-    return place(b"w:" + core[:64]) if core else -1, at
+    return place(b"w:" + core) if core else -1, at
 
 
 _known: dict[bytes, tuple[int, int]] = {}
@@ -129,6 +131,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def slopes(score: np.ndarray, cut: np.ndarray, grades: np.ndarray, each: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the log likelihood of the grades, each counted by ``each``, and its slopes by score and by threshold."""
+    n, own = len(grades), np.arange(len(grades))
+    tails = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - cut[None, :]), np.zeros((n, 1))], axis=1)
+    upper, lower = tails[own, grades], tails[own, grades + 1]
+    p = np.maximum(upper - lower, 1e-9)
+    by_upper, by_lower = each * upper * (1 - upper) / p, each * lower * (1 - lower) / p
+    by_cut = np.array([by_upper[grades == j + 1].sum() - by_lower[grades == j].sum() for j in range(len(cut))])
+    return float(-(each * np.log(p)).sum()), by_lower - by_upper, by_cut
+
+
 def fit(doc: np.ndarray, what: np.ndarray, value: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.3, lasso: float = 1e-3, least_docs: int = 3) -> Ordinal:
     """Full-batch proximal AdaGrad on the likelihood of the grades, with an L1 penalty that leaves most weights 0.
 
@@ -147,19 +160,12 @@ def fit(doc: np.ndarray, what: np.ndarray, value: np.ndarray, grades: np.ndarray
     doc, what, value = (x[often[what]] for x in (doc, what, value))
     start, gaps = cut[0], np.log(np.maximum(np.diff(cut), 1e-3))
     seen_w, seen_t = np.full(len(w), 1e-8), np.full(k, 1e-8)
-    own, each = np.arange(n), np.sqrt(1 / np.maximum(np.bincount(grades, minlength=n_grades) / n, 1e-3))[grades]
+    each = np.sqrt(1 / np.maximum(np.bincount(grades, minlength=n_grades) / n, 1e-3))[grades]
     each /= each.mean()
     for _ in range(rounds):
         cut = start + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(doc, weights=w[what] * value, minlength=n)
-        tails = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - cut[None, :]), np.zeros((n, 1))], axis=1)
-        upper, lower = tails[own, grades], tails[own, grades + 1]
-        p = np.maximum(upper - lower, 1e-9) / each
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        g = np.bincount(what, weights=(dl - du)[doc] * value, minlength=len(w)) / n
-        gc = np.zeros(k)
-        for j in range(k):
-            gc[j] = (du[grades == j + 1].sum() - dl[grades == j].sum()) / n
+        _, by_score, by_cut = slopes(np.bincount(doc, weights=w[what] * value, minlength=n), cut, grades, each)
+        g, gc = np.bincount(what, weights=by_score[doc] * value, minlength=len(w)) / n, by_cut / n
         seen_w += g * g
         step_w = rate / np.sqrt(seen_w)
         w -= step_w * g
@@ -176,8 +182,9 @@ def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, n_grades: in
     """Fits on at most ``sample`` rows of ``ratings`` (key, grade); their texts are found by a broadcast of the keys."""
     ship(spark)
     rated = ratings.select(F.col(key).alias("rated_key"), F.col(grade).cast("int").alias("rated_grade")).where(F.col("rated_key").isNotNull() & F.col("rated_grade").between(0, n_grades - 1))
-    chosen = rated.dropDuplicates(["rated_key"]).orderBy(F.xxhash64(F.lit(seed), "rated_key"), "rated_key").limit(sample)
+    chosen = rated.groupBy("rated_key").agg(F.min("rated_grade").alias("rated_grade")).orderBy(F.xxhash64(F.lit(seed), "rated_key"), "rated_key").limit(sample)
     rows = docs.select(F.col(key).alias("rated_key"), F.col(text).alias("rated_text")).join(F.broadcast(chosen), "rated_key")
+    rows = rows.groupBy("rated_key", "rated_grade").agg(F.min("rated_text").alias("rated_text"))  # one row a key, so no more than ``sample``
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "rated_text", BLOCK):
@@ -187,7 +194,7 @@ def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, n_grades: in
             what, value = what[order].astype(np.int32), value[order].astype(np.float32)
             yield pa.RecordBatch.from_arrays([table.column("rated_key").combine_chunks().cast(pa.string()), table.column("rated_grade").combine_chunks(), pa.array([what[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array([value[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["rated_key", "rated_grade", "what", "value"])
 
-    got = rows.mapInArrow(extract, "rated_key string, rated_grade int, what binary, value binary").toArrow().sort_by([("rated_key", "ascending"), ("what", "ascending")]).slice(0, 2 * sample)
+    got = rows.mapInArrow(extract, "rated_key string, rated_grade int, what binary, value binary").toArrow().sort_by("rated_key")
     parts = [np.frombuffer(x, dtype=np.int32) for x in got.column("what").to_pylist()]
     sizes = [len(x) for x in parts]
     what = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
@@ -195,11 +202,10 @@ def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, n_grades: in
     return fit(np.repeat(np.arange(len(sizes)), sizes), what, value, np.array(got.column("rated_grade").to_pylist(), dtype=np.int64), n_grades)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Ordinal, at_least: int, threshold: float = 0.5, text: str = "text", keep_columns: bool = True) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: Ordinal, at_least: int, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with quality_score, expected_grade, tail_probability of ``at_least``, and selected."""
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
-    added = [("quality_score", "double"), ("expected_grade", "double"), ("tail_probability", "double"), ("selected", "boolean")]
-    docs = docs.drop(*(name for name, _ in added))
+    added = [(free_name(docs, name), kind) for name, kind in RESULTS]
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
