@@ -7,7 +7,9 @@ then dealt and sorted by a second hash.
 
 Rows with a null source form a source of their own. A source without a weight keeps rate ``default`` (1); a
 weight of 0 drops its rows; nulls in other columns and empty texts pass through; rows that repeat a doc_id get
-the same count each. An empty table gives an empty table.
+the same count each; a row without an id draws its count from a hash of its columns (of all but maps). Where a column
+has the name of an added one (mix_copy, mix_order), the added one's name gets an underscore. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivana.llm.common import free_name
+
 SEED = 17
 #: A mean above this is split: counts of independent parts add up to the count of the whole.
 LARGEST_MEAN = 16.0
@@ -42,7 +46,13 @@ def poisson_steps(mean: float) -> list[int]:
         total += term
 
 
-def poisson_count(mean: float, seed: int, key: str) -> Column:
+def row_key(docs: DataFrame, key: str) -> Column:
+    """The key as a string; a hash of the whole row where it is null."""
+    hashed = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row "), F.xxhash64(*hashed).cast("string")))
+
+
+def poisson_count(mean: float, seed: int, key: Column) -> Column:
     """The inverse of the Poisson distribution at the number that seed and key hash to."""
     pieces = max(1, math.ceil(mean / LARGEST_MEAN))
     steps = F.array(*(F.lit(x) for x in poisson_steps(mean / pieces)))
@@ -69,10 +79,11 @@ def rates(docs: DataFrame, weights: dict[str, float], by: str = "source") -> dic
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float], by: str = "source", key: str = "doc_id", seed: int = SEED, default: float = 1.0, shuffled: bool = True) -> DataFrame:
     """``docs`` with each row as often as its count says, plus mix_copy (from 0), in the order of mix_order."""
-    count = poisson_count(default, seed, key) if default != 1.0 else F.lit(1)
+    at, n, copy, order = row_key(docs, key), free_name(docs, "mix_count"), free_name(docs, "mix_copy"), free_name(docs, "mix_order")
+    count = poisson_count(default, seed, at) if default != 1.0 else F.lit(1)
     for source, rate in sorted(rates(docs, weights, by).items()):
-        count = F.when(F.col(by) == source, poisson_count(rate, seed, key)).otherwise(count)
-    mixed = docs.withColumn("mix_count", count.cast("int")).where("mix_count > 0")
-    mixed = mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
-    mixed = mixed.withColumn("mix_order", unit_hash(f"{seed}/order", key, "mix_copy"))
-    return mixed.orderBy("mix_order", key, "mix_copy") if shuffled else mixed
+        count = F.when(F.col(by) == source, poisson_count(rate, seed, at)).otherwise(count)
+    mixed = docs.withColumn(n, count.cast("int")).where(F.col(n) > 0)
+    mixed = mixed.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
+    mixed = mixed.withColumn(order, unit_hash(f"{seed}/order", at, copy))
+    return mixed.orderBy(order, key, copy) if shuffled else mixed

@@ -28,7 +28,7 @@ def op2_suffixdup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.poisson_mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("mix_count")
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
