@@ -1,19 +1,20 @@
-"""Benchmark decontamination: MinHash containment search from the item's side, DataFrame functions only.
+"""Benchmark decontamination: size-partitioned MinHash containment search, DataFrame functions only.
 
-Test items are short and documents long, so Jaccard signatures of whole documents would see nothing. Containment
-is asked from the item's side: under any hash function, the least shingle of an item lies in a document with
-probability equal to the share of the item's shingles that the document contains. An item's probes are the minima
-of as many hash functions as keep the chance of missing it at the threshold below 1e-6. That number depends on the
-threshold alone, so a partitioning of items by size would have no effect; only an item of no more shingles than that
-stands apart: it is probed with all of them, which can't miss. A document that holds a probe is a candidate for the item; each candidate pair is
-then verified by counting the item's distinct shingles in the document exactly.
+Test items are short and documents long, so signatures of whole documents would see nothing. Containment is asked
+from the item's side. Items are partitioned by the size of their shingle set; an item's sketch is its k least shingles
+under one hash function, and k belongs to the partition: the least number with which an item of that size, of whose
+shingles a document holds the share asked for, is missed with a probability below 1e-6 (for sets of up to 16 it is
+never missed, as the sketch outnumbers the shingles that may be absent). A document that holds a shingle of the sketch,
+and has enough shingles for the item at all, is a candidate; each candidate pair is then verified by counting the
+distinct shingles they share, word by word.
 
 Shingles are five words (A-Z lower-cased; an item with fewer words is one shorter shingle, met by the document's
 shingles of that many words); a document is contaminated by an item if it contains at least 0.75 of them.
 
-Null and empty texts contain nothing and are never contaminated; items without words match nothing; repeated rows
-are judged alike; ties don't arise; an empty benchmark leaves every document clean; other columns pass through
-untouched, whatever their names, as the search works on its own copy of key and text.
+Every row is judged by its own text, so rows that repeat an id with other texts, rows without an id and items without
+an id are searched and found like all others; equal rows are judged alike and give one pair. Null and empty texts
+contain nothing and are never contaminated; items without words match nothing; ties don't arise; an empty benchmark
+leaves every document clean; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,19 +24,38 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import Scratch
+from scrivana.llm.common import Scratch, free_name
 
 WIDTH = 5
 THRESHOLD = (75, 100)
 MISS = 1e-6
-#: Hash functions of a probe set: (1 - 0.75) ** N_HASHES < MISS.
-N_HASHES = math.ceil(math.log(MISS) / math.log(1 - THRESHOLD[0] / THRESHOLD[1]))
-#: Rows of (shingle, item) that may be broadcast, about 16 bytes each; larger tables are joined by shuffle.
+SEED = 29
+#: Rows of (shingle, item) or of keys that may be broadcast, 16 to 24 bytes each; larger tables are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
+def least_shared(n: int) -> int:
+    """How many of an item's n shingles a document must hold."""
+    return -(-n * THRESHOLD[0] // THRESHOLD[1])
+
+
+def sketch_size(n: int) -> int:
+    """The least k with which the k least of n shingles miss a document that holds just enough of them below MISS."""
+    absent = n - least_shared(n)
+    return next(k for k in range(1, n + 1) if math.comb(absent, k) < MISS * math.comb(n, k))
+
+
+def size_class(n: int) -> int:
+    """Partition c holds the sizes above 2**(c - 1), up to 2**c."""
+    return (n - 1).bit_length()
+
+
+#: Sketch size by partition: its largest need. From 2**12 shingles on the number no longer grows.
+SKETCHES = [max(sketch_size(n) for n in range((1 << c >> 1) + 1, (1 << c) + 1)) for c in range(13)]
+
+
 def words(text: Column) -> Column:
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.filter(F.split(low, _SPACES), lambda w: w != "")
@@ -47,62 +67,62 @@ def shingles(of_words: Column, width: int) -> Column:
     return F.when(F.size(of_words) >= width, run).otherwise(F.array().cast("array<bigint>"))
 
 
-def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, width, n, shingle): the distinct shingles of each item that has words."""
-    w = items.select(F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0).withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
-    sets = F.lit(None).cast("array<bigint>")
-    for k in range(WIDTH, 0, -1):
-        sets = F.when(F.col("width") == k, shingles(F.col("w"), k)).otherwise(sets)
-    w = w.select("item", "width", F.array_distinct(sets).alias("s"))
-    return w.select("item", "width", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+def grams(of_words: Column, width: Column) -> Column:
+    """The distinct runs of ``width`` words, as text."""
+    run = F.transform(F.sequence(F.lit(1), F.size(of_words) - width + 1), lambda i: F.array_join(F.slice(of_words, i, width), " "))
+    return F.array_distinct(F.when(F.size(of_words) >= width, run).otherwise(F.array().cast("array<string>")))
 
 
-def probes(of_items: DataFrame) -> DataFrame:
-    """(item, width, shingle): the minima of N_HASHES functions, whatever the item's size, or all shingles of small items."""
-    partition = F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
-    sized = of_items.withColumn("size_class", partition)
-    small = sized.where(F.col("n") <= N_HASHES).select("item", "width", "shingle")
-    large = sized.where(F.col("n") > N_HASHES)
-    least = large.groupBy("item", "width", "size_class").agg(*(F.min_by("shingle", F.xxhash64(F.lit(i), "shingle")).alias(f"m{i}") for i in range(N_HASHES)))
-    least = least.select("item", "width", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}") for i in range(N_HASHES))))).alias("shingle"))
-    return small.union(least)
+def item_sets(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(code, item, width, n, need, grams, sketch) of each item that has words; ``code`` stands for its id and text."""
+    code = F.xxhash64(F.lit(SEED), F.col(key).isNull(), F.col(key), F.col(text))
+    w = items.select(code.alias("code"), F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    w = w.withColumn("width", F.least(F.size("w"), F.lit(WIDTH))).withColumn("grams", grams(F.col("w"), F.col("width"))).withColumn("n", F.size("grams"))
+    hashes = F.lit(None).cast("array<bigint>")
+    for k in range(WIDTH, 0, -1):
+        hashes = F.when(F.col("width") == k, shingles(F.col("w"), k)).otherwise(hashes)
+    partition = F.least(F.ceil(F.log2(F.col("n").cast("double"))).cast("int"), F.lit(len(SKETCHES) - 1))
+    ranked = F.array_sort(F.transform(F.array_distinct(hashes), lambda s: F.struct(F.xxhash64(F.lit(SEED), s).alias("rank"), s.alias("shingle"))))
+    sketch = F.slice(ranked["shingle"], 1, F.element_at(F.array(*map(F.lit, SKETCHES)), partition + 1))
+    need = F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1]).cast("int")
+    return w.select("code", "item", "width", "n", need.alias("need"), "grams", sketch.alias("sketch")).dropDuplicates(["code"])
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """A broadcast of a written table, where its counted rows allow it."""
+    """A broadcast of a written table of small rows, where its counted rows allow it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def contaminated_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, item, n_shared, n_shingles) of every document and item it contains."""
-    of_items = scratch.put("items", item_shingles(items, item_key, item_text).distinct())
-    probe = scratch.put("probes", probes(of_items).distinct())
-    widths = sorted((r[0] for r in of_items.select("width").distinct().collect()), reverse=True)
-    own = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("w"))
-    if not widths:
-        widths = [WIDTH]
-
-    def rows(of: DataFrame) -> DataFrame:
-        """Every (doc, width, shingle) once a document."""
-
-        def of_width(k: int) -> Column:
-            return F.transform(F.array_distinct(shingles(F.col("w"), k)), lambda s: F.struct(F.lit(k).alias("width"), s.alias("shingle")))
-
-        both = F.concat(*(of_width(k) for k in widths)) if len(widths) > 1 else of_width(widths[0])
-        return of.select("doc", F.explode(both).alias("x")).select("doc", "x.width", "x.shingle")
-
-    candidates = scratch.put("candidates", rows(own).join(_sized(probe), ["width", "shingle"]).select("doc", "item").distinct())
-    some = scratch.put("candidate_docs", candidates.select("doc").distinct())
-    found = rows(own.join(_sized(some), "doc", "left_semi")).distinct()
-    shared = found.join(_sized(of_items), ["width", "shingle"]).join(candidates, ["doc", "item"], "left_semi")
-    counted = shared.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n").alias("n_shingles"))
-    return counted.where(F.col("n_shared") * THRESHOLD[1] >= F.col("n_shingles") * THRESHOLD[0])
+    """(doc, its_text, item, n_shared, n_shingles) of every document and item it contains; ``its_text`` is a hash."""
+    sets = scratch.put("items", item_sets(items, item_key, item_text))
+    probe = scratch.put("probes", sets.select("code", "width", "need", F.explode("sketch").alias("shingle")))
+    widths = sorted((r[0] for r in sets.select("width").distinct().collect()), reverse=True) or [WIDTH]
+    own = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("its_text"), F.col(text).alias("t"))
+
+    def of_width(k: int) -> Column:
+        return F.transform(shingles(F.col("w"), k), lambda s: F.struct(F.lit(k).alias("width"), s.alias("shingle")))
+
+    both = F.concat(*map(of_width, widths)) if len(widths) > 1 else of_width(widths[0])
+    held = own.select("doc", "its_text", words(F.col("t")).alias("w")).select("doc", "its_text", F.size("w").alias("n_words"), F.explode(both).alias("x"))
+    held = held.select("doc", "its_text", "n_words", "x.width", "x.shingle")
+    enough = F.col("n_words") - F.col("width") + 1 >= F.col("need")
+    candidates = scratch.put("candidates", held.join(_sized(probe), ["width", "shingle"]).where(enough).select("doc", "its_text", "code").distinct())
+
+    some = scratch.put("candidate_docs", candidates.select("doc", "its_text").distinct())
+    named = _sized(some).select(F.col("doc").alias("doc_"), F.col("its_text").alias("its_text_"))
+    read = own.join(named, F.col("doc").eqNullSafe(F.col("doc_")) & F.col("its_text").eqNullSafe(F.col("its_text_")), "left_semi").dropDuplicates(["doc", "its_text"])
+    pairs = candidates.select(F.col("doc").alias("doc_"), F.col("its_text").alias("its_text_"), "code").join(sets.select("code", "item", "width", "n", "need", "grams"), "code")
+    both = read.withColumn("w", words(F.col("t"))).drop("t").join(pairs, F.col("doc").eqNullSafe(F.col("doc_")) & F.col("its_text").eqNullSafe(F.col("its_text_")))
+    counted = both.withColumn("n_shared", F.size(F.array_intersect(grams(F.col("w"), F.col("width")), F.col("grams"))))
+    return counted.where("n_shared >= need").select("doc", "its_text", "item", "n_shared", F.col("n").alias("n_shingles"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, key: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, DataFrame]:
     """The clean rows of ``docs`` (columns as they are), and the contaminated pairs."""
     scratch = scratch or Scratch(spark, "decontaminate")
     pairs = scratch.put("pairs", contaminated_pairs(spark, docs, items, scratch, key, text, **options))
-    bad = scratch.put("contaminated", pairs.select(F.col("doc").alias("contaminated_key")).distinct())
-    clean = docs.join(_sized(bad), docs[key] == F.col("contaminated_key"), "left_anti")
-    return clean, pairs
+    doc, its_text = free_name(docs, "doc"), free_name(docs, "its_text")
+    bad = scratch.put("contaminated", pairs.select(F.col("doc").alias(doc), F.col("its_text").alias(its_text)).distinct())
+    clean = docs.join(_sized(bad), F.col(key).eqNullSafe(F.col(doc)) & F.xxhash64(F.col(text)).eqNullSafe(F.col(its_text)), "left_anti")
+    return clean, pairs.drop("its_text").distinct()
