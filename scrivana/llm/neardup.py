@@ -17,9 +17,13 @@ at least 0.75; groups are the connected components.
    no connection is lost, and neither copies nor unlike members of a large group are expanded into rows of pairs.
    The components of both rounds' links are the result.
 
-Nulls count as empty texts; rows that repeat a doc_id are all returned, in one group (of different texts, the one
-with the least digest is put into buckets, and any of them can confirm a link); a null doc_id is left out; an
-empty table gives an empty table; other columns are not read.
+Nulls count as empty texts; rows that repeat a doc_id are documents of their own, all of them returned, and of different
+texts each is grouped by its own; a null doc_id is left out; an empty table gives an empty table; other columns are not
+read. Repeated ids apart, ties don't arise.
+
+Hot keys: copies are one class before any bucket is made, and texts without words stay out of every join. The tables
+that a hot key meets (classes, bucket sizes, least neighbours) are written first, so a join is a broadcast of a counted
+table or one that Spark can split where a key is skewed.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,11 +102,15 @@ def minima(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, signature binary"
+SIGNED = "doc_id long, its_text long, n_shingles long, digest binary, signature binary"
+
+
+def digest_of(flat: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(flat.tobytes())
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    import xxhash
+    """docs: (doc_id, its_text, text), ``its_text`` being a hash that tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text", 1 << 20):
@@ -110,8 +119,8 @@ def sign(docs: DataFrame) -> DataFrame:
             full = sizes > 0
             signed = iter(minima(flat, np.concatenate([start[:-1][full], start[-1:]])) if full.any() else ())
             signatures = [next(signed).tobytes() if f else b"" for f in full]
-            digests = [xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in zip(start, start[1:])]
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+            digests = [digest_of(flat[a:b]) for a, b in zip(start, start[1:])]
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("its_text").combine_chunks(), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "its_text", "n_shingles", "digest", "signature"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -202,11 +211,16 @@ def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], schema=PAIR)
 
 
-def in_blocks(buckets: DataFrame) -> DataFrame:
+def few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, broadcast where its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def in_blocks(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """Buckets of two or more members, each member with the number of its block."""
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = scratch.put("sizes", buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    return buckets.join(sizes, "bucket").select("bucket", "band", "node", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), n_blocks.cast("long")).cast("int").alias("block"))
+    return buckets.join(few(sizes), "bucket").select("bucket", "band", "node", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), n_blocks.cast("long")).cast("int").alias("block"))
 
 
 def first_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
@@ -237,17 +251,23 @@ def joined_blocks(members: DataFrame, pairs: DataFrame) -> DataFrame:
 GRID = "bucket long, i int, j int, band int, block int, node long, component long"
 
 
-def later_links(members: DataFrame, signed: DataFrame, components: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def later_links(members: DataFrame, signed: DataFrame, components: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified links between different components in one bucket, block pair by block pair.
 
     A first pass on signatures finds the members that have a pair to look at; the second has their full sets, and
     returns no more links than tie the members of a block pair together.
     """
-    placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = placed.join(split, "bucket")
-    # a block meets every block of its bucket once
-    grid = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    placed = members.join(components, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    # the members of a bucket's largest component needn't meet one another: only the others meet all
+    split = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = scratch.put("split", split.select("bucket", F.col("most.component").alias("largest"), blocks_of(F.col("n") - F.col("most.n")).alias("of_others"), blocks_of(F.col("most.n")).alias("of_largest")))
+    open_ = placed.join(few(split), "bucket").withColumn("in_largest", F.col("component") == F.col("largest"))
+    within = F.pmod(F.xxhash64("node"), F.when(F.col("in_largest"), F.col("of_largest")).otherwise(F.col("of_others")).cast("long")).cast("int")
+    open_ = open_.withColumn("block", within + F.when(F.col("in_largest"), F.col("of_others")).otherwise(0))
+    meets = F.col("of_others") + F.when(F.col("in_largest"), 0).otherwise(F.col("of_largest"))
+    grid = open_.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     grid = grid.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "component")
 
     def groups(table: pa.Table, ends: np.ndarray):
@@ -286,31 +306,33 @@ def later_links(members: DataFrame, signed: DataFrame, components: DataFrame, do
 
     keys = ["bucket", "i", "j"]
     some = scratch.put("open", by_groups(grid.join(signed, "node").select("bucket", "i", "j", "band", "block", "node", "component", "signature"), keys, wanted, GRID))
-    ids = scratch.put("open-ids", some.select(F.col("node").alias("doc_id")).distinct())
-    sets = scratch.put("open-sets", full_sets(docs, ids, as_bytes=True))
+    sets = scratch.put("open-sets", full_sets(docs, some.select("node").distinct(), classes, scratch, "open", as_bytes=True))
     return by_groups(some.join(signed, "node").join(sets, "node"), keys, link, "a long, b long").distinct()
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, as_bytes: bool = False) -> DataFrame:
-    """(node, shingles) of the documents with these ids, from their texts."""
+def full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, scratch: Scratch, tag: str, as_bytes: bool = False) -> DataFrame:
+    """(node, shingles) of these classes, from the text of their first document."""
+    wanted = scratch.put(f"{tag}-ids", classes.join(nodes, "node").select(F.col("least").alias("doc_id"), "node", F.col("digest").alias("wanted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text", 1 << 20):
             flat, start = shingle_sets(table.column("text"))
+            # rows of one id may have other texts
+            right = np.array([digest_of(flat[a:b]) == w for a, b, w in zip(start, start[1:], table.column("wanted").to_pylist())], dtype=bool)
             if as_bytes:
                 sets = pa.array([flat[a:b].tobytes() for a, b in zip(start, start[1:])], pa.binary())
             else:
                 sets = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), sets], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks(), sets], names=["node", "shingles"]).filter(pa.array(right))
 
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, f"node long, shingles {'binary' if as_bytes else 'array<long>'}")
+    rows = docs.select("doc_id", "text").join(few(wanted), "doc_id").select("node", "wanted", "text")
+    return rows.mapInArrow(run, f"node long, shingles {'binary' if as_bytes else 'array<long>'}")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = scratch.put(f"{tag}-ids", pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = scratch.put(f"{tag}-sets", full_sets(docs, ids))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = scratch.put(f"{tag}-sets", full_sets(docs, nodes, classes, scratch, tag))
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = pairs.join(a, "a").join(b, "b")
@@ -320,23 +342,30 @@ def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, tag: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+    """doc_id, n_shingles, component_id and kept of every document; and its_text (xxhash64 of the text) and component, a number of the group (null for texts without words)."""
     scratch = scratch or Scratch(spark, "neardup")
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("its_text"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     signed = scratch.put("signed", sign(own))
-    placed = signed.select("doc_id", "n_shingles", "digest")
-    classes = placed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    by_class = scratch.put("by_class", placed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")))
-    reps = signed.where("n_shingles > 0").join(by_class.where("node = doc_id").select(F.col("doc_id")).distinct(), "doc_id", "left_semi")
-    reps = scratch.put("reps", reps.groupBy(F.col("doc_id").alias("node")).agg(F.min_by("signature", "digest").alias("signature")))
-    members = scratch.put("members", in_blocks(bucket_rows(reps)))
-
-    pairs = scratch.put("pairs-0", first_pairs(members, reps))
-    pairs = scratch.put("pairs-1", pairs.union(first_pairs(joined_blocks(members, pairs), reps)).distinct())
-    links = scratch.put("links-1", verify(pairs, own, scratch, "verify-1"))
+    if not signed.groupBy("doc_id", "its_text").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["doc_id", "its_text"])  # where texts are read again, one of equal rows is enough
+    # one row a set: its signature is that of any document that has it
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
+    reps = scratch.put("reps", classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = reps.select("digest", "least", "node")
+    signatures_ = reps.select("node", "signature")
+    members = scratch.put("members", in_blocks(bucket_rows(reps), scratch))
+
+    pairs = scratch.put("pairs-0", first_pairs(members, signatures_))
+    pairs = scratch.put("pairs-1", pairs.union(first_pairs(joined_blocks(members, pairs), signatures_)).distinct())
+    links = scratch.put("links-1", verify(pairs, own, classes, scratch, "verify-1"))
     components = scratch.put("components-1", connected_components(links, scratch, "cc-1"))
     scratch.drop("verify-1-sets")
-    links = links.union(scratch.put("links-2", later_links(members, reps, components, own, scratch)))
+    links = links.union(scratch.put("links-2", later_links(members, signatures_, components, own, classes, scratch)))
     components = scratch.put("components-2", connected_components(links, scratch, "cc-2"))
-    out = by_class.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    grouped = scratch.put("grouped", classes.join(components, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component")))
+    firsts = scratch.put("firsts", grouped.groupBy("component").agg(F.min("least").alias("component_id")))
+    grouped = scratch.put("placed", grouped.join(firsts, "component").select("digest", "component", "component_id"))
+    rows = signed.select("doc_id", "its_text", "n_shingles", "digest")
+    with_words = rows.where("n_shingles > 0").join(grouped, "digest").select("doc_id", "its_text", "n_shingles", "component", "component_id")
+    without = rows.where("n_shingles = 0").select("doc_id", "its_text", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return with_words.union(without).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "its_text", "component")
