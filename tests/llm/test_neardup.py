@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from scrivana.llm import components, neardup
 from scrivana.llm.common import Scratch
 
@@ -59,6 +61,59 @@ def test_edges(spark, docs):
     assert result(spark, twice) == [(0, 2, 0, True)] * 2
 
 
+def test_texts_of_one_id(spark):
+    """Rows of one id with unlike texts are documents of their own: each keeps its links."""
+    rng = random.Random(3)
+    a, b = ([f"w{rng.randint(0, 900)}" for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (7, near(a)), (8, near(b)), (2, near(near(b).split()[::1])), (None, " ".join(a)), (9, None), (9, "")]
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (5, 2), (5, 2), (5, 5), (7, 5), (8, 2), (9, 9), (9, 9)]
+    assert len({r.component for r in got if r.doc_id == 5}) == 2
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    w = [f"w{rng.randint(0, 10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:100_000], "x", *w[100_000:]])), (3, "one " * 300_000), (4, "one " * 200_000), (5, "z" * 10**6)]
+    got = result(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r[2] for r in got] == [1, 1, 3, 3, 5]
+
+
+def test_an_odd_member_meets_a_large_group_once(spark, monkeypatch):
+    """One member of another component in a bucket of n costs some n rows, not n * n / BLOCK."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    n = 400
+    signature = np.zeros(neardup.HASHES, dtype=np.uint32).tobytes()
+    signed = spark.createDataFrame([(i, bytearray(signature)) for i in range(n + 1)], "node long, signature binary")
+    members = spark.createDataFrame([(77, 0, i, -(-(n + 1) // 8), i % 8) for i in range(n + 1)], "bucket long, band int, node long, n_blocks int, block int")
+    components = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    rows = []
+    by_groups = neardup.by_groups
+
+    def counted(df, keys, run, schema):
+        rows.append(df.count())
+        return by_groups(df, keys, run, schema)
+
+    monkeypatch.setattr(neardup, "by_groups", counted)
+    docs = spark.createDataFrame([(i, f"same words in all of them {'more' if i == n else ''}") for i in range(n + 1)], "doc_id long, text string")
+    classes = spark.createDataFrame([(bytearray(b"x"), i, i) for i in range(n + 1)], "digest binary, least long, node long")
+    neardup.later_links(members, signed, components, docs, classes, Scratch(spark, "t"))
+    assert rows[0] <= n + -(-n // 8) + 1
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 300)] + [(rng.randint(1000, 1100), rng.randint(1000, 1100)) for _ in range(60)]
+    got = {r[0]: r[1] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    top = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    assert got == {x: t for x, t in top.items() if x in got} and {x for x in top if top[x] != x} <= set(got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (100, 101)]
     df = spark.createDataFrame(edges, "a long, b long")

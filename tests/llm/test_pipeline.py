@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scrivana.llm import tokens
@@ -75,8 +76,37 @@ def test_repeated_and_unnamed_rows(spark, docs):
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.one_of_each_group(spark, df, "").collect()) == [0, 1, 3]
 
 
-def test_entry_without_the_subpackage(tmp_path):
+def test_two_texts_of_one_id_both_stay(spark, docs):
+    df = docs({1: "a b c d e f", 2: "m n o p q r"}).union(docs({1: "g h i j k l"})).union(docs({1: "G h i j k l"}))
+    df = df.withColumn("kept_id", F.lit(1)).withColumn("ITS_TEXT", F.lit("x")).withColumn("component_id", F.lit(0))
+    got = corpus_pipeline.one_of_each_group(spark, df, "")
+    assert got.columns == df.columns
+    texts = sorted((r.doc_id, r.text.lower()) for r in got.collect())
+    assert texts == [(1, "a b c d e f"), (1, "g h i j k l"), (2, "m n o p q r")]
+
+
+def test_odd_rows_through_all_stages(spark, folder):
+    """Nulls, empty and very long texts, and columns named as the operators' own, through every stage."""
+    sf_dir, texts = folder
+    extra = [(900, None), (901, ""), (None, texts[3]), (None, texts[4] + " x"), (None, None), (902, " ".join(f"q{i}" for i in range(50_000)))]
+    rows = spark.createDataFrame([(i, t, None, None, None, None) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long, node string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").union(rows)
+    for name in ("selected", "kept_id", "doc", "mix_copy", "mix_count", "mix_order", "its_text", "place"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        unnamed, docs = docs.where("doc_id is null").count(), stage(spark, docs, sf_dir).cache()
+        assert docs.columns == columns and docs.where("selected <> 'mine' or mix_copy <> 'mine'").count() == 0
+        if name in ("near_duplicates", "decontamination"):  # none of them can be grouped, none holds an item
+            assert docs.where("doc_id is null").count() == unnamed
+    n = docs.count()
+    got = corpus_pipeline.token_files(spark, docs, sf_dir).collect()
+    assert len(got) == n and sum(r.doc_id is None for r in got) == docs.where("doc_id is null").count()
+
+
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_entry_without_the_subpackage(tmp_path, gone):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", *gone, "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})

@@ -171,8 +171,8 @@ def test_ordinal_learns_order_and_held_out_grades(spark, docs, clashing):
     df = docs({i: text(g) for i, g in truth.items()}).union(docs({900: None, 901: ""}))
     labels = spark.createDataFrame([(i, int(g == 2), int(g == 0)) for i, g in truth.items() if i < 300] + [(None, 1, 0), (5000, 1, 0)], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r for r in quality.rate_documents(spark, clashing(df), labels).collect()}
-    assert len(out) == 452
-    right = sum(out[i].selected == (truth[i] == 2) for i in range(300, 450))
+    assert len(out) == 452 and {r.selected for r in out.values()} == {"x"}
+    right = sum(out[i].selected_ == (truth[i] == 2) for i in range(300, 450))
     assert right >= 142
     mean = [np.mean([out[i].expected_grade for i in range(300, 450) if truth[i] == g]) for g in range(3)]
     assert mean[0] < mean[1] < mean[2]
@@ -180,14 +180,67 @@ def test_ordinal_learns_order_and_held_out_grades(spark, docs, clashing):
     assert nothing.select("quality_score").distinct().count() == 1
 
 
-def test_fit_gradient():
+def test_slopes_against_differences():
+    """The likelihood is that of the model, grade by grade, and its slopes are those that small steps find."""
     rng = np.random.default_rng(1)
-    doc, what, value = np.repeat(np.arange(60), 3), rng.integers(0, 12, 180), np.ones(180)
-    grades = rng.integers(0, 4, 60)
-    model = quality.fit(doc, what, value, grades, 4, rounds=50, lasso=0.0, least_docs=1)
+    n, score, cut = 40, rng.normal(size=40), np.array([-0.7, 0.2, 1.1])
+    grades, each = rng.integers(0, 4, n), rng.uniform(0.5, 2, n)
+
+    def plain(score, cut):
+        total = 0.0
+        for s, g, e in zip(score, grades, each):
+            tail = [1.0] + [1 / (1 + math.exp(-(s - c))) for c in cut] + [0.0]
+            total -= e * math.log(tail[g] - tail[g + 1])
+        return total
+
+    loss, by_score, by_cut = quality.slopes(score, cut, grades, each)
+    assert math.isclose(loss, plain(score, cut), rel_tol=1e-9)
+    h = 1e-6
+    for i in range(n):
+        step = np.eye(n)[i] * h
+        assert abs((plain(score + step, cut) - plain(score - step, cut)) / (2 * h) - by_score[i]) < 1e-6
+    for j in range(3):
+        step = np.eye(3)[j] * h
+        assert abs((plain(score, cut + step) - plain(score, cut - step)) / (2 * h) - by_cut[j]) < 1e-6
+
+
+def test_fit_finds_the_least_loss():
+    """Without a penalty, the fit comes near the best of many random searches over weights and thresholds."""
+    rng = np.random.default_rng(1)
+    doc, what, value = np.repeat(np.arange(60), 3), rng.integers(0, 4, 180), np.ones(180)
+    grades = rng.integers(0, 3, 60)
+    model = quality.fit(doc, what, value, grades, 3, rounds=800, lasso=0.0, least_docs=1)
     assert (np.diff(model.thresholds) > 0).all()
     tails = model.tails(np.array([0.0, 1.0]))
     assert (np.diff(tails, axis=1) < 0).all() and (tails[1] > tails[0]).all()
+    each = np.sqrt(1 / (np.bincount(grades) / 60))[grades]
+
+    def loss(w, cut):
+        return quality.slopes(np.bincount(doc, weights=w[what] * value, minlength=60), cut, grades, each / each.mean())[0]
+
+    best, w, cut = np.inf, np.zeros(4), np.array([-0.5, 0.5])
+    for size in (1.0, 0.3, 0.1, 0.03, 0.01):
+        for _ in range(600):
+            w2, c2 = w + rng.normal(size=4) * size, np.sort(cut + rng.normal(size=2) * size)
+            if (now := loss(w2, c2)) < best:
+                best, w, cut = now, w2, c2
+    assert loss(model.weights[:4], model.thresholds) < best + 0.05
+
+
+def test_whole_words_are_features():
+    long = b"x" * 100
+    assert len({quality.of_word(long + c)[0] for c in (b"a", b"b")}) == 2
+    assert len({quality.of_word(b"-a" * 40 + c)[1] for c in (b"1", b"$")}) == 2
+
+
+def test_many_rows_of_one_rated_key(spark, docs):
+    """One row a key is fitted on, however often the key stands in either table."""
+    texts = {i: f"word{i % 2} " * 5 for i in range(20)}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    df = docs(texts)
+    one = quality.train(spark, df, quality.grades(labels))
+    many = quality.train(spark, df.union(df).union(df), quality.grades(labels.union(labels)))
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.thresholds, many.thresholds)
 
 
 def test_features_of_odd_texts():
@@ -232,3 +285,41 @@ def test_decontamination(spark, docs, clashing):
     clean, pairs = decontaminate.decontaminate(spark, df, bench.where("item_id < 0"))
     assert clean.count() == len(texts) and pairs.count() == 0
     assert decontaminate.decontaminate(spark, docs([]), bench)[0].count() == 0
+
+
+def test_sketches_miss_nothing_small():
+    """Every subset of the shingles that may be absent, brute force: up to 16 shingles no sketch lies inside one."""
+    for n in range(1, 17):
+        absent = n - decontaminate.least_shared(n)
+        assert decontaminate.SKETCHES[decontaminate.size_class(n)] > absent
+    for n in (20, 33, 64, 65, 100, 5000):
+        k, absent = decontaminate.SKETCHES[min(12, decontaminate.size_class(n))], n - decontaminate.least_shared(n)
+        assert math.prod((absent - i) / (n - i) for i in range(k)) < 1e-6
+    assert decontaminate.SKETCHES == sorted(decontaminate.SKETCHES) and len(set(decontaminate.SKETCHES)) > 5
+
+
+def test_decontamination_of_unnamed_and_repeated_rows(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    item, other, plain = (" ".join(rng.choice(words) for _ in range(n)) for n in (30, 12, 200))
+    held = f"{plain} {item} {plain}"
+    rows = [(None, held, "a"), (None, plain, "b"), (None, None, "c"), (4, held, "d"), (4, plain, "e"), (4, held, "f"), (5, f"x {other}", "g"), (6, "y " * 200_000 + item, "h"), (6, "y " * 200_000, "i")]
+    schema = "doc_id long, text string, doc string"
+    df = spark.createDataFrame(rows, schema).withColumn("its_text", F.lit("mine")).withColumn("DOC_", F.lit(1)).withColumn("contaminated_key", F.lit(2))
+    bench = spark.createDataFrame([(None, item), (3, other), (3, other)], "item_id long, text string")
+    clean, pairs = decontaminate.decontaminate(spark, df, bench)
+    assert sorted(r.doc for r in clean.collect()) == ["b", "c", "e", "i"] and clean.columns == df.columns
+    assert sorted(((r.doc or 0, r.item or 0, r.n_shared, r.n_shingles) for r in pairs.collect())) == [(0, 0, 26, 26), (4, 0, 26, 26), (5, 3, 8, 8), (6, 0, 26, 26)]
+
+
+def test_mixing_of_unnamed_repeated_and_clashing_rows(spark):
+    rows = [(None, f"t{i}", "a", i) for i in range(400)] + [(1, "same", "a", 0)] * 3 + [(2, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_count long").withColumn("mix_copy", F.lit("mine")).withColumn("mix_order", F.lit(None).cast("int"))
+    out = mixing.poisson_mix(df, {"a": 1.0})
+    assert out.columns == [*df.columns, "mix_copy_", "mix_order_"]
+    got = out.collect()
+    assert {r.mix_copy for r in got} == {"mine"} and {r.mix_order for r in got} == {None}
+    times = [sum(r.text == f"t{i}" for r in got) for i in range(400)]
+    assert len(set(times)) > 2 and 300 < sum(times) < 500  # rows without an id draw one by one
+    same = sum(r.doc_id == 1 for r in got)
+    assert same % 3 == 0 and sum(r.doc_id == 2 for r in got) == 1
