@@ -11,9 +11,10 @@ chunks is the order of documents.
 1. Each chunk sends the hash of each distinct (anchor, span) once. A bucket answers whether an anchor was sent more
    than once, by whatever span or chunk. An anchor that wasn't has strings that stand nowhere else.
 2. All other spans are sent with their bytes to the anchor's bucket, each distinct one once a chunk (within a chunk,
-   equal spans are found by hash and verified byte by byte). There a string whose hash no other string has is equal to
-   none; the others' suffixes are sorted by hash-compared mergesort, common extensions of 50 bytes are verified byte by
-   byte, and each run's least document decides. Anchors with very many spans send each distinct string, once a chunk,
+   equal spans are found by hash and verified byte by byte). There a span that an earlier document holds whole, byte by
+   byte, is repeated; of the rest, a string whose hash no other string has is equal to none, and the others' suffixes
+   are sorted by hash-compared mergesort, common extensions of 50 bytes are verified byte by byte, and each run's least
+   document decides. Anchors with very many spans send each distinct string, once a chunk,
    to a bucket by its own hash instead, so no group is gathered in one task.
 3. The answers join the texts, and the marked bytes are cut.
 
@@ -154,14 +155,11 @@ def distinct_spans(spans: Spans, anchor_bits: int) -> tuple[Distinct, np.ndarray
     """The chunk's distinct spans by hash; for each span the first that equals it byte by byte; and the spans, of one
     hash with an earlier one, that don't."""
     own = Distinct(*spans.values(anchor_bits), 16)
-    spoke, size, wrong = own.first[own.place], spans.last + spans.length - spans.first, []
+    spoke, size = own.first[own.place], spans.last + spans.length - spans.first
     again = np.flatnonzero(spoke != np.arange(len(spoke)))
-    for i in range(0, len(again), _PAIRS):
-        some = again[i : i + _PAIRS]
-        n = np.minimum(size[some], size[spoke[some]])
-        differs = spans.data[in_rows(spans.first[some], n)] != spans.data[in_rows(spans.first[spoke[some]], n)]
-        wrong.append(some[(size[some] != size[spoke[some]]) | np.logical_or.reduceat(differs, np.cumsum(n) - n)])
-    wrong = np.concatenate([*wrong, again[:0]])
+    alike = size[again] == size[spoke[again]]
+    alike[alike] = equal_ranges(spans.data, spans.first[again[alike]], spans.first[spoke[again[alike]]], size[again[alike]])
+    wrong = again[~alike]
     spoke[wrong] = wrong
     return own, spoke, wrong
 
@@ -212,9 +210,11 @@ def span_answers(chunks: DataFrame, anchor_bits: int, n_buckets: int) -> DataFra
 
 #: kind 0: a chunk's marks so far (bits); its open strings, by sort bucket: first and last start of each span; and
 #: starts that copy the marks of others: to, from, how many in a row.
-#: kind 1: what goes to a sort bucket: groups, sizes and documents of spans, and their bytes.
-OPENED = "kind int, chunk long, bucket int, marks binary, first array<int>, last array<int>, copy_to array<int>, copy_from array<int>, copied array<int>, groups array<long>, places array<int>, docs array<int>, data binary"
-_OPENED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())), *((name, pa.list_(pa.int32())) for name in ("copy_to", "copy_from", "copied")), ("groups", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("data", pa.binary())])
+#: kind 1: what goes to a sort bucket: for each span its last start after the first (one byte), its anchor's place
+#: (one byte; NO_ANCHOR: a string by itself) and its document (four bytes), and the bytes of all of them.
+OPENED = "kind int, chunk long, bucket int, marks binary, first array<int>, last array<int>, copy_to array<int>, copy_from array<int>, copied array<int>, extra binary, places binary, docs binary, data binary"
+_OPENED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary()), *((name, pa.list_(pa.int32())) for name in ("first", "last", "copy_to", "copy_from", "copied")), *((name, pa.binary()) for name in ("extra", "places", "docs", "data"))])
+NO_ANCHOR = 255
 
 
 def open_spans(chunks: DataFrame, answers: DataFrame, anchor_bits: int, n_buckets: int, n_sorts: int) -> DataFrame:
@@ -255,7 +255,7 @@ def open_spans(chunks: DataFrame, answers: DataFrame, anchor_bits: int, n_bucket
             _, least, same = np.unique(strings, return_index=True, return_inverse=True)
             least = least[same]
             again = np.flatnonzero(least != np.arange(len(each)))
-            again = again[equal_strings(spans.data, each[again], each[least[again]], spans.length)]
+            again = again[equal_ranges(spans.data, each[again], each[least[again]], np.full(len(again), spans.length))]
             later = its_doc[again] > its_doc[least[again]]
             begins.append(each[again[later]])
             ends.append(each[again[later]])
@@ -266,7 +266,7 @@ def open_spans(chunks: DataFrame, answers: DataFrame, anchor_bits: int, n_bucket
             few, each = ~many, each[alone]
             first, last = np.concatenate([first[few], each]), np.concatenate([last[few], each])
             group, doc = np.concatenate([group[few], strings[alone]]), np.concatenate([doc[few], its_doc[alone]])
-            place = np.concatenate([place[few], np.full(len(each), -1)])
+            place = np.concatenate([place[few], np.full(len(each), NO_ANCHOR)])
         change = np.zeros(len(spans.data) + 1, dtype=np.int32)
         np.add.at(change, np.concatenate(begins), 1)
         np.add.at(change, np.concatenate(ends) + 1, -1)
@@ -280,7 +280,7 @@ def open_spans(chunks: DataFrame, answers: DataFrame, anchor_bits: int, n_bucket
             f, t = first[x:y], last[x:y] + spans.length
             n = t - f
             at = in_rows(f, n)
-            yield row(1, chunk, b, None, None, last[x:y] - f, None, None, None, group[x:y].view(np.int64), place[x:y], doc[x:y], spans.data[at].tobytes())
+            yield row(1, chunk, b, None, None, None, None, None, None, *(z.tobytes() for z in ((last[x:y] - f).astype(np.uint8), place[x:y].astype(np.uint8), doc[x:y].astype(np.int32), spans.data[at])))
 
     def row(*values) -> pa.RecordBatch:
         values = [*values, *[None] * (len(_OPENED) - len(values))]
@@ -289,13 +289,6 @@ def open_spans(chunks: DataFrame, answers: DataFrame, anchor_bits: int, n_bucket
     return chunks.join(answers, "chunk", "left").mapInArrow(run, OPENED)
 
 
-def equal_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Byte by byte, some strings at a time."""
-    reach = np.arange(length)
-    out = [(data[a[i : i + _PAIRS, None] + reach] == data[b[i : i + _PAIRS, None] + reach]).all(axis=1) for i in range(0, len(a), _PAIRS)]
-    return np.concatenate([*out, np.zeros(0, dtype=bool)])
-
-
 def in_rows(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of each, ``counts`` of them."""
     return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -305,6 +298,27 @@ def counted_bits(raw: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, dtype=np.uint8, offset=4), count=int.from_bytes(raw[:4], "little")).astype(bool)
 
 
+def earlier_twins(suffixes: Suffixes, begins: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Spans that an earlier document of the bucket holds too, found by hash and verified byte by byte."""
+    key = suffixes.hashed(begins, size)
+    order = np.lexsort((rank, size, key))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    mine, first = order[rank[order] > rank[first]], first[rank[order] > rank[first]]
+    return mine[equal_ranges(suffixes.text, begins[mine], begins[first], size[mine])]
+
+
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from a and from b are the same, some ranges at a time."""
+    out = [np.zeros(0, dtype=bool)]
+    for i in range(0, len(a), _PAIRS):
+        n = size[i : i + _PAIRS]
+        differs = data[in_rows(a[i : i + _PAIRS], n)] != data[in_rows(b[i : i + _PAIRS], n)]
+        out.append(~np.logical_or.reduceat(differs, np.cumsum(n) - n))
+    return np.concatenate(out)
+
+
 def shared(hashes: np.ndarray) -> np.ndarray:
     """Which values stand more than once."""
     order = np.argsort(hashes)
@@ -323,33 +337,40 @@ def sorted_answers(opened: DataFrame) -> DataFrame:
         bucket, chunk = table.column("bucket").to_numpy(), table.column("chunk").to_numpy()
         for a, b in zip(ends, ends[1:]):
             part = table.slice(a, b - a).combine_chunks()
-            extra, group, place, doc = (part.column(c).combine_chunks().flatten().to_numpy() for c in ("last", "groups", "places", "docs"))
-            n_spans = np.diff(part.column("docs").combine_chunks().offsets.to_numpy())
-            text = np.frombuffer(b"".join(part.column("data").to_pylist()), dtype=np.uint8)
+            sent = [part.column("docs").to_pylist(), *(b"".join(part.column(c).to_pylist()) for c in ("docs", "extra", "places", "data"))]
+            n_spans, doc = np.array([len(x) // 4 for x in sent[0]]), np.frombuffer(sent[1], dtype=np.int32)
+            extra, place, text = (np.frombuffer(x, dtype=np.uint8) for x in sent[2:])
             rank = np.repeat(np.argsort(np.argsort(chunk[a:b])), n_spans).astype(np.int64) << 32 | doc
-            begins = np.cumsum(extra + LENGTH) - (extra + LENGTH)
-            counts = extra.astype(np.int64) + 1
-            at = in_rows(begins, counts)
-            step = at - np.repeat(begins, counts)
-            later = np.zeros(len(at), dtype=bool)
-            # a string whose hash no other has is equal to none; the others' suffixes are sorted
+            counts, place = extra.astype(np.int64) + 1, place.astype(np.int64)
+            size = counts + LENGTH - 1
+            begins, ends_ = np.cumsum(size) - size, np.cumsum(counts)
             suffixes = Suffixes(text, LENGTH)
+            later = np.zeros(ends_[-1], dtype=bool)
+            again = earlier_twins(suffixes, begins, size, rank)
+            later[in_rows(ends_[again] - counts[again], counts[again])] = True
+            # a string whose hash no other has is equal to none; the suffixes of the others are sorted
+            left = np.ones(len(counts), dtype=bool)
+            left[again] = False
+            left = np.flatnonzero(left)
+            at, string = in_rows(begins[left], counts[left]), in_rows(ends_[left] - counts[left], counts[left])
             twin = np.flatnonzero(shared(suffixes.hashed(at, LENGTH)))
             if len(twin):
-                span = np.repeat(np.arange(len(counts)), counts)[twin]
-                # strings compare only with those of the same group whose anchor stands at the same place
-                offset = np.where(place[span] < 0, -1, place[span] - step[twin])
-                by = np.lexsort((offset, group[span]))
-                g, o = group[span][by], offset[by]
+                span, at, string = np.repeat(left, counts[left])[twin], at[twin], string[twin]
+                # strings compare only with those of the same anchor at the same place
+                alone = place[span] == NO_ANCHOR
+                offset = np.where(alone, -1, place[span] - (at - begins[span]))
+                group = np.where(alone, suffixes.hashed(at, LENGTH), suffixes.hashed(np.where(alone, at, begins[span] + place[span]), PIECE))
+                by = np.lexsort((offset, group))
+                g, o = group[by], offset[by]
                 number = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (o[1:] != o[:-1])]))
-                order, run_of = equal_runs(suffixes, at[twin[by]], number)
+                order, run_of = equal_runs(suffixes, at[by], number)
                 ranks = rank[span[by]][order]
                 least = np.minimum.reduceat(ranks, np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]])))
-                later[twin[by[order]]] = ranks > least[run_of]
+                later[string[by[order]]] = ranks > least[run_of]
             cut = np.cumsum(np.add.reduceat(counts, np.cumsum(n_spans) - n_spans))[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(chunk[a:b]), pa.array(bucket[a:b]), pa.array([len(x).to_bytes(4, "little") + np.packbits(x).tobytes() for x in np.split(later, cut)], pa.binary())], schema=ANSWER)
 
-    sent = opened.where("kind = 1").select("bucket", "chunk", "last", "groups", "places", "docs", "data")
+    sent = opened.where("kind = 1").select("bucket", "chunk", "extra", "places", "docs", "data")
     answers = by_groups(sent, ["bucket"], run, "chunk long, bucket int, bits binary")
     return answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("sorts"))
 
