@@ -6,8 +6,9 @@ flags ``(?md)``. Steps run in one fixed order; a policy says which of them run.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,10 +25,6 @@ DASHES = "–—‒―−"
 SINGLE_QUOTES = "‘’‚‛"
 DOUBLE_QUOTES = "“”„‟"
 
-#: One character for each distinct word of a pair of texts; longer vocabularies take the Arrow path.
-ALPHABET = "".join(chr(c) for c in range(0x4E00, 0x9C00))
-
-
 @dataclass(frozen=True)
 class NormalisationPolicy:
     unicode_form: str = "NFKC"
@@ -38,14 +35,20 @@ class NormalisationPolicy:
     fold_case: bool = False
 
 
+def _beyond_ascii(text: Column, change: Callable[[Column], Column], plain: Column) -> Column:
+    """``plain`` where the text is ASCII, else what a Python function makes of it; ASCII texts go to Python as nulls."""
+    ascii_ = F.length(text) == F.octet_length(text)
+    return F.when(ascii_, plain).otherwise(change(F.when(~ascii_, text)))
+
+
 def unicode_form(text: Column, form: str) -> Column:
     """A Unicode normal form. ASCII texts, which no form changes, stay in the JVM."""
 
     @pandas_udf("string")
     def change(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+        return values.map(lambda x: x if x is None else unicodedata.normalize(form, x))
 
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(change(text))
+    return _beyond_ascii(text, change, text)
 
 
 def casefold(text: Column) -> Column:
@@ -53,7 +56,7 @@ def casefold(text: Column) -> Column:
     def change(values: pd.Series) -> pd.Series:
         return values.map(lambda x: x if x is None else x.casefold())
 
-    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(change(text))
+    return _beyond_ascii(text, change, F.lower(text))
 
 
 def fold_dashes(text: Column) -> Column:
@@ -76,6 +79,11 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but white space of any kind; null counts as nothing."""
+    return ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE[1:-1]}]"))
+
+
 def normalise(text: Column, policy: NormalisationPolicy = NormalisationPolicy()) -> Column:
     text = unicode_form(text, policy.unicode_form)
     for wanted, step in ((policy.fold_dashes, fold_dashes), (policy.fold_quotes, fold_quotes), (policy.strip_markdown, strip_markdown), (policy.collapse_whitespace, collapse_whitespace), (policy.fold_case, casefold)):
@@ -83,6 +91,26 @@ def normalise(text: Column, policy: NormalisationPolicy = NormalisationPolicy())
     return text
 
 
+def normalised(text: str, policy: NormalisationPolicy) -> str:
+    """``normalise`` for one text inside a Python function. Python's white space is that of SPACE."""
+    out = unicodedata.normalize(policy.unicode_form, text)
+    if policy.fold_dashes:
+        out = out.translate(_TO_DASH)
+    if policy.fold_quotes:
+        out = out.translate(_TO_QUOTE)
+    if policy.strip_markdown:
+        for pattern, to in _MARKDOWN:
+            out = pattern.sub(to, out)
+    if policy.collapse_whitespace:
+        out = " ".join(out.split())
+    return out.casefold() if policy.fold_case else out
+
+
+_TO_DASH = dict.fromkeys(map(ord, DASHES), "-")
+_TO_QUOTE = dict.fromkeys(map(ord, SINGLE_QUOTES), "'") | dict.fromkeys(map(ord, DOUBLE_QUOTES), '"')
+_MARKDOWN = ((re.compile(r"(?m)^\s*\|?[\s:\-|]+\|?\s*$"), " "), (re.compile(r"(?m)^\s{0,3}#{1,6}\s+"), ""), (re.compile(r"\*{1,3}|_{1,3}|`+"), ""), (re.compile(r"\|"), " "))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
@@ -101,32 +129,11 @@ def character_error_rate(reference: Column, prediction: Column) -> Column:
     return _rate(edit_distance(reference, prediction), F.length(reference), F.length(prediction) == 0)
 
 
-@pandas_udf(IntegerType())
-def _list_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of two word lists, row by row of the table of distances."""
-
-    def one(x, y) -> int | None:
-        if x is None or y is None:
-            return None
-        row = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            corner, row[0] = row[0], i
-            for j, q in enumerate(y, 1):
-                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (p != q))
-        return row[-1]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
-def word_distance(reference: Column, prediction: Column) -> Column:
-    """Levenshtein distance in words: each distinct word of the pair becomes one character."""
-    a, b = words(reference), words(prediction)
-    known = F.array_union(a, b)
-
-    def coded(ws: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.substring(F.lit(ALPHABET), F.array_position(known, w).cast("int"), F.lit(1))), "")
-
-    return F.when(F.size(known) <= len(ALPHABET), F.levenshtein(coded(a), coded(b))).otherwise(_list_distance(a, b))
+@arrow_udf(IntegerType())
+def word_distance(reference: pa.Array, prediction: pa.Array) -> pa.Array:
+    """Levenshtein distance in words, of texts of any length."""
+    pairs = ((a.as_py(), b.as_py()) for a, b in zip(reference, prediction))
+    return pa.array([None if a is None or b is None else sequence_distance(a.split(), b.split()) for a, b in pairs], pa.int32())
 
 
 def word_error_rate(reference: Column, prediction: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
-from scrivana.operators.tables import score_tables
+from scrivana.operators.tables import cell_error_rate, table_fields
 
 
 @dataclass(frozen=True)
@@ -54,5 +54,5 @@ def score_pages(pages: DataFrame, key: list[str], policy: ScoringPolicy = Scorin
     )
     if not tables:
         return rows
-    fields = score_tables(rows.where(there), key, "reference", "prediction", policy.normalisation if policy.cell_comparison == "normalised" else None)
-    return rows.join(fields, key, "left")
+    compared = table_fields(ref, pred, policy.normalisation if policy.cell_comparison == "normalised" else None)
+    return rows.withColumn("_t", compared).select(*rows.columns, "_t.*").withColumn("table_cell_error_rate", cell_error_rate())

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import zip_longest
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
-from scrivana.functions import text
-from scrivana.functions.text import NormalisationPolicy, html_escape, unicode_form
+from scrivana.functions.text import NormalisationPolicy, html_escape, normalised
 
 #: Spans beyond this are cut, as texts come from anywhere.
 LARGEST_SPAN = 64
 GRID = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
-_PAIR = T.StructType([T.StructField("ref", T.IntegerType()), T.StructField("pred", T.IntegerType())])
-ALIGNED = T.StructType([T.StructField("pairs", T.ArrayType(_PAIR)), T.StructField("missing", T.IntegerType()), T.StructField("spurious", T.IntegerType())])
 #: Joins the cells of a row; it can't stand in a cell.
 UNIT = "\x1f"
 
@@ -111,7 +112,7 @@ def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
     """A shortest edit script between two lists as pairs of positions; None: no counterpart.
 
     Equal ends are taken off first; among equally short scripts, walking back from the end, a deletion is preferred,
-    then an insertion, then a replacement.
+    then an insertion, then a replacement. Two bytes are held for each pair of rows that remain.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -119,19 +120,24 @@ def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    cost = [list(range(len(y) + 1))]
-    for i, p in enumerate(x, 1):
-        row = [i]
-        for j, q in enumerate(y, 1):
-            row.append(min(cost[i - 1][j] + 1, row[j - 1] + 1, cost[i - 1][j - 1] + (p != q)))
-        cost.append(row)
-    i, j, middle = len(x), len(y), []
+    numbers: dict = {}
+    x, y = (np.array([numbers.setdefault(v, len(numbers)) for v in part], dtype=np.int64) for part in (a[head : len(a) - tail], b[head : len(b) - tail]))
+    n, m, steps = len(x), len(y), np.arange(len(y) + 1)
+    deletes, inserts = np.zeros((2, n + 1, m + 1), dtype=bool)
+    inserts[0, 1:], deletes[1:, 0] = True, True
+    last = steps
+    for i in range(1, n + 1):
+        best = last + 1
+        best[1:] = np.minimum(best[1:], last[:-1] + (y != x[i - 1]))
+        row = np.minimum.accumulate(best - steps) + steps
+        deletes[i], inserts[i, 1:] = row == last + 1, row[1:] == row[:-1] + 1
+        last = row
+    i, j, middle = n, m, []
     while i or j:
-        if i and cost[i][j] == cost[i - 1][j] + 1:
+        if deletes[i, j]:
             i -= 1
             middle.append((head + i, None))
-        elif j and cost[i][j] == cost[i][j - 1] + 1:
+        elif inserts[i, j]:
             j -= 1
             middle.append((None, head + j))
         else:
@@ -141,81 +147,61 @@ def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
     return [(k, k) for k in range(head)] + middle[::-1] + ends
 
 
-@pandas_udf(ALIGNED)
-def align_rows(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
-    """Rows of two tables, given as signatures, paired along a shortest edit script."""
-    out = []
-    for a, b in zip(reference, prediction):
-        script = align([] if a is None else list(a), [] if b is None else list(b))
-        pairs = [{"ref": i, "pred": j} for i, j in script if i is not None and j is not None]
-        out.append((pairs, sum(j is None for _, j in script), sum(i is None for i, _ in script)))
-    return pd.DataFrame(out, columns=["pairs", "missing", "spurious"])
+def compare_row(reference: list[str], prediction: list[str]) -> tuple[int, int]:
+    """(correct, misplaced) of a pair of rows.
 
+    The width is the reference's; a short prediction is padded with blanks. Misplaced: wrong, not blank, and found
+    at another place of the whole predicted row.
+    """
+    theirs = prediction + [""] * (len(reference) - len(prediction))
+    wrong = [i for i, cell in enumerate(reference) if cell != theirs[i]]
+    there = set(prediction)
+    return len(reference) - len(wrong), sum(reference[i] != "" and reference[i] in there for i in wrong)
 
-def cell_forms(grids: Column, policy: NormalisationPolicy | None) -> Column:
-    """Cells of a page's tables as they are compared: raw (None), or normalised where no step needs Python."""
-    if policy is None:
-        return grids
-    return F.transform(grids, lambda grid: F.transform(grid, lambda row: F.transform(row, lambda cell: normalise_cell(cell, policy))))
 
+FIELDS = ("table_cells_compared", "table_cells_correct", "table_cells_misplaced", "table_rows_missing", "table_rows_spurious", "table_count_ref", "table_count_pred")
 
-def normalise_cell(cell: Column, policy: NormalisationPolicy) -> Column:
-    """Lambdas hold built-in expressions only, so the Unicode form is applied to whole pages before parsing."""
-    steps = ((policy.fold_dashes, text.fold_dashes), (policy.fold_quotes, text.fold_quotes), (policy.strip_markdown, text.strip_markdown), (policy.collapse_whitespace, text.collapse_whitespace))
-    for wanted, step in steps:
-        cell = step(cell) if wanted else cell
-    return F.lower(cell) if policy.fold_case else cell
 
+def compare_pages(reference: str, prediction: str, policy: NormalisationPolicy | None) -> tuple[int, ...]:
+    """FIELDS of one page: tables are paired by position, rows by alignment, cells by place.
 
-def signatures(grid: Column) -> Column:
-    return F.transform(grid, lambda row: F.array_join(row, UNIT))
+    Cells are normalised after parsing, so an entity counts as its character and no character turns into markup.
+    """
+    form = (lambda cell: cell) if policy is None else lru_cache(4096)(lambda cell: normalised(cell, policy))
+    ref, pred = ([[[form(cell) for cell in row] for row in grid] for grid in (read_tables(page) if "<" in page else [])] for page in (reference, prediction))
+    compared = correct = misplaced = missing = spurious = 0
+    for a, b in zip_longest(ref, pred, fillvalue=[]):
+        compared += sum(map(len, a))
+        for i, j in align([UNIT.join(row) for row in a], [UNIT.join(row) for row in b]):
+            if i is None or j is None:
+                missing, spurious = missing + (j is None), spurious + (i is None)
+            else:
+                right, moved = compare_row(a[i], b[j])
+                correct, misplaced = correct + right, misplaced + moved
+    return compared, correct, misplaced, missing, spurious, len(ref), len(pred)
 
 
-def compare_row(reference: Column, prediction: Column) -> Column:
-    """(compared, correct, misplaced) of a pair of rows.
+def table_fields(reference: Column, prediction: Column, policy: NormalisationPolicy | None = NormalisationPolicy()) -> Column:
+    """FIELDS of pages of HTML as a struct; null where either is null."""
 
-    The width is the reference's; a short prediction is padded with blanks. Misplaced: wrong, not blank, and found
-    at another place of the whole predicted row.
-    """
-    places = F.sequence(F.lit(1), F.size(reference))
-    theirs = F.transform(places, lambda i: F.coalesce(F.try_element_at(prediction, i), F.lit("")))
-    right = F.zip_with(reference, theirs, lambda a, b: a == b)
-    elsewhere = F.transform(reference, lambda a, i: (a != "") & F.exists(F.transform(prediction, lambda p, j: (p == a) & (j != i)), lambda x: x))
-    n_right = F.size(F.filter(right, lambda x: x))
-    n_moved = F.size(F.filter(F.zip_with(right, elsewhere, lambda ok, moved: ~ok & moved), lambda x: x))
-    return F.when(F.size(reference) > 0, F.struct(F.size(reference).alias("compared"), n_right.alias("correct"), n_moved.alias("misplaced"))).otherwise(F.struct(F.lit(0).alias("compared"), F.lit(0).alias("correct"), F.lit(0).alias("misplaced")))
+    @arrow_udf(T.StructType([T.StructField(name, T.IntegerType()) for name in FIELDS]))
+    def fields(references: pa.Array, predictions: pa.Array) -> pa.Array:
+        pairs = ((a.as_py(), b.as_py()) for a, b in zip(references, predictions))
+        found = [(None,) * len(FIELDS) if a is None or b is None else compare_pages(a, b, policy) for a, b in pairs]
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.int32()) for k in range(len(FIELDS))], names=list(FIELDS))
 
+    return fields(reference, prediction)
 
-def score_tables(pages: DataFrame, key: list[str], reference: str, prediction: str, policy: NormalisationPolicy | None = NormalisationPolicy()) -> DataFrame:
-    """The eight table fields of each page: tables are paired by position, rows by alignment, cells by place.
 
-    reference and prediction: columns of HTML. The rate is null where the reference has no cells.
-    """
-    ref, pred = (F.col(c) if policy is None else unicode_form(F.col(c), policy.unicode_form) for c in (reference, prediction))
-    grids = pages.select(*key, parse_tables(ref).alias("_r"), parse_tables(pred).alias("_p"))
-    grids = grids.withColumns({"_r": cell_forms(F.col("_r"), policy), "_p": cell_forms(F.col("_p"), policy)})
-    empty = F.array().cast("array<array<string>>")
-    longest = F.greatest(F.size("_r"), F.size("_p"), F.lit(1))
-    tables = grids.select(*key, F.size("_r").alias("_nr"), F.size("_p").alias("_np"), F.explode(F.transform(F.sequence(F.lit(1), longest), lambda i: F.struct(F.coalesce(F.try_element_at("_r", i), empty).alias("r"), F.coalesce(F.try_element_at("_p", i), empty).alias("p")))).alias("_t"))
-    aligned = tables.select("*", align_rows(signatures(F.col("_t.r")), signatures(F.col("_t.p"))).alias("_a"))
-    results = F.transform(F.col("_a.pairs"), lambda x: compare_row(F.element_at(F.col("_t.r"), x["ref"] + 1), F.element_at(F.col("_t.p"), x["pred"] + 1)))
-    aligned = aligned.withColumn("_results", results)
-
-    def total(field: str) -> Column:
-        return F.aggregate("_results", F.lit(0), lambda a, x: a + x[field])
-
-    cells = F.aggregate(F.col("_t.r"), F.lit(0), lambda a, row: a + F.size(row))
-    summed = aligned.groupBy(*key).agg(
-        F.sum(cells).cast("int").alias("table_cells_compared"),
-        F.sum(total("correct")).cast("int").alias("table_cells_correct"),
-        F.sum(total("misplaced")).cast("int").alias("table_cells_misplaced"),
-        F.sum("_a.missing").cast("int").alias("table_rows_missing"),
-        F.sum("_a.spurious").cast("int").alias("table_rows_spurious"),
-        F.max("_nr").alias("table_count_ref"),
-        F.max("_np").alias("table_count_pred"),
-    )
-    rate = F.when(F.col("table_cells_compared") > 0, (F.col("table_cells_compared") - F.col("table_cells_correct")) / F.col("table_cells_compared"))
-    return summed.withColumn("table_cell_error_rate", rate)
+def cell_error_rate() -> Column:
+    """Null where the reference has no cells."""
+    return F.when(F.col("table_cells_compared") > 0, (F.col("table_cells_compared") - F.col("table_cells_correct")) / F.col("table_cells_compared"))
+
+
+def score_tables(pages: DataFrame, key: list[str], reference: str, prediction: str, policy: NormalisationPolicy | None = NormalisationPolicy()) -> DataFrame:
+    """The eight table fields of each page."""
+    rows = pages.select(*key, table_fields(F.col(reference), F.col(prediction), policy).alias("_f")).select(*key, "_f.*")
+    return rows.withColumn("table_cell_error_rate", cell_error_rate())
 
 
 def row_width(cells: Column) -> Column:

@@ -49,6 +49,53 @@ def test_score_tables(spark):
     assert score(spark, grid(("a", "")), dash, None)["table_cells_correct"] == 1
 
 
+def test_cells_are_normalised_after_parsing(spark):
+    assert score(spark, grid(("&#xFB01;n", "x")), grid(("fin", "x")))["table_cells_correct"] == 2
+    assert score(spark, grid(("&#xFB01;n", "x")), grid(("fin", "x")), None)["table_cells_correct"] == 1
+    cut = score(spark, grid(("a \uff1c/table\uff1e", "z")), grid(("a \uff1c/table\uff1e", "y")))
+    assert (cut["table_cells_compared"], cut["table_cells_correct"]) == (2, 1)
+    folded = T.NormalisationPolicy(fold_case=True)
+    assert score(spark, grid(("stra\u00dfe", "A")), grid(("STRASSE", "a")), folded)["table_cells_correct"] == 2
+    assert score(spark, grid(("a\u00a0 b", "\u201cq\u201d")), grid((" a b", '"q"')))["table_cells_correct"] == 2
+
+
+def test_align_is_the_script_found_by_walking_back():
+    """Against the whole table of distances, walked back with deletions first, then insertions, then replacements."""
+
+    def plain(a, b):
+        cost = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        i, j, out = len(a), len(b), []
+        while i or j:
+            if i and cost[i][j] == cost[i - 1][j] + 1:
+                i, pair = i - 1, (i - 1, None)
+            elif j and cost[i][j] == cost[i][j - 1] + 1:
+                j, pair = j - 1, (None, j - 1)
+            else:
+                i, j, pair = i - 1, j - 1, (i - 1, j - 1)
+            out.append(pair)
+        return out[::-1]
+
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in "xy")
+        head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        rest_a, rest_b = a[head:], b[head:]
+        tail = next((k for k, (x, y) in enumerate(zip(rest_a[::-1], rest_b[::-1])) if x != y), min(len(rest_a), len(rest_b)))
+        middle = plain(rest_a[: len(rest_a) - tail], rest_b[: len(rest_b) - tail])
+        want = [(k, k) for k in range(head)] + [(None if i is None else head + i, None if j is None else head + j) for i, j in middle]
+        want += [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+        assert T.align(a, b) == want
+
+
+def test_long_tables(spark):
+    rows = [(f"r{i}", str(i)) for i in range(1500)]
+    got = score(spark, grid(*rows), grid(*(r for i, r in enumerate(rows) if i % 3)))
+    assert (got["table_rows_missing"], got["table_rows_spurious"], got["table_cells_correct"]) == (500, 0, 2000)
+
+
 def test_render_blank_header(spark):
     cell = "struct<text:string,colspan:int,rowspan:int>"
     rows = spark.createDataFrame([(1, 0, False, [("<x>", 2, 1)]), (1, 1, False, [("a", 1, 2), ("b", 1, 0)])], f"t int, o int, header boolean, cells array<{cell}>")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 from oracle import SF
@@ -63,6 +64,33 @@ def test_rates(spark):
         assert runaway == (bool(p) and (not r or len(p) > 3 * len(r)))
 
 
+def test_long_word_distances_are_quick(spark):
+    rng = random.Random(2)
+    pairs = [[" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 900)) for _ in range(3000)) for _ in "ab"] for _ in range(8)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, p string")
+    df.select(T.word_distance("r", "p")).collect()
+    began = time.perf_counter()
+    got = {r[0]: r[1] for r in df.select("i", T.word_distance("r", "p")).collect()}
+    assert time.perf_counter() - began < 2
+    assert got[0] == distance(*(x.split() for x in pairs[0]))
+
+
+def test_ascii_goes_to_python_as_nulls(spark):
+    df = spark.createDataFrame([("abc",), ("ﬁn",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(T.unicode_form(F.col("t"), "NFKC")).collect()] == ["abc", "fin", None, ""]
+    plan = df.select(T.unicode_form(F.col("t"), "NFKC"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN NOT" in plan.upper() or "IF(NOT" in plan.upper().replace(" ", "") or "WHEN NOT" in plan.upper()
+
+
+def test_python_form_of_normalise(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aB# \t\n\x0b\x1c\x85\u00a0\u2028|:-*_`–‘”ﬁßé") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for policy in (T.NormalisationPolicy(), T.NormalisationPolicy("NFD", False, False, False, True, True), T.NormalisationPolicy("NFC", True, False, True, False, False)):
+        got = {r[0]: r[1] for r in df.select("i", T.normalise(F.col("t"), policy)).collect()}
+        assert got == {i: T.normalised(t, policy) for i, t in enumerate(texts)}
+
+
 def test_casefold_and_nulls(spark):
     df = spark.createDataFrame([("Straße",), (None,), ("ABC",)], "t string")
     assert [r[0] for r in df.select(T.casefold(F.col("t"))).collect()] == ["strasse", None, "abc"]
