@@ -106,7 +106,7 @@ class PosPools:
 
 
 def receipt_pos(case_id: Column, date: Column, pools: PosPools) -> dict[str, Column]:
-    """Time, register, staff and number printed on a receipt, from slices of two digests."""
+    """Time, register, staff and number printed on a receipt. Which hex characters of which digest settle what."""
     till = F.sha2(F.concat(case_id, F.lit(":pos:"), date), 256)
     number = F.sha2(F.concat(case_id, F.lit(":"), date), 256)
     hour = pools.first_hour + hash_slice(till, 0, 2) % pools.hours
@@ -118,25 +118,6 @@ def receipt_pos(case_id: Column, date: Column, pools: PosPools) -> dict[str, Col
     }
 
 
-def card_slip(case_id: Column, date: Column, total: Column, weights: dict[str, int], acquirers: list[str], cash: str = "Cash", step: int = 5, extra_notes: int = 3) -> dict[str, Column]:
-    """What a terminal prints: method, acquirer and references, or the cash tendered, from later slices of the digest."""
-    till = F.sha2(F.concat(case_id, F.lit(":pos:"), date), 256)
-    method = pick(weighted_pool(weights), hash_slice(till, 10, 14))
-    tendered, change = cash_tender(total, hash_slice(till, 38, 40) % extra_notes, step)
-    by_cash = method == cash
-    return {
-        "method": method,
-        "acquirer": pick(F.array(*map(F.lit, acquirers)), hash_slice(till, 14, 16)),
-        "last4": F.when(~by_cash, F.format_string("%04d", hash_slice(till, 18, 22) % 10000)),
-        "psn": F.when(~by_cash, F.format_string("%02d", hash_slice(till, 22, 24) % 100)),
-        "atc": F.when(~by_cash, F.upper(F.substring(till, 25, 4))),
-        "terminal_id": F.when(~by_cash, (hash_slice(till, 28, 32) % 99 + 1).cast("string")),
-        "transaction_ref": F.when(~by_cash, F.format_string("%06d", hash_slice(till, 32, 38) % 1000000)),
-        "tendered": F.when(by_cash, tendered),
-        "change": F.when(by_cash, change),
-    }
-
-
 def make_abn(number: Column) -> Column:
     """A valid business number from the last nine digits of a number: the first two digits make the sum come out."""
     body = F.lpad((number % 10**9).cast("string"), 9, "0")

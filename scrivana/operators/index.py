@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scrivana.staging import Scratch
 
 
 def case_of(stem: Column, doc_type: Column) -> Column:
@@ -23,10 +30,37 @@ def require_clean(index: DataFrame, corpus: str = "corpus", clean: str = "clean"
 
 
 def fingerprint(rows: DataFrame, by: list[str], stem: str, digest: str) -> DataFrame:
-    """SHA-256 over ``stem NUL digest LF`` of all rows in stem order, for each group."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(stem).alias("s"), F.col(digest).alias("d"))))
-    whole = F.array_join(F.transform(parts, lambda x: F.concat(x["s"].cast("string"), F.lit("\0"), x["d"], F.lit("\n"))), "")
-    return rows.groupBy(*by).agg(F.sha2(whole, 256).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))
+    """SHA-256 over ``stem NUL digest LF`` of all rows in stem order, for each group; a row with a null adds nothing.
+
+    The hash takes rows one after another, so a group is one sorted stream through one task: batches pass through, and
+    nothing of a group is held but the state of its hash.
+    """
+    own = rows.select(*by, F.col(stem).alias("_s"), F.col(digest).alias("_d"))
+    dealt = own.repartition(*by) if by else own.repartition(1)
+    said = F.concat(F.col("_s").cast("string"), F.lit("\0"), F.col("_d"), F.lit("\n"))
+    stream = dealt.sortWithinPartitions(*by, "_s", "_d").select(*by, F.coalesce(said, F.lit("")).cast("binary").alias("_said"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state, n, kinds = None, None, 0, None
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k], kind) for k, kind in zip(group, kinds)), pa.array([state.hexdigest()]), pa.array([n], pa.int64())], names=[*by, "fingerprint", "rows"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(len(by))]
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))))) if by else [()] * batch.num_rows
+            for key, part in zip(keys, batch.column(len(by)).to_pylist()):
+                if key != group:
+                    if state is not None:
+                        yield result()
+                    group, state, n = key, hashlib.sha256(), 0
+                state.update(part)
+                n += 1
+        if state is not None:
+            yield result()
+
+    schema = T.StructType([*(own.schema[k] for k in by), T.StructField("fingerprint", T.StringType()), T.StructField("rows", T.LongType())])
+    return stream.mapInArrow(run, schema)
 
 
 def vintage_diff(left: DataFrame, right: DataFrame, key: str, digests: list[str]) -> DataFrame:
@@ -79,6 +113,19 @@ def keyed_upsert(existing: DataFrame, fresh: DataFrame, key: list[str], order: s
     return both.select(*key, *(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in columns), place.alias("place"))
 
 
+def numbered(rows: DataFrame, place: str, to: str = "position") -> DataFrame:
+    """Rows with their numbers 0, 1, ... in the order of ``place``, which goes, without gathering the table.
+
+    The rows are dealt by ranges of places and staged with their partition and their number in it; a partition's rows
+    then start after all rows of the partitions before. Only one row a partition is summed in one task.
+    """
+    ranged = rows.repartitionByRange(F.col(place)).sortWithinPartitions(place)
+    placed = Scratch(rows.sparkSession, "numbered").put("rows", ranged.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    parts = parts.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    return placed.join(parts, "_part").withColumn(to, F.col("_start") + F.col("_id") - F.col("_first")).drop("_part", "_id", "_n", "_first", "_start", place)
+
+
 def longest_prefix(rows: DataFrame, value: str, prefixes: DataFrame, prefix: str, to: str) -> DataFrame:
     """Each row with the ``to`` of the longest prefix of its value, or null.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("model", "corpus", "doc_type", "family", "severity")
@@ -11,23 +11,41 @@ COUNTS = ("table_cells_misplaced", "table_rows_missing", "table_rows_spurious")
 PERCENTILES = (50, 90, 100)
 
 
-def nearest_rank(value: Column, percentile: int) -> Column:
-    """The value at rank max(1, ceil(p * n / 100)) of the non-null values; null if there are none."""
-    sorted_values = F.array_sort(F.array_compact(F.collect_list(value)))
-    rank = F.greatest(F.lit(1), F.floor((F.size(sorted_values) * percentile + 99) / 100)).cast("int")
-    return F.when(F.size(sorted_values) > 0, F.element_at(sorted_values, rank))
+#: Rank errors of the sketch below are at most a 10,000th of the values; brackets reach five times as far.
+ACCURACY = 10_000
+REACH = 5 / ACCURACY
 
 
-def nearest_ranks(rows: DataFrame, keys: list[str], value: str, percentiles: tuple[int, ...]) -> DataFrame:
-    """The same for groups of any size: counts of distinct values, summed in order, so no group is gathered."""
-    from pyspark.sql import Window
+def nearest_ranks(rows: DataFrame, keys: list[str], values: list[str], percentiles: tuple[int, ...]) -> DataFrame:
+    """For each group the value at rank max(1, ceil(p * n / 100)) of the non-null values of each column, exactly.
 
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.withColumns({"_upto": upto, "_all": F.sum("n").over(w)})
-    ranks = {p: F.greatest(F.lit(1), F.floor((F.col("_all") * p + 99) / 100)) for p in percentiles}
-    return counts.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= r, F.col(value))).alias(f"{value}_p{p}") for p, r in ranks.items()))
+    A mergeable sketch brackets each rank between two values. What lies below a bracket is only counted; what lies in
+    it, about a thousandth of a group, is counted by value and summed in order. So no group is gathered, and no task
+    sorts more than that thousandth. Columns: ``<value>_p<percentile>``; groups may have null keys.
+    """
+    long = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)))).alias("_x"))
+    long = long.select(*keys, "_x.m", "_x.v").where("v is not null")
+    part = [p / 100 for p in percentiles]
+    ends = F.percentile_approx("v", F.array(*(F.lit(min(1.0, max(0.0, p + by))) for p in part for by in (-REACH, REACH))), ACCURACY)
+    found = long.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), ends.alias("ends"))
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    found = found.select(*(F.col(k).alias(n) for k, n in names.items()), F.col("m").alias("_m"), "n", "least", "most", "ends")
+    same = F.col("m") == F.col("_m")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+
+    def bracket(i: int, p: float) -> Column:
+        low = F.col("least") if p <= REACH else F.col("ends")[2 * i]
+        high = F.col("most") if p >= 1 - REACH else F.col("ends")[2 * i + 1]
+        place = F.when(F.col("v") < low, F.lit(None)).otherwise(F.col("v"))
+        return F.when(F.col("v") <= high, F.struct(F.lit(i).alias("p"), place.alias("v")))
+
+    near = long.join(found, same).select(*keys, "m", "n", F.explode(F.array_compact(F.array(*(bracket(i, p) for i, p in enumerate(part))))).alias("_x"))
+    counts = near.groupBy(*keys, "m", "n", F.col("_x.p").alias("p"), F.col("_x.v").alias("v")).agg(F.count(F.lit(1)).alias("held"))
+    upto = F.sum("held").over(Window.partitionBy(*keys, "m", "p").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.greatest(F.lit(1), F.floor((F.col("n") * F.element_at(F.array(*map(F.lit, percentiles)), F.col("p") + 1) + 99) / 100))
+    reached = counts.withColumn("upto", upto).where(F.col("v").isNotNull() & (F.col("upto") >= rank))
+    return reached.groupBy(*keys).agg(*(F.min(F.when((F.col("m") == j) & (F.col("p") == i), F.col("v"))).alias(f"{v}_p{p}") for j, v in enumerate(values) for i, p in enumerate(percentiles)))
 
 
 def report(rows: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS, percentiles: tuple[int, ...] = PERCENTILES, counts: tuple[str, ...] = COUNTS, allowed: tuple[str, ...] = KEYS) -> DataFrame:
@@ -39,17 +57,24 @@ def report(rows: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS, p
     if unknown:
         raise ValueError(f"unknown group keys {unknown}; expected some of {list(allowed)}")
     present = F.coalesce(F.col("prediction_present"), F.lit(False))
+    rows = rows.withColumns({m: F.when(present, F.col(m)) for m in metrics})
     measures = [
         F.count(F.lit(1)).alias("pages"),
         F.count_if(~present).alias("missing"),
         F.count_if(F.coalesce(F.col("degenerate"), F.lit(False))).alias("degenerate"),
         *(F.coalesce(F.sum(F.when(present, F.col(c))), F.lit(0)).alias(c) for c in counts),
         F.bool_and(F.coalesce(F.col("verified"), F.lit(False))).alias("verified"),
+        *(F.avg(m).alias(f"{m}_mean") for m in metrics),
     ]
-    for m in metrics:
-        value = F.when(present, F.col(m))
-        measures += [nearest_rank(value, p).alias(f"{m}_p{p}") for p in percentiles] + [F.avg(value).alias(f"{m}_mean")]
-    return rows.groupBy(*by).agg(*measures).orderBy(*(F.col(k).cast("string") for k in by))
+    plain = rows.groupBy(*by).agg(*measures)
+    ranked = nearest_ranks(rows, by, list(metrics), percentiles)
+    ranked = ranked.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by)), *(c for c in ranked.columns if c not in by))
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_by{i}"))
+    order = [f"{m}_{x}" for m in metrics for x in (*(f"p{p}" for p in percentiles), "mean")]
+    joined = plain.join(ranked, same, "left") if by else plain.join(F.broadcast(ranked))
+    return joined.select(*by, "pages", "missing", "degenerate", *counts, "verified", *order).orderBy(*(F.col(k).cast("string") for k in by))
 
 
 def as_markdown(table: DataFrame) -> str:

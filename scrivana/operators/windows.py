@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivana.functions.text import is_blank
+
 
 def carry_group_key(rows: DataFrame, table: list[str], order: str, cells: str = "cells", header: str = "header") -> DataFrame:
     """Group keys carried down onto the rows of their groups.
@@ -15,13 +17,13 @@ def carry_group_key(rows: DataFrame, table: list[str], order: str, cells: str =
     """
     w = Window.partitionBy(*table).orderBy(order)
     first = F.col(cells)[0]
-    blank = F.trim(F.coalesce(first, F.lit(""))) == ""
-    others = F.exists(F.slice(F.col(cells), 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda x: F.trim(x) != "")
+    blank = is_blank(first)
+    others = F.exists(F.slice(F.col(cells), 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda x: ~is_blank(x))
     body = ~F.col(header) & (F.size(cells) > 0)
     marked = rows.withColumns({"_key": F.when(body & ~blank, first), "_band": body & ~blank & ~others, "_blank": body & blank})
     above = w.rowsBetween(Window.unboundedPreceding, -1)
     marked = marked.withColumns({"_above": F.last("_key", ignorenulls=True).over(above), "_bands": F.sum(F.col("_band").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    takes = F.col("_blank") & (F.trim(F.coalesce(F.col("_above"), F.lit(""))) != "")
+    takes = F.col("_blank") & ~is_blank(F.col("_above"))
     taken = F.max(takes.cast("int")).over(Window.partitionBy(*table, "_bands"))
     carried = F.when(takes, F.transform(F.col(cells), lambda x, i: F.when(i == 0, F.col("_above")).otherwise(x))).otherwise(F.col(cells))
     out = marked.withColumns({"_taken": taken, cells: carried}).where(~F.col("_band") | (F.col("_taken") == 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.functions import lists, values
+from scrivana.functions import lists, payments, values
 from scrivana.operators import events, index, score, tables
 from scrivana.plans.common import Query, table
 
@@ -37,16 +37,18 @@ def completeness_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id, sha256(text) AS t FROM documents WHERE doc_id % 13 <> 0),
-b AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'x' ELSE sha256(text) END AS t FROM documents WHERE doc_id % 19 <> 0)
+WITH a AS (SELECT doc_id, sha256(text) AS t FROM documents),
+b AS (SELECT CASE WHEN doc_id % 13 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'x' ELSE sha256(text) END AS t FROM documents)
 SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' WHEN coalesce(a.t <> b.t, false) THEN 'different' ELSE 'same' END AS status
 FROM a FULL JOIN b USING (doc_id)
 """)
 def vintage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, against itself with every 13th id moved, every 11th text changed and every 17th hash unstated."""
     key, digest = F.col("doc_id"), F.sha2("text", 256)
     docs = table(spark, sf_dir, "documents")
-    left = docs.where(key % 13 != 0).select("doc_id", digest.alias("transcript_sha256"))
-    right = docs.where(key % 19 != 0).select("doc_id", F.when(key % 17 == 0, F.lit(None)).when(key % 11 == 0, "x").otherwise(digest).alias("transcript_sha256"))
+    left = docs.select("doc_id", digest.alias("transcript_sha256"))
+    moved = F.when(key % 13 == 0, -key - 1).otherwise(key)
+    right = docs.select(moved.alias("doc_id"), F.when(key % 17 == 0, F.lit(None)).when(key % 11 == 0, "x").otherwise(digest).alias("transcript_sha256"))
     return index.vintage_diff(left, right, "doc_id", ["transcript_sha256"])
 
 
@@ -59,11 +61,14 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem)
-SELECT l_partkey, count(*) AS held_by, (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS groups FROM p GROUP BY l_partkey HAVING count(*) < (SELECT count(DISTINCT l_returnflag) FROM lineitem)
+WITH p AS (SELECT DISTINCT l_returnflag, l_partkey % 250 * 10 + l_linenumber AS page FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_partkey % 250 = 7))
+SELECT page, count(*) AS held_by, (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS groups FROM p GROUP BY page HAVING count(*) < (SELECT count(DISTINCT l_returnflag) FROM lineitem)
 """)
 def matched_page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.unmatched_members(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_partkey"])
+    """Pages that not every flag has; those of one part are taken from one flag."""
+    lines = table(spark, sf_dir, "lineitem")
+    planted = lines.where(~((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 250 == 7)))
+    return index.unmatched_members(planted.select("l_returnflag", (F.col("l_partkey") % 250 * 10 + F.col("l_linenumber")).alias("page")), ["l_returnflag"], ["page"])
 
 
 @query("""SELECT lang AS family, source AS corpus, count(*) AS pages, array_to_string(list_sort(list(DISTINCT CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END)), ',') AS doc_types FROM documents GROUP BY ALL""")
@@ -82,26 +87,21 @@ def pooled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH old AS (SELECT o_orderkey, o_orderstatus AS v, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 <> 0),
-new AS (SELECT o_orderkey, 'new' AS v, -o_orderkey AS seq FROM orders WHERE o_orderkey % 4 = 0),
+WITH old AS (SELECT o_orderkey, o_orderstatus AS v, o_orderkey AS seq FROM orders),
+new AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS o_orderkey, o_orderpriority AS v, -o_orderkey AS seq FROM orders),
+gone AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 15 = 0),
 b AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.v, o.v) AS v, o.o_orderkey IS NULL AS a, coalesce(o.seq, n.seq) AS s FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey
-      WHERE n.o_orderkey IS NOT NULL OR o.o_orderkey % 5 <> 0)
+      WHERE n.o_orderkey IS NOT NULL OR o.o_orderkey NOT IN (FROM gone))
 SELECT o_orderkey, v, (row_number() OVER (ORDER BY a, s) - 1)::bigint AS position FROM b
 """)
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order, upserted by itself with every third key moved; of those, the images of every fifth are gone."""
     orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    old = orders.where(key % 3 != 0).select("o_orderkey", F.col("o_orderstatus").alias("v"), key.alias("seq"))
-    new = orders.where(key % 4 == 0).select("o_orderkey", F.lit("new").alias("v"), (-key).alias("seq"))
-    there = orders.where(key % 5 != 0).select("o_orderkey")
-    merged = index.keyed_upsert(old, new, ["o_orderkey"], "seq", there)
-    # positions without gathering the table: each range of places counts what stands before it
-    placed = merged.repartitionByRange("place").sortWithinPartitions("place").withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
-    from pyspark.sql import Window
-
-    before = before.withColumn("start", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))
-    return placed.join(F.broadcast(before), "_part").select("o_orderkey", "v", (F.col("start") + F.col("_id") - F.col("first")).alias("position"))
+    old = orders.select("o_orderkey", F.col("o_orderstatus").alias("v"), key.alias("seq"))
+    new = orders.select(F.when(key % 3 == 0, -key - 1).otherwise(key).alias("o_orderkey"), F.col("o_orderpriority").alias("v"), (-key).alias("seq"))
+    there = orders.where(key % 15 != 0).select("o_orderkey")
+    return index.numbered(index.keyed_upsert(old, new, ["o_orderkey"], "seq", there), "place")
 
 
 @query("""SELECT n_nationkey, r_name AS tier FROM nation CROSS JOIN region""")
@@ -146,6 +146,13 @@ def abn_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "abn", values.abn_is_valid(F.col("abn")).alias("valid"))
 
 
+POOLS = payments.TerminalPools(
+    method_weights={"Visa": 3, "Cash": 2, "Amex": 1}, acquirers=("First", "Second"),
+    schemes={"Visa": payments.Scheme("VISA CREDIT", "A01", 16, ("CR",)), "Amex": payments.Scheme("AMERICAN EXPRESS", "A25", 15, ("CR",)), "Debit": payments.Scheme("eftpos", "A38", 16, ("SAV", "CHQ"))},
+    wallets={"Phone Pay": "PhonePay"}, presentation_weights={"none": 2, "Phone Pay": 1}, bank_prefixes={"VISA": "Visa", "VISA DEBIT": "Debit", "EFTPOS": "Debit"},
+)
+
+
 @query("""
 WITH h AS (SELECT doc_id, sha256(doc_id || '|' || lang || '|' || source) AS x, sha256('CASE' || doc_id || ':pos:01/02/2024') AS t FROM documents)
 SELECT doc_id, ('0x' || substr(x, 1, 8))::bigint & 2147483647 AS seed,
@@ -155,7 +162,7 @@ SELECT doc_id, ('0x' || substr(x, 1, 8))::bigint & 2147483647 AS seed,
 def hash_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     case, date = F.concat(F.lit("CASE"), F.col("doc_id").cast("string")), F.lit("01/02/2024")
-    slip = values.card_slip(case, date, F.col("n_chars").cast("decimal(18,2)"), {"Visa": 3, "Cash": 2, "Amex": 1}, ["First", "Second"])
+    slip = payments.slip(case, date, F.col("n_chars").cast("decimal(18,2)"), F.lit("10:00"), POOLS)
     till = values.receipt_pos(case, date, values.PosPools(("Ana", "Ben", "Cleo")))
     return docs.select("doc_id", values.page_seed(F.col("doc_id").cast("string"), F.col("lang"), F.col("source")).alias("seed"), slip["method"].alias("method"), till["POS_TIME"].alias("pos_time"))
 

@@ -22,11 +22,11 @@ def query(sql: str | None):
 
 
 @query("""
-WITH r AS (SELECT l_returnflag, l_linestatus, l_returnflag <> 'N' AS present, l_discount AS m, l_tax AS t, l_quantity > 45 AS bad, l_linenumber AS k FROM lineitem),
+WITH r AS (SELECT l_returnflag, l_linestatus, l_returnflag <> 'N' AS present, l_discount AS m, l_tax AS t, l_quantity > 45 AS bad, l_linenumber AS k, l_tax < 0.08 OR l_returnflag <> 'R' AS v FROM lineitem),
 g AS (SELECT l_returnflag AS family, l_linestatus AS severity, count(*) AS pages, count(*) FILTER (NOT present) AS missing, count(*) FILTER (bad) AS degenerate,
   coalesce(sum(k) FILTER (present), 0)::bigint AS table_rows_missing, list_sort(list(m) FILTER (present)) AS ms, list_sort(list(t) FILTER (present)) AS ts,
-  avg(m) FILTER (present) AS am, avg(t) FILTER (present) AS tm FROM r GROUP BY ALL)
-SELECT family, severity, pages, missing, degenerate, table_rows_missing, true AS verified,
+  avg(m) FILTER (present) AS am, avg(t) FILTER (present) AS tm, bool_and(v) AS verified FROM r GROUP BY ALL)
+SELECT family, severity, pages, missing, degenerate, table_rows_missing, verified,
   ms[greatest(1, (50 * len(ms) + 99) // 100)] AS strict_cer_p50, ms[greatest(1, (90 * len(ms) + 99) // 100)] AS strict_cer_p90, ms[greatest(1, len(ms))] AS strict_cer_p100, round(am, 6) AS strict_cer_mean,
   ts[greatest(1, (50 * len(ts) + 99) // 100)] AS normalised_wer_p50, ts[greatest(1, (90 * len(ts) + 99) // 100)] AS normalised_wer_p90, ts[greatest(1, len(ts))] AS normalised_wer_p100, round(tm, 6) AS normalised_wer_mean
 FROM g
@@ -35,7 +35,7 @@ def report_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("severity"), (F.col("l_returnflag") != "N").alias("prediction_present"),
         F.col("l_discount").alias("strict_cer"), F.col("l_tax").alias("normalised_wer"), (F.col("l_quantity") > 45).alias("degenerate"),
-        F.col("l_linenumber").alias("table_rows_missing"), F.lit(True).alias("verified"))
+        F.col("l_linenumber").alias("table_rows_missing"), ((F.col("l_tax") < 0.08) | (F.col("l_returnflag") != "R")).alias("verified"))
     out = report.report(rows, ["family", "severity"], metrics=("strict_cer", "normalised_wer"), counts=("table_rows_missing",))
     return out.withColumns({c: F.round(c, 6) for c in ("strict_cer_mean", "normalised_wer_mean")})
 
@@ -46,7 +46,7 @@ SELECT o_orderpriority, x[greatest(1, (1 * len(x) + 99) // 100)] AS o_totalprice
   x[greatest(1, (50 * len(x) + 99) // 100)] AS o_totalprice_p50, x[greatest(1, (90 * len(x) + 99) // 100)] AS o_totalprice_p90, x[len(x)] AS o_totalprice_p100 FROM g
 """)
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.nearest_ranks(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", (1, 7, 50, 90, 100))
+    return report.nearest_ranks(table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_totalprice"], (1, 7, 50, 90, 100))
 
 
 _ASCII_NORMAL = r"""trim(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace({0},
@@ -248,9 +248,15 @@ def dense_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.reading_order(turns, ["conv_id"], "turn", "category").select("conv_id", "turn", "order")
 
 
-@query("""SELECT conv_id, count(*) AS n, max(turn)::int AS last FROM conversations GROUP BY conv_id HAVING count(*) <> count(DISTINCT turn) OR max(turn) <> count(*) - 1 OR min(turn) <> 0""")
+@query("""
+WITH t AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 0 WHEN conv_id % 5 = 0 THEN turn + 1 WHEN conv_id % 7 = 0 AND turn > 1 THEN turn + 1 ELSE turn END::int AS turn FROM conversations)
+SELECT conv_id, count(*) AS n, max(turn)::int AS last FROM t GROUP BY conv_id HAVING count(*) <> count(DISTINCT turn) OR max(turn) <> count(*) - 1 OR min(turn) <> 0
+""")
 def dense_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("order", F.col("turn").cast("int"))
+    """Conversations whose turns have a planted duplicate, a late start or a gap."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    planted = F.when((conv % 3 == 0) & (turn == 1), 0).when(conv % 5 == 0, turn + 1).when((conv % 7 == 0) & (turn > 1), turn + 1).otherwise(turn)
+    turns = table(spark, sf_dir, "conversations").withColumn("order", planted.cast("int"))
     return windows.order_faults(turns, ["conv_id"]).select("conv_id", "n", "last")
 
 
