@@ -1,7 +1,6 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from scrivana.functions import image
 from scrivana.operators import layout
 
 BODY = {
@@ -37,30 +36,3 @@ def test_faults():
     assert layout.faults("L", BODY, set(FIELDS)) == []
     bad = {"body": [{"type": "text"}, {"type": "pair", "label": "x", "field": "NO"}, {"type": "wheel"}, {"type": "text", "content": "{WHO", "colour": 1}, {"type": "table", "columns": [], "rows": {}}]}
     assert len(layout.faults("L", bad, set(FIELDS))) == 6
-
-
-def test_images(spark):
-    flat = np.full((40, 30, 3), 200, dtype=np.uint8)
-    assert (image.box_blur(flat[:, :, 0], 3) == 200).all() and (image.blur(flat[:, :, 0], 2.3) == 200).all()
-    spike = np.zeros((61, 61), dtype=np.uint8)
-    spike[30, 30] = 255
-    wide = np.zeros((61, 61))
-    wide[25:36, 25:36] = 255
-    soft = image.blur(wide.astype(np.uint8), 1.0).astype(float)
-    assert soft[30, 30] == 255 and 0 < soft[24, 30] < 128
-    x = np.arange(61) - 30
-    line = np.tile(np.where(x >= 0, 255, 0).astype(np.uint8), (61, 1))
-    slope = np.diff(image.blur(line, 4.0)[30].astype(float))
-    mean = (slope * x[1:]).sum() / slope.sum()
-    assert abs((slope * (x[1:] - mean) ** 2).sum() / slope.sum() - 16) < 1.5
-    assert image.ramp(3, 5, 180)[0, 0] == 1 and image.ramp(3, 5, 90)[2, 0] == 1
-    dot = flat.copy()
-    dot[10, 10] = 0
-    assert (image.ink_bleed(1.0, 1.0, 3)(dot, np.random.default_rng(0))[9:12, 9:12] == 0).all()
-    df = spark.createDataFrame([(bytearray(flat.tobytes()), 40, 30, 7), (None, 1, 1, 1)], "p binary, h int, w int, s long")
-    effects = [image.lighting(240, 45), image.folds((1, 2), (0.1, 0.2)), image.ink_bleed(0.1, 0.5, 3)]
-    rows = [r[0] for r in df.select(image.degrade(F.col("p"), F.col("h"), F.col("w"), F.col("s"), effects)).collect()]
-    rng, want = np.random.default_rng(7), flat
-    for e in effects:
-        want = e(want, rng)
-    assert bytes(rows[0]) == want.tobytes() and rows[1] is None
