@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
@@ -143,3 +144,121 @@ def selection(path: str | Path, doc_types: list[str], families: list[str]) -> Se
         if not isinstance(chosen, list) or not chosen or len(set(chosen)) < len(chosen) or set(chosen) - set(known):
             raise ConfigError(f"{key} {chosen!r}", f"{path}:{key}", f"a list of some of {sorted(known)}, each once", "correct the list")
     return Selection(tuple(whole["doc_types"]), tuple(whole["families"]))
+
+
+# Keys of the run configuration, folders below its data root, and keys that are no longer read.
+RUN_KEYS = ("dataset_root", "ground_truth_dir", "document_types")
+RUN_FOLDERS = {"output_dir": "output", "derived_dir": "derived"}
+RETIRED_RUN_KEYS = {"exports_dir": "an export is told its folder when it is run"}
+TYPE_KEYS = ("ground_truth", "layouts", "output_subdir")
+
+
+@dataclass(frozen=True)
+class RunConfig:
+    """Where a run reads and writes. Paths of data are absolute; those of tracked input stay as written."""
+
+    dataset_root: Path
+    output_dir: Path
+    derived_dir: Path
+    ground_truth_dir: str
+    document_types: dict[str, dict[str, str]]
+
+
+def run_config(path: str | Path) -> RunConfig:
+    """The run configuration. Data paths may hold ``~`` and ``${VAR}``; relative ones start beside the file's folder."""
+    whole = mapping(read_yaml(path), str(path))
+    for key, why in RETIRED_RUN_KEYS.items():
+        if key in whole:
+            raise ConfigError(f"{key} is no longer read: {why}", f"{path}:{key}", "no such key", f"delete {key}")
+    mapping({k: v for k, v in whole.items() if k not in RUN_FOLDERS}, str(path), set(RUN_KEYS))
+    beside = Path(path).resolve().parent.parent
+    root = resolve_path(str(whole["dataset_root"]), beside).resolve()
+    folders = {key: resolve_path(str(whole[key]), beside).resolve() if key in whole else root / leaf for key, leaf in RUN_FOLDERS.items()}
+    types = mapping(whole["document_types"], f"{path}:document_types")
+    for name, own in types.items():
+        mapping(own, f"{path}:document_types.{name}", set(TYPE_KEYS))
+    return RunConfig(root, folders["output_dir"], folders["derived_dir"], str(whole["ground_truth_dir"]), types)
+
+
+@dataclass(frozen=True)
+class FieldDefinitions:
+    """What fields documents may carry: by type, and more by layout; lists that run in parallel, and their item columns."""
+
+    columns: tuple[str, ...]
+    document_fields: dict[str, tuple[str, ...]]
+    layout_fields: dict[str, tuple[str, ...]]
+    parallel_groups: dict[str, tuple[tuple[str, ...], ...]]
+    item_columns: dict[str, str]
+
+    def of_type(self, doc_type: str) -> set[str]:
+        """Fields of a document type, named in the singular or the plural."""
+        name = doc_type[:-1] if doc_type.endswith("s") else doc_type
+        if name not in self.document_fields:
+            raise ConfigError(f"no fields for {doc_type!r}", "document_fields", f"one of {sorted(self.document_fields)}", "add the type or correct its name")
+        return set(self.document_fields[name])
+
+
+@lru_cache(64)
+def _field_definitions(path: str, changed: int) -> FieldDefinitions:
+    whole = mapping(read_yaml(path), path)
+    for key in ("all_columns", "document_fields", "parallel_field_groups", "line_item_column_names"):
+        if key not in whole:
+            raise ConfigError(f"{key} is missing", f"{path}:{key}", "a list of columns" if key == "all_columns" else "a mapping", f"add {key}")
+    names = mapping(whole["line_item_column_names"], f"{path}:line_item_column_names")
+    groups = {t: tuple(tuple(g) for g in own) for t, own in mapping(whole["parallel_field_groups"], f"{path}:parallel_field_groups").items()}
+    unnamed = sorted({f for own in groups.values() for g in own for f in g} - set(names))
+    if unnamed:
+        raise ConfigError(f"no item column for {unnamed}", f"{path}:line_item_column_names", "one name for each field of a parallel group", "add them")
+    lists = ({k: tuple(v) for k, v in mapping(whole.get(key) or {}, f"{path}:{key}").items()} for key in ("document_fields", "layout_fields"))
+    return FieldDefinitions(tuple(whole["all_columns"]), *lists, groups, {str(k): str(v) for k, v in names.items()})
+
+
+def field_definitions(path: str | Path) -> FieldDefinitions:
+    """Read once for each state of the file."""
+    if not Path(path).exists():
+        raise ConfigError("no such file", str(path), "a YAML file", "create it or correct the path")
+    return _field_definitions(str(path), Path(path).stat().st_mtime_ns)
+
+
+@dataclass(frozen=True)
+class SerialisationPolicy:
+    """How events become text. Every key is stated in its file, also where it asks for nothing."""
+
+    title_style: str
+    pair_separator: str
+    pair_strip_trailing_colon: bool
+    table_style: str
+    empty_cell_token: str
+    cell_sub_line_join: str
+    cell_newline_join: str
+    split_order: str
+    headerless_table: str
+    carry_group_key: str
+    block_separator: str
+    emphasis: str
+    decoration_glyphs: str
+    decoration_min_run: int
+
+
+# What each choice may be, and the least run that counts as decoration.
+SERIALISATION_CHOICES = {
+    "title_style": ("atx_h1",), "table_style": ("html",), "split_order": ("column_major",),
+    "carry_group_key": ("down", "none"), "headerless_table": ("empty_header_row",), "emphasis": ("none",),
+}
+LEAST_DECORATION_RUN = 2
+
+
+def serialisation_policy(path: str | Path) -> SerialisationPolicy:
+    whole = mapping(read_yaml(path), str(path), set(SerialisationPolicy.__dataclass_fields__))
+    for key, allowed in SERIALISATION_CHOICES.items():
+        if whole[key] not in allowed:
+            raise ConfigError(f"{key} is {whole[key]!r}", f"{path}:{key}", f"one of {list(allowed)}", "choose one of them")
+    for key, kind in SerialisationPolicy.__annotations__.items():
+        value, wanted = whole[key], {"str": str, "bool": bool, "int": int}[kind]
+        if not isinstance(value, wanted) or wanted is int and isinstance(value, bool):
+            raise ConfigError(f"{key} is {value!r}", f"{path}:{key}", f"a value of type {kind}", "correct the value")
+    if not whole["decoration_glyphs"]:
+        raise ConfigError("decoration_glyphs is empty", f"{path}:decoration_glyphs", "the characters of a run", "name some")
+    if whole["decoration_min_run"] < LEAST_DECORATION_RUN:
+        raise ConfigError(f"decoration_min_run is {whole['decoration_min_run']}", f"{path}:decoration_min_run", f"{LEAST_DECORATION_RUN} or more, as one glyph is no run", "raise it")
+    return SerialisationPolicy(**whole)
