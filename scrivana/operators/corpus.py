@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivana.functions.lists import explode_group, or_not_found
 from scrivana.operators.events import layout_annotations
+from scrivana.operators.index import examples, set_differences
 from scrivana.operators.tables import render_tables
 from scrivana.operators.windows import first_per_group
-from scrivana.sources.readers import write_json
+from scrivana.sources.config import FieldDefinitions
+from scrivana.sources.readers import stem_of, write_csv, write_json
 
 
 def of_types(pages: DataFrame, types: list[str] | None, known: list[str]) -> DataFrame:
@@ -66,17 +70,63 @@ def refreshed(carried: DataFrame, tier_pages: DataFrame) -> DataFrame:
     return carried.join(tier_pages.select("stem").distinct(), "stem", "left_semi")
 
 
-def summary(manifest: DataFrame) -> DataFrame:
-    """(what, name, n): pages by type, family and layout, and pages with tables."""
+def summary(manifest: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """(what, name, n): pages by type and family, pages with tables; with events, also blocks and spans by category, and
+    pages of several tables."""
     parts = [manifest.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("what"), "name", "n") for c in ("doc_type", "family")]
-    tabled = manifest.agg(F.count("tables").alias("n")).select(F.lit("tables").alias("what"), F.lit("pages with tables").alias("name"), "n")
-    return parts[0].union(parts[1]).union(tabled)
+    parts.append(manifest.agg(F.count("tables").alias("n")).select(F.lit("tables").alias("what"), F.lit("pages with tables").alias("name"), "n"))
+    if events is not None:
+        drawn = events.where(F.col("category_type").isNotNull() & (F.size("spans") > 0))
+        by = drawn.groupBy(F.col("category_type").alias("name")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("spans")).alias("spans"))
+        parts += [by.select(F.lit(what).alias("what"), "name", F.col(what).cast("long").alias("n")) for what in ("blocks", "spans")]
+        several = drawn.where("category_type = 'table'").groupBy("stem").count().where("count > 1")
+        parts.append(several.agg(F.count(F.lit(1)).alias("n")).select(F.lit("tables").alias("what"), F.lit("pages with several").alias("name"), "n"))
+    return reduce(DataFrame.union, parts)
+
+
+def readme(manifest: DataFrame, title: str, events: DataFrame | None = None) -> str:
+    """A corpus description from its counts; the summary has a row for each type, family and category only."""
+    rows = sorted(tuple(r) for r in summary(manifest, events).collect())
+    return "\n".join([f"# {title}", "", "| What | Name | Pages |", "|---|---|---|", *(f"| {w} | {n} | {k} |" for w, n, k in rows), ""])
 
 
-def readme(manifest: DataFrame, title: str) -> str:
-    """A corpus description from its counts; the summary has a row for each type and family only."""
-    rows = sorted(tuple(r) for r in summary(manifest).collect())
-    return "\n".join([f"# {title}", "", "| What | Name | Pages |", "|---|---|---|", *(f"| {w} | {n} | {k} |" for w, n, k in rows), ""])
+def extraction_rows(entries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """One row a case: case_id, doc_type, image, and every column as authored, the sentinel where there is nothing."""
+    image = F.concat("case_id", F.lit("_"), "doc_type", F.lit(".png"))
+    return entries.select("case_id", "doc_type", image.alias("image"), *(or_not_found(F.col("fields")[c]).alias(c) for c in columns))
+
+
+def line_item_rows(entries: DataFrame, definitions: FieldDefinitions) -> DataFrame:
+    """One row an item of each parallel group of an entry's own document type, items' columns in one schema.
+
+    Columns that a type doesn't have are null; a group that is the sentinel alone has no rows; a ragged group fails.
+    """
+    out = None
+    image = F.concat("case_id", F.lit("_"), "doc_type", F.lit(".png"))
+    for doc_type, groups in definitions.parallel_groups.items():
+        own = entries.where(F.col("fields")["DOCUMENT_TYPE"] == doc_type).withColumn("image", image)
+        for names in groups:
+            lists_ = own.select("case_id", "doc_type", "image", *(or_not_found(F.col("fields")[n]).alias(n) for n in names))
+            rows = explode_group(lists_, {n: definitions.item_columns[n] for n in names}, ["case_id", "doc_type", "image"])
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no parallel groups are defined")
+    return out
+
+
+def export_extraction(entries: DataFrame, manifest: DataFrame, definitions: FieldDefinitions, folder: str) -> None:
+    """The authored truth beside a clean corpus: JSON lines and CSV of the cases, JSON lines of their items.
+
+    The cases must be exactly those whose images the manifest names; nothing that stands there is overwritten.
+    """
+    rows = extraction_rows(entries, definitions.columns)
+    differing = set_differences(rows.select(stem_of("image").alias("stem")), manifest.select(stem_of("image").alias("stem")), "stem")
+    found = {r.side: (r.rows, list(r.examples)) for r in examples(differing, ["side"], "stem", 5).collect()}
+    if found:
+        raise ValueError(f"cases that only the truth has: {found.get('left', (0, []))}; that only the corpus has: {found.get('right', (0, []))}")
+    write_json(rows.orderBy("doc_type", "case_id"), f"{folder}/ground_truth")
+    write_csv(rows.orderBy("doc_type", "case_id"), f"{folder}/ground_truth_csv")
+    write_json(line_item_rows(entries, definitions).orderBy("doc_type", "case_id", "line_no"), f"{folder}/line_items", keep_nulls=False)
 
 
 WRITTEN = "stem string, path string, bytes long"
@@ -88,7 +138,8 @@ def write_pages(pages: DataFrame, folder: str, suffix: str = ".md") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        at = "file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder  # file:/a names /a too
+        files, base = fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at)
         files.create_dir(base)
         for batch in batches:
             stems, sizes = batch.column(0).to_pylist(), []
@@ -102,10 +153,25 @@ def write_pages(pages: DataFrame, folder: str, suffix: str = ".md") -> DataFrame
     return pages.select(F.col("stem").cast("string"), F.col("text").cast("string")).mapInArrow(run, WRITTEN)
 
 
-def export(spark: SparkSession, manifest: DataFrame, events: DataFrame, rows: DataFrame, folder: str) -> None:
-    """Layout annotations, table HTML and the manifest of a corpus below ``folder``, which must not hold one yet.
+def manifest_rows(pages: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
+    """A manifest record a page: paths, labels, and hashes of the image's bytes and pixels and of the transcript.
+
+    pages: (stem, doc_type, layout, family, severity). files: (stem, sha256, pixels_sha256). texts: (stem, text). A page
+    without an image or a transcript fails.
+    """
+    both = pages.join(files.select("stem", "sha256", "pixels_sha256"), "stem", "left").join(texts.select("stem", F.sha2("text", 256).alias("transcript_sha256")), "stem", "left")
+    lacking = F.raise_error(F.concat(F.lit("no image or transcript of page "), F.col("stem"))).cast("string")
+    return both.select(
+        "stem", F.concat(F.lit("images/"), "stem", F.lit(".png")).alias("image"), F.concat(F.lit("transcripts/"), "stem", F.lit(".md")).alias("transcript"),
+        *("doc_type", "layout", "family", "severity", "pixels_sha256"), *(F.coalesce(F.col(c), lacking).alias(c) for c in ("sha256", "transcript_sha256")),
+    )
+
+
+def export(spark: SparkSession, manifest: DataFrame, events: DataFrame, rows: DataFrame, folder: str, texts: DataFrame | None = None, title: str = "Corpus") -> None:
+    """Layout annotations, table HTML, transcripts, description and manifest of a corpus below ``folder``, which must not
+    hold one yet.
 
-    events and rows carry ``stem``; a page with events but no annotation fails.
+    events, rows and texts carry ``stem``; a page with events but no annotation fails.
     """
     html = render_tables(rows, ["stem", "table_no"], "row_no")
     dets = layout_annotations(events, ["stem"], html)
@@ -115,5 +181,9 @@ def export(spark: SparkSession, manifest: DataFrame, events: DataFrame, rows: Da
     whole = html.groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "html"))), lambda x: x["html"]), "\n").alias("html"))
     write_json(dets, f"{folder}/layout")
     write_json(whole, f"{folder}/tables")
+    if texts is not None:
+        write_json(write_pages(texts, f"{folder}/transcripts"), f"{folder}/written")
     named = manifest.join(whole.select("stem", F.concat(F.lit("tables/"), "stem").alias("_tables")), "stem", "left").withColumn("tables", F.col("_tables")).drop("_tables")
     write_json(named, f"{folder}/manifest", keep_nulls=False)
+    described = spark.createDataFrame([("README", readme(named, title, events))], "stem string, text string")
+    write_json(write_pages(described, folder), f"{folder}/described")

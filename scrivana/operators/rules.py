@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivana.functions.fit import Advances, Budget, fit_text
 from scrivana.functions.lists import NOT_FOUND, split_pipes
 from scrivana.functions.values import abn_is_valid, gst_inclusive
 
@@ -103,3 +104,12 @@ def rewards(entries: DataFrame, opening: str, earned: str, bonus: str, redeemed:
 
     expected = points(opening) + points(earned) + points(bonus) - points(redeemed)
     return finding(entries.where(points(closing) != expected), "rewards", F.concat(F.lit("expected "), expected.cast("string")), F.lit(closing))
+
+
+def overflows(entries: DataFrame, budgets: dict[str, Budget], advances: Advances) -> DataFrame:
+    """Fields whose text can't be laid out whole in its box: a backstop before anything is drawn."""
+    parts = []
+    for name, budget in budgets.items():
+        tried = entries.withColumn("_fit", fit_text(F.col("fields")[name], budget, advances))
+        parts.append(finding(tried.where(F.col("_fit.fault").isNotNull()), "overflow", F.col("_fit.fault"), F.lit(name)))
+    return all_findings(*parts)

@@ -52,6 +52,55 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, MANIFEST).withColumn("stem", stem_of("transcript")).join(F.broadcast(whole.limit(1)))
 
 
+def _below(path, depth: int):
+    """The folder ``depth`` steps above a file."""
+    return F.element_at(F.split(path, "/"), -1 - depth)
+
+
+def manifests(spark: SparkSession, base: str) -> DataFrame:
+    """Pages of all corpora below a folder: each corpus is a folder with a manifest.jsonl, whose own hash they carry."""
+    files = {"recursiveFileLookup": True, "pathGlobFilter": "manifest.jsonl"}
+    hashes = spark.read.format("binaryFile").options(**files).load(base).select(_below(F.col("path"), 1).alias("corpus"), F.sha2("content", 256).alias("manifest_sha256"))
+    rows = spark.read.schema(MANIFEST).option("mode", "FAILFAST").options(**files).json(base).withColumn("corpus", _below(F.input_file_name(), 1))
+    return rows.withColumn("stem", stem_of("transcript")).join(hashes, "corpus")
+
+
+def prompt_hashes(spark: SparkSession, base: str) -> DataFrame:
+    """(corpus, prompt_sha256) of the prompt that each corpus ships."""
+    read = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="prompt.md").load(base)
+    return read.select(_below(F.col("path"), 1).alias("corpus"), F.sha2("content", 256).alias("prompt_sha256"))
+
+
+def corpus_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(corpus, stem, text) of the transcripts below each corpus's own folder of them."""
+    read = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    at = F.input_file_name()
+    return read.where(_below(at, 1) == "transcripts").select(_below(at, 2).alias("corpus"), stem_of(at).alias("stem"), F.col("value").alias("text"))
+
+
+def image_faults(spark: SparkSession, base: str, pages: DataFrame) -> DataFrame:
+    """(corpus, stem, fault) of pages whose image is missing or has other bytes than stated."""
+    read = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.{png,jpg,jpeg}").load(base)
+    found = read.where(_below(F.col("path"), 1) == "images").select(_below(F.col("path"), 2).alias("corpus"), stem_of("path").alias("_image"), F.sha2("content", 256).alias("_found"))
+    stated = pages.select("corpus", "stem", stem_of("image").alias("_image"), "sha256")
+    both = stated.join(found, ["corpus", "_image"], "left").where(~F.col("sha256").eqNullSafe(F.col("_found")))
+    return both.select("corpus", "stem", F.when(F.col("_found").isNull(), "missing").otherwise("hash").alias("fault"))
+
+
+def runs(spark: SparkSession, base: str) -> DataFrame:
+    """(model, corpus, ...) of every run record below ``<model>/<corpus>/``; model and corpus are the folders' names."""
+    read = spark.read.schema(RUN).option("multiLine", True).option("mode", "FAILFAST").options(recursiveFileLookup=True, pathGlobFilter="run.json").json(base)
+    at = F.input_file_name()
+    return read.select(_below(at, 2).alias("model"), _below(at, 1).alias("corpus"), "prompt_sha256", "corpus_manifest_sha256")
+
+
+def predicted_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(model, corpus, stem, prediction) of the texts below ``<model>/<corpus>/``."""
+    read = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    at = F.input_file_name()
+    return read.select(_below(at, 2).alias("model"), _below(at, 1).alias("corpus"), stem_of(at).alias("stem"), F.col("value").alias("prediction"))
+
+
 def last_by_stem(rows: DataFrame, order: str, stem: str = "stem") -> DataFrame:
     """Rows keyed by stem; of several, the last."""
     columns = [c for c in rows.columns if c != stem]
