@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from scrivana.plans import corpora, reports
+from scrivana.plans import corpora, formats, records, reports
 
 
 def _all() -> dict:
-    return reports.QUERIES | corpora.QUERIES
+    return reports.QUERIES | corpora.QUERIES | records.QUERIES | formats.QUERIES
 
 
 def queries() -> dict:
