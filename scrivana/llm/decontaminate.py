@@ -57,14 +57,20 @@ SKETCHES = [max(sketch_size(n) for n in range((1 << c >> 1) + 1, (1 << c) + 1))
 
 
 def words(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, _SPACES), lambda w: w != "")
+    """Words with A-Z in lower case; of a text without words, one empty one."""
+    said = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(said) == F.char_length(said)
+    low = F.when(plain, F.lower(said)).otherwise(F.translate(said, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.split(F.btrim(low, F.lit(" \t\n\x0b\x0c\r")), _SPACES)
 
 
-def shingles(of_words: Column, width: int) -> Column:
-    """64-bit hashes of every run of ``width`` words; none if there are fewer."""
-    run = F.transform(F.sequence(F.lit(1), F.size(of_words) - (width - 1)), lambda i: F.xxhash64(*(F.element_at(of_words, i + k) for k in range(width))))
-    return F.when(F.size(of_words) >= width, run).otherwise(F.array().cast("array<bigint>"))
+def shingle(of_words: Column, before: Column, width: int) -> Column:
+    """The 64-bit hash of the ``width`` words after the first ``before``."""
+    return F.xxhash64(*(F.element_at(of_words, before + k) for k in range(1, width + 1)))
+
+
+def all_shingles(of_words: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(of_words) - width), lambda i: shingle(of_words, i, width))
 
 
 def grams(of_words: Column, width: Column) -> Column:
@@ -76,11 +82,11 @@ def grams(of_words: Column, width: Column) -> Column:
 def item_sets(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(code, item, width, n, need, grams, sketch) of each item that has words; ``code`` stands for its id and text."""
     code = F.xxhash64(F.lit(SEED), F.col(key).isNull(), F.col(key), F.col(text))
-    w = items.select(code.alias("code"), F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    w = items.select(code.alias("code"), F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.col("w")[0] != "")
     w = w.withColumn("width", F.least(F.size("w"), F.lit(WIDTH))).withColumn("grams", grams(F.col("w"), F.col("width"))).withColumn("n", F.size("grams"))
     hashes = F.lit(None).cast("array<bigint>")
     for k in range(WIDTH, 0, -1):
-        hashes = F.when(F.col("width") == k, shingles(F.col("w"), k)).otherwise(hashes)
+        hashes = F.when(F.col("width") == k, all_shingles(F.col("w"), k)).otherwise(hashes)
     partition = F.least(F.ceil(F.log2(F.col("n").cast("double"))).cast("int"), F.lit(len(SKETCHES) - 1))
     ranked = F.array_sort(F.transform(F.array_distinct(hashes), lambda s: F.struct(F.xxhash64(F.lit(SEED), s).alias("rank"), s.alias("shingle"))))
     sketch = F.slice(ranked["shingle"], 1, F.element_at(F.array(*map(F.lit, SKETCHES)), partition + 1))
@@ -100,12 +106,15 @@ def contaminated_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, s
     widths = sorted((r[0] for r in sets.select("width").distinct().collect()), reverse=True) or [WIDTH]
     own = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("its_text"), F.col(text).alias("t"))
 
-    def of_width(k: int) -> Column:
-        return F.transform(shingles(F.col("w"), k), lambda s: F.struct(F.lit(k).alias("width"), s.alias("shingle")))
-
-    both = F.concat(*map(of_width, widths)) if len(widths) > 1 else of_width(widths[0])
-    held = own.select("doc", "its_text", words(F.col("t")).alias("w")).select("doc", "its_text", F.size("w").alias("n_words"), F.explode(both).alias("x"))
-    held = held.select("doc", "its_text", "n_words", "x.width", "x.shingle")
+    # words stay one array a document; a row a place holds no more than a number, so all of this is one generated loop
+    held = own.select("doc", "its_text", words(F.col("t")).alias("w"))
+    places = F.when(F.size("w") >= widths[-1], F.sequence(F.lit(0), F.size("w") - widths[-1]))
+    held = held.select("*", F.explode(places).alias("before")).withColumn("n_words", F.size("w"))
+    if len(widths) == 1:
+        held = held.select("doc", "its_text", "n_words", F.lit(widths[0]).alias("width"), shingle(F.col("w"), F.col("before"), widths[0]).alias("shingle"))
+    else:
+        fits = lambda k: F.when(F.col("before") + k <= F.col("n_words"), F.struct(F.lit(k).alias("width"), shingle(F.col("w"), F.col("before"), k).alias("shingle")))
+        held = held.select("doc", "its_text", "n_words", F.explode(F.array_compact(F.array(*map(fits, widths)))).alias("x")).select("doc", "its_text", "n_words", "x.*")
     enough = F.col("n_words") - F.col("width") + 1 >= F.col("need")
     candidates = scratch.put("candidates", held.join(_sized(probe), ["width", "shingle"]).where(enough).select("doc", "its_text", "code").distinct())
 
