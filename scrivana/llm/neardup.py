@@ -48,8 +48,8 @@ REFUSE_BELOW = 0.75 - 5 * (0.75 * 0.25 / HASHES) ** 0.5
 #: An estimate that takes a member out of a block's further comparisons.
 NEAR = 0.7
 BLOCK = 512
-#: Ids that may be broadcast to find texts again (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Rows of a written table that may be broadcast, some 70 bytes each in memory.
+BROADCAST_IDS = 250_000
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
