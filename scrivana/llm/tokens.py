@@ -12,7 +12,6 @@ by side in the order of their texts; a null doc_id sorts first; an empty table g
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,9 +29,9 @@ END_ID = 2
 LENGTH = 2048
 SHARD_BYTES = 24 << 20
 #: Texts encoded at once.
-BLOCK_BYTES = 4 << 20
-#: Pieces kept with their ids in each Python worker: so many new ones, and as many from before.
-KEPT_PIECES = 250_000
+BLOCK_BYTES = 8 << 20
+#: Pieces that go to the library in one line.
+IN_LINE = 512
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -48,13 +47,13 @@ _LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
 #: Units whose splits are plain: letters, then full stops and the like, on one line or several.
 PLAIN = rf"^ ?{_LETTER}+[.,;:!?]*(\n{_LETTER}+[.,;:!?]*)*$"
 SPLITS = r"([.,;:!?]+|\n)"
+_WHITE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: A piece that is split between two tabs as it is alone.
-_JOINS = re.compile(r" ?[^\s\u180e](?:[^\t]*[^\s\u180e])?").fullmatch
-_WHITE = r"^[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+JOINS = rf"^ ?[^{_WHITE}]([^\t]*[^{_WHITE}])?$"
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, each distinct piece of a text once.
+    """Whole texts to ids by the tokenizers library, each distinct piece of a block of texts once.
 
     The vocabulary's pattern always splits before a space that something other than white space follows, and merges
     never cross a split. So a text's ids are those of its units in a row: its parts between such spaces, each after the
@@ -70,7 +69,6 @@ class Encoder:
         self.controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.tab = self.library("\t")[0]
-        self.known, self.before = {"": b""}, {"": b""}
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -80,12 +78,10 @@ class Encoder:
         units, start, codes = self.units(no_nulls(texts))
         flat, ends = self.pieces_of(units)
         distinct = flat.dictionary_encode()
-        ids = self.ids_of(distinct.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        stored = pa.array(np.frombuffer(b"".join(ids), dtype=self.dtype))
-        of_piece = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), stored)
-        before = np.concatenate([[0], np.cumsum(sizes[distinct.indices.to_numpy()])])[ends]
-        of_unit = pa.LargeListArray.from_arrays(pa.array(before), of_piece.take(distinct.indices).flatten())
+        of_piece, place, sizes = self.ids_of(distinct.dictionary)
+        codes_ = place[distinct.indices.to_numpy()]
+        before = np.concatenate([[0], np.cumsum(sizes[codes_])])[ends]
+        of_unit = pa.LargeListArray.from_arrays(pa.array(before), of_piece.take(pa.array(codes_)).flatten())
         upto = np.concatenate([[0], np.cumsum(np.diff(before)[codes])])
         return np.diff(upto[start]), of_unit.take(pa.array(codes)).flatten().to_numpy()
 
@@ -94,7 +90,7 @@ class Encoder:
         lists = pc.split_pattern(texts, " ")
         start = lists.offsets.to_numpy().astype(np.int64)
         start, parts = start - start[0], lists.flatten()
-        glued = pc.or_(pc.equal(pc.binary_length(parts), 0), pc.match_substring_regex(parts, _WHITE)).to_numpy(zero_copy_only=False).copy()
+        glued = pc.or_(pc.equal(pc.binary_length(parts), 0), pc.match_substring_regex(parts, f"^[{_WHITE}]")).to_numpy(zero_copy_only=False).copy()
         for control in self.controls:
             glued |= np.repeat(pc.match_substring(texts, control).to_numpy(zero_copy_only=False), np.diff(start))
         glued[start[:-1]] = False
@@ -125,34 +121,32 @@ class Encoder:
         place[~from_plain] = np.arange((~from_plain).sum()) + from_plain.sum()
         return pa.concat_arrays([split.flatten(), units.filter(pc.invert(plain))]).take(pa.array(place)), ends
 
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces; many new ones go to the library at once, with tabs between, which are pieces of their own."""
-        if len(self.known) > KEPT_PIECES:
-            self.known, self.before = {}, self.known
-        out = list(map(self.known.get, pieces))
-        new = []
-        for i in [i for i, x in enumerate(out) if x is None]:
-            out[i] = self.known[pieces[i]] = self.before.get(pieces[i])
-            if out[i] is None:
-                new.append(i)
-        joined = [i for i in new if _JOINS(pieces[i])]
-        groups = [joined[k : k + 512] for k in range(0, len(joined), 512)]
-        lines = ["\t".join([pieces[i] for i in some]) for some in groups]
-        width = self.dtype.itemsize
-        for some, line, encoded in zip(groups, lines, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(encoded.ids, dtype=self.dtype)
-            cuts, raw = (np.flatnonzero(ids == self.tab) * width).tolist(), ids.tobytes()
-            if len(cuts) == len(some) - 1 and not any(c in line for c in self.controls):
-                for i, a, b in zip(some, [0, *(x + width for x in cuts)], [*cuts, len(raw)]):
-                    out[i] = raw[a:b]
-        for i in new:
-            if out[i] is None:
-                out[i] = self.library(pieces[i]).tobytes()
-            if len(pieces[i]) <= 64:
-                self.known[pieces[i]] = out[i]
-            else:
-                del self.known[pieces[i]]
-        return out
+    def ids_of(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Lists of ids, where each piece's list stands, and the lists' sizes. Most pieces go to the library in lines, with
+        tabs between, which are pieces of their own."""
+        joins = pc.match_substring_regex(pieces, JOINS)
+        for control in self.controls:
+            joins = pc.and_(joins, pc.invert(pc.match_substring(pieces, control)))
+        some, others = pieces.filter(joins), pieces.filter(pc.invert(joins))
+        starts = pa.array([*range(0, len(some), IN_LINE), len(some)] if len(some) else [0], pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(starts, some), pa.scalar("\t", pa.large_string())).to_pylist()
+        ids, sizes = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
+        for k, encoded in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            line = np.array(encoded.ids, dtype=self.dtype)
+            cuts = np.flatnonzero(line == self.tab)
+            n = min(IN_LINE, len(some) - k * IN_LINE)
+            if len(cuts) == n - 1:
+                ids.append(line[line != self.tab])
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(line)]])) - 1)
+            else:  # a vocabulary that merges tabs with other characters
+                own = [self.library(x) for x in some.slice(k * IN_LINE, n).to_pylist()]
+                ids += own
+                sizes.append(np.array(list(map(len, own))))
+        own = [self.library(x) for x in others.to_pylist()]
+        ids, sizes = np.concatenate([*ids, *own]), np.concatenate([*sizes, np.array(list(map(len, own)), dtype=np.int64)])
+        joined, place = joins.to_numpy(zero_copy_only=False), np.empty(len(pieces), dtype=np.int64)
+        place[joined], place[~joined] = np.arange(len(some)), len(some) + np.arange(len(others))
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(ids)), place, sizes
 
 
 _encoders: dict[str, Encoder] = {}

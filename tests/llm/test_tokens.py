@@ -36,11 +36,17 @@ def test_control_strings_and_nulls():
     assert encoded(["x " * 3 + "<|endoftext|>" + "y" * 1000]) == [reference("x " * 3 + "<|endoftext|>" + "y" * 1000)]
 
 
-def test_pieces_are_forgotten(monkeypatch):
-    monkeypatch.setattr(T, "KEPT_PIECES", 10)
-    texts = [" ".join(f"word{a} {a}x." for a in range(k, k + 30)) for k in range(0, 60, 10)]
-    for text in texts * 2:
-        assert encoded([text]) == [reference(text)]
+def test_many_lines_of_pieces(monkeypatch):
+    monkeypatch.setattr(T, "IN_LINE", 3)
+    texts = [" ".join(f"word{a} {a}x. Ünt\tz" for a in range(k, k + 30)) for k in range(0, 60, 10)]
+    assert encoded(texts) == list(map(reference, texts))
+
+
+def test_a_vocabulary_that_merges_tabs(monkeypatch):
+    encoder = T.Encoder(T.tokenizer_path())
+    monkeypatch.setattr(encoder, "tab", -1)
+    sizes, ids = encoder.encode(pa.array(["one two three", "four. five"]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [reference("one two three"), reference("four. five")]
 
 
 def test_shards_are_placed_by_groups(spark, monkeypatch):
