@@ -1,14 +1,17 @@
 r"""Personal data by weak supervision.
 
 Four base kinds (email, ip, card, phone) are found by fixed rules and always stay. Looser patterns propose
-further candidates (identity numbers, accounts, local phone numbers, secrets, names). Labelers vote on each
-candidate: a regex labeler on its form, a gazetteer labeler on known words in or before it, a context labeler on
-the characters around it, a repetition labeler on its variety. Votes are +1, 0 or -1. Expectation-maximisation
-over the counts of vote patterns estimates each labeler's reliability and each kind's share of true spans; its
-posteriors then train a logistic span classifier on the candidates' features, which decides.
-
-Votes and features have few values, so the statistics of all documents are counts of patterns: the driver gets one
-row for each pattern, however many documents there are.
+further candidates: identity numbers, accounts, local phone numbers, secrets of any length (also assigned ones and
+armoured keys), names after a title or a cue. Labelers vote on each candidate: a regex labeler on its form, a gazetteer
+labeler on known words in or before it, a context labeler on the characters around it, a variety labeler on its
+characters. Votes are +1, 0 or -1. Expectation-maximisation over the counts of vote patterns estimates each labeler's
+reliability and each kind's share of true spans. Its posteriors then train the final span classifier, a logistic
+regression on hashed features of the span and the words around it. It sees no vote, so it can overrule the labelers,
+and it decides.
+
+Votes have few values, so the statistics of all documents are counts of patterns: the driver gets one row for each
+pattern, however many documents there are. The classifier is fitted on at most ``sample`` candidates, those with the
+smallest hash of document and place; every candidate is decided by it.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans; repeated rows are each searched; an
 empty table gives an empty table; other columns are not read. No pattern backs up over more than it matched, so
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,20 +93,27 @@ def base_spans(text: str, has_digits: bool) -> list[tuple[str, int, int]]:
     return found
 
 
-_TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Madame", "Monsieur")
+_TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Madame", "Monsieur", "Mme", "Mlle")
+_NAME_CUES = ("name", "contact", "dear", "attn", "signed", "regards", "sincerely", "nombre", "nom", "kontakt", "gezeichnet", "firmado", "cordialement")
+_SECRET_CUES = ("key", "token", "secret", "password", "passwd", "pwd", "credential", "passwort", "contraseña", "mot de passe")
+_PART = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++"
+#: A group is the span, where there is one. Account numbers of ISO 13616 have 15 to 34 characters.
 _CANDIDATES = (
-    ("identity", True, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("local_phone", True, re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")),
-    ("account", True, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")),
-    ("secret", True, re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_/+-])")),
-    ("name", False, re.compile(r"(?<!\w)(?:" + "|".join(_TITLES) + r")\.? [A-ZÀ-Þ][a-zß-ÿ]{1,30}(?: [A-ZÀ-Þ][a-zß-ÿ]{1,30})?(?!\w)")),
+    ("secret", "-----BEGIN", re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[^-]++-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----")),
+    ("identity", None, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("local_phone", None, re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")),
+    ("account", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")),
+    ("secret", None, re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_/+-])")),
+    ("secret", "", re.compile(r"(?i:" + "|".join(_SECRET_CUES) + r") ?[=:] ?[\"']?([^\s\"']{8,}+)")),
+    ("name", "", re.compile(r"(?<!\w)(?:" + "|".join(_TITLES) + r")\.? " + _PART + r"(?:[ -]" + _PART + r")?+(?!\w)")),
+    ("name", "", re.compile(r"(?<!\w)(?i:" + "|".join(_NAME_CUES) + r")[:,]?\s(" + _PART + "[ -]" + _PART + r")(?!\w)")),
 )
 _CUES = {
-    "identity": ("ssn", "social security", "identity", "passport", "id no", "tax"),
-    "local_phone": ("phone", "tel", "call", "mobile", "fax", "cell"),
-    "account": ("iban", "account", "konto", "compte", "cuenta", "bank"),
-    "secret": ("key", "token", "secret", "password", "passwd", "api", "auth", "bearer"),
-    "name": ("name", "contact", "dear", "regards", "signed", "from", "attn"),
+    "identity": ("ssn", "social security", "identity", "passport", "id no", "tax", "dni", "nif", "ausweis"),
+    "local_phone": ("phone", "tel", "call", "mobile", "fax", "cell", "handy", "móvil", "portable"),
+    "account": ("iban", "account", "konto", "compte", "cuenta", "bank", "swift"),
+    "secret": (*_SECRET_CUES, "api", "auth", "bearer"),
+    "name": (*_NAME_CUES, "from"),
 }
 _KNOWN_FORMS = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_|sk[-_]|xox[abprs]-|AIza|eyJ)")
 
@@ -126,7 +137,7 @@ def form_vote(kind: str, s: str) -> int:
     if kind == "account":
         return 1 if iban_holds(s) else -1
     if kind == "secret":
-        if _KNOWN_FORMS.match(s):
+        if _KNOWN_FORMS.match(s) or s.startswith("-----BEGIN"):
             return 1
         mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
         return -1 if not mixed else 1 if entropy(s) >= 3.2 else 0
@@ -151,26 +162,47 @@ def variety_vote(kind: str, s: str) -> int:
 
 
 LABELERS = ("form", "gazetteer", "context", "variety")
+#: Hashed features of the span classifier have so many places.
+PLACES = 1 << 14
+SAMPLE = 20_000
+_CLASSES = str.maketrans({**{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "0" for c in "0123456789"}})
+_WORDS = re.compile(r"\w+")
+
+
+def place(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature.encode()) % PLACES
+
+
+def features(kind: str, s: str, before: str, after: str) -> list[int]:
+    """Places of what the span and its surroundings look like: no vote is among them."""
+    shape = s.translate(_CLASSES)
+    steps = {a + b for a, b in zip(shape, shape[1:])}
+    digits, capitals = shape.count("0") / len(s), shape.count("A") / len(s)
+    words = _WORDS.findall(before.lower())[-3:]
+    found = [kind, f"n {len(s).bit_length()}", f"0 {digits:.1f}", f"A {capitals:.1f}", f"k {len(set(s)).bit_length()}", f"h {entropy(s):.0f}", f"b {before[-1:].translate(_CLASSES)}", f"a {after[:1].translate(_CLASSES)}"]
+    found += [f"w {w}" for w in words] + [f"s {x}" for x in sorted(steps)]
+    return sorted({place(x) for f in found for x in (f, f"{kind} {f}")})
 
 
 def candidates(text: str, has_digits: bool, taken: list[tuple[str, int, int]]) -> list[dict]:
-    """Candidates that meet no base span nor one another, each with its votes and its length class."""
+    """Candidates that meet no base span nor one another, each with its votes and its features."""
     out: list[dict] = []
     busy = [(a, b) for _, a, b in taken]
-    for kind, digits, pattern in _CANDIDATES:
-        if digits and not has_digits or not digits and not any(t in text for t in _TITLES):
+    for kind, needs, pattern in _CANDIDATES:
+        if needs is None and not has_digits or needs and needs not in text:
             continue
         for m in pattern.finditer(text):
-            a, b = m.span()
-            s = m[0]
-            if kind == "secret" and not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+            group = 1 if pattern.groups else 0
+            a, s = m.start(group), m[group] if kind == "name" else m[group].rstrip(".,;:!?)]}")
+            b = a + len(s)
+            if kind == "secret" and needs is None and not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
                 continue
             if any(x < b and a < y for x, y in busy):
                 continue
             busy.append((a, b))
             before, after = text[max(0, a - 32) : a], text[b : b + 2]
             votes = (form_vote(kind, s), cue_vote(kind, before), context_vote(before, after), variety_vote(kind, s))
-            out.append({"kind": kind, "start": a, "end": b, "votes": "".join("-0+"[v + 1] for v in votes), "size": min(3, (b - a) // 12)})
+            out.append({"kind": kind, "start": a, "end": b, "votes": "".join("-0+"[v + 1] for v in votes), "features": features(kind, s, before, after)})
     return out
 
 
@@ -178,8 +210,8 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, candidates array<struct<kind:string,start:int,end:int,votes:string,size:int>>"
-_CANDIDATE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("size", pa.int32())]))
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, candidates array<struct<kind:string,start:int,end:int,votes:string,features:array<int>>>"
+_CANDIDATE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -223,40 +255,48 @@ class LabelModel:
         self.reliability = {} if not len(patterns) else {name: float(both[1][votes[:, j] == 2].sum() + both[0][votes[:, j] == 0].sum()) / max(1e-9, float(counts[votes[:, j] != 1].sum())) for j, name in enumerate(LABELERS)}
 
 
-def span_features(kind: str, votes: str, size: int) -> list[float]:
-    return [1.0, *(float(kind == k) for k in ADDED), *(float(v == x) for v in votes for x in "-+"), *(float(size == s) for s in range(4))]
+def loss_and_slope(w: np.ndarray, row: np.ndarray, what: np.ndarray, target: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Minus the mean log likelihood of soft labels, with a ridge, and its slope. w: PLACES weights and a constant."""
+    score = np.bincount(row, weights=w[what], minlength=len(target)) + w[-1]
+    loss = np.logaddexp(0, score) - target * score
+    error = 1 / (1 + np.exp(-np.clip(score, -500, 500))) - target
+    slope = np.append(np.bincount(what, weights=error[row], minlength=PLACES), error.sum()) / len(target)
+    return float(loss.mean() + ridge / 2 * (w @ w)), slope + ridge * w
 
 
-def fit_classifier(rows: list[tuple[str, str, int]], counts: np.ndarray, target: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression on the posteriors, by Newton steps."""
-    x = np.array([span_features(*r) for r in rows]).reshape(len(rows), 1 + len(ADDED) + 2 * len(LABELERS) + 4)
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds if len(rows) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (counts * (p - target)) + ridge * w
-        curve = (x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(curve, slope)
+def fit_classifier(row: np.ndarray, what: np.ndarray, target: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic regression on the posteriors, by full-batch AdaGrad."""
+    w, seen = np.zeros(PLACES + 1), np.full(PLACES + 1, 1e-12)
+    for _ in range(rounds if len(target) else 0):
+        _, slope = loss_and_slope(w, row, what, target, ridge)
+        seen += slope * slope
+        w -= 0.5 * slope / np.sqrt(seen)
     return w
 
 
-def personal_data(spark: SparkSession, docs: DataFrame, threshold: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
+def personal_data(spark: SparkSession, docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
     """One row a document: counts of the base kinds, a digest of the base spans, and all spans."""
     scratch = scratch or Scratch(spark, "pii")
     found = scratch.put("found", find(docs))
-    seen = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.size").agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = sorted((r["kind"], r["votes"], r["size"], r["n"]) for r in seen)
-    counts = np.array([r[3] for r in rows], dtype=float)
-    model = LabelModel([r[:2] for r in rows], counts)
-    w = fit_classifier([r[:3] for r in rows], counts, model.posterior)
-    chosen = {r[:3] for r in rows if float(np.array(span_features(*r[:3])) @ w) >= math.log(threshold / (1 - threshold))}
+    each = found.select("doc_id", F.explode("candidates").alias("c"))
+    seen = sorted((r["kind"], r["votes"], r["n"]) for r in each.groupBy("c.kind", "c.votes").agg(F.count(F.lit(1)).alias("n")).collect())
+    model = LabelModel([r[:2] for r in seen], np.array([r[2] for r in seen], dtype=float))
+    posterior = {r[:2]: p for r, p in zip(seen, model.posterior)}
+    order_ = (F.xxhash64("doc_id", "c.start", "c.kind"), "doc_id", "c.start", "c.votes")
+    rows = each.orderBy(*order_).limit(sample).select("c.kind", "c.votes", "c.features").toArrow()
+    lists = rows.column("features").to_pylist()
+    row, what = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64), np.array([x for f in lists for x in f], dtype=np.int64)
+    w = fit_classifier(row, what, np.array([posterior[k] for k in zip(rows.column("kind").to_pylist(), rows.column("votes").to_pylist())]))
+    sent, least = spark.sparkContext.broadcast(w.astype(np.float32)), math.log(threshold / (1 - threshold))
     order = {k: i for i, k in enumerate(BASE + ADDED)}
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
         for batch in batches:
             base, more = batch.column(5).to_pylist(), batch.column(6).to_pylist()
             spans, added = [], []
             for b, cs in zip(base, more):
-                new = [(c["kind"], c["start"], c["end"]) for c in cs if (c["kind"], c["votes"], c["size"]) in chosen]
+                new = [(c["kind"], c["start"], c["end"]) for c in cs if float(w[c["features"]].sum() + w[-1]) >= least]
                 added.append(len(new))
                 if new:
                     own = [(k, int(x), int(y)) for k, x, y in (s.split(":") for s in b.split(","))] if b else []

@@ -136,7 +136,7 @@ def test_long_secrets_are_candidates():
     """Tokens of any length are candidates, as a whole, and are found in linear time."""
     for n in (19, 20, 200, 201, 5000, 300_000):
         token = ("aB3_" * n)[:n]
-        got = pii.candidates(f"key: {token}.", True, [])
+        got = pii.candidates(f"seen {token}.", True, [])
         assert [(c["kind"], c["start"], c["end"]) for c in got] == ([("secret", 5, 5 + n)] if n >= 20 else [])
     assert pii.candidates(("aB3_" * 100_000) + "/x", True, []) == []
 
@@ -155,6 +155,75 @@ def test_label_model_finds_the_reliable_labeler():
     assert r[0] > r[3] + 0.2 and abs(r[0] - 0.95) < 0.04
 
 
+def test_label_model_by_single_candidates():
+    """Counts of patterns give what the same steps give candidate by candidate."""
+    rng = random.Random(5)
+    seen = [(rng.choice(["secret", "name"]), "".join(rng.choice("-0+") for _ in range(4))) for _ in range(300)]
+    patterns = sorted(set(seen))
+    model = pii.LabelModel(patterns, np.array([seen.count(k) for k in patterns], dtype=float), rounds=7)
+    p = [1 / (1 + math.exp(-1.5 * sum("-0+".index(c) - 1 for c in v))) for _, v in seen]
+    for _ in range(7):
+        share = {k: (sum(x for x, s in zip(p, seen) if s[0] == k) + 1) / (sum(s[0] == k for s in seen) + 2) for k in ("secret", "name")}
+        like = [[{}, {}, {}, {}], [{}, {}, {}, {}]]
+        for y, prior in ((0, {"-": 2, "0": 2, "+": 1}), (1, {"-": 1, "0": 2, "+": 2})):
+            for j in range(4):
+                n = {c: prior[c] + sum((x if y else 1 - x) for x, s in zip(p, seen) if s[1][j] == c) for c in "-0+"}
+                like[y][j] = {c: n[c] / sum(n.values()) for c in n}
+        p = []
+        for k, v in seen:
+            yes, no = share[k], 1 - share[k]
+            for j, c in enumerate(v):
+                yes, no = yes * like[1][j][c], no * like[0][j][c]
+            p.append(yes / (yes + no))
+    want = dict(zip(seen, p))
+    assert np.allclose(model.posterior, [want[k] for k in patterns])
+
+
+def test_span_classifier_slope():
+    rng = np.random.default_rng(2)
+    row, what, target = np.repeat(np.arange(20), 4), rng.integers(0, 30, 80), rng.random(20)
+    w = np.append(rng.normal(size=pii.PLACES), 0.3)
+    loss, slope = pii.loss_and_slope(w, row, what, target, 0.01)
+    plain = 0.0
+    for i, t in enumerate(target):
+        q = 1 / (1 + math.exp(-(sum(w[f] for f in what[row == i]) + w[-1])))
+        plain -= (t * math.log(q) + (1 - t) * math.log(1 - q)) / 20
+    assert math.isclose(loss, plain + 0.005 * (w @ w), rel_tol=1e-9)
+    for f in (*range(30), pii.PLACES):
+        step = np.zeros(len(w))
+        step[f] = 1e-5
+        assert abs((pii.loss_and_slope(w + step, row, what, target, 0.01)[0] - pii.loss_and_slope(w - step, row, what, target, 0.01)[0]) / 2e-5 - slope[f]) < 1e-6
+    fitted = pii.fit_classifier(row, what, target, rounds=2000, ridge=1e-3)
+    assert np.abs(pii.loss_and_slope(fitted, row, what, target, 1e-3)[1]).max() < 1e-3
+
+
+def test_spans_on_held_out_texts(spark, docs):
+    """True spans and look-alikes in prose: most true ones are found, few look-alikes are."""
+    rng = random.Random(17)
+    words = ["alpha", "river", "stone", "window", "garden", "yellow", "paper", "music", "winter", "market"]
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    plain = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(5, 30)))
+    true = [lambda: f'token = "{hexes(40)}"', lambda: f"password: {hexes(12)}X!", lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJ0123456789", k=16)), lambda: f"SSN {rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", lambda: "Dear " + rng.choice(["Anna Berg", "Jean Petit", "María Sol"]), lambda: "IBAN DE89370400440532013000", lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + hexes(400) + "\n-----END RSA PRIVATE KEY-----"]
+    false = [lambda: "a1" * 15, lambda: "z9" * 25, lambda: "000-00-0000", lambda: "XX00" + "1" * 14]
+    texts, what = {}, {}
+    for i in range(1200):
+        kind = i % 3
+        made = rng.choice(true)() if kind == 0 else rng.choice(false)() if kind == 1 else ""
+        before = plain() + " "
+        texts[i], what[i] = f"{before}{made} {plain()}", (kind, len(before), len(before) + len(made))
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark, docs(texts)).collect()}
+    found = [any(a >= what[i][1] and b <= what[i][2] + 1 for _, a, b in ((k, int(x), int(y)) for k, x, y in (s.split(":") for s in got[i].split(",") if s))) for i in texts]
+    assert np.mean([f for i, f in enumerate(found) if i % 3 == 0]) > 0.9
+    assert np.mean([f for i, f in enumerate(found) if i % 3 == 1]) < 0.1
+    assert not any(got[i] for i in texts if i % 3 == 2)
+
+
+def test_candidates_of_all_patterns():
+    for said, kind, span in (("mail password: hunter2hunter2 now", "secret", "hunter2hunter2"), ("x -----BEGIN PRIVATE KEY-----\nabc+/=\n-----END PRIVATE KEY----- y", "secret", "-----BEGIN PRIVATE KEY-----\nabc+/=\n-----END PRIVATE KEY-----"), ("Mrs. Élise Müller said", "name", "Mrs. Élise Müller"), ("signed Anne-Marie Dupont", "name", "Anne-Marie"), ("contact: Eva " + "A" + "b" * 500, "name", "Eva A" + "b" * 500)):
+        got = pii.candidates(said, True, [])
+        assert (kind, span) in [(c["kind"], said[c["start"] : c["end"]]) for c in got]
+
+
 # quality
 
 def test_ordinal_learns_order_and_held_out_grades(spark, docs, clashing):
