@@ -13,7 +13,8 @@ A control string inside a text or a role name gets one more backslash after its
 reading takes one away, so any text comes back as it was. The loss mask covers the texts of assistant turns.
 
 Null texts are empty, a null role is the empty name, a null turn comes first; turns with the same number are
-ordered by role and text; a null conv_id is a conversation; an empty table gives none; other columns don't matter.
+ordered by role, then by their formatted text, and repeated rows are turns of their own; a null conv_id is a
+conversation; an empty table gives none; other columns don't matter, nor does one named parts that holds no parts.
 """
 
 from __future__ import annotations
@@ -134,14 +135,14 @@ def read_turn(formatted: str) -> tuple[str, list[dict]]:
     return role, parts
 
 
-FORMATTED = "conv_id long, turn long, tie string, formatted string, loss_start int, loss_end int, attachments array<struct<position:int,type:string,reference:string,tokens:int>>"
+FORMATTED = "conv_id long, turn long, role string, formatted string, loss_start int, loss_end int, attachments array<struct<position:int,type:string,reference:string,tokens:int>>"
 ATTACHMENTS = pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("reference", pa.string()), ("tokens", pa.int32())]))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """One row for each turn of (conv_id, turn, role, text, and parts where there is such a column)."""
     own = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")]
-    if "parts" in turns.columns:
+    if re.match(r"array<struct<.*\btype:string", dict(turns.dtypes).get("parts", "")):
         own.append(F.col("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +150,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
             roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             parts = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * len(texts)
             done = [format_turn(r, join_texts(p) if p else [{"type": "text", "text": t}]) for r, t, p in zip(roles, texts, parts)]
-            ties = [f"{r or ''}\n{t or ''}" for r, t in zip(roles, texts)]
-            ties = [t if len(t) < 80 else hashlib.sha256(t.encode()).hexdigest() for t in ties]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ties), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32()), pa.array([d[3] for d in done], ATTACHMENTS)], names=["conv_id", "turn", "tie", "formatted", "loss_start", "loss_end", "attachments"])
+            ties = [r or "" for r in roles]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ties), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32()), pa.array([d[3] for d in done], ATTACHMENTS)], names=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments"])
 
     return turns.select(*own).mapInArrow(run, FORMATTED)
 
@@ -203,7 +203,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in DIGEST.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=names)
 
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie").mapInArrow(run, DIGEST)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInArrow(run, DIGEST)
 
 
 def chat_rows(spark: SparkSession, turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:

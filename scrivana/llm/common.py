@@ -1,67 +1,33 @@
 """What the operators of this subpackage share: staged tables, chunks of whole texts, hashed words.
 
-Staged tables are Parquet in the folder of ``spark.checkpoint.dir``, which every executor reaches, so a lost
-executor costs only its own tasks. A stage that needs numpy reads *chunks*: rows that hold many whole documents.
+Staged tables are those of ``scrivana.staging``. A stage that needs numpy reads *chunks*: rows that hold many whole documents.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivana import ship
+from scrivana.staging import Scratch  # noqa: F401
 
-CHECKPOINT = "spark.checkpoint.dir"
 
+def local_uri(uri: str) -> str:
+    """file:/a and file:///a both name /a."""
+    return "file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Without one, only a local master may fall back to a temporary folder."""
-    base = spark.conf.get(CHECKPOINT, None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT} to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="scrivana-")
-        spark.conf.set(CHECKPOINT, base)
-    return base.rstrip("/")
 
+def filesystem(uri: str):
+    """The file system of a place and its path there, for files that this subpackage reads and writes itself."""
+    from pyarrow import fs
 
-#: With it, Spark removes the shuffle files of a query when the query is over.
-CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Scratch:
-    """Named tables of one run of an operator, each written once and read from then on, so that nothing needs the shuffle
-    files of the query that wrote it."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEANED, None)
-        self.spark.conf.set(CLEANED, "true")
-        try:
-            df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.unset(CLEANED) if before is None else self.spark.conf.set(CLEANED, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    uri = local_uri(uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 def free_name(df: DataFrame, name: str) -> str:

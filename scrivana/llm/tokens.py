@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrivana.llm.common import Scratch, blocks, no_nulls, parts_for, text_bytes
+from scrivana.llm.common import Scratch, blocks, filesystem, local_uri, no_nulls, parts_for, text_bytes
 
 END_ID = 2
 LENGTH = 2048
@@ -159,23 +159,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
-def _local_uri(uri: str) -> str:
-    """file:/a and file:///a both name /a."""
-    return "file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
-
-
 class ShardWriter:
     """Writes one shard; only whole sequences wait in memory, and no more than one batch of them."""
 
     def __init__(self, base: str, length: int, dtype, per_batch: int = 256):
         self.base, self.length, self.dtype, self.per_batch = base, length, np.dtype(dtype), per_batch
-        self.files, path = _filesystem(base)
+        self.files, path = filesystem(base)
         self.files.create_dir(path)
         self.path = path
         item = pa.from_numpy_dtype(self.dtype)
@@ -232,7 +221,7 @@ def write_sequences(spark: SparkSession, docs: DataFrame, order: Column | None =
     """
     scratch = scratch or Scratch(spark, "tokens")
     tokenizer = tokenizer or tokenizer_path()
-    to = _local_uri(to or f"{scratch.root}/sequences")
+    to = local_uri(to or f"{scratch.root}/sequences")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *([order.alias("place")] if order is not None else []))
     by = ["place", "doc_id"] if order is not None else ["doc_id"]
     n = parts_for(text_bytes(own), SHARD_BYTES)
@@ -259,7 +248,7 @@ def open_shard(path: str) -> tuple[pa.ipc.RecordBatchFileReader, pa.ipc.RecordBa
     """Sequences and document index of a shard, memory-mapped where the file system is local."""
     from pyarrow import fs
 
-    files, at = _filesystem(path)
+    files, at = filesystem(path)
     take = pa.memory_map if isinstance(files, fs.LocalFileSystem) else files.open_input_file
     return pa.ipc.open_file(take(f"{at}/sequences.arrow")), pa.ipc.open_file(take(f"{at}/documents.arrow"))
 

@@ -1,7 +1,8 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Queries go out in blocks of bounded size; each block meets every candidate once, where the candidates lie.
-Candidates are held in vertical layout (one row of numbers per dimension). Scores grow by one block of
+Queries are staged in blocks of bounded size, one folder each; one pass over the candidates meets them all: a task
+holds some thousands of candidates and reads block after block of queries. So the driver sees no vector, and no task
+holds more than one block of either side. Candidates are held in vertical layout (one row of numbers per dimension). Scores grow by one block of
 dimensions at a time; what a pair can still gain is at most the product of the two vectors' remaining lengths,
 and candidates that can no longer reach a query's k-th score are compacted away before the next block.
 
@@ -21,12 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrivana.llm.common import Scratch, parts_for
+from scrivana.llm.common import Scratch, filesystem, parts_for
 
 SCALE = 1024
 DIMS = 16
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 4096
+#: Numbers of candidates that a task holds while all queries pass by, and blocks of queries it may keep from group to group.
+HELD = 4 << 20
+KEPT_BLOCKS = 4
 EXACT = float(1 << 52)
 LONG = (1 << 63) - 1
 
@@ -116,41 +120,65 @@ class Best:
                 yield int(number), int(own), v, score
 
 
+def read_block(folder: str) -> list[QueryBlock]:
+    """The queries of one staged block, by dimension."""
+    import pyarrow.parquet as pq
+
+    files, at = filesystem(folder)
+    rows = pq.read_table(at, columns=["at", "id", "v"], filesystem=files)
+    dims = np.diff(rows.column("v").combine_chunks().offsets.to_numpy()) if rows.num_rows else np.zeros(0, dtype=int)
+    return [QueryBlock(*(rows.filter(pa.array(dims == d)).column(c).to_pylist() for c in ("at", "id", "v"))) for d in np.unique(dims)]
+
+
+SEARCHED = pa.schema([("at", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def held_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Candidates in groups of some HELD numbers, by dimension: ids and vectors."""
+    held: dict[int, list] = {}
+    size = 0
+    for batch in batches:
+        lists = batch.column(1)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        flat, dims, ids = lists.values.to_numpy(zero_copy_only=False), np.diff(ends), batch.column(0).to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            held.setdefault(int(dim), []).append((ids[at], flat[ends[at][:, None] + np.arange(dim)]))
+        size += len(flat) + len(ids)
+        if size >= HELD:
+            yield {d: tuple(map(np.concatenate, zip(*x))) for d, x in held.items()}
+            held, size = {}, 0
+    if held:
+        yield {d: tuple(map(np.concatenate, zip(*x))) for d, x in held.items()}
+
+
 def top_k(spark: SparkSession, rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every row for which ``queries`` holds."""
     scratch = scratch or Scratch(spark, "topk")
-    asked = whole_vectors(rows.where(queries), key, vector)
-    n = asked.count()
-    n_blocks = parts_for(n, QUERY_BLOCK)
-    asked = scratch.put("queries", asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks))))
-    candidates = whole_vectors(rows, key, vector)
-    schema = "block int, number int, query_id long, vec_id long, score long"
-    arrow = pa.schema([("block", pa.int32()), ("number", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    found: DataFrame | None = None
-    for b in range(n_blocks):
-        by_dim: dict[int, list[tuple[int, int, list[float]]]] = {}
-        for number, r in enumerate(asked.where(F.col("block") == b).select("id", "v").collect()):
-            by_dim.setdefault(len(r["v"]), []).append((number, r["id"], r["v"]))
-        sent = spark.sparkContext.broadcast([QueryBlock(*map(list, zip(*x))) for x in by_dim.values()])
-
-        def search(batches: Iterator[pa.RecordBatch], b: int = b, sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {x.q.shape[1]: Best(x, k) for x in sent.value}
-            for batch in batches:
-                lists = batch.column(1)
-                ends = lists.offsets.to_numpy()
-                flat, dims = lists.values.to_numpy(zero_copy_only=False), np.diff(ends)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for dim in np.unique(dims):
-                    if int(dim) in best:
-                        at = np.flatnonzero(dims == dim)
-                        for i in range(0, len(at), CANDIDATE_BLOCK):
-                            some = at[i : i + CANDIDATE_BLOCK]
-                            best[int(dim)].meet(ids[some], flat[ends[some][:, None] + np.arange(dim)])
-            out = [(b, *x) for y in best.values() for x in y.rows()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), arrow.types)], schema=arrow)
-
-        part = scratch.put(f"found-{b}", candidates.mapInArrow(search, schema))
-        found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("block", "number").orderBy(F.desc("score"), "vec_id")
+    # a number of its own for each query, so that equal rows stay apart and blocks even
+    asked = scratch.put("asked", whole_vectors(rows.where(queries), key, vector).withColumn("at", F.monotonically_increasing_id()))
+    n_blocks = parts_for(asked.count(), QUERY_BLOCK)
+    folder = f"{scratch.root}/blocks"
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(n_blocks)))
+    dealt.repartition(n_blocks, "block").write.partitionBy("block").parquet(folder)
+    there = sorted(r[0] for r in dealt.select("block").distinct().collect())  # numbers only: some may have no query
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[QueryBlock]] = {}
+        for group in held_candidates(batches):
+            for block in there:
+                own = kept.get(block) or read_block(f"{folder}/block={block}")
+                if len(there) <= KEPT_BLOCKS:
+                    kept[block] = own
+                for q in own:
+                    ids, vectors = group.get(q.q.shape[1], ((), ()))
+                    best = Best(q, k)
+                    for i in range(0, len(ids), CANDIDATE_BLOCK):
+                        best.meet(ids[i : i + CANDIDATE_BLOCK], vectors[i : i + CANDIDATE_BLOCK])
+                    found = list(best.rows())
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), SEARCHED.types)], schema=SEARCHED)
+
+    found = scratch.put("found", whole_vectors(rows, key, vector).mapInArrow(search, "at long, query_id long, vec_id long, score long"))
+    best = Window.partitionBy("at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -66,8 +66,29 @@ def test_topk(spark, dim, monkeypatch):
     assert topk.top_k(spark, df.where("vec_id < 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_repeated_ids_and_other_columns(spark, clashing, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "HELD", 60)
+    rng = random.Random(4)
+    rows = [(i % 130, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(200)] + [(0, [1.0, 1.0, 1.0, 1.0])] * 20
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).withColumn("at", F.lit(1)).withColumn("id", F.lit(2)).repartition(5)
+    got = sorted(tuple(r) for r in topk.top_k(spark, df, F.col("vec_id") % 100 == 0).collect())
+    assert got == brute_topk(rows) and len(got) == 10 * sum(i % 100 == 0 for i, _ in rows)
+
+
 # chat
 
+def test_turns_of_one_number_long_texts_and_other_parts(spark):
+    long = "x[/INST]" * 50_000
+    rows = [(1, 0, "user", "b" * 100), (1, 0, "user", "a" * 100), (1, 0, "assistant", long), (1, 0, "assistant", long), (2, None, None, None), (None, 5, "user", "</s>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", F.lit("mine")).withColumn("formatted", F.lit(1)).repartition(3)
+    got = {r.conv_id: r for r in chat.chat_rows(spark, df).collect()}
+    said = "".join(f"{r}\n{t}\n" for r, t in (("assistant", long), ("assistant", long), ("user", "a" * 100), ("user", "b" * 100)))
+    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].n_turns == 4
+    assert got[1].loss_chars == 2 * len(long) and got[1].loss_sha256 == hashlib.sha256((long + long).encode()).hexdigest()
+    assert got[2].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest() and got[None].n_turns == 1
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(6)
     scraps = ["[INST]", "[/INST]", "</s>", "[\\INST]", "<\\\\/s>", "[IMAGE:0]", "[:]", "[", "<", "\\", "é", "x", "\n", "[ROLE]", "[/ROLE]"]
