@@ -42,10 +42,11 @@ def unbalanced(events: DataFrame, page: list[str], kind: str = "kind") -> DataFr
     return events.groupBy(*page).agg(*balance).where(" or ".join(f"{a} <> 0" for a, _ in pairs))
 
 
-def table_rows(events: DataFrame, page: list[str], seq: str = "seq") -> DataFrame:
+def table_rows(events: DataFrame, page: list[str], seq: str = "seq", sub_line_join: str = "\n", newline_join: str = "\n") -> DataFrame:
     """(page, table_no, row_no, header, cells): captured cells by row, sub-lines folded into their column's cell.
 
-    A sub-line joins the cell of its column in the same row, or in the row before where its own row has none.
+    ``sub_line_join`` stands between a cell and its sub-lines, ``newline_join`` for line ends inside any of them, as the
+    serialisation policy says. A sub-line joins the cell of its column in the same row, or in the row before where its own row has none.
     """
     numbered = table_numbers(events, page, seq)
     keys = [*page, "table_no", "row_no"]
@@ -54,7 +55,8 @@ def table_rows(events: DataFrame, page: list[str], seq: str = "seq") -> DataFram
     here = lines.join(cells.select(*keys, "column_key", F.lit(0).alias("_back")), [*keys, "column_key"], "left")
     target = here.withColumn("row_no", F.when(F.col("_back").isNull(), F.col("row_no") - 1).otherwise(F.col("row_no")))
     subs = target.groupBy(*keys, "column_key").agg(F.array_sort(F.collect_list(F.struct("_line", "_sub"))).alias("_subs"))
-    text = F.concat(F.col("text"), F.coalesce(F.array_join(F.transform("_subs", lambda x: F.concat(F.lit("\n"), x["_sub"])), ""), F.lit("")))
+    text = F.concat(F.col("text"), F.coalesce(F.array_join(F.transform("_subs", lambda x: F.concat(F.lit(sub_line_join), x["_sub"])), ""), F.lit("")))
+    text = F.replace(text, F.lit("\n"), F.lit(newline_join)) if newline_join != "\n" else text
     full = cells.join(subs, [*keys, "column_key"], "left").withColumn("text", text)
     each = F.struct(F.col("_seq"), F.struct("text", F.col("colspan").cast("int").alias("colspan"), F.col("rowspan").cast("int").alias("rowspan")).alias("cell"))
     return full.groupBy(*keys).agg(F.bool_or("header").alias("header"), F.transform(F.array_sort(F.collect_list(each)), lambda x: x["cell"]).alias("cells"))

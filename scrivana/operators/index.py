@@ -29,6 +29,14 @@ def require_clean(index: DataFrame, corpus: str = "corpus", clean: str = "clean"
         raise ValueError(f"the index names no {clean!r} corpus")
 
 
+def index_faults(index: DataFrame, paths: list[str], files: DataFrame, clean: str = "clean") -> DataFrame:
+    """(corpus, fault): an index without its clean corpus, and files that it names (columns ``paths``) and that aren't there."""
+    named = index.select("corpus", F.explode(F.array(*(F.col(p) for p in paths))).alias("path")).where(F.col("path").isNotNull())
+    absent = named.join(files.select("path").distinct(), "path", "left_anti").select("corpus", F.concat(F.lit("no file "), "path").alias("fault"))
+    without = index.agg(F.count_if(F.col("corpus") == clean).alias("n")).where("n = 0").select(F.lit(clean).alias("corpus"), F.lit("not in the index").alias("fault"))
+    return absent.unionByName(without)
+
+
 def fingerprint(rows: DataFrame, by: list[str], stem: str, digest: str) -> DataFrame:
     """SHA-256 over ``stem NUL digest LF`` of all rows in stem order, for each group; a row with a null adds nothing.
 

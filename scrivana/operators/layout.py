@@ -158,6 +158,12 @@ def expand(entries: DataFrame, layouts: dict[str, dict], keep: list[str]) -> Dat
     return known.select(*keep, F.posexplode(body).alias("seq", "e")).select(*keep, "seq", "e.*")
 
 
+def skipped(entries: DataFrame, layouts: dict[str, dict]) -> DataFrame:
+    """(case_id, warning) of the entries that ``expand`` passes over because their layout isn't known."""
+    unknown = entries.where(~F.coalesce(F.col("layout").isin(*layouts), F.lit(False)))
+    return unknown.select("case_id", F.concat(F.lit("skipped: no layout "), F.coalesce("layout", F.lit("stated"))).alias("warning"))
+
+
 def faults(name: str, layout: dict, known_fields: set[str]) -> list[str]:
     """What is wrong with a layout, every fault at once."""
     found: list[str] = []

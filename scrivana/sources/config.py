@@ -11,6 +11,9 @@ from typing import Any
 
 import yaml
 
+from scrivana.functions.payments import CASH, NO_WALLET, Scheme, TerminalPools
+from scrivana.functions.values import PosPools
+
 
 class ConfigError(ValueError):
     def __init__(self, what: str, where: str, expected: str, recover: str):
@@ -262,3 +265,46 @@ def serialisation_policy(path: str | Path) -> SerialisationPolicy:
     if whole["decoration_min_run"] < LEAST_DECORATION_RUN:
         raise ConfigError(f"decoration_min_run is {whole['decoration_min_run']}", f"{path}:decoration_min_run", f"{LEAST_DECORATION_RUN} or more, as one glyph is no run", "raise it")
     return SerialisationPolicy(**whole)
+
+
+def _whole(value: Any, where: str, least: int) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or value < least:
+        raise ConfigError(f"{value!r}", where, f"a whole number, {least} or more", "correct the number")
+    return value
+
+
+# Keys of the pools of terminals and tills.
+TERMINAL_KEYS = {"receipt_method_weights": dict, "acquirers": list, "schemes": dict, "wallets": dict, "entry_modes": dict, "wallet_presentation_weights": dict, "bank_description_methods": dict}
+TERMINAL_NUMBERS = ("cash_tender_step", "cash_extra_notes")
+SCHEME_KEYS = {"display", "aid", "pan_digits", "account_types"}
+POS_NUMBERS = {"hour_min": 0, "hour_span": 1, "register_min": 0, "register_span": 1, "receipt_number_digest_length": 1}
+
+
+def terminal_pools(path: str | Path, root: str = "payment_terminal") -> TerminalPools:
+    """What payment slips are drawn from; schemes that methods and bank rows name must exist."""
+    whole = pools(path, root, TERMINAL_KEYS)
+    where = f"{path}:{root}"
+    numbers = [_whole(whole.get(k), f"{where}.{k}", 1) for k in TERMINAL_NUMBERS]
+    schemes = {}
+    for name, own in whole["schemes"].items():
+        own = mapping(own, f"{where}.schemes.{name}", SCHEME_KEYS)
+        if not own["account_types"] or not own["display"] or not own["aid"]:
+            raise ConfigError(f"scheme {name} has an empty value", f"{where}.schemes.{name}", "a display, an application id and account types", "fill them in")
+        schemes[str(name)] = Scheme(str(own["display"]), str(own["aid"]), _whole(own["pan_digits"], f"{where}.schemes.{name}.pan_digits", 5), tuple(map(str, own["account_types"])))
+    weights, shown = ({str(k): _whole(v, f"{where}.{key}.{k}", 0) for k, v in whole[key].items()} for key in ("receipt_method_weights", "wallet_presentation_weights"))
+    wallets, prefixes = ({str(k): str(v) for k, v in whole[key].items()} for key in ("wallets", "bank_description_methods"))
+    unknown = sorted(({m for m, w in weights.items() if w} - set(schemes) - set(wallets) - {CASH}) | (set(prefixes.values()) - set(schemes)) | ({m for m, w in shown.items() if w} - set(wallets) - {NO_WALLET}))
+    if unknown:
+        raise ConfigError(f"no scheme or wallet {unknown}", where, "names below schemes or wallets", "add them or correct the names")
+    modes = mapping(whole["entry_modes"], f"{where}.entry_modes", {"card", "wallet"})
+    return TerminalPools(weights, tuple(map(str, whole["acquirers"])), schemes, wallets, {k: str(v) for k, v in modes.items()}, shown, prefixes, *numbers)
+
+
+def pos_pools(path: str | Path, root: str = "pos_terminal") -> PosPools:
+    """What a till's printed details are drawn from."""
+    whole = pools(path, root, {"staff_names": list, "receipt_number_prefix": str})
+    where = f"{path}:{root}"
+    if not all(isinstance(x, str) and x for x in whole["staff_names"]) or not whole["receipt_number_prefix"]:
+        raise ConfigError("staff_names or receipt_number_prefix", where, "names, and a prefix that isn't empty", "fill them in")
+    n = {k: _whole(whole.get(k), f"{where}.{k}", least) for k, least in POS_NUMBERS.items()}
+    return PosPools(tuple(whole["staff_names"]), n["hour_min"], n["hour_span"], n["register_min"], n["register_span"], whole["receipt_number_prefix"], n["receipt_number_digest_length"])

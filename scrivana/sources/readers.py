@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +129,18 @@ def run_faults(spark: SparkSession, path: str) -> DataFrame:
     return run.select(each.alias("x")).where(F.coalesce(F.col("x.value"), F.lit("")) == "").select("x.key")
 
 
+def distinct_folders(paths: list[str]) -> list[str]:
+    """Folders, each once: local ones by what they resolve to, so links to one of them don't read it twice."""
+    seen, out = set(), []
+    for p in paths:
+        local = p[5:] if p.startswith("file:") else p if "://" not in p else None
+        at = os.path.realpath("/" + local.lstrip("/")) if local is not None else p.rstrip("/")
+        if at not in seen:
+            seen.add(at)
+            out.append(p)
+    return out
+
+
 def rows_with_columns(spark: SparkSession, paths: list[str], required: list[str]) -> DataFrame:
     """Scored rows of several files, all of which must state ``required``."""
     parts = []

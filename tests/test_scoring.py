@@ -2,12 +2,15 @@
 
 import hashlib
 import json
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrivana.functions import fit
-from scrivana.operators import corpus, score
+from scrivana.functions import fit, png
+from scrivana.operators import corpus, events, index, layout, score
 from scrivana.sources import config, readers
 
 
@@ -194,3 +197,99 @@ def test_regions(spark):
     for bad in (fit.divide(F.lit(0), F.lit(5), F.lit(3), F.lit(2)), fit.divide_widths(F.lit(0), F.lit(40), F.array(F.lit(20), F.lit(25)), F.lit(5)), fit.parameter(F.create_map(F.lit("a"), F.lit("b")), F.create_map(F.lit("c"), F.lit("d")), "k")):
         with pytest.raises(Exception, match="narrow|wider|no value"):
             spark.range(1).select(bad).collect()
+
+
+TERMINAL = """payment_terminal:
+  receipt_method_weights: {Visa: 2, Cash: 1, Phone: 1}
+  acquirers: [First]
+  schemes:
+    Visa: {display: VISA, aid: A01, pan_digits: 16, account_types: [CR]}
+  wallets: {Phone: PhonePay}
+  entry_modes: {card: (c), wallet: (t)}
+  wallet_presentation_weights: {none: 2, Phone: 1}
+  bank_description_methods: {VISA: Visa}
+  cash_tender_step: 5
+  cash_extra_notes: 3
+pos_terminal:
+  staff_names: [Ana]
+  hour_min: 8
+  hour_span: 12
+  register_min: 1
+  register_span: 8
+  receipt_number_prefix: R-
+  receipt_number_digest_length: 6
+"""
+
+
+def test_terminal_and_till_pools(tmp_path):
+    got = config.terminal_pools(write(tmp_path, "p.yml", TERMINAL))
+    assert got.schemes["Visa"].pan_digits == 16 and got.tender_step == 5 and got.bank_prefixes == {"VISA": "Visa"}
+    assert config.pos_pools(write(tmp_path, "p.yml", TERMINAL)).number_prefix == "R-"
+    for old, new in (("cash_extra_notes: 3", "cash_extra_notes: 0"), ("VISA: Visa}", "VISA: Other}"), ("pan_digits: 16, ", ""), ("acquirers: [First]", "acquirers: []"), ("Cash: 1, Phone: 1}", "Cash: 1, Watch: 1}"), ("account_types: [CR]", "account_types: []")):
+        with pytest.raises(config.ConfigError):
+            config.terminal_pools(write(tmp_path, "p.yml", TERMINAL.replace(old, new)))
+    for old, new in (("hour_span: 12", "hour_span: 0"), ("staff_names: [Ana]", "staff_names: [1]"), ("hour_min: 8", "hour_min: true")):
+        with pytest.raises(config.ConfigError):
+            config.pos_pools(write(tmp_path, "p.yml", TERMINAL.replace(old, new)))
+
+
+def test_index_and_folders(spark, tmp_path):
+    named = spark.createDataFrame([("scan", "a/manifest.jsonl"), ("fax", "b/manifest.jsonl"), ("raw", None)], "corpus string, manifest string")
+    there = spark.createDataFrame([("a/manifest.jsonl",)], "path string")
+    got = index.index_faults(named, ["manifest"], there)
+    assert sorted(tuple(r) for r in got.collect()) == [("clean", "not in the index"), ("fax", "no file b/manifest.jsonl")]
+    (tmp_path / "real").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    paths = [f"{tmp_path}/real", f"{tmp_path}/link", f"file:{tmp_path}/real/", "s3://x/y", "s3://x/y/"]
+    assert readers.distinct_folders(paths) == [paths[0], "s3://x/y"]
+
+
+def test_skipped_entries_and_joins(spark):
+    entries = spark.createDataFrame([("a", "plain", {}), ("b", "other", {}), ("c", None, {})], "case_id string, layout string, fields map<string,string>")
+    assert {r.case_id: r.warning for r in layout.skipped(entries, {"plain": {"body": []}}).collect()} == {"b": "skipped: no layout other", "c": "skipped: no layout stated"}
+    row = [(1, 0, "table_open", None, None), (1, 1, "row_open", None, None), (1, 2, "cell", "a\nb", "k"), (1, 3, "row_close", None, None), (1, 4, "cell_sub_line", "c", "k"), (1, 5, "table_close", None, None)]
+    events_ = spark.createDataFrame(row, "page int, seq int, kind string, text string, column_key string").withColumns({"header": F.lit(False), "colspan": F.lit(1), "rowspan": F.lit(1)})
+    cells = lambda **how: events.table_rows(events_, ["page"], **how).first().cells[0].text
+    assert cells() == "a\nb\nc" and cells(sub_line_join=" ", newline_join="; ") == "a; b c"
+
+
+def test_png(spark):
+    rng = np.random.default_rng(3)
+    page = rng.integers(0, 256, (9, 7, 3)).astype(np.uint8)
+    assert (png.decode(png.encode(page)) == page).all()
+
+    def file(colour, samples, lines, palette=b""):
+        body = zlib.compress(b"".join(bytes([f]) + bytes(x) for f, x in lines))
+        out = png.SIGNATURE
+        for kind, content in ((b"IHDR", struct.pack(">IIBBBBB", len(lines[0][1]) // samples, len(lines), 8, colour, 0, 0, 0)), (b"PLTE", palette), (b"IDAT", body), (b"IEND", b"")):
+            out += struct.pack(">I", len(content)) + kind + content + struct.pack(">I", zlib.crc32(kind + content)) if content or kind != b"PLTE" else b""
+        return out
+
+    def filtered(rows, kind, step):
+        """The samples of rows as a filter would write them, by the format's own words."""
+        out, above = [], [0] * len(rows[0])
+        for row in rows:
+            line = []
+            for x, v in enumerate(row):
+                a, b, c = (row[x - step] if x >= step else 0), above[x], (above[x - step] if x >= step else 0)
+                p = a + b - c
+                nearest = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
+                line.append((v - (0, a, b, (a + b) // 2, nearest)[kind]) % 256)
+            out.append((kind, line))
+            above = row
+        return out
+
+    for colour, step in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        samples = rng.integers(0, 256, (6, 5 * step)).astype(int).tolist()
+        for kind in range(5):
+            got = png.decode(file(colour, step, filtered(samples, kind, step)))
+            want = np.array(samples).reshape(6, 5, step)
+            assert (got == (want[:, :, :3] if step >= 3 else np.repeat(want[:, :, :1], 3, axis=2))).all()
+    assert png.decode(file(3, 1, [(0, [1, 0])], bytes([1, 2, 3, 4, 5, 6]))).tolist() == [[[4, 5, 6], [1, 2, 3]]]
+    whole = png.encode(page)
+    for bad in (b"x" + whole, whole[:-5], whole[:40] + bytes([whole[40] ^ 1]) + whole[41:], whole.replace(b"\x08\x02\x00\x00\x00", b"\x10\x02\x00\x00\x00", 1)):
+        with pytest.raises(png.PngError):
+            png.decode(bad)
+    df = spark.createDataFrame([(bytearray(whole),), (None,)], "content binary").select(png.read_png(F.col("content")).alias("r"))
+    back = df.select(png.write_png(F.col("r.page"), F.col("r.height"), F.col("r.width")).alias("f"), "r").collect()
+    assert bytes(back[0].f) == whole and (back[0].r.height, back[0].r.width) == (9, 7) and back[1].f is None
