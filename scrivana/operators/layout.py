@@ -25,14 +25,14 @@ EVENTS = f"array<{EVENT}>"
 
 REQUIRED = {"text": set(), "banner": set(), "pair": {"label", "field"}, "block": {"lines"}, "rule": set(), "spacer": set(), "panel": {"children"}, "split": {"columns"}, "table": {"columns", "rows"}}
 OPTIONAL = {
-    "text": {"content", "from_layout", "title", "suppress_if_equals", "align"},
-    "banner": {"content", "from_layout"},
-    "pair": {"currency", "value_align", "separator"},
-    "block": {"heading"},
+    "text": {"content", "from_layout", "title", "suppress_if_equals", "align", "role", "budget"},
+    "banner": {"content", "from_layout", "role"},
+    "pair": {"currency", "value_align", "separator", "role", "budget", "min_gap"},
+    "block": {"heading", "role"},
     "rule": {"glyph"},
     "spacer": {"height"},
-    "panel": {"padding"},
-    "split": {"gap"},
+    "panel": {"padding", "height"},
+    "split": {"gap", "widths"},
     "table": {"grouping", "group_key", "header", "span_key"},
 }
 GROUPINGS = ("none", "inline", "dedicated_row")
@@ -224,3 +224,85 @@ def faults(name: str, layout: dict, known_fields: set[str]) -> list[str]:
     if not layout.get("body"):
         say("body", "no blocks", "a non-empty list")
     return found
+
+
+#: Keys of a layout that are read somewhere; a body may name others by from_layout or suppress_if_equals.
+LAYOUT_KEYS = {"body", "defaults", "content_width", "field_budgets", "field_providers", "font_sizes", "font_family", "page"}
+SPOKEN = ("text", "pair", "block", "banner")
+
+
+def inner_blocks(b: dict) -> list[tuple[str, list[dict]]]:
+    """(place, blocks) of what a container holds."""
+    if b.get("type") == "panel":
+        return [("children", b.get("children", []))]
+    return [(f"columns[{i}].children", c.get("children", [])) for i, c in enumerate(b["columns"])] if b.get("type") == "split" else []
+
+
+def geometry_faults(name: str, layout: dict, providers: dict[str, set[str]] | None = None) -> list[str]:
+    """What doesn't fit in a layout whose structure is sound, every fault at once.
+
+    Roles without a line advance, keys that nothing reads, budgets that aren't defined or are wider than their region,
+    panels and splits that leave their contents no pixel, and field providers (name -> what it emits) that are unknown
+    or emit what another one does.
+    """
+    found: list[str] = []
+    defaults, budgets = layout.get("defaults") or {}, layout.get("field_budgets") or {}
+    roles, named = set(), set()
+
+    def say(where: str, what: str, expected: str) -> None:
+        found.append(str(ConfigError(what, f"layouts.{name}.{where}", expected, "correct the layout")))
+
+    def check(where: str, b: dict, width: int) -> None:
+        kind = b["type"]
+        named.update(b[k] for k in ("from_layout", "suppress_if_equals") if k in b)
+        if kind in SPOKEN:
+            roles.add(b.get("role", defaults.get("banner_role" if kind == "banner" else "role", "body")))
+        if "budget" in b:
+            if b["budget"] not in budgets:
+                say(f"{where}.budget", f"no budget {b['budget']!r}", f"one of {sorted(budgets)}")
+            elif budgets[b["budget"]]["width"] > width:
+                say(f"{where}.budget", f"budget of {budgets[b['budget']]['width']} pixels in a region of {width}", f"{width} or less")
+            if kind == "pair" and b.get("value_align", defaults.get("pair_value_align")) == "right" and b.get("min_gap", defaults.get("pair_min_gap", 0)):
+                say(f"{where}.min_gap", "a least gap beside a budget and a value on the right", "no least gap: the budget sets the place")
+        inner = [width]
+        if kind == "panel":
+            padding = b.get("padding", defaults.get("panel_padding", 0))
+            inner = [width - 2 * padding]
+            if inner[0] < 1:
+                return say(f"{where}.padding", f"padding {padding} in a region of {width} pixels", f"less than {width / 2:g}")
+            if b.get("height") is not None and b["height"] < 2 * padding:
+                say(f"{where}.height", f"height {b['height']} with padding {padding}", f"{2 * padding} or more")
+        if kind == "split":
+            n, gap = len(b["columns"]), b.get("gap", defaults.get("split_gap", 0))
+            room = width - gap * (n - 1)
+            inner = list(b.get("widths") or [room // n] * n)
+            if len(inner) != n or min(inner) < 1 or sum(inner) > room:
+                return say(where, f"columns {inner} with gap {gap} in a region of {width} pixels", f"{n} columns of {max(room, 0)} pixels together")
+        for (place, blocks), own in zip(inner_blocks(b), inner):
+            for i, child in enumerate(blocks):
+                check(f"{where}.{place}[{i}]", child, own)
+
+    for i, b in enumerate(layout["body"]):
+        check(f"body[{i}]", b, layout["content_width"])
+    if lacking := sorted(roles - set(defaults.get("line_advance") or {})):
+        say("defaults.line_advance", f"no line advance for roles {lacking}", "one for each role of the body")
+    if unread := sorted(set(layout) - LAYOUT_KEYS - named):
+        say("", f"keys {unread} that nothing reads", f"some of {sorted(LAYOUT_KEYS | named)}")
+    taken: dict[str, str] = {}
+    for i, spec in enumerate(layout.get("field_providers") or ()):
+        if spec["name"] not in (providers or {}):
+            say(f"field_providers[{i}]", f"unknown provider {spec['name']!r}", f"one of {sorted(providers or ())}")
+            continue
+        if twice := sorted(providers[spec["name"]] & set(taken)):
+            say(f"field_providers[{i}]", f"{spec['name']} emits {twice}, as {sorted({taken[k] for k in twice})} do", "fields of its own")
+        taken |= dict.fromkeys(providers[spec["name"]], spec["name"])
+    return found
+
+
+def with_provided(entries: DataFrame, provided: dict[str, Column], emits: set[str]) -> DataFrame:
+    """Entries whose ``fields`` also hold what a provider derives; a key it doesn't declare fails before anything runs."""
+    if undeclared := sorted(set(provided) - emits):
+        raise ConfigError(f"a provider returns {undeclared}, which it doesn't declare", "emits", f"some of {sorted(emits)}", "declare them or leave them out")
+    more = F.create_map(*(x for k, v in provided.items() for x in (F.lit(k), v.cast("string"))))
+    kept = F.map_filter("fields", lambda k, _: ~k.isin(*provided))
+    return entries.withColumn("fields", F.map_concat(kept, more)) if provided else entries

@@ -1,7 +1,10 @@
-import numpy as np
+import copy
+
+import pytest
 from pyspark.sql import functions as F
 
 from scrivana.operators import layout
+from scrivana.sources.config import ConfigError
 
 BODY = {
     "name": "Shop",
@@ -36,3 +39,50 @@ def test_faults():
     assert layout.faults("L", BODY, set(FIELDS)) == []
     bad = {"body": [{"type": "text"}, {"type": "pair", "label": "x", "field": "NO"}, {"type": "wheel"}, {"type": "text", "content": "{WHO", "colour": 1}, {"type": "table", "columns": [], "rows": {}}]}
     assert len(layout.faults("L", bad, set(FIELDS))) == 6
+
+
+FITTING = {
+    "content_width": 400,
+    "title": "T",
+    "defaults": {"line_advance": {"body": 20, "header": 30}, "role": "body", "banner_role": "header", "panel_padding": 10, "split_gap": 20},
+    "field_budgets": {"amount": {"width": 180}},
+    "field_providers": [{"name": "till"}],
+    "body": [
+        {"type": "banner", "from_layout": "title"},
+        {"type": "split", "columns": [{"children": [{"type": "pair", "label": "x", "field": "A", "budget": "amount"}]}, {"children": []}]},
+        {"type": "panel", "children": [{"type": "text", "content": "y"}]},
+    ],
+}
+
+
+@pytest.mark.parametrize(
+    "change, said",
+    [
+        (lambda x: x["field_budgets"]["amount"].update(width=200), "budget of 200 pixels in a region of 190"),
+        (lambda x: x["field_budgets"].clear(), "no budget 'amount'"),
+        (lambda x: x["body"][2].update(padding=200), "padding 200"),
+        (lambda x: x["body"][2].update(height=19), "height 19"),
+        (lambda x: x["body"][1].update(widths=[300, 100]), "columns [300, 100]"),
+        (lambda x: x["body"][1].update(gap=400), "columns [0, 0]"),
+        (lambda x: x["body"][2]["children"][0].update(role="small"), "no line advance for roles ['small']"),
+        (lambda x: x.update(other=1), "keys ['other']"),
+        (lambda x: x["field_providers"].append({"name": "slip"}), "slip emits ['TIME']"),
+        (lambda x: x["field_providers"].append({"name": "none"}), "unknown provider 'none'"),
+        (lambda x: x["body"][1]["columns"][0]["children"][0].update(value_align="right", min_gap=5), "a least gap"),
+    ],
+)
+def test_geometry_faults(change, said):
+    providers = {"till": {"TIME"}, "slip": {"TIME", "PAN"}}
+    assert layout.geometry_faults("L", FITTING, providers) == []
+    bad = copy.deepcopy(FITTING)
+    change(bad)
+    found = layout.geometry_faults("L", bad, providers)
+    assert len(found) == 1 and said in found[0]
+
+
+def test_provided_fields(spark):
+    entries = spark.createDataFrame([("a", {"X": "1", "Y": "2"})], "case_id string, fields map<string,string>")
+    got = layout.with_provided(entries, {"Y": F.lit("3"), "Z": F.col("case_id")}, {"Y", "Z", "W"}).first().fields
+    assert got == {"X": "1", "Y": "3", "Z": "a"}
+    with pytest.raises(ConfigError, match="doesn't declare"):
+        layout.with_provided(entries, {"Q": F.lit("3")}, {"Y"})
