@@ -41,10 +41,10 @@ def as_chunks(rows: DataFrame, most_bytes: int = CHUNK_BYTES) -> DataFrame:
     return rows.mapInArrow(run, CHUNKS)
 
 
-def of_chunk(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, pa.Array]:
+def of_chunk(batch: pa.RecordBatch, i: int) -> tuple[int, pa.Array, pa.Array]:
     """Number, doc_ids and texts of one chunk."""
     row = batch.slice(i, 1)
-    return row.column(0)[0].as_py(), row.column(1).flatten().to_numpy(zero_copy_only=False), row.column(2).flatten()
+    return row.column(0)[0].as_py(), row.column(1).flatten(), row.column(2).flatten()
 
 
 def entry_bytes(n: int, least: int = 8) -> int:

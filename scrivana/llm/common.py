@@ -38,6 +38,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def in_ranges(rows: DataFrame, n: int, keys: list[str], text: str = "text") -> DataFrame:
+    """Rows dealt into ``n`` sorted ranges of the keys. Rows of equal keys stand in the order of their texts' first 32
+    characters, then of a hash, and equal rows anyhow; so very many rows of one key, or of none, fill several ranges."""
+    ties = {free_name(rows, "_start"): F.left(F.col(text), F.lit(32)), free_name(rows, "_hash"): F.xxhash64(text), free_name(rows, "_at"): F.monotonically_increasing_id()}
+    return rows.withColumns(ties).repartitionByRange(n, *keys, *ties).sortWithinPartitions(*keys, *ties).drop(*ties)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: what the number of chunks follows."""
     row = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n"), F.count(F.lit(1)).alias("rows")).first()

@@ -8,7 +8,8 @@ at least 0.75; groups are the connected components.
    128 universal hash functions. Documents with the same digest are one class from here on.
 2. 32 bands of 4 minima make buckets. A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32,
    5e-6. A bucket of any size is split into blocks; in a block, members are compared with a medoid, those that are
-   near it are taken out, and so on. Block medoids meet in the same way.
+   near it are taken out, and so on, as long as someone is near (what a block leaves is step 4's). Block medoids meet in
+   the same way.
 3. Pairs are first verified by their signatures (an estimate 5 standard deviations below the threshold is refused),
    then on full sets.
 4. After a first round of components, each bucket with members of two or more components compares all of them

@@ -19,7 +19,7 @@ chunks is the order of documents.
 3. The answers join the texts, and the marked bytes are cut.
 
 Nulls count as empty; a text of fewer than 50 bytes stays whole; rows that repeat a doc_id are documents in the
-order of their texts; a null doc_id counts as the smallest; an empty table gives an empty table; other columns are
+order of their texts' first 32 characters, then of a hash; a null doc_id counts as the smallest; an empty table gives an empty table; other columns are
 not read. What is left of a text may not be UTF-8, so it is returned as bytes.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivana.llm.chunks import Distinct, as_chunks, bucket_of, buckets_for, of_chunk, unpack
-from scrivana.llm.common import Scratch, by_groups, mix64, parts_for, powers, text_bytes
+from scrivana.llm.common import Scratch, by_groups, in_ranges, mix64, parts_for, powers, text_bytes
 from scrivana.llm.suffixes import Suffixes, equal_runs
 from scrivana.llm.windowdup import intervals
 
@@ -384,8 +384,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
     scratch = scratch or Scratch(spark, "suffixdup")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = text_bytes(rows)
-    ranged = rows.repartitionByRange(parts_for(n, 8 * CHUNK_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
-    chunks = scratch.put("chunks", as_chunks(ranged, CHUNK_BYTES))
+    chunks = scratch.put("chunks", as_chunks(in_ranges(rows, parts_for(n, 8 * CHUNK_BYTES), ["doc_id"]), CHUNK_BYTES))
     n_spans = max(1024, n // 12)
     anchor_bits, n_buckets = anchor_bits_for(n_spans), max(LEAST_BUCKETS, buckets_for(n_spans, WIDTH))
     answers = scratch.put("answers", span_answers(chunks, anchor_bits, n_buckets))
@@ -410,7 +409,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
                         starts[in_rows(to, copied)] |= starts[in_rows(source, copied)]
                 yield cut(ids, values, starts)
 
-    def cut(ids: np.ndarray, values: list[bytes], starts: np.ndarray) -> pa.RecordBatch:
+    def cut(ids: pa.Array, values: list[bytes], starts: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(starts)
         change = np.zeros(len(starts) + LENGTH + 1, dtype=np.int32)
         np.add.at(change, at, 1)
@@ -426,6 +425,6 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
             else:
                 out.append((len(v), 0, 0, [], v))
         kinds = [pa.int64(), pa.int64(), pa.int64(), _INTERVALS, pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
     return chunks.join(state, "chunk").join(sorts, "chunk", "left").mapInArrow(finish, CUT)

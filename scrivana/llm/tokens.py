@@ -6,7 +6,7 @@ padding of the shard's last sequence; a second file says where each document sta
 thus bytes [k * length * width, (k + 1) * length * width) of a memory-mapped buffer.
 
 Nulls count as empty texts; an empty text is its end id alone; rows that repeat a doc_id are all written, side
-by side in the order of their texts; a null doc_id sorts first; an empty table gives no shard; other columns are not read.
+by side in the order of their texts' first 32 characters, then of a hash; a null doc_id sorts first; an empty table gives no shard; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrivana.llm.common import Scratch, blocks, filesystem, local_uri, no_nulls, parts_for, text_bytes
+from scrivana.llm.common import Scratch, blocks, filesystem, in_ranges, local_uri, no_nulls, parts_for, text_bytes
 
 END_ID = 2
 LENGTH = 2048
@@ -241,7 +241,7 @@ def write_sequences(spark: SparkSession, docs: DataFrame, order: Column | None =
             n_docs, n_tokens, n_sequences = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": at, "n_docs": n_docs, "n_tokens": n_tokens, "n_sequences": n_sequences}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
 
-    return scratch.put("manifest", own.repartitionByRange(n, *by).sortWithinPartitions(*by, "text").mapInArrow(write, MANIFEST))
+    return scratch.put("manifest", in_ranges(own, n, by).select("doc_id", "text").mapInArrow(write, MANIFEST))
 
 
 def open_shard(path: str) -> tuple[pa.ipc.RecordBatchFileReader, pa.ipc.RecordBatchFileReader]:

@@ -80,7 +80,7 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, width: int = WIDTH, sc
                 again = answered(found, batch.column(3)[i].as_py(), n_buckets) | (found.times > 1)
                 yield cut(ids, own.words, own.marked(again[found.place]))
 
-    def cut(ids: np.ndarray, words: Words, marks: np.ndarray) -> pa.RecordBatch:
+    def cut(ids: pa.Array, words: Words, marks: np.ndarray) -> pa.RecordBatch:
         lexicon = np.array(words.lexicon.to_pylist() + [b""], dtype=object)[:-1]
         n_words = np.diff(words.start)
         removed, kept, n_removed = [], [], []
@@ -90,6 +90,6 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, width: int = WIDTH, sc
             n_removed.append(n)
             removed.append([{"start": x, "end": y} for x, y in zip(*(z.tolist() for z in intervals(m)))] if n else [])
             kept.append(b" ".join(lexicon[words.ids[a:b][~m] if n else words.ids[a:b]]))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, _INTERVALS), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, _INTERVALS), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
     return chunks.join(answers, "chunk", "left").mapInArrow(finish, REMOVED)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivana.llm import suffixdup, windowdup
-from scrivana.llm.common import Scratch
+from scrivana.llm.common import Scratch, in_ranges
 from scrivana.llm.suffixes import Suffixes, equal_runs, sort_within
 
 
@@ -138,6 +138,27 @@ def test_words(spark, clashing, monkeypatch):
     assert words_of(spark, clashing(df)) == by_words(rows)
 
 
+def test_rows_without_an_id(spark, docs):
+    """A null id counts as the smallest, and rows of one id have some order."""
+    rng = random.Random(14)
+    said = "".join(rng.choices("abcdef ", k=400))
+    rows = [(None, said), (None, said + "x"), (3, said[:200]), (3, None), (4, said), (4, said)]
+    got = suffixdup.remove_repeated_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed) for r in got.collect())
+    assert got[2:] == [(3, 0, 0), (3, 200, 200), (4, 400, 400), (4, 400, 400)]
+    assert got[:2] in ([(-1, 400, 0), (-1, 401, 400)], [(-1, 400, 400), (-1, 401, 0)])
+
+
+def test_many_rows_of_one_id_fill_several_ranges(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text of all rows, again and again").alias("text"))
+    sizes = in_ranges(rows, 8, ["doc_id"]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) < 1500
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, words), (None, words), (1, words.replace("w49", "x")), (2, "alone " * 10)]
+    got = windowdup.remove_repeated(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed) for r in got.collect()) == [(-1, 50), (-1, 50), (1, 49), (2, 0)]
+
+
 def test_empty_tables(spark, docs):
     assert bytes_of(spark, docs([])) == [] == words_of(spark, docs([]))
 

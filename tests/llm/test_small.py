@@ -218,6 +218,13 @@ def test_span_classifier_slope():
     assert np.abs(pii.loss_and_slope(fitted, row, what, target, 1e-3)[1]).max() < 1e-3
 
 
+def test_repeated_rows_and_rows_without_an_id(spark):
+    said = 'mail a@b.cc token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"'
+    rows = [(None, said), (None, said), (1, said), (1, said), (1, "plain"), (2, "x" * 500_000 + " a@b.cc")]
+    got = pii.personal_data(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_email, r.spans.count("secret")) for r in got) == [(0, 1, 1), (0, 1, 1), (1, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 0)]
+
+
 def test_spans_on_held_out_texts(spark, docs):
     """True spans and look-alikes in prose: most true ones are found, few look-alikes are."""
     rng = random.Random(17)
@@ -323,6 +330,19 @@ def test_whole_words_are_features():
     assert len({quality.of_word(b"-a" * 40 + c)[1] for c in (b"1", b"$")}) == 2
 
 
+def test_scores_of_repeated_long_and_unnamed_rows(spark):
+    rows = [(i % 40, f"good{'xy'[i % 2]} " * 10) for i in range(80)] + [(None, "goody " * 10), (None, "goody " * 10), (500, "goody " * 200_000), (501, "w" * 10**6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.rate_documents(spark, df, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.expected_grade <= 2 for r in got)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.text, set()).add(r.quality_score)
+    assert all(len(x) == 1 for x in by_text.values())  # equal texts are scored alike, whatever their ids
+    assert next(iter(by_text["goody " * 10])) > next(iter(by_text["goodx " * 10]))
+
+
 def test_many_rows_of_one_rated_key(spark, docs):
     """One row a key is fitted on, however often the key stands in either table."""
     texts = {i: f"word{i % 2} " * 5 for i in range(20)}

@@ -58,7 +58,7 @@ def test_shards_are_placed_by_groups(spark, monkeypatch):
 
 def brute(rows):
     at, out = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*reference(t or ""), T.END_ID]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         at += len(ids)
@@ -69,12 +69,12 @@ def test_round_trip(spark, clashing, monkeypatch):
     monkeypatch.setattr(T, "SHARD_BYTES", 4000)
     rng = random.Random(2)
     rows = [(i, None if i % 11 == 0 else " ".join(rng.choice(["the", "Ünt", "x.\n", "", "42"]) for _ in range(rng.randint(0, 80)))) for i in range(120)]
-    rows += [(500, "word " * 30_000), (501, "a" * 5000), (8, "again <|endoftext|>"), (8, "again <|endoftext|>"), (8, None)]
+    rows += [(500, "word " * 30_000), (501, "a" * 5000), (8, "again <|endoftext|>"), (8, "again <|endoftext|>"), (8, None), (None, "no id"), (None, "another")]
     rng.shuffle(rows)
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     manifest = T.write_sequences(spark, df, length=64)
     assert manifest.count() > 1
-    got = sorted(tuple(r) for r in T.read_sequences(spark, manifest).collect())
+    got = sorted((tuple(r) for r in T.read_sequences(spark, manifest).collect()), key=lambda r: r[1])
     assert got == brute(rows)
     shard = max(manifest.collect(), key=lambda r: r.n_tokens)
     sequences, documents = T.open_shard(shard.path)
