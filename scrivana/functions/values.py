@@ -140,6 +140,21 @@ def cycled_choice(pool: list[str], position: Column, seed: int) -> Column:
     return F.element_at(ranked, (position % n).cast("int") + 1)["x"]
 
 
+def person(first_names: list[str], last_names: list[str], seed: Column) -> Column:
+    """(first_name, last_name, full_name) that a seed settles."""
+    digest = F.sha2(F.concat(F.lit("person|"), seed.cast("string")), 256)
+    first, last = pick(F.array(*map(F.lit, first_names)), hash_slice(digest, 0, 12)), pick(F.array(*map(F.lit, last_names)), hash_slice(digest, 12, 24))
+    return F.struct(first.alias("first_name"), last.alias("last_name"), F.concat_ws(" ", first, last).alias("full_name"))
+
+
+def address(streets: list[str], towns: list[str], seed: Column, highest: int = 200) -> Column:
+    """``12 High St, Town`` that a seed settles; a town carries its state and postcode."""
+    digest = F.sha2(F.concat(F.lit("address|"), seed.cast("string")), 256)
+    number = hash_slice(digest, 0, 8) % highest + 1
+    street, town = pick(F.array(*map(F.lit, streets)), hash_slice(digest, 8, 20)), pick(F.array(*map(F.lit, towns)), hash_slice(digest, 20, 32))
+    return F.concat(number.cast("string"), F.lit(" "), street, F.lit(", "), town)
+
+
 def counted_description(description: Column, quantity: Column, prefix: str = "{quantity}x ") -> Column:
     """A receipt line's text, with its quantity in front unless there is one of it or none is stated."""
     stated = F.replace(F.lit(prefix), F.lit("{quantity}"), quantity)

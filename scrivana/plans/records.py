@@ -182,6 +182,17 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", values.cycled_choice(pool, key, 5).alias("cycled"), values.seeded_choice(F.array(*map(F.lit, pool)), key).alias("chosen"))
 
 
+@query("""
+WITH h AS (SELECT c_custkey, sha256('person|' || c_custkey) AS p, sha256('address|' || c_custkey) AS a FROM customer)
+SELECT c_custkey, ['Ana', 'Ben', 'Cleo'][(('0x' || substr(p, 1, 12))::bigint % 3 + 1)::int] || ' ' || ['Ng', 'Roy'][(('0x' || substr(p, 13, 12))::bigint % 2 + 1)::int] AS full_name,
+  (('0x' || substr(a, 1, 8))::bigint % 200 + 1) || ' ' || ['High St', 'Mill Rd', 'Elm Ave'][(('0x' || substr(a, 9, 12))::bigint % 3 + 1)::int] || ', ' || ['Perth WA 6000', 'Hobart TAS 7000'][(('0x' || substr(a, 21, 12))::bigint % 2 + 1)::int] AS address FROM h
+""")
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    who = values.person(["Ana", "Ben", "Cleo"], ["Ng", "Roy"], key)["full_name"]
+    return table(spark, sf_dir, "customer").select("c_custkey", who.alias("full_name"), values.address(["High St", "Mill Rd", "Elm Ave"], ["Perth WA 6000", "Hobart TAS 7000"], key).alias("address"))
+
+
 @query("""
 WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'VISA DEBIT PURCHASE' WHEN o_orderkey % 4 = 2 THEN 'VISA PURCHASE' ELSE 'EFTPOS SHOP' END AS row_,
   strftime(o_orderdate, '%d/%m/%Y') AS d, o_orderdate, o_totalprice::decimal(18,2) AS t FROM orders),
