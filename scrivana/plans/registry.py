@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from scrivana.plans import corpora, formats, records, reports
+from scrivana.plans import corpora, formats, records, reports, settings
 
 
 def _all() -> dict:
-    return reports.QUERIES | corpora.QUERIES | records.QUERIES | formats.QUERIES
+    return reports.QUERIES | corpora.QUERIES | records.QUERIES | formats.QUERIES | settings.QUERIES
 
 
 def queries() -> dict:
