@@ -21,10 +21,18 @@ from scrivana.llm.common import blocks, by_groups, no_nulls, parts_for
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Up to this much input, chunks and buckets keep their sizes; beyond it both grow with its root, so that the blocks between
+#: them keep theirs, up to the largest sizes. A task takes some 15 chunks or 8 buckets of memory.
+STEADY_BYTES = 32 << 30
+LARGEST_CHUNK, LARGEST_BUCKET = 32 << 20, 256 << 20
 
 CHUNKS = "chunk long, doc_ids array<long>, texts array<string>"
 
 
+def chunk_bytes(n: int, least: int) -> int:
+    return int(min(LARGEST_CHUNK, least * max(1.0, math.sqrt(n / STEADY_BYTES))))
+
+
 def as_chunks(rows: DataFrame, most_bytes: int = CHUNK_BYTES) -> DataFrame:
     """rows: (doc_id long, text string), in the order that chunks shall have within each partition."""
 
@@ -52,8 +60,9 @@ def entry_bytes(n: int, least: int = 8) -> int:
     return min(16, max(least, math.ceil((2 * math.log2(max(n, 2)) + 16) / 8)))
 
 
-def buckets_for(n: int, width: int) -> int:
-    return parts_for(n * width, BUCKET_BYTES)
+def buckets_for(n: int, width: int, n_bytes: int) -> int:
+    """For n values of ``width`` bytes from so many bytes of text."""
+    return parts_for(n * width, int(min(LARGEST_BUCKET, BUCKET_BYTES * max(1.0, math.sqrt(n_bytes / STEADY_BYTES)))))
 
 
 class Distinct:

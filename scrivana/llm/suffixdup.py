@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.chunks import Distinct, as_chunks, bucket_of, buckets_for, of_chunk, unpack
+from scrivana.llm.chunks import Distinct, as_chunks, bucket_of, buckets_for, chunk_bytes, of_chunk, unpack
 from scrivana.llm.common import Scratch, by_groups, in_ranges, mix64, parts_for, powers, text_bytes
 from scrivana.llm.suffixes import Suffixes, equal_runs
 from scrivana.llm.windowdup import intervals
@@ -384,9 +384,10 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
     scratch = scratch or Scratch(spark, "suffixdup")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = text_bytes(rows)
-    chunks = scratch.put("chunks", as_chunks(in_ranges(rows, parts_for(n, 8 * CHUNK_BYTES), ["doc_id"]), CHUNK_BYTES))
+    each = chunk_bytes(n, CHUNK_BYTES)
+    chunks = scratch.put("chunks", as_chunks(in_ranges(rows, parts_for(n, 8 * each), ["doc_id"]), each))
     n_spans = max(1024, n // 12)
-    anchor_bits, n_buckets = anchor_bits_for(n_spans), max(LEAST_BUCKETS, buckets_for(n_spans, WIDTH))
+    anchor_bits, n_buckets = anchor_bits_for(n_spans), max(LEAST_BUCKETS, buckets_for(n_spans, WIDTH, n))
     answers = scratch.put("answers", span_answers(chunks, anchor_bits, n_buckets))
     opened = scratch.put("opened", open_spans(chunks, answers, anchor_bits, n_buckets, parts_for(n // 2, SORT_BYTES, LEAST_BUCKETS)))
     sorts = scratch.put("sorts", sorted_answers(opened))

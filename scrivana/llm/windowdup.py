@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.chunks import Distinct, answered, as_chunks, buckets_for, entry_bytes, of_chunk, repeated_elsewhere
+from scrivana.llm.chunks import CHUNK_BYTES, Distinct, answered, as_chunks, buckets_for, chunk_bytes, entry_bytes, of_chunk, repeated_elsewhere
 from scrivana.llm.common import Scratch, Words, text_bytes, windows
 
 WIDTH = 35
@@ -67,8 +67,8 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, width: int = WIDTH, sc
     n = text_bytes(rows)
     n_windows = n // 4  # a word and its space are hardly shorter
     size = entry_bytes(n_windows)
-    n_buckets = buckets_for(n_windows, size)
-    chunks = scratch.put("chunks", as_chunks(rows))
+    n_buckets = buckets_for(n_windows, size, n)
+    chunks = scratch.put("chunks", as_chunks(rows, chunk_bytes(n, CHUNK_BYTES)))
     answers = scratch.put("answers", repeated_elsewhere(chunks, lambda texts: ChunkWindows(texts, width).values(), size, n_buckets))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

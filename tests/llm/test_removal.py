@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrivana.llm import suffixdup, windowdup
+from scrivana.llm import chunks, suffixdup, windowdup
 from scrivana.llm.common import Scratch, in_ranges
 from scrivana.llm.suffixes import Suffixes, equal_runs, sort_within
 
@@ -173,6 +173,15 @@ def test_long_text(spark, docs):
     assert n[2] == 0 and n[0] == n[1] > 0
 
 
+def test_chunks_and_buckets_grow_with_the_input():
+    """The check's sizes are steady; at 100 TB a block between chunk and bucket still holds several values."""
+    assert {chunks.chunk_bytes(n, 4 << 20) for n in (0, 10**8, 3 * 10**10)} == {4 << 20}
+    assert chunks.buckets_for(10**8, 10, 4 * 10**8) == -(-(10**9) // chunks.BUCKET_BYTES)
+    n = 10**14
+    values = chunks.chunk_bytes(n, 4 << 20) / 6 / chunks.buckets_for(n // 4, 10, n)
+    assert values > 4 and chunks.chunk_bytes(n, 4 << 20) == chunks.LARGEST_CHUNK
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 400).astype(np.uint8)
