@@ -89,3 +89,50 @@ def layout_annotations(events: DataFrame, page: list[str], html: DataFrame | Non
     record = F.struct("category_type", bounding_box(F.transform("spans", lambda s: s["poly"])).alias("poly"), "anno_id", "order", "text", "html", F.lit(False).alias("ignore"), F.when(~is_table, F.col("spans")).alias("line_with_spans"))
     sorted_rows = F.array_sort(F.collect_list(F.struct(F.col("order").isNull().alias("_last"), F.col("order").alias("_order"), F.col("anno_id").alias("_id"), F.to_json(record).alias("json"))))
     return drawn.groupBy(*page).agg(F.transform(sorted_rows, lambda x: x["json"]).alias("layout_dets"))
+
+
+#: What a walk over a page logs: scopes that open and close, events that are emitted, texts that are drawn.
+LOG_OPS = ("block_open", "block_close", "decoration_open", "decoration_close", "emit", "draw")
+
+
+def _scoped(log: DataFrame, page: list[str]) -> DataFrame:
+    """The log with, at each row, the event that a draw there belongs to (``_event``) and whether it is decoration.
+
+    A block starts without an event and without decoration, and what held before comes back when it closes; so each row
+    asks its own block only: the latest opening at its depth tells which block that is.
+    """
+    upto = Window.partitionBy(*page).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    closing = (F.col("op") == "block_close").cast("int")
+    depth = F.count_if(F.col("op") == "block_open").over(upto) - F.count_if(F.col("op") == "block_close").over(upto) + closing
+    rows = log.withColumn("_depth", depth)
+    level = Window.partitionBy(*page, "_depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_block", F.coalesce(F.last(F.when(F.col("op") == "block_open", F.col("at")), ignorenulls=True).over(level), F.lit(-1)))
+    own = Window.partitionBy(*page, "_depth", "_block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.count_if(F.col("op") == "decoration_open").over(own) - F.count_if(F.col("op") == "decoration_close").over(own)
+    return rows.withColumns({"_event": F.last(F.when(F.col("op") == "emit", F.col("at")), ignorenulls=True).over(own), "_decoration": opened > 0})
+
+
+def captured(log: DataFrame, page: list[str]) -> DataFrame:
+    """(page, seq, kind, text, category_type, order, spans, poly) of the events that a walk emitted, with what was drawn for each.
+
+    log: (page, at, op of LOG_OPS, kind, text, category_type, poly). Decoration is ink without an event; an event's poly
+    is the box around its spans.
+    """
+    rows = _scoped(log, page)
+    drawn = rows.where((F.col("op") == "draw") & ~F.col("_decoration") & F.col("_event").isNotNull())
+    spans = drawn.groupBy(*page, "_event").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text", "poly"))), lambda x: F.struct(x["text"].alias("text"), x["poly"].alias("poly"))).alias("spans"))
+    w = Window.partitionBy(*page).orderBy("at")
+    emitted = log.where("op = 'emit'").withColumns({
+        "seq": (F.row_number().over(w) - 1).cast("int"),
+        "order": F.when(F.col("category_type").isNotNull(), F.count("category_type").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"),
+    })
+    both = emitted.withColumn("_event", F.col("at")).join(spans, [*page, "_event"], "left")
+    box = F.when(F.col("spans").isNotNull(), bounding_box(F.transform("spans", lambda s: s["poly"])))
+    none = F.array().cast(dict(spans.dtypes)["spans"])
+    return both.select(*page, "seq", "kind", "text", "category_type", "order", F.coalesce("spans", none).alias("spans"), box.alias("poly"))
+
+
+def uncovered(log: DataFrame, page: list[str]) -> DataFrame:
+    """Draws that no event of their block allows and that aren't decoration: ink that a transcript would omit."""
+    rows = _scoped(log, page)
+    return rows.where((F.col("op") == "draw") & ~F.col("_decoration") & F.col("_event").isNull()).select(*page, "at", "text")

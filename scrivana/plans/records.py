@@ -327,6 +327,24 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("conv_id", "d.anno_id", "d.category_type", "d.order", at(1).alias("x0"), at(2).alias("y0"), at(5).alias("x1"), at(6).alias("y1"), F.size("d.line_with_spans").alias("spans"))
 
 
+@query("""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::int AS seq, text, CASE WHEN role = 'system' THEN 0 ELSE 2 END AS spans, CASE WHEN role = 'system' THEN NULL ELSE 10 * turn + 12 END::int AS bottom FROM conversations
+""")
+def captured_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a block that emits an event and draws two lines, with a decoration and an empty block between them;
+    system turns draw decoration only."""
+    def op(at: int, name: str, low: int = 0):
+        y = (F.col("turn") * 10 + low).cast("int")
+        return F.struct((F.col("turn") * 100 + at).alias("at"), F.lit(name).alias("op"), F.array(F.lit(0), y, F.lit(5), y, F.lit(5), y + 6, F.lit(0), y + 6).alias("poly"))
+
+    drawn = F.array(op(0, "block_open"), op(1, "emit"), op(2, "draw"), op(3, "decoration_open"), op(4, "draw", 90), op(5, "decoration_close"), op(6, "block_open"), op(7, "block_close"), op(8, "draw", 6), op(9, "block_close"))
+    plain = F.array(op(0, "emit"), op(1, "decoration_open"), op(2, "draw"), op(3, "decoration_close"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "text", F.explode(F.when(F.col("role") == "system", plain).otherwise(drawn)).alias("o"))
+    log = turns.select("conv_id", "text", "o.*", F.lit("line").alias("kind"), F.lit("text_block").alias("category_type"))
+    found = events.captured(log, ["conv_id"])
+    return found.select("conv_id", "seq", "text", F.size("spans").alias("spans"), F.element_at("poly", 6).alias("bottom"))
+
+
 LAYOUT = {
     "title": "Statement",
     "body": [

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,40 @@ def test_small_values(spark):
     money = F.lit("-1234.505").cast("decimal(18,3)")
     row = df.select(values.signed_balance(money), values.currency(-money, "plain", "Cr"), values.counted_description(F.lit("tea"), F.lit("2")), values.counted_description(F.lit("tea"), F.lit("1"))).first()
     assert row[:] == ("$1,234.51 DR", "1,234.51 Cr", "2x tea", "tea")
+
+
+def test_captured_events_against_a_stack(spark):
+    """Random logs of nested scopes, against a walk that keeps what holds on a stack."""
+    rng = random.Random(11)
+    rows, want, faults = [], {}, set()
+    for page in range(40):
+        stack, event, decorated, seq, order, depth, at = [], None, 0, 0, 0, 0, 0
+        for at in range(rng.randint(0, 60)):
+            op = rng.choice(events.LOG_OPS)
+            if op == "block_close" and not stack or op == "decoration_close" and not decorated:
+                op = "emit"
+            text, category, poly = f"t{at}", rng.choice([None, "title"]), [at, 0, at + 2, 0, at + 2, 3, at, 3]
+            rows.append((page, at, op, "line", text, category, poly))
+            if op == "block_open":
+                stack.append((event, decorated))
+                event, decorated = None, 0
+            elif op == "block_close":
+                event, decorated = stack.pop()
+            elif op == "decoration_open":
+                decorated += 1
+            elif op == "decoration_close":
+                decorated -= 1
+            elif op == "emit":
+                event, seq = seq, seq + 1
+                want[page, event] = [text, order if category else None, []]
+                order += category is not None
+            elif not decorated and event is None:
+                faults.add((page, at))
+            elif not decorated:
+                want[page, event][2].append(text)
+    log = spark.createDataFrame(rows, "page int, at int, op string, kind string, text string, category_type string, poly array<int>").repartition(5)
+    got = {(r.page, r.seq): [r.text, r.order, [s.text for s in r.spans]] for r in events.captured(log, ["page"]).collect()}
+    assert got == want and sum(len(x[2]) for x in want.values()) > 50
+    assert {(r.page, r["at"]) for r in events.uncovered(log, ["page"]).collect()} == faults and faults
+    box = events.captured(log.where("page = 0"), ["page"]).where("size(spans) > 0").collect()
+    assert all(r.poly[0] == min(s.poly[0] for s in r.spans) and r.poly[2] == max(s.poly[2] for s in r.spans) for r in box)
