@@ -69,29 +69,30 @@ def shingle(of_words: Column, before: Column, width: int) -> Column:
     return F.xxhash64(*(F.element_at(of_words, before + k) for k in range(1, width + 1)))
 
 
-def all_shingles(of_words: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(of_words) - width), lambda i: shingle(of_words, i, width))
-
-
-def grams(of_words: Column, width: Column) -> Column:
-    """The distinct runs of ``width`` words, as text."""
-    run = F.transform(F.sequence(F.lit(1), F.size(of_words) - width + 1), lambda i: F.array_join(F.slice(of_words, i, width), " "))
-    return F.array_distinct(F.when(F.size(of_words) >= width, run).otherwise(F.array().cast("array<string>")))
+def gram(of_words: Column, before: Column, width: int) -> Column:
+    """The same words as text."""
+    return F.concat_ws(" ", *(F.element_at(of_words, before + k) for k in range(1, width + 1)))
 
 
 def item_sets(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(code, item, width, n, need, grams, sketch) of each item that has words; ``code`` stands for its id and text."""
+    """(code, item, width, n, need, runs, sketch) of each item that has words; ``code`` stands for its id and text, and
+    runs are its distinct shingles with their words."""
     code = F.xxhash64(F.lit(SEED), F.col(key).isNull(), F.col(key), F.col(text))
-    w = items.select(code.alias("code"), F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.col("w")[0] != "")
-    w = w.withColumn("width", F.least(F.size("w"), F.lit(WIDTH))).withColumn("grams", grams(F.col("w"), F.col("width"))).withColumn("n", F.size("grams"))
-    hashes = F.lit(None).cast("array<bigint>")
+    w = items.select(code.alias("code"), F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.col("w")[0] != "").withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
+
+    def of_width(k: int) -> Column:
+        run = lambda i: F.struct(shingle(F.col("w"), i, k).alias("shingle"), gram(F.col("w"), i, k).alias("gram"))
+        return F.transform(F.sequence(F.lit(0), F.size("w") - k), run)
+
+    runs = F.lit(None)
     for k in range(WIDTH, 0, -1):
-        hashes = F.when(F.col("width") == k, all_shingles(F.col("w"), k)).otherwise(hashes)
+        runs = F.when(F.col("width") == k, of_width(k)).otherwise(runs)
+    w = w.withColumn("runs", F.array_distinct(runs)).withColumn("n", F.size("runs"))
     partition = F.least(F.ceil(F.log2(F.col("n").cast("double"))).cast("int"), F.lit(len(SKETCHES) - 1))
-    ranked = F.array_sort(F.transform(F.array_distinct(hashes), lambda s: F.struct(F.xxhash64(F.lit(SEED), s).alias("rank"), s.alias("shingle"))))
+    ranked = F.array_sort(F.transform("runs", lambda r: F.struct(F.xxhash64(F.lit(SEED), r["shingle"]).alias("rank"), r["shingle"].alias("shingle"))))
     sketch = F.slice(ranked["shingle"], 1, F.element_at(F.array(*map(F.lit, SKETCHES)), partition + 1))
     need = F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1]).cast("int")
-    return w.select("code", "item", "width", "n", need.alias("need"), "grams", sketch.alias("sketch")).dropDuplicates(["code"])
+    return w.select("code", "item", "width", "n", need.alias("need"), "runs", sketch.alias("sketch")).dropDuplicates(["code"])
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -106,25 +107,36 @@ def contaminated_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, s
     widths = sorted((r[0] for r in sets.select("width").distinct().collect()), reverse=True) or [WIDTH]
     own = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("its_text"), F.col(text).alias("t"))
 
-    # words stay one array a document; a row a place holds no more than a number, so all of this is one generated loop
-    held = own.select("doc", "its_text", words(F.col("t")).alias("w"))
-    places = F.when(F.size("w") >= widths[-1], F.sequence(F.lit(0), F.size("w") - widths[-1]))
-    held = held.select("*", F.explode(places).alias("before")).withColumn("n_words", F.size("w"))
-    if len(widths) == 1:
-        held = held.select("doc", "its_text", "n_words", F.lit(widths[0]).alias("width"), shingle(F.col("w"), F.col("before"), widths[0]).alias("shingle"))
-    else:
-        fits = lambda k: F.when(F.col("before") + k <= F.col("n_words"), F.struct(F.lit(k).alias("width"), shingle(F.col("w"), F.col("before"), k).alias("shingle")))
-        held = held.select("doc", "its_text", "n_words", F.explode(F.array_compact(F.array(*map(fits, widths)))).alias("x")).select("doc", "its_text", "n_words", "x.*")
-    enough = F.col("n_words") - F.col("width") + 1 >= F.col("need")
-    candidates = scratch.put("candidates", held.join(_sized(probe), ["width", "shingle"]).where(enough).select("doc", "its_text", "code").distinct())
+    def rows(of: DataFrame, with_words: bool) -> DataFrame:
+        """(doc, its_text, n_words, width, shingle) of every place and width, or with the words there as ``gram``.
 
+        A document's words stay one array and a row a place holds no more than numbers and its own words, so all of this
+        is one generated loop, and memory doesn't grow with a document's places.
+        """
+        held = of.select("doc", "its_text", words(F.col("t")).alias("w"))
+        places = F.when(F.size("w") >= widths[-1], F.sequence(F.lit(0), F.size("w") - widths[-1]))
+        held = held.select("*", F.explode(places).alias("before")).withColumn("n_words", F.size("w"))
+
+        def at(k: int) -> list[Column]:
+            return [F.lit(k).alias("width"), shingle(F.col("w"), F.col("before"), k).alias("shingle"), *([gram(F.col("w"), F.col("before"), k).alias("gram")] if with_words else [])]
+
+        if len(widths) == 1:
+            return held.select("doc", "its_text", "n_words", *at(widths[0]))
+        each = F.explode(F.array_compact(F.array(*(F.when(F.col("before") + k <= F.col("n_words"), F.struct(*at(k))) for k in widths))))
+        return held.select("doc", "its_text", "n_words", each.alias("x")).select("doc", "its_text", "n_words", "x.*")
+
+    enough = F.col("n_words") - F.col("width") + 1 >= F.col("need")
+    candidates = scratch.put("candidates", rows(own, False).join(_sized(probe), ["width", "shingle"]).where(enough).select("doc", "its_text", "code").distinct())
     some = scratch.put("candidate_docs", candidates.select("doc", "its_text").distinct())
-    named = _sized(some).select(F.col("doc").alias("doc_"), F.col("its_text").alias("its_text_"))
-    read = own.join(named, F.col("doc").eqNullSafe(F.col("doc_")) & F.col("its_text").eqNullSafe(F.col("its_text_")), "left_semi").dropDuplicates(["doc", "its_text"])
-    pairs = candidates.select(F.col("doc").alias("doc_"), F.col("its_text").alias("its_text_"), "code").join(sets.select("code", "item", "width", "n", "need", "grams"), "code")
-    both = read.withColumn("w", words(F.col("t"))).drop("t").join(pairs, F.col("doc").eqNullSafe(F.col("doc_")) & F.col("its_text").eqNullSafe(F.col("its_text_")))
-    counted = both.withColumn("n_shared", F.size(F.array_intersect(grams(F.col("w"), F.col("width")), F.col("grams"))))
-    return counted.where("n_shared >= need").select("doc", "its_text", "item", "n_shared", F.col("n").alias("n_shingles"))
+    same = F.col("doc").eqNullSafe(F.col("doc_")) & F.col("its_text").eqNullSafe(F.col("its_text_"))
+    named = [F.col("doc").alias("doc_"), F.col("its_text").alias("its_text_")]
+    read = own.join(_sized(some).select(*named), same, "left_semi")
+    of_items = scratch.put("grams", sets.select("code", "width", F.explode("runs").alias("r")).select("code", "width", "r.*"))
+    shared = rows(read, True).join(_sized(of_items), ["width", "shingle", "gram"]).select("doc", "its_text", "code", "gram").distinct()
+    counted = shared.groupBy("doc", "its_text", "code").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
+    asked = candidates.select(*named, F.col("code").alias("code_"))
+    found = counted.join(asked, same & (F.col("code") == F.col("code_")), "left_semi").join(sets.select("code", "item", "n", "need"), "code")
+    return found.where("n_shared >= need").select("doc", "its_text", "item", "n_shared", F.col("n").alias("n_shingles"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, key: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, DataFrame]:

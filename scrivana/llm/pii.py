@@ -97,16 +97,25 @@ _TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Herr", "Frau", "Señ
 _NAME_CUES = ("name", "contact", "dear", "attn", "signed", "regards", "sincerely", "nombre", "nom", "kontakt", "gezeichnet", "firmado", "cordialement")
 _SECRET_CUES = ("key", "token", "secret", "password", "passwd", "pwd", "credential", "passwort", "contraseña", "mot de passe")
 _PART = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++"
+_SPACE_BEFORE = 24
+
+
+def _after(cues: tuple[str, ...], between: str) -> re.Pattern:
+    """Whether a text ends with a cue."""
+    return re.compile(r"(?<!\w)(?i:" + "|".join(cues) + rf"){between}\Z")
+
+
+#: Kind, strings of which a text must hold one (None: digits), pattern, and what must stand before a match, if anything.
 #: A group is the span, where there is one. Account numbers of ISO 13616 have 15 to 34 characters.
 _CANDIDATES = (
-    ("secret", "-----BEGIN", re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[^-]++-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----")),
-    ("identity", None, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("local_phone", None, re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")),
-    ("account", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")),
-    ("secret", None, re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_/+-])")),
-    ("secret", "", re.compile(r"(?i:" + "|".join(_SECRET_CUES) + r") ?[=:] ?[\"']?([^\s\"']{8,}+)")),
-    ("name", "", re.compile(r"(?<!\w)(?:" + "|".join(_TITLES) + r")\.? " + _PART + r"(?:[ -]" + _PART + r")?+(?!\w)")),
-    ("name", "", re.compile(r"(?<!\w)(?i:" + "|".join(_NAME_CUES) + r")[:,]?\s(" + _PART + "[ -]" + _PART + r")(?!\w)")),
+    ("secret", ("-----BEGIN",), re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[^-]++-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"), None),
+    ("identity", None, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
+    ("local_phone", None, re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"), None),
+    ("account", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"), None),
+    ("secret", None, re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_/+-])"), None),
+    ("secret", ("=", ":"), re.compile(r"[=:] ?[\"']?([^\s\"']{8,}+)"), _after(_SECRET_CUES, " ?")),
+    ("name", _TITLES, re.compile(r"(?<!\w)(?:" + "|".join(_TITLES) + r")\.? " + _PART + r"(?:[ -]" + _PART + r")?+(?!\w)"), None),
+    ("name", (" ", "\n", "\t"), re.compile(r"\s(?=(" + _PART + "[ -]" + _PART + r")(?!\w))"), _after(_NAME_CUES, "[:,]?")),
 )
 _CUES = {
     "identity": ("ssn", "social security", "identity", "passport", "id no", "tax", "dni", "nif", "ausweis"),
@@ -188,10 +197,12 @@ def candidates(text: str, has_digits: bool, taken: list[tuple[str, int, int]]) -
     """Candidates that meet no base span nor one another, each with its votes and its features."""
     out: list[dict] = []
     busy = [(a, b) for _, a, b in taken]
-    for kind, needs, pattern in _CANDIDATES:
-        if needs is None and not has_digits or needs and needs not in text:
+    for kind, needs, pattern, cue in _CANDIDATES:
+        if not (has_digits if needs is None else any(x in text for x in needs)):
             continue
         for m in pattern.finditer(text):
+            if cue is not None and not cue.search(text[max(0, m.start() - _SPACE_BEFORE) : m.start()]):
+                continue
             group = 1 if pattern.groups else 0
             a, s = m.start(group), m[group] if kind == "name" else m[group].rstrip(".,;:!?)]}")
             b = a + len(s)
