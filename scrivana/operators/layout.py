@@ -6,11 +6,16 @@ A body is a small tree of configuration, so it is compiled once on the driver in
 Blocks: text, banner (title), pair, block, rule, spacer, panel, split, table. ``when`` names a field that must be
 present. Tables take rows from parallel pipe lists, with grouping none, inline (repeated dates blanked) or
 dedicated_row (a band row where the date changes).
+
+Blocks stand below one another, so events also tell where: x and width of their region and y from the page's ``top``, in
+whole pixels, by the line advances, heights, paddings and gaps of ``defaults``. Columns of a split begin at one height,
+and what follows stands below the longest.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +25,7 @@ from scrivana.functions.values import format_amount, long_date
 from scrivana.operators.events import CATEGORIES
 from scrivana.sources.config import ConfigError
 
-EVENT = "struct<kind:string,text:string,label:string,value:string,column_key:string,header:boolean,colspan:int,rowspan:int,category:string>"
+EVENT = "struct<kind:string,text:string,label:string,value:string,column_key:string,header:boolean,colspan:int,rowspan:int,category:string,x:int,width:int,y:int>"
 EVENTS = f"array<{EVENT}>"
 
 REQUIRED = {"text": set(), "banner": set(), "pair": {"label", "field"}, "block": {"lines"}, "rule": set(), "spacer": set(), "panel": {"children"}, "split": {"columns"}, "table": {"columns", "rows"}}
@@ -46,6 +51,7 @@ def event(kind: str, text: Column | str | None = None, category: str | None = No
         F.lit(kind).alias("kind"), at(text, "string").alias("text"), at(more.get("label"), "string").alias("label"), at(more.get("value"), "string").alias("value"),
         at(more.get("column_key"), "string").alias("column_key"), at(more.get("header"), "boolean").alias("header"), at(more.get("colspan"), "int").alias("colspan"),
         at(more.get("rowspan"), "int").alias("rowspan"), F.lit(category).cast("string").alias("category"),
+        *(at(more.get(k), "int").alias(k) for k in ("x", "width", "y")),
     )
 
 
@@ -57,72 +63,107 @@ def nothing() -> Column:
     return F.array().cast(EVENTS)
 
 
-def joined(parts: list[Column]) -> Column:
-    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else nothing()
+#: Pixels of a line, a row, a rule and a spacer where a layout's defaults say nothing.
+ADVANCE = 20
+
+
+@dataclass(frozen=True)
+class Drawn:
+    """What a block says, with y from its own top, and how high it is."""
+
+    events: Column
+    height: Column | int = 0
+
+    def below(self, offset: Column | int) -> Column:
+        return self.events if isinstance(offset, int) and offset == 0 else F.transform(self.events, lambda e: e.withField("y", (e["y"] + offset).cast("int")))
+
+    def only_if(self, there: Column) -> Drawn:
+        return Drawn(F.when(there, self.events).otherwise(nothing()), F.when(there, self.height).otherwise(0))
 
 
 class Body:
     """Compiles the blocks of one layout."""
 
     def __init__(self, layout: dict, fields: Column):
-        self.layout, self.fields = layout, fields
-
-    def field(self, name: str) -> Column:
-        return F.coalesce(self.fields[name], F.lit(""))
+        self.layout, self.fields, self.defaults = layout, fields, layout.get("defaults") or {}
 
     def said(self, template: str) -> Column:
         return interpolate(F.lit(template), self.fields)
 
-    def blocks(self, blocks: list[dict]) -> Column:
-        return joined([self.block(b) for b in blocks])
+    def advance(self, b: dict, default_role: str = "role") -> int:
+        role = b.get("role", self.defaults.get(default_role, "body"))
+        return (self.defaults.get("line_advance") or {}).get(role, ADVANCE)
 
-    def block(self, b: dict) -> Column:
-        out = getattr(self, "of_" + b["type"])(b)
-        return F.when(is_present(self.fields[b["when"]]), out).otherwise(nothing()) if "when" in b else out
+    def blocks(self, blocks: list[dict], x: int, width: int) -> Drawn:
+        parts, y = [], 0
+        for b in blocks:
+            one = self.block(b, x, width)
+            parts.append(one.below(y))
+            y = y + one.height
+        return Drawn(F.concat(*parts) if len(parts) > 1 else parts[0] if parts else nothing(), y)
+
+    def block(self, b: dict, x: int, width: int) -> Drawn:
+        out = getattr(self, "of_" + b["type"])(b, x, width)
+        return out.only_if(is_present(self.fields[b["when"]])) if "when" in b else out
 
     def content(self, b: dict) -> Column:
         return F.lit(self.layout[b["from_layout"]]) if "from_layout" in b else self.said(b["content"])
 
-    def of_text(self, b: dict) -> Column:
+    def of_text(self, b: dict, x: int, width: int) -> Drawn:
         text = self.content(b)
-        one = several(event("title", text, "title") if b.get("title") else event("line", text, CATEGORIES["text"]))
+        place = {"x": x, "width": width, "y": 0}
+        one = Drawn(several(event("title", text, "title", **place) if b.get("title") else event("line", text, CATEGORIES["text"], **place)), self.advance(b))
         if "suppress_if_equals" in b:
-            return F.when((text == "") | (text == self.layout[b["suppress_if_equals"]]), nothing()).otherwise(one)
+            return one.only_if((text != "") & (text != self.layout[b["suppress_if_equals"]]))
         return one
 
-    def of_banner(self, b: dict) -> Column:
-        return several(event("title", self.content(b), CATEGORIES["banner"]))
+    def of_banner(self, b: dict, x: int, width: int) -> Drawn:
+        return Drawn(several(event("title", self.content(b), CATEGORIES["banner"], x=x, width=width, y=0)), self.advance(b, "banner_role"))
 
-    def of_pair(self, b: dict) -> Column:
+    def of_pair(self, b: dict, x: int, width: int) -> Drawn:
         value = F.when(is_present(self.fields[b["field"]]), self.fields[b["field"]]).otherwise("")
         if b.get("currency"):
             value = F.when(value == "", value).otherwise(format_amount(F.regexp_replace(value, ",", "").try_cast("decimal(18,2)")))
-        return several(event("pair", None, CATEGORIES["pair"], label=b["label"] + b.get("separator", ":"), value=value))
-
-    def of_block(self, b: dict) -> Column:
-        lines = ([b["heading"]] if b.get("heading") else []) + list(b["lines"])
-        return several(*(event("line", self.said(x), CATEGORIES["block"]) for x in lines))
-
-    def of_rule(self, b: dict) -> Column:
-        return nothing()
-
-    of_spacer = of_rule
-
-    def of_panel(self, b: dict) -> Column:
-        return joined([several(event("panel_open")), self.blocks(b["children"]), several(event("panel_close"))])
-
-    def of_split(self, b: dict) -> Column:
-        parts = [several(event("split_open", value=str(len(b["columns"]))))]
-        for column in b["columns"]:
-            parts += [several(event("column_open")), self.blocks(column["children"]), several(event("column_close"))]
-        return joined([*parts, several(event("split_close"))])
-
-    def of_table(self, b: dict) -> Column:
-        keys = [c["key"] for c in b["columns"]]
+        return Drawn(several(event("pair", None, CATEGORIES["pair"], label=b["label"] + b.get("separator", ":"), value=value, x=x, width=width, y=0)), self.advance(b))
+
+    def of_block(self, b: dict, x: int, width: int) -> Drawn:
+        lines, step = ([b["heading"]] if b.get("heading") else []) + list(b["lines"]), self.advance(b)
+        return Drawn(several(*(event("line", self.said(t), CATEGORIES["block"], x=x, width=width, y=i * step) for i, t in enumerate(lines))), len(lines) * step)
+
+    def of_rule(self, b: dict, x: int, width: int) -> Drawn:
+        return Drawn(nothing(), self.defaults.get("rule_height", ADVANCE))
+
+    def of_spacer(self, b: dict, x: int, width: int) -> Drawn:
+        return Drawn(nothing(), b.get("height", self.defaults.get("spacer_height", ADVANCE)))
+
+    def of_panel(self, b: dict, x: int, width: int) -> Drawn:
+        padding = b.get("padding", self.defaults.get("panel_padding", 0))
+        inner = self.blocks(b["children"], x + padding, width - 2 * padding)
+        height = inner.height + 2 * padding if b.get("height") is None else b["height"]
+        place = {"x": x, "width": width}
+        return Drawn(F.concat(several(event("panel_open", y=0, **place)), inner.below(padding), several(event("panel_close", y=height, **place))), height)
+
+    def of_split(self, b: dict, x: int, width: int) -> Drawn:
+        n, gap = len(b["columns"]), b.get("gap", self.defaults.get("split_gap", 0))
+        each, over = divmod(width - gap * (n - 1), n)
+        widths = b.get("widths") or [each + (i < over) for i in range(n)]
+        parts, heights, at = [several(event("split_open", value=str(n), x=x, width=width, y=0))], [F.lit(0), F.lit(0)], x
+        for column, own in zip(b["columns"], widths):
+            inner = self.blocks(column["children"], at, own)
+            place = {"x": at, "width": own}
+            parts += [several(event("column_open", y=0, **place)), inner.events, several(event("column_close", y=inner.height, **place))]
+            heights.append(inner.height if isinstance(inner.height, Column) else F.lit(inner.height))
+            at += own + gap
+        height = F.greatest(*heights)
+        return Drawn(F.concat(*parts, several(event("split_close", x=x, width=width, y=height))), height)
+
+    def of_table(self, b: dict, x: int, width: int) -> Drawn:
+        keys, step = [c["key"] for c in b["columns"]], self.defaults.get("row_height", ADVANCE)
         lists = {k: F.when(is_present(self.fields[b["rows"][k]]), split_pipes(self.fields[b["rows"][k]])).otherwise(F.array().cast("array<string>")) for k in keys}
         n = F.size(lists[keys[0]])
-        even = F.size(F.array_distinct(F.array(*(F.size(x) for x in lists.values())))) == 1
-        grouping, group = b.get("grouping", "none"), b.get("group_key")
+        even = F.size(F.array_distinct(F.array(*(F.size(v) for v in lists.values())))) == 1
+        grouping, group, above = b.get("grouping", "none"), b.get("group_key"), 1 if b.get("header", True) else 0
+        place = {"x": x, "width": width}
 
         def value(key: str, i: Column) -> Column:
             return F.element_at(lists[key], i)
@@ -130,30 +171,45 @@ class Body:
         def changed(i: Column) -> Column:
             return (i == 1) | (value(group, i) != F.try_element_at(lists[group], F.greatest(i - 1, F.lit(1))))
 
+        def bands(i: Column) -> Column | int:
+            """Band rows down to row i."""
+            return F.size(F.filter(F.sequence(F.lit(1), i), changed)) if grouping == "dedicated_row" else F.lit(0)
+
+        def drawn_row(cells: list[dict], y: Column | int) -> Column:
+            return F.array(event("row_open", y=y, **place), *(event("cell", y=y, rowspan=1, **c, **place) for c in cells), event("row_close", y=y, **place))
+
         def row(i: Column) -> Column:
             cells = []
             for k in keys:
                 text = value(k, i)
                 if grouping != "none" and k == group:
                     text = F.lit("") if grouping == "dedicated_row" else F.when(changed(i), text).otherwise("")
-                cells.append(event("cell", text, column_key=k, header=False, colspan=1, rowspan=1))
-            body = F.array(event("row_open"), *cells, event("row_close"))
+                cells.append({"text": text, "column_key": k, "header": False, "colspan": 1})
+            y = (above + i - 1 + bands(i)) * step
+            body = drawn_row(cells, y)
             if grouping != "dedicated_row":
                 return body
-            band = F.array(event("row_open"), event("cell", long_date(value(group, i)), header=False, colspan=len(keys), rowspan=1), event("row_close"))
+            band = drawn_row([{"text": long_date(value(group, i)), "header": False, "colspan": len(keys)}], y - step)
             return F.when(changed(i), F.concat(band, body)).otherwise(body)
 
         rows = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), row))).otherwise(nothing())
         checked = F.when(even, rows).otherwise(F.raise_error(F.lit(f"ragged table rows: {keys}")).cast(EVENTS))
-        head = several(event("row_open"), *(event("cell", c["label"], column_key=c["key"], header=True, colspan=1, rowspan=1) for c in b["columns"]), event("row_close")) if b.get("header", True) else nothing()
-        return joined([several(event("table_open", None, CATEGORIES["table"])), head, checked.cast(EVENTS), several(event("table_close"))])
+        head = drawn_row([{"text": c["label"], "column_key": c["key"], "header": True, "colspan": 1} for c in b["columns"]], 0).cast(EVENTS) if above else nothing()
+        height = (above + n + F.when(n > 0, bands(F.greatest(n, F.lit(1)))).otherwise(0)) * step
+        opened, closed = several(event("table_open", None, CATEGORIES["table"], y=0, **place)), several(event("table_close", y=height, **place))
+        return Drawn(F.concat(opened, head, checked.cast(EVENTS), closed), height)
+
+
+def whole(layout: dict, fields: Column) -> Column:
+    """All events of a page of this layout."""
+    return Body(layout, fields).blocks(layout["body"], layout.get("left", 0), layout.get("content_width", 0)).below(layout.get("top", 0))
 
 
 def expand(entries: DataFrame, layouts: dict[str, dict], keep: list[str]) -> DataFrame:
     """(keep, seq, event columns) of every entry whose layout is known; its ``fields`` are a map of strings."""
     body = F.lit(None).cast(EVENTS)
     for name, layout in sorted(layouts.items()):
-        body = F.when(F.col("layout") == name, Body(layout, F.col("fields")).blocks(layout["body"])).otherwise(body)
+        body = F.when(F.col("layout") == name, whole(layout, F.col("fields"))).otherwise(body)
     known = entries.where(F.col("layout").isin(*layouts))
     return known.select(*keep, F.posexplode(body).alias("seq", "e")).select(*keep, "seq", "e.*")
 
@@ -227,7 +283,7 @@ def faults(name: str, layout: dict, known_fields: set[str]) -> list[str]:
 
 
 #: Keys of a layout that are read somewhere; a body may name others by from_layout or suppress_if_equals.
-LAYOUT_KEYS = {"body", "defaults", "content_width", "field_budgets", "field_providers", "font_sizes", "font_family", "page"}
+LAYOUT_KEYS = {"body", "defaults", "content_width", "left", "top", "field_budgets", "field_providers", "font_sizes", "font_family", "page"}
 SPOKEN = ("text", "pair", "block", "banner")
 
 

@@ -35,6 +35,30 @@ def test_expand(spark):
     assert [k for k, _ in said(spark, {"body": [table]}, {"DATES": "NOT_FOUND", "ITEMS": "NOT_FOUND"})] == ["table_open", "row_open", "cell", "cell", "row_close", "table_close"]
 
 
+def test_places(spark):
+    """Where blocks stand, against a walk over the same body by hand."""
+    body = {
+        "top": 100, "left": 7, "content_width": 400, "name": "Shop",
+        "defaults": {"line_advance": {"body": 20, "header": 30}, "banner_role": "header", "panel_padding": 10, "split_gap": 9, "row_height": 15, "rule_height": 3},
+        "body": [
+            {"type": "banner", "from_layout": "name"},
+            {"type": "text", "content": "x", "when": "NONE"},
+            {"type": "rule"},
+            {"type": "panel", "children": [{"type": "block", "heading": "h", "lines": ["a", "b"]}, {"type": "spacer", "height": 4}]},
+            {"type": "split", "columns": [{"children": [{"type": "text", "content": "l"}]}, {"children": [{"type": "block", "lines": ["r", "s"], "when": "WHO"}]}]},
+            {"type": "table", "columns": [{"key": "d", "label": "Date"}, {"key": "x", "label": "Item"}], "rows": {"d": "DATES", "x": "ITEMS"}, "grouping": "dedicated_row", "group_key": "d"},
+            {"type": "text", "content": "end"},
+        ],
+    }
+    df = spark.createDataFrame([("c", "L", FIELDS)], "case_id string, layout string, fields map<string,string>")
+    got = [(r.kind, r.text, r.x, r.width, r.y) for r in layout.expand(df, {"L": body}, ["case_id"]).orderBy("seq").collect()]
+    lines = [x for x in got if x[0] in ("title", "line")]
+    assert lines == [("title", "Shop", 7, 400, 100), ("line", "h", 17, 380, 143), ("line", "a", 17, 380, 163), ("line", "b", 17, 380, 183), ("line", "l", 7, 196, 217), ("line", "r", 212, 195, 217), ("line", "s", 212, 195, 237), ("line", "end", 7, 400, 347)]
+    rows = [x[4] for x in got if x[0] == "row_open"]
+    assert rows == [257, 272, 287, 302, 317, 332]  # header, band, p, q, band, r
+    assert [x[4] for x in got if x[0] in ("panel_open", "panel_close", "split_close", "table_close")] == [133, 217, 257, 347]
+
+
 def test_faults():
     assert layout.faults("L", BODY, set(FIELDS)) == []
     bad = {"body": [{"type": "text"}, {"type": "pair", "label": "x", "field": "NO"}, {"type": "wheel"}, {"type": "text", "content": "{WHO", "colour": 1}, {"type": "table", "columns": [], "rows": {}}]}
