@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrivana.functions import lists, payments, values
 from scrivana.operators import events, index, score, tables
 from scrivana.plans.common import Query, table
+from scrivana.plans.reports import NORMAL
 
 QUERIES: dict[str, Query] = {}
 
@@ -238,7 +239,18 @@ def transcript_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.transcripts(blocks, ["conv_id"], "turn", "block")
 
 
-@query(None)
+#: A prediction is its text without some characters, so a distance is the number of those characters, and one of words the
+#: number of words that held any; tests/test_text.py holds the query against whole tables of distances.
+@query(f"""
+WITH p AS (SELECT doc_id, text AS r, CASE WHEN doc_id % 9 <> 0 THEN regexp_replace(text, '[,.!]', '', 'g') END AS p FROM documents),
+n AS (SELECT *, {NORMAL.format('r')} AS rn, {NORMAL.format('p')} AS pn FROM p),
+w AS (SELECT *, list_filter(string_split(rn, ' '), lambda x: x <> '') AS ws FROM n)
+SELECT doc_id, length(r)::int AS ref_chars, length(p)::int AS pred_chars, p IS NOT NULL AS prediction_present,
+  (length(r) - length(p))::int AS strict_edit_distance, CASE WHEN p IS NULL THEN NULL WHEN length(r) = 0 THEN 0 ELSE (length(r) - length(p)) / length(r) END AS strict_cer,
+  (length(rn) - length(pn))::int AS normalised_edit_distance, CASE WHEN p IS NULL THEN NULL WHEN length(rn) = 0 THEN 0 ELSE (length(rn) - length(pn)) / length(rn) END AS normalised_cer,
+  CASE WHEN p IS NULL THEN NULL WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda x: regexp_matches(x, '[,.!]'))) / len(ws) END AS normalised_wer,
+  length(p) > 0 AND (length(r) = 0 OR length(p) > 3.0 * length(r)) AS degenerate FROM w
+""")
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against its own text without commas, stops and exclamation marks; every ninth has no prediction."""
     docs = table(spark, sf_dir, "documents")
