@@ -121,7 +121,8 @@ class Spans:
         self.last = ends
         self.anchor = owner[self.first]
         self.doc = np.searchsorted(self.start, self.first, side="right") - 1
-        self.piece_hash = hashes[self.anchor]
+        # least hashes are small ones: mixed again, anchors fill the buckets evenly
+        self.piece_hash = mix64(hashes[self.anchor] + np.uint64(BASES[1]))
 
     def values(self, anchor_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Two values for each span: the first begins with ``anchor_bits`` of its anchor's hash, the rest and all of the second hash the span.

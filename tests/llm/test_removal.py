@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,13 @@ def test_long_text(spark, docs):
     assert n[2] == 0 and n[0] == n[1] > 0
 
 
+def test_anchors_fill_buckets_evenly():
+    rng = random.Random(2)
+    spans = suffixdup.Spans(pa.array(["".join(rng.choices("abcdefghijklmnop ", k=60_000))]))
+    counts = np.bincount(chunks.bucket_of(spans.values(36)[0], 16), minlength=16)
+    assert len(spans.first) > 3000 and counts.max() < 1.3 * counts.mean()
+
+
 def test_chunks_and_buckets_grow_with_the_input():
     """The check's sizes are steady; at 100 TB a block between chunk and bucket still holds several values."""
     assert {chunks.chunk_bytes(n, 4 << 20) for n in (0, 10**8, 3 * 10**10)} == {4 << 20}
