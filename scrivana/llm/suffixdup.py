@@ -390,7 +390,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, scratch: Scratch
     n_spans = max(1024, n // 12)
     anchor_bits, n_buckets = anchor_bits_for(n_spans), max(LEAST_BUCKETS, buckets_for(n_spans, WIDTH, n))
     answers = scratch.put("answers", span_answers(chunks, anchor_bits, n_buckets))
-    opened = scratch.put("opened", open_spans(chunks, answers, anchor_bits, n_buckets, parts_for(n // 2, SORT_BYTES, LEAST_BUCKETS)))
+    opened = scratch.put("opened", open_spans(chunks, answers, anchor_bits, n_buckets, parts_for(n, SORT_BYTES, LEAST_BUCKETS)))
     sorts = scratch.put("sorts", sorted_answers(opened))
     state = opened.where("kind = 0").select("chunk", "marks", "first", "last", "copy_to", "copy_from", "copied")
 

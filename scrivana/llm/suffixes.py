@@ -19,8 +19,10 @@ class Suffixes:
 
     def __init__(self, text: np.ndarray, depth: int):
         self.text, self.depth = text, depth
-        self.prefix = np.zeros(len(text) + 1, dtype=np.uint64)
-        np.cumsum(text.astype(np.uint64) * powers(BASE, len(text)), out=self.prefix[1:])
+        self.prefix, up = np.zeros(len(text) + 1, dtype=np.uint64), powers(BASE, len(text))
+        up *= text
+        np.cumsum(up, out=self.prefix[1:])
+        del up
         self.down = powers(pow(BASE, -1, 1 << 64), len(text) + 1)
 
     def hashed(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
