@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import ne
 
 import pandas as pd
 import pyarrow as pa
@@ -157,6 +159,12 @@ def sequence_distance(a: Sequence, b: Sequence) -> int:
     rest = iter(a)
     if all(x in rest for x in b):
         return len(a) - len(b)
+    if len(a) == len(b):
+        # as many replacements as places differ will do; no fewer, if so many items have no partner at all
+        differing = sum(map(ne, a, b))
+        mine, theirs = Counter(a), Counter(b)
+        if max((mine - theirs).total(), (theirs - mine).total()) == differing:
+            return differing
     where: dict = {}
     for i, x in enumerate(a):
         where.setdefault(x, []).append(i)
@@ -184,23 +192,28 @@ def sequence_distance(a: Sequence, b: Sequence) -> int:
 DISTANCES = ("strict", "normalised", "words", "reference_chars", "prediction_chars", "reference_words", "prediction_words")
 
 
-@arrow_udf(StructType([StructField(name, IntegerType()) for name in DISTANCES]))
-def text_distances(reference: pa.Array, prediction: pa.Array, plain_reference: pa.Array, plain_prediction: pa.Array) -> pa.Array:
+def text_distances(reference: Column, prediction: Column, policy: NormalisationPolicy = NormalisationPolicy()) -> Column:
     """Distances of texts of any length: in code points, in those of the normalised texts, and in the words of those,
-    with the sizes of the normalised texts.
+    with the sizes of the normalised texts; a struct of nulls where either is null.
 
-    Text by text, so no more than one pair is held as strings. ``str.split`` knows the same white space as SPACE.
+    Text by text, so no more than one pair is held as strings, and normalised where they are compared. ``str.split``
+    knows the same white space as SPACE.
     """
-    out: list[list[int | None]] = [[] for _ in DISTANCES]
-    for row in zip(reference, prediction, plain_reference, plain_prediction):
-        a, b, c, d = (x.as_py() for x in row)
-        found: tuple = (None,) * len(DISTANCES)
-        if a is not None and b is not None:
-            strict, v, w = sequence_distance(a, b), c.split(), d.split()
-            found = strict, strict if (a, b) == (c, d) else sequence_distance(c, d), sequence_distance(v, w), len(c), len(d), len(v), len(w)
-        for column, x in zip(out, found):
-            column.append(x)
-    return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in out], names=list(DISTANCES))
+
+    @arrow_udf(StructType([StructField(name, IntegerType()) for name in DISTANCES]))
+    def run(references: pa.Array, predictions: pa.Array) -> pa.Array:
+        out: list[list[int | None]] = [[] for _ in DISTANCES]
+        for a, b in ((x.as_py(), y.as_py()) for x, y in zip(references, predictions)):
+            found: tuple = (None,) * len(DISTANCES)
+            if a is not None and b is not None:
+                c, d = normalised(a, policy), normalised(b, policy)
+                strict, v, w = sequence_distance(a, b), c.split(), d.split()
+                found = strict, strict if (a, b) == (c, d) else sequence_distance(c, d), sequence_distance(v, w), len(c), len(d), len(v), len(w)
+            for column, x in zip(out, found):
+                column.append(x)
+        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in out], names=list(DISTANCES))
+
+    return run(reference, prediction)
 
 
 def error_rate(distance: Column, reference_size: Column, prediction_size: Column) -> Column:

@@ -38,9 +38,8 @@ def with_predictions(pages: DataFrame, predictions: DataFrame, key: list[str], a
 def score_pages(pages: DataFrame, key: list[str], policy: ScoringPolicy = ScoringPolicy(), tables: bool = True) -> DataFrame:
     """(reference, prediction) texts to distances, rates and table fields; all of them null where there is no prediction."""
     ref, pred = F.col("reference"), F.col("prediction")
-    rows = pages.withColumns({"_r": T.normalise(ref, policy.normalisation), "_p": T.normalise(pred, policy.normalisation)})
     there = pred.isNotNull()
-    rows = rows.withColumn("_d", T.text_distances(ref, pred, F.col("_r"), F.col("_p")))
+    rows = pages.withColumn("_d", T.text_distances(ref, pred, policy.normalisation))
     strict, normalised = F.col("_d.strict"), F.col("_d.normalised")
     rows = rows.select(
         *pages.columns,
