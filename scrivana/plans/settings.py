@@ -106,12 +106,12 @@ def configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, list_sort(list_distinct(['TOTAL', 'DATE', p_brand, p_type])) AS known FROM part
+SELECT p_partkey, array_to_string(list_sort(list_distinct(['TOTAL', 'DATE', p_brand, p_type])), ',') AS known FROM part
 """)
 def known_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared fields and those that a provider emits, each once."""
     declared, emitted = F.array(F.lit("TOTAL"), F.lit("DATE"), F.col("p_brand")), F.array(F.col("p_brand"), F.col("p_type"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(F.array_union(declared, emitted)).alias("known"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.array_union(declared, emitted)), ",").alias("known"))
 
 
 @query("""
