@@ -196,7 +196,9 @@ def features(kind: str, s: str, before: str, after: str) -> list[int]:
 def candidates(text: str, has_digits: bool, taken: list[tuple[str, int, int]]) -> list[dict]:
     """Candidates that meet no base span nor one another, each with its votes and its features."""
     out: list[dict] = []
-    busy = [(a, b) for _, a, b in taken]
+    covered = bytearray(len(text))
+    for _, a, b in taken:
+        covered[a:b] = b"\1" * (b - a)
     for kind, needs, pattern, cue in _CANDIDATES:
         if not (has_digits if needs is None else any(x in text for x in needs)):
             continue
@@ -208,9 +210,9 @@ def candidates(text: str, has_digits: bool, taken: list[tuple[str, int, int]]) -
             b = a + len(s)
             if kind == "secret" and needs is None and not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
                 continue
-            if any(x < b and a < y for x, y in busy):
+            if covered.find(1, a, b) >= 0:
                 continue
-            busy.append((a, b))
+            covered[a:b] = b"\1" * (b - a)
             before, after = text[max(0, a - 32) : a], text[b : b + 2]
             votes = (form_vote(kind, s), cue_vote(kind, before), context_vote(before, after), variety_vote(kind, s))
             out.append({"kind": kind, "start": a, "end": b, "votes": "".join("-0+"[v + 1] for v in votes), "features": features(kind, s, before, after)})
