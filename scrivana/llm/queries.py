@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm import chat, decontaminate, mixing, neardup, pii, quality, suffixdup, tokens, topk, windowdup
+from scrivana.llm import chat, decontaminate, html, mixing, neardup, pii, quality, spelling, suffixdup, tokens, topk, whiten, windowdup
 
 #: Target shares of the rows, by source.
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
@@ -67,5 +67,18 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark, table(spark, sf_dir, "documents"), spelling.SPOILED)
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(spark, table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_suffixdup": op2_suffixdup, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op5_windowdup": op5_windowdup, "op6_tokens": op6_tokens, "op7_pii": op7_pii, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_neardup": op10_neardup}
+    known = (op1_quality, op2_suffixdup, op3_mixing, op4_topk, op5_windowdup, op6_tokens, op7_pii, op8_chat, op9_decontaminate, op10_neardup, op11_whiten, op12_spelling, op13_html)
+    return {q.__name__: q for q in known}
