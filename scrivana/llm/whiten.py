@@ -12,8 +12,8 @@ out with exact fractions. So the result doesn't hang on the order of rows.
 Rows take no part whose vector is null, empty or holds a null, a NaN, an infinity or a component that leaves a long when
 scaled, nor rows of another dimension than the commonest (of equally common ones the smallest). Rows without an id, and
 rows that repeat one, count like all others. Repeated vectors are fitted once, however many rows hold them. Directions
-in which the vectors don't vary (an eigenvalue within rounding of zero) aren't returned; so one vector, or none, gives
-no rows. A deviation beyond the range of a long is given as the largest long.
+in which the vectors don't vary, or so little beside the first that doubles don't whiten them to ``WHITE``, aren't
+returned; so one vector, or none, gives no rows. A deviation beyond the range of a long is given as the largest long.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
 #: Dimensions along a side of a tile.
 TILE = 8
+#: How far the whitened list's covariance may be off the identity.
+WHITE = 1e-4
 #: Rows of the fit list that one task sums.
 FITTED = 100_000
 #: Scaled components beyond this aren't whole numbers of a long.
@@ -60,6 +62,9 @@ class Basis:
         self.explained = self.values / np.trace(covariance) if len(kept) else self.values
         self.identity_error = 0.0
 
+    def keep(self, k: int, identity_error: float) -> None:
+        self.values, self.vectors, self.explained, self.identity_error = self.values[:k], self.vectors[:, :k], self.explained[:k], identity_error
+
     def whitened(self, x: np.ndarray) -> np.ndarray:
         return ((x - np.array(self.middle, dtype=np.int64)) - self.off) @ (self.vectors / np.sqrt(self.values))
 
@@ -142,7 +147,12 @@ def whiten(spark: SparkSession, rows: DataFrame, components: int = COMPONENTS, k
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), k).cast(pa.list_(pa.float64()))], names=["w"])
 
     white = fit.mapInArrow(white_list, "w array<double>")
-    basis.identity_error = float(np.abs(mirrored(centred_products(white, "w", k)) / basis.n - np.eye(k)).max())
+    off = np.abs(mirrored(centred_products(white, "w", k)) / basis.n - np.eye(k))
+    while k and off[:k, :k].max() > WHITE:
+        k -= 1
+    if not k:
+        return spark.createDataFrame([], schema)
+    basis.keep(k, float(off[:k, :k].max()))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
