@@ -8,11 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
-from operator import ne
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from scrivana.functions.edits import distances
+
 # White space, dashes and quotes that count as the same character.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 DASHES = "–—‒―−"
@@ -134,84 +133,58 @@ def character_error_rate(reference: Column, prediction: Column) -> Column:
 @arrow_udf(IntegerType())
 def word_distance(reference: pa.Array, prediction: pa.Array) -> pa.Array:
     """Levenshtein distance in words, of texts of any length."""
-    pairs = ((a.as_py(), b.as_py()) for a, b in zip(reference, prediction))
-    return pa.array([None if a is None or b is None else sequence_distance(a.split(), b.split()) for a, b in pairs], pa.int32())
+    pairs = [(a.as_py(), b.as_py()) for a, b in zip(reference, prediction)]
+    found = iter(distances([(a.split(), b.split()) for a, b in pairs if a is not None and b is not None]))
+    return pa.array([None if a is None or b is None else next(found) for a, b in pairs], pa.int32())
 
 
 def word_error_rate(reference: Column, prediction: Column) -> Column:
     return _rate(word_distance(reference, prediction), F.size(words(reference)), F.size(words(prediction)) == 0)
 
 
-def sequence_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance of two strings or lists of any length, in space linear in theirs.
-
-    If the shorter is what is left of the longer after deletions, the lengths tell; otherwise each item of the shorter
-    updates one column of the table of distances, held as the bits of two whole numbers (Myers 1999, Hyyrö 2003).
-    """
-    if len(a) < len(b):
-        a, b = b, a
-    start, end = 0, 0
-    while start < len(b) and a[start] == b[start]:
-        start += 1
-    while end < len(b) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    rest = iter(a)
-    if all(x in rest for x in b):
-        return len(a) - len(b)
-    if len(a) == len(b):
-        # as many replacements as places differ will do; no fewer, if so many items have no partner at all
-        differing = sum(map(ne, a, b))
-        mine, theirs = Counter(a), Counter(b)
-        if max((mine - theirs).total(), (theirs - mine).total()) == differing:
-            return differing
-    where: dict = {}
-    for i, x in enumerate(a):
-        where.setdefault(x, []).append(i)
-
-    @lru_cache(512)
-    def places(x) -> int:
-        bits = bytearray(len(a) // 8 + 1)
-        for i in where.get(x, ()):
-            bits[i >> 3] |= 1 << (i & 7)
-        return int.from_bytes(bits, "little")
-
-    every = (1 << len(a)) - 1
-    up, down = every, 0
-    for x in b:
-        same = places(x)
-        level = ((((same & up) + up) ^ up) | same | down) & every
-        right = (down | (every ^ (level | up))) << 1 | 1
-        left = (up & level) << 1
-        same |= down
-        up = (left | ~(same | right)) & every
-        down = right & same & every
-    return len(b) + up.bit_count() - down.bit_count()
-
-
 DISTANCES = ("strict", "normalised", "words", "reference_chars", "prediction_chars", "reference_words", "prediction_words")
+#: Characters of texts that are compared at a time.
+COMPARED_CHARS = 1 << 20
 
 
 def text_distances(reference: Column, prediction: Column, policy: NormalisationPolicy = NormalisationPolicy()) -> Column:
     """Distances of texts of any length: in code points, in those of the normalised texts, and in the words of those,
     with the sizes of the normalised texts; a struct of nulls where either is null.
 
-    Text by text, so no more than one pair is held as strings, and normalised where they are compared. ``str.split``
-    knows the same white space as SPACE.
+    Some pairs at a time, so no more than ``COMPARED_CHARS`` are held as strings (or one pair, if that is longer), and
+    normalised where they are compared. ``str.split`` knows the same white space as SPACE.
     """
 
+    def of_pairs(pairs: list[tuple[str, str]]) -> list[tuple[int, ...]]:
+        normal = [(normalised(a, policy), normalised(b, policy)) for a, b in pairs]
+        changed = [k for k, (own, was) in enumerate(zip(normal, pairs)) if own != was]
+        strict = distances(pairs)
+        second = dict(zip(changed, distances([normal[k] for k in changed])))
+        split = [(c.split(), d.split()) for c, d in normal]
+        in_words = distances(split)
+        return [(strict[k], second.get(k, strict[k]), in_words[k], len(c), len(d), len(v), len(w)) for k, ((c, d), (v, w)) in enumerate(zip(normal, split))]
+
     @arrow_udf(StructType([StructField(name, IntegerType()) for name in DISTANCES]))
     def run(references: pa.Array, predictions: pa.Array) -> pa.Array:
-        out: list[list[int | None]] = [[] for _ in DISTANCES]
-        for a, b in ((x.as_py(), y.as_py()) for x, y in zip(references, predictions)):
-            found: tuple = (None,) * len(DISTANCES)
-            if a is not None and b is not None:
-                c, d = normalised(a, policy), normalised(b, policy)
-                strict, v, w = sequence_distance(a, b), c.split(), d.split()
-                found = strict, strict if (a, b) == (c, d) else sequence_distance(c, d), sequence_distance(v, w), len(c), len(d), len(v), len(w)
-            for column, x in zip(out, found):
-                column.append(x)
-        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in out], names=list(DISTANCES))
+        out: list[tuple[int | None, ...]] = [(None,) * len(DISTANCES)] * len(references)
+        held: list[tuple[int, str, str]] = []
+        size = 0
+
+        def settle() -> None:
+            for (k, _, _), found in zip(held, of_pairs([(a, b) for _, a, b in held])):
+                out[k] = found
+
+        for k, (a, b) in enumerate(zip(references, predictions)):
+            a, b = a.as_py(), b.as_py()
+            if a is None or b is None:
+                continue
+            if held and size + len(a) + len(b) > COMPARED_CHARS:
+                settle()
+                held, size = [], 0
+            held.append((k, a, b))
+            size += len(a) + len(b)
+        settle()
+        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in zip(*out)] if out else [pa.array([], pa.int32())] * len(DISTANCES), names=list(DISTANCES))
 
     return run(reference, prediction)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivana.functions import lists, payments, values
@@ -239,22 +239,45 @@ def transcript_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.transcripts(blocks, ["conv_id"], "turn", "block")
 
 
-#: A prediction is its text without some characters, so a distance is the number of those characters, and one of words the
-#: number of words that held any; tests/test_text.py holds the query against whole tables of distances.
+#: How predictions misread their texts: letters replaced, then ``tion`` shortened (0), lengthened (1) or left (2).
+#: The wrong letter stands in no text, so each one costs an edit, and a shorter text as many more as it lacks; no text
+#: both lacks and gains letters. tests/test_text.py holds the query against whole tables of distances.
+MISREAD = (("ing", "жng"), ("ein", "жin"), ("le", "lж"), ("os", "жs"))
+RESIZED = ("tж", "tжжion", "tion")
+
+
+def misread(text: Column, kind: Column) -> Column:
+    out = F.when(kind == 0, F.replace(text, F.lit("tion"), F.lit(RESIZED[0]))).when(kind == 1, F.replace(text, F.lit("tion"), F.lit(RESIZED[1]))).otherwise(text)
+    for right, wrong in MISREAD:
+        out = F.replace(out, F.lit(right), F.lit(wrong))
+    return out
+
+
+def misread_sql(text: str, kind: str) -> str:
+    out = f"CASE {kind} WHEN 0 THEN replace({text}, 'tion', '{RESIZED[0]}') WHEN 1 THEN replace({text}, 'tion', '{RESIZED[1]}') ELSE {text} END"
+    for right, wrong in MISREAD:
+        out = f"replace({out}, '{right}', '{wrong}')"
+    return out
+
+
+def edits_sql(reference: str, prediction: str) -> str:
+    return f"(length({prediction}) - length(replace({prediction}, 'ж', '')) + greatest(length({reference}) - length({prediction}), 0))"
+
+
 @query(f"""
-WITH p AS (SELECT doc_id, text AS r, CASE WHEN doc_id % 9 <> 0 THEN regexp_replace(text, '[,.!]', '', 'g') END AS p FROM documents),
+WITH p AS (SELECT doc_id, text AS r, CASE WHEN doc_id % 9 <> 0 THEN {misread_sql("text", "doc_id % 3")} END AS p FROM documents),
 n AS (SELECT *, {NORMAL.format('r')} AS rn, {NORMAL.format('p')} AS pn FROM p),
-w AS (SELECT *, list_filter(string_split(rn, ' '), lambda x: x <> '') AS ws FROM n)
+w AS (SELECT *, {edits_sql("r", "p")} AS d, {edits_sql("rn", "pn")} AS dn, list_filter(string_split(pn, ' '), lambda x: x <> '') AS ws FROM n)
 SELECT doc_id, length(r)::int AS ref_chars, length(p)::int AS pred_chars, p IS NOT NULL AS prediction_present,
-  (length(r) - length(p))::int AS strict_edit_distance, CASE WHEN p IS NULL THEN NULL WHEN length(r) = 0 THEN 0 ELSE (length(r) - length(p)) / length(r) END AS strict_cer,
-  (length(rn) - length(pn))::int AS normalised_edit_distance, CASE WHEN p IS NULL THEN NULL WHEN length(rn) = 0 THEN 0 ELSE (length(rn) - length(pn)) / length(rn) END AS normalised_cer,
-  CASE WHEN p IS NULL THEN NULL WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda x: regexp_matches(x, '[,.!]'))) / len(ws) END AS normalised_wer,
+  CASE WHEN p IS NOT NULL THEN d::int END AS strict_edit_distance, CASE WHEN p IS NULL THEN NULL WHEN length(r) = 0 THEN 0 ELSE d / length(r) END AS strict_cer,
+  CASE WHEN p IS NOT NULL THEN dn::int END AS normalised_edit_distance, CASE WHEN p IS NULL THEN NULL WHEN length(rn) = 0 THEN 0 ELSE dn / length(rn) END AS normalised_cer,
+  CASE WHEN p IS NULL THEN NULL WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda x: contains(x, 'ж'))) / len(ws) END AS normalised_wer,
   length(p) > 0 AND (length(r) = 0 OR length(p) > 3.0 * length(r)) AS degenerate FROM w
 """)
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against its own text without commas, stops and exclamation marks; every ninth has no prediction."""
-    docs = table(spark, sf_dir, "documents")
-    pages = docs.select("doc_id", F.col("text").alias("reference"), F.when(F.col("doc_id") % 9 != 0, F.regexp_replace("text", "[,.!]", "")).alias("prediction"))
+    """Every document against itself misread: replaced, dropped and added letters; every ninth has no prediction."""
+    docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    pages = docs.select("doc_id", F.col("text").alias("reference"), F.when(key % 9 != 0, misread(F.col("text"), key % 3)).alias("prediction"))
     return score.score_pages(pages, ["doc_id"], tables=False).drop("reference", "prediction")
 
 

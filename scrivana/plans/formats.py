@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrivana.operators import corpus, index, score
 from scrivana.plans.common import Query, table
+from scrivana.plans.corpora import edits_sql, misread, misread_sql
 from scrivana.plans.reports import order_lists
 from scrivana.sources import readers
 from scrivana.sources.config import FieldDefinitions
@@ -112,25 +113,26 @@ def extraction_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(at)
 
 
-@query("""
-WITH c AS (SELECT doc_id, lang, source, text, m.model, m.k FROM documents, (VALUES ('alpha', 3), ('beta', 7)) m(model, k) WHERE lang <> 'de' OR model = 'alpha')
+@query(f"""
+WITH c AS (SELECT doc_id, lang, source, text, m.model, CASE WHEN doc_id % 9 <> 0 THEN CASE m.model WHEN 'alpha' THEN {misread_sql("text", "0")} ELSE {misread_sql("text", "1")} END END AS p
+  FROM documents, (VALUES ('alpha'), ('beta')) m(model) WHERE lang <> 'de' OR model = 'alpha'),
+d AS (SELECT *, {edits_sql("text", "p")} AS d FROM c)
 SELECT model, lang AS corpus, doc_id::varchar AS case_id, source AS doc_type, 'scan' AS family, 'light' AS severity, true AS verified, length(text)::int AS ref_chars,
-  CASE WHEN doc_id % 9 <> 0 THEN length(substr(text, k + 1))::int END AS pred_chars, doc_id % 9 <> 0 AS prediction_present,
-  CASE WHEN doc_id % 9 <> 0 THEN least(k, length(text))::int END AS strict_edit_distance,
-  CASE WHEN doc_id % 9 <> 0 THEN round(CASE WHEN length(text) = 0 THEN 0 ELSE least(k, length(text)) / length(text) END, 6) END AS strict_cer,
-  CASE WHEN doc_id % 9 <> 0 THEN false END AS degenerate FROM c
+  length(p)::int AS pred_chars, p IS NOT NULL AS prediction_present, CASE WHEN p IS NOT NULL THEN d::int END AS strict_edit_distance,
+  CASE WHEN p IS NOT NULL THEN round(CASE WHEN length(text) = 0 THEN 0 ELSE d / length(text) END, 6) END AS strict_cer,
+  length(p) > 0 AND (length(text) = 0 OR length(p) > 3.0 * length(text)) AS degenerate FROM d
 """)
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored for two models, each of which lost its first characters; one has nothing for one corpus, and
+    """Every document scored for two models, each of which misreads in its own way; one has nothing for one corpus, and
     every ninth page has no prediction."""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), F.concat_ws("_", F.col("doc_id").cast("string"), "source").alias("stem"), F.col("doc_id").cast("string").alias("case_id"), F.col("source").alias("doc_type"), F.col("text").alias("reference"), "doc_id")
     corpora = docs.select("corpus").distinct().select("corpus", F.sha2("corpus", 256).alias("manifest_sha256"), F.sha2(F.lit("prompt"), 256).alias("prompt_sha256"))
     matrix = corpora.select("corpus", "manifest_sha256", F.lit("scan").alias("family"), F.lit("light").alias("severity"))
-    models = F.explode(F.array(F.struct(F.lit("alpha").alias("model"), F.lit(3).alias("lost")), F.struct(F.lit("beta").alias("model"), F.lit(7).alias("lost")))).alias("m")
+    models = F.explode(F.array(F.struct(F.lit("alpha").alias("model"), F.lit(0).alias("kind")), F.struct(F.lit("beta").alias("model"), F.lit(1).alias("kind")))).alias("m")
     answered = (F.col("corpus") != "de") | (F.col("m.model") == "alpha")
     runs = corpora.select("corpus", "prompt_sha256", F.col("manifest_sha256").alias("corpus_manifest_sha256"), models).where(answered).select("m.model", "corpus", "prompt_sha256", "corpus_manifest_sha256")
     said = docs.select("corpus", "stem", "doc_id", "reference", models).where(answered)
-    predictions = said.select("m.model", "corpus", "stem", F.when(F.col("doc_id") % 9 != 0, F.substring("reference", F.col("m.lost") + 1, F.length("reference"))).alias("prediction"))
+    predictions = said.select("m.model", "corpus", "stem", F.when(F.col("doc_id") % 9 != 0, misread(F.col("reference"), F.col("m.kind"))).alias("prediction"))
     rows = score.score_corpora(matrix, corpora, docs, runs, predictions, allow_missing=True)
     return rows.select(*score.ROW, "ref_chars", "pred_chars", "prediction_present", "strict_edit_distance", F.round("strict_cer", 6).alias("strict_cer"), "degenerate")
 
