@@ -5,8 +5,8 @@ that for e - 1 edits and from how far both sequences agree from there on (Ukkone
 with d edits takes time n + d ** 2, whatever those edits are. Agreement is read 8 bytes at a time from windows of both
 sequences, for all diagonals of all pairs in one numpy call; the few long agreements are read on alone.
 
-Pairs that need more edits than a share of their length (unrelated texts) take a bit-parallel table instead, whose time
-is n ** 2 / 64 and whose space is n.
+Pairs that need more edits than some 7 in 100 items (of short ones more; unrelated texts) take a bit-parallel table
+instead, whose time is n ** 2 / 64 and whose space is n.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import numpy as np
 
 #: Items of all pairs that are compared at once.
 TOGETHER = 1 << 20
-#: Edits, as a share of the longer sequence's length, up to which diagonals are quicker than the table.
-SHARE, LEAST = 1 / 16, 32
+#: Items that a table compares with all others in the time of a diagonal's step, and what each of them costs besides.
+TABLE_STEP, TABLE_ITEM = 1 / 250, 10
 #: Windows that all diagonals read together; what agrees further is read diagonal by diagonal.
 WINDOWS = 6
 NONE = -(1 << 30)
@@ -57,7 +57,9 @@ def _settle(pairs: list[tuple[Sequence, Sequence]], held: list[int], out: list[i
 
 
 def most_edits(n: int, m: int) -> int:
-    return max(LEAST, int(SHARE * max(n, m)))
+    """Edits up to which diagonals are quicker than the table."""
+    n = max(n, m)
+    return int((TABLE_ITEM * n + TABLE_STEP * n * n) ** 0.5)
 
 
 def coded(sequences: list[Sequence]) -> np.ndarray:

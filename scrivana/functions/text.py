@@ -95,21 +95,30 @@ def normalise(text: Column, policy: NormalisationPolicy = NormalisationPolicy())
 def normalised(text: str, policy: NormalisationPolicy) -> str:
     """``normalise`` for one text inside a Python function. Python's white space is that of SPACE."""
     out = unicodedata.normalize(policy.unicode_form, text)
-    if policy.fold_dashes:
-        out = out.translate(_TO_DASH)
-    if policy.fold_quotes:
-        out = out.translate(_TO_QUOTE)
+    if not out.isascii():
+        for wanted, characters, plain in ((policy.fold_dashes, DASHES, "-"), (policy.fold_quotes, SINGLE_QUOTES, "'"), (policy.fold_quotes, DOUBLE_QUOTES, '"')):
+            for c in characters if wanted else "":
+                out = out.replace(c, plain)
     if policy.strip_markdown:
-        for pattern, to in _MARKDOWN:
-            out = pattern.sub(to, out)
+        if not policy.collapse_whitespace:
+            out = _SEPARATORS.sub(" ", out)
+        elif any(c in out for c in ":-|"):  # white space beside a separator row goes anyway
+            out = "\n".join(" " if _is_separator(line) else line for line in out.split("\n"))
+        if "#" in out:
+            out = _HEADINGS.sub("", out)
+        for c in "*_`":
+            out = out.replace(c, "")
+        out = out.replace("|", " ")
     if policy.collapse_whitespace:
         out = " ".join(out.split())
     return out.casefold() if policy.fold_case else out
 
 
-_TO_DASH = dict.fromkeys(map(ord, DASHES), "-")
-_TO_QUOTE = dict.fromkeys(map(ord, SINGLE_QUOTES), "'") | dict.fromkeys(map(ord, DOUBLE_QUOTES), '"')
-_MARKDOWN = ((re.compile(r"(?m)^\s*\|?[\s:\-|]+\|?\s*$"), " "), (re.compile(r"(?m)^\s{0,3}#{1,6}\s+"), ""), (re.compile(r"\*{1,3}|_{1,3}|`+"), ""), (re.compile(r"\|"), " "))
+_SEPARATORS, _HEADINGS = re.compile(r"(?m)^\s*\|?[\s:\-|]+\|?\s*$"), re.compile(r"(?m)^\s{0,3}#{1,6}\s+")
+
+
+def _is_separator(line: str) -> bool:
+    return not line[:1].isalnum() and not line.replace(":", "").replace("-", "").replace("|", "").strip()
 
 
 def words(text: Column) -> Column:

@@ -40,6 +40,30 @@ def report_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("strict_cer_mean", "normalised_wer_mean")})
 
 
+@query("""
+WITH r AS (SELECT l_returnflag AS model, l_linestatus AS corpus, l_linenumber::varchar AS doc_type, CASE WHEN l_quantity < 25 THEN 'scan' WHEN l_quantity < 50 THEN 'photo' END AS family, o_orderpriority AS severity,
+  l_returnflag <> 'N' OR l_linenumber = 2 AS present, sqrt(l_extendedprice) AS m, CASE WHEN l_linenumber <> 3 THEN sqrt(l_discount + l_tax + 0.01) END AS t, l_quantity > 45 AS bad, l_linenumber AS k, l_tax < 0.08 OR l_returnflag <> 'R' AS v
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+g AS (SELECT grouping(model, corpus, doc_type, family, severity)::int AS grouping, model, corpus, doc_type, family, severity, count(*) AS pages, count(*) FILTER (NOT present) AS missing, count(*) FILTER (bad) AS degenerate,
+  coalesce(sum(k) FILTER (present), 0)::bigint AS table_rows_missing, coalesce(list_sort(list(m) FILTER (present)), []) AS ms, coalesce(list_sort(list(t) FILTER (present AND t IS NOT NULL)), []) AS ts,
+  avg(m) FILTER (present) AS am, avg(t) FILTER (present) AS tm, bool_and(v) AS verified FROM r GROUP BY CUBE (model, corpus, doc_type, family, severity))
+SELECT grouping, model, corpus, doc_type, family, severity, pages, missing, degenerate, table_rows_missing, verified,
+  ms[greatest(1, (50 * len(ms) + 99) // 100)] AS strict_cer_p50, ms[greatest(1, (90 * len(ms) + 99) // 100)] AS strict_cer_p90, ms[greatest(1, len(ms))] AS strict_cer_p100, round(am, 4) AS strict_cer_mean,
+  ts[greatest(1, (50 * len(ts) + 99) // 100)] AS normalised_wer_p50, ts[greatest(1, (90 * len(ts) + 99) // 100)] AS normalised_wer_p90, ts[greatest(1, len(ts))] AS normalised_wer_p100, round(tm, 6) AS normalised_wer_mean
+FROM g
+""")
+def report_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items reported by all 32 subsets of five keys, one of which is null for some."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+    rows = lines.select(
+        F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("corpus"), F.col("l_linenumber").cast("string").alias("doc_type"), F.when(F.col("l_quantity") < 25, "scan").when(F.col("l_quantity") < 50, "photo").alias("family"),
+        F.col("o_orderpriority").alias("severity"), ((F.col("l_returnflag") != "N") | (F.col("l_linenumber") == 2)).alias("prediction_present"), F.sqrt("l_extendedprice").alias("strict_cer"),
+        F.when(F.col("l_linenumber") != 3, F.sqrt(F.col("l_discount") + F.col("l_tax") + 0.01)).alias("normalised_wer"), (F.col("l_quantity") > 45).alias("degenerate"),
+        F.col("l_linenumber").alias("table_rows_missing"), ((F.col("l_tax") < 0.08) | (F.col("l_returnflag") != "R")).alias("verified"))
+    out = report.report_cube(rows, list(report.KEYS), metrics=("strict_cer", "normalised_wer"), counts=("table_rows_missing",))
+    return out.withColumns({"strict_cer_mean": F.round("strict_cer_mean", 4), "normalised_wer_mean": F.round("normalised_wer_mean", 6)})
+
+
 @query("""
 WITH g AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS x FROM orders GROUP BY 1)
 SELECT o_orderpriority, x[greatest(1, (1 * len(x) + 99) // 100)] AS o_totalprice_p1, x[greatest(1, (7 * len(x) + 99) // 100)] AS o_totalprice_p7,
