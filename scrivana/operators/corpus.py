@@ -15,6 +15,7 @@ from scrivana.operators.index import examples, set_differences
 from scrivana.operators.tables import render_tables
 from scrivana.operators.windows import first_per_group
 from scrivana.sources.config import FieldDefinitions
+from scrivana.sources.vintages import files_of, lines_of, write_vintage
 from scrivana.sources.readers import stem_of, write_csv, write_json
 
 
@@ -129,28 +130,9 @@ def export_extraction(entries: DataFrame, manifest: DataFrame, definitions: Fiel
     write_json(line_item_rows(entries, definitions).orderBy("doc_type", "case_id", "line_no"), f"{folder}/line_items", keep_nulls=False)
 
 
-WRITTEN = "stem string, path string, bytes long"
-
-
-def write_pages(pages: DataFrame, folder: str, suffix: str = ".md") -> DataFrame:
-    """One text file for each (stem, text), in any file system; returns what was written once it is evaluated."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        at = "file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder  # file:/a names /a too
-        files, base = fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at)
-        files.create_dir(base)
-        for batch in batches:
-            stems, sizes = batch.column(0).to_pylist(), []
-            for stem, text in zip(stems, batch.column(1).to_pylist()):
-                raw = (text or "").encode()
-                with files.open_output_stream(f"{base}/{stem}{suffix}") as out:
-                    out.write(raw)
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([f"{folder}/{s}{suffix}" for s in stems], pa.string()), pa.array(sizes, pa.int64())], names=["stem", "path", "bytes"])
-
-    return pages.select(F.col("stem").cast("string"), F.col("text").cast("string")).mapInArrow(run, WRITTEN)
+def write_pages(pages: DataFrame, folder: str, suffix: str = ".md") -> None:
+    """One text file for each (stem, text), as a vintage: all of them or none, in a folder that isn't there yet."""
+    write_vintage(files_of(pages, F.concat(F.col("stem").cast("string"), F.lit(suffix)), F.col("text")), folder)
 
 
 def manifest_rows(pages: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,8 +150,8 @@ def manifest_rows(pages: DataFrame, files: DataFrame, texts: DataFrame) -> DataF
 
 
 def export(spark: SparkSession, manifest: DataFrame, events: DataFrame, rows: DataFrame, folder: str, texts: DataFrame | None = None, title: str = "Corpus") -> None:
-    """Layout annotations, table HTML, transcripts, description and manifest of a corpus below ``folder``, which must not
-    hold one yet.
+    """Layout annotations, table HTML, transcripts, description and manifest of a corpus, committed at once as ``folder``,
+    which must not be there yet.
 
     events, rows and texts carry ``stem``; a page with events but no annotation fails.
     """
@@ -179,11 +161,9 @@ def export(spark: SparkSession, manifest: DataFrame, events: DataFrame, rows: Da
     if not bare.isEmpty():
         raise ValueError(f"no annotation on {[r.stem for r in bare.limit(5).collect()]}")
     whole = html.groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "html"))), lambda x: x["html"]), "\n").alias("html"))
-    write_json(dets, f"{folder}/layout")
-    write_json(whole, f"{folder}/tables")
-    if texts is not None:
-        write_json(write_pages(texts, f"{folder}/transcripts"), f"{folder}/written")
     named = manifest.join(whole.select("stem", F.concat(F.lit("tables/"), "stem").alias("_tables")), "stem", "left").withColumn("tables", F.col("_tables")).drop("_tables")
-    write_json(named, f"{folder}/manifest", keep_nulls=False)
-    described = spark.createDataFrame([("README", readme(named, title, events))], "stem string, text string")
-    write_json(write_pages(described, folder), f"{folder}/described")
+    parts = [lines_of(dets, "layout"), lines_of(whole, "tables"), lines_of(named, "manifest", keep_nulls=False)]
+    if texts is not None:
+        parts.append(files_of(texts, F.concat(F.lit("transcripts/"), "stem", F.lit(".md")), F.col("text")))
+    parts.append(spark.createDataFrame([("README.md", readme(named, title, events), False)], "path string, content string, line boolean"))
+    write_vintage(reduce(DataFrame.unionByName, parts), folder)

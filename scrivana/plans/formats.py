@@ -11,7 +11,7 @@ from scrivana.operators import corpus, index, score
 from scrivana.plans.common import Query, table
 from scrivana.plans.corpora import edits_sql, misread, misread_sql
 from scrivana.plans.reports import order_lists
-from scrivana.sources import readers
+from scrivana.sources import readers, vintages
 from scrivana.sources.config import FieldDefinitions
 from scrivana.staging import shared_dir
 
@@ -75,10 +75,26 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a turn, as page texts are written, read back whole."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stem"), "text")
     at = folder(spark, "texts")
-    readers.write_json(corpus.write_pages(turns, at), f"{at}-written")
-    written = readers.json_lines(spark, f"{at}-written", corpus.WRITTEN)
-    back = readers.texts(spark, at).select("stem", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
-    return back.join(written.select("stem", "bytes"), "stem")
+    corpus.write_pages(turns, at)
+    return readers.texts(spark, at).select("stem", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("""
+SELECT source AS corpus, CASE WHEN n % 2 = 0 THEN 'scan' ELSE 'photo' END AS family, doc_id::varchar AS stem, sha256(coalesce(text, '')) AS sha256
+FROM documents JOIN (SELECT source, length(source) + ascii(right(source, 1)) AS n FROM documents GROUP BY 1) USING (source)
+WHERE source LIKE 'src1%' AND n % 2 = 0
+""")
+def pruned_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one vintage of a corpus a source, of which those of one family and one beginning are read."""
+    docs = table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    even = (F.length("source") + F.ascii(F.right("source", F.lit(1)))) % 2 == 0
+    index_row = F.to_json(F.struct(F.col("source").alias("corpus"), F.when(even, "scan").otherwise("photo").alias("family"), F.lit("light").alias("severity")))
+    lines = docs.select("source").distinct().select(index_row.alias("line")).groupBy().agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    texts = vintages.files_of(docs, F.concat("source", F.lit("/transcripts/"), "doc_id", F.lit(".md")), F.col("text"))
+    at = folder(spark, "corpora")
+    vintages.write_vintage(texts.unionByName(vintages.files_of(lines, F.lit("matrix.jsonl"), F.col("lines"))), at)
+    read = vintages.folder_texts(spark, at).where((F.col("family") == "scan") & F.col("corpus").startswith("src1"))
+    return read.select("corpus", "family", "stem", F.sha2("text", 256).alias("sha256"))
 
 
 @query("""
