@@ -1,7 +1,11 @@
-"""Validation rules: each gives findings (case_id, field, position, rule, message), and a report is their union."""
+"""Validation rules. Each is a column: an array of what it finds in an entry (field, position, rule, message).
+
+``check`` puts any number of them into one pass over the entries: arrays side by side, exploded once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,101 +19,121 @@ from scrivana.functions.values import abn_is_valid, gst_inclusive
 FORMATS = {"date": r"^\d{2}/\d{2}/\d{4}\z", "range": r"^\d{2}/\d{2}/\d{4} - \d{2}/\d{2}/\d{4}\z", "amount": r"^-?\d+\.\d{2}\z", "boolean": r"^(?i:true|false)\z"}
 
 
-def finding(rows: DataFrame, rule: str, message: Column, field: Column | None = None, position: Column | None = None) -> DataFrame:
-    return rows.select("case_id", (field if field is not None else F.lit(None).cast("string")).alias("field"), (position if position is not None else F.lit(None)).cast("int").alias("position"), F.lit(rule).alias("rule"), message.alias("message"))
+FINDINGS = "array<struct<field:string,position:int,rule:string,message:string>>"
+
+
+def finding(rule: str, message: Column, field: Column | None = None, position: Column | None = None) -> Column:
+    parts = {"field": field, "position": position, "rule": F.lit(rule), "message": message}
+    return F.struct(*((F.lit(None) if x is None else x).alias(name) for name, x in parts.items()))
+
+
+def _where(condition: Column, found: Column) -> Column:
+    return F.when(condition, F.array(found).cast(FINDINGS)).otherwise(F.array().cast(FINDINGS))
+
 
+def _among(items: Column, found: Callable[[Column, Column], Column]) -> Column:
+    """What is found at the elements of an array; ``found`` gives null where there is nothing."""
+    return F.coalesce(F.array_compact(F.transform(items, found)).cast(FINDINGS), F.array().cast(FINDINGS))
 
-def all_findings(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
 
+def check(entries: DataFrame, *rules: Column) -> DataFrame:
+    """case_id, field, position, rule and message of everything that the rules find."""
+    return entries.select("case_id", F.explode(F.concat(*rules)).alias("_f")).select("case_id", "_f.*")
 
-def required_fields(entries: DataFrame, required: dict[str, list[str]]) -> DataFrame:
+
+def required_fields(required: dict[str, list[str]]) -> Column:
     """Fields that an entry's document type requires and it lacks; unknown types too."""
     known = F.create_map(*(x for t, names in required.items() for x in (F.lit(t), F.array(*map(F.lit, names)))))
-    unknown = finding(entries.where(~F.col("doc_type").isin(*required)), "doc_type", F.concat(F.lit("unknown type "), F.col("doc_type")))
-    wanted = entries.where(F.col("doc_type").isin(*required)).withColumn("_field", F.explode(known[F.col("doc_type")]))
-    lacking = wanted.where(~F.map_contains_key("fields", F.col("_field")))
-    return unknown.unionByName(finding(lacking, "required", F.lit("missing"), F.col("_field")))
+    unknown = _where(~F.col("doc_type").isin(*required), finding("doc_type", F.concat(F.lit("unknown type "), F.col("doc_type"))))
+    lacking = _among(F.try_element_at(known, F.col("doc_type")), lambda name, _: F.when(~F.map_contains_key("fields", name), finding("required", F.lit("missing"), name)))
+    return F.concat(unknown, lacking)
+
+
+def with_layouts(entries: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Entries that know whether their layout is one of ``layouts``."""
+    return entries.join(layouts.select("layout", F.lit(True).alias("_layout_is_known")).distinct(), "layout", "left")
+
+
+def unknown_layouts() -> Column:
+    """Layouts that there aren't; the entries come from ``with_layouts``."""
+    return _where(F.col("_layout_is_known").isNull(), finding("layout", F.concat(F.lit("no layout "), F.col("layout"))))
 
 
-def unknown_layouts(entries: DataFrame, layouts: DataFrame) -> DataFrame:
-    return finding(entries.join(layouts, "layout", "left_anti"), "layout", F.concat(F.lit("no layout "), F.col("layout")))
+def _of_form(value: Column, kind: str) -> Column:
+    return (value == NOT_FOUND) | value.rlike(FORMATS[kind])
 
 
-def formats(entries: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
+def _not_valid(kind: str, value: Column, field: Column, position: Column | None = None) -> Column:
+    return finding(f"format_{kind}", F.concat(F.lit("not a valid value: "), value), field, position)
+
+
+def formats(kinds: dict[str, list[str]]) -> Column:
     """Scalar fields (kind -> names) that aren't of their form; the sentinel is legal."""
-    parts = []
-    for kind, names in kinds.items():
-        each = entries.withColumn("_x", F.explode(F.array(*(F.struct(F.lit(n).alias("f"), F.col("fields")[n].alias("v")) for n in names))))
-        bad = each.where(F.col("_x.v").isNotNull() & (F.col("_x.v") != NOT_FOUND) & ~F.col("_x.v").rlike(FORMATS[kind]))
-        parts.append(finding(bad, f"format_{kind}", F.concat(F.lit("not a valid value: "), F.col("_x.v")), F.col("_x.f")))
-    return all_findings(*parts)
+    return F.concat(*(_where(~_of_form(F.col("fields")[n], kind), _not_valid(kind, F.col("fields")[n], F.lit(n))) for kind, names in kinds.items() for n in names))
 
 
-def list_formats(entries: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
+def list_formats(kinds: dict[str, list[str]]) -> Column:
     """The same for every element of pipe lists, with its position."""
-    parts = []
-    for kind, names in kinds.items():
-        each = entries.withColumn("_x", F.explode(F.array(*(F.struct(F.lit(n).alias("f"), F.col("fields")[n].alias("v")) for n in names))))
-        items = each.where(F.col("_x.v").isNotNull()).select("case_id", F.col("_x.f").alias("_f"), F.posexplode(split_pipes(F.col("_x.v"))).alias("_i", "_v"))
-        bad = items.where((F.col("_v") != NOT_FOUND) & ~F.col("_v").rlike(FORMATS[kind]))
-        parts.append(finding(bad, f"format_{kind}", F.concat(F.lit("not a valid value: "), F.col("_v")), F.col("_f"), F.col("_i")))
-    return all_findings(*parts)
 
+    def of(kind: str, name: str) -> Column:
+        return _among(split_pipes(F.col("fields")[name]), lambda x, i: F.when(~_of_form(x, kind), _not_valid(kind, x, F.lit(name), i)))
+
+    return F.concat(*(of(kind, name) for kind, names in kinds.items() for name in names))
 
-def business_numbers(entries: DataFrame, field: str = "BUSINESS_ABN") -> DataFrame:
+
+def business_numbers(field: str = "BUSINESS_ABN") -> Column:
     value = F.col("fields")[field]
-    return finding(entries.where(value.isNotNull() & (value != NOT_FOUND) & ~abn_is_valid(value)), "abn", F.concat(F.lit("checksum fails: "), value), F.lit(field))
+    return _where((value != NOT_FOUND) & ~abn_is_valid(value), finding("abn", F.concat(F.lit("checksum fails: "), value), F.lit(field)))
 
 
-def parallel_counts(entries: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+def parallel_counts(groups: dict[str, list[str]]) -> Column:
     """Groups of lists with unequal counts."""
     parts = []
     for group, names in groups.items():
         counts = F.array(*(F.size(F.split(F.col("fields")[n], r"\|")) for n in names))
         there = reduce(lambda a, b: a & b, (F.col("fields")[n].isNotNull() for n in names))
-        bad = entries.where(there & (F.size(F.array_distinct(counts)) > 1))
-        parts.append(finding(bad, "parallel", F.concat(F.lit("counts "), F.array_join(counts.cast("array<string>"), ", ")), F.lit(group)))
-    return all_findings(*parts)
+        parts.append(_where(there & (F.size(F.array_distinct(counts)) > 1), finding("parallel", F.concat(F.lit("counts "), F.array_join(counts.cast("array<string>"), ", ")), F.lit(group))))
+    return F.concat(*parts)
 
 
-def tax(entries: DataFrame, total: str = "TOTAL_AMOUNT", gst: str = "GST_AMOUNT", inclusive: str = "IS_GST_INCLUDED") -> DataFrame:
+def tax(total: str = "TOTAL_AMOUNT", gst: str = "GST_AMOUNT", inclusive: str = "IS_GST_INCLUDED") -> Column:
     """Included tax that isn't an eleventh of the total, rounded half up."""
     f = F.col("fields")
     t, g = f[total].try_cast("decimal(18,2)"), f[gst].try_cast("decimal(18,2)")
-    bad = entries.where((F.lower(F.trim(f[inclusive])) == "true") & (g != gst_inclusive(t)))
-    return finding(bad, "gst", F.concat(F.lit("expected "), gst_inclusive(t).cast("string")), F.lit(gst))
+    return _where((F.lower(F.trim(f[inclusive])) == "true") & (g != gst_inclusive(t)), finding("gst", F.concat(F.lit("expected "), gst_inclusive(t).cast("string")), F.lit(gst)))
 
 
-def balances(entries: DataFrame, balance: str = "TRANSACTION_BALANCES", paid: str = "TRANSACTION_AMOUNTS_PAID", received: str = "TRANSACTION_AMOUNTS_RECEIVED", closing: str = "ACCOUNT_BALANCE") -> DataFrame:
+def balances(balance: str = "TRANSACTION_BALANCES", paid: str = "TRANSACTION_AMOUNTS_PAID", received: str = "TRANSACTION_AMOUNTS_RECEIVED", closing: str = "ACCOUNT_BALANCE") -> Column:
     """Broken links of the balance chain, and a closing balance that isn't the last one."""
 
     def numbers(name: str) -> Column:
         return F.transform(split_pipes(F.col("fields")[name]), lambda x: F.when(x == NOT_FOUND, F.lit(0)).otherwise(F.regexp_replace(x, ",", "").try_cast("decimal(18,2)")).cast("decimal(18,2)"))
 
-    rows = entries.where(F.col("fields")[balance].isNotNull()).select("case_id", F.col("fields")[closing].try_cast("decimal(18,2)").alias("_end"), numbers(balance).alias("_b"), numbers(paid).alias("_p"), numbers(received).alias("_r"))
-    links = rows.withColumn("_i", F.explode(F.sequence(F.lit(2), F.greatest(F.size("_b"), F.lit(2))))).where(F.col("_i") <= F.size("_b"))
-    at = {c: F.try_element_at(c, F.col("_i")) for c in ("_b", "_p", "_r")}
-    expected = F.try_element_at(F.col("_b"), F.col("_i") - 1) - at["_p"] + at["_r"]
-    broken = links.where(at["_b"] != expected)
-    ends = rows.where(F.try_element_at(F.col("_b"), F.lit(-1)) != F.col("_end"))
-    return finding(broken, "balance", F.concat(F.lit("expected "), expected.cast("string")), F.lit(balance), F.col("_i") - 1).unionByName(finding(ends, "closing", F.lit("isn't the last balance"), F.lit(closing)))
+    def but_first(name: str) -> Column:
+        return F.slice(numbers(name), 2, 1 << 30)
+
+    # each link beside the balance before it; shorter lists end in nulls, which break nothing
+    links = F.arrays_zip(numbers(balance).alias("before"), but_first(balance).alias("now"), F.coalesce(but_first(paid), F.array().cast("array<decimal(18,2)>")).alias("paid"), F.coalesce(but_first(received), F.array().cast("array<decimal(18,2)>")).alias("received"))
+
+    def broken(x: Column, i: Column) -> Column:
+        expected = x["before"] - x["paid"] + x["received"]
+        return F.when(x["now"] != expected, finding("balance", F.concat(F.lit("expected "), expected.cast("string")), F.lit(balance), i + 1))
 
+    last = F.try_element_at(numbers(balance), F.lit(-1))
+    return F.concat(_among(links, broken), _where(last != F.col("fields")[closing].try_cast("decimal(18,2)"), finding("closing", F.lit("isn't the last balance"), F.lit(closing))))
 
-def rewards(entries: DataFrame, opening: str, earned: str, bonus: str, redeemed: str, closing: str) -> DataFrame:
+
+def rewards(opening: str, earned: str, bonus: str, redeemed: str, closing: str) -> Column:
     """Points that don't add up; commas are ignored."""
 
     def points(name: str) -> Column:
         return F.regexp_replace(F.col("fields")[name], ",", "").try_cast("bigint")
 
     expected = points(opening) + points(earned) + points(bonus) - points(redeemed)
-    return finding(entries.where(points(closing) != expected), "rewards", F.concat(F.lit("expected "), expected.cast("string")), F.lit(closing))
+    return _where(points(closing) != expected, finding("rewards", F.concat(F.lit("expected "), expected.cast("string")), F.lit(closing)))
 
 
-def overflows(entries: DataFrame, budgets: dict[str, Budget], advances: Advances) -> DataFrame:
+def overflows(budgets: dict[str, Budget], advances: Advances) -> Column:
     """Fields whose text can't be laid out whole in its box: a backstop before anything is drawn."""
-    parts = []
-    for name, budget in budgets.items():
-        tried = entries.withColumn("_fit", fit_text(F.col("fields")[name], budget, advances))
-        parts.append(finding(tried.where(F.col("_fit.fault").isNotNull()), "overflow", F.col("_fit.fault"), F.lit(name)))
-    return all_findings(*parts)
+    tried = F.array(*(F.struct(F.lit(name).alias("name"), fit_text(F.col("fields")[name], budget, advances)["fault"].alias("fault")) for name, budget in budgets.items()))
+    return _among(tried, lambda x, _: F.when(x["fault"].isNotNull(), finding("overflow", x["fault"], x["name"])))

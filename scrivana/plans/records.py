@@ -87,11 +87,12 @@ UNION ALL SELECT case_id, NULL, NULL, 'layout', 'no layout unknown' FROM g WHERE
 def planted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = planted_entries(spark, sf_dir)
     known = spark.createDataFrame([("plain",)], "layout string")
-    return rules.all_findings(
-        rules.required_fields(entries, {"invoice": ["TOTAL_AMOUNT", "ITEMS", "PRICES"]}), rules.unknown_layouts(entries, known),
-        rules.formats(entries, {"date": ["INVOICE_DATE"], "amount": ["TOTAL_AMOUNT", "GST_AMOUNT", "ACCOUNT_BALANCE"]}), rules.list_formats(entries, {"date": ["DATES"], "amount": ["PRICES"]}),
-        rules.business_numbers(entries), rules.parallel_counts(entries, {"items": ["ITEMS", "PRICES"]}), rules.tax(entries), rules.balances(entries),
-        rules.rewards(entries, "OPENING", "EARNED", "BONUS", "REDEEMED", "CLOSING"),
+    return rules.check(
+        rules.with_layouts(entries, known),
+        rules.required_fields({"invoice": ["TOTAL_AMOUNT", "ITEMS", "PRICES"]}), rules.unknown_layouts(),
+        rules.formats({"date": ["INVOICE_DATE"], "amount": ["TOTAL_AMOUNT", "GST_AMOUNT", "ACCOUNT_BALANCE"]}), rules.list_formats({"date": ["DATES"], "amount": ["PRICES"]}),
+        rules.business_numbers(), rules.parallel_counts({"items": ["ITEMS", "PRICES"]}), rules.tax(), rules.balances(),
+        rules.rewards("OPENING", "EARNED", "BONUS", "REDEEMED", "CLOSING"),
     )
 
 
@@ -101,7 +102,7 @@ FROM customer WHERE 600 * length(c_name || ' ' || c_mktsegment) * 8 > 90000
 """)
 def overflow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("case_id"), string_map(NAME=F.concat_ws(" ", "c_name", "c_mktsegment")).alias("fields"))
-    return rules.overflows(entries, {"NAME": fit.Budget(90, 12, 8)}, fit.Advances({}))
+    return rules.check(entries, rules.overflows({"NAME": fit.Budget(90, 12, 8)}, fit.Advances({})))
 
 
 @query("""

@@ -17,24 +17,24 @@ def found(df):
 
 def test_planted_faults(spark):
     e = entries(spark, D="1/2/2024", A="12.5", T="110.00", G="10.01", I="true", X="1|2", Y="1", L="1.00|x|NOT_FOUND", N="51 824 753 556", M="51 824 753 557")
-    assert found(rules.formats(e, {"date": ["D"], "amount": ["A", "T"]})) == [("A", None, "format_amount"), ("D", None, "format_date")]
-    assert found(rules.list_formats(e, {"amount": ["L"]})) == [("L", 1, "format_amount")]
-    assert found(rules.parallel_counts(e, {"g": ["X", "Y"]})) == [("g", None, "parallel")]
-    assert found(rules.tax(e, "T", "G", "I")) == [("G", None, "gst")]
-    assert found(rules.business_numbers(e, "N")) == []
-    assert found(rules.business_numbers(e, "M")) == [("M", None, "abn")]
-    assert found(rules.required_fields(e, {"receipt": ["D", "Q"]})) == [("Q", None, "required")]
-    assert found(rules.unknown_layouts(e, spark.createDataFrame([("m",)], "layout string"))) == [(None, None, "layout")]
+    assert found(rules.check(e, rules.formats({"date": ["D"], "amount": ["A", "T"]}))) == [("A", None, "format_amount"), ("D", None, "format_date")]
+    assert found(rules.check(e, rules.list_formats({"amount": ["L"]}))) == [("L", 1, "format_amount")]
+    assert found(rules.check(e, rules.parallel_counts({"g": ["X", "Y"]}))) == [("g", None, "parallel")]
+    assert found(rules.check(e, rules.tax("T", "G", "I"))) == [("G", None, "gst")]
+    assert found(rules.check(e, rules.business_numbers("N"))) == []
+    assert found(rules.check(e, rules.business_numbers("M"))) == [("M", None, "abn")]
+    assert found(rules.check(e, rules.required_fields({"receipt": ["D", "Q"]}))) == [("Q", None, "required")]
+    assert found(rules.check(rules.with_layouts(e, spark.createDataFrame([("m",)], "layout string")), rules.unknown_layouts())) == [(None, None, "layout")]
 
 
 def test_balances(spark):
     e = entries(spark, TRANSACTION_BALANCES="10.00|5.00|9.00", TRANSACTION_AMOUNTS_PAID="NOT_FOUND|5.00|NOT_FOUND", TRANSACTION_AMOUNTS_RECEIVED="10.00|NOT_FOUND|3.00", ACCOUNT_BALANCE="8.00")
-    assert found(rules.balances(e)) == [("ACCOUNT_BALANCE", None, "closing"), ("TRANSACTION_BALANCES", 2, "balance")]
+    assert found(rules.check(e, rules.balances())) == [("ACCOUNT_BALANCE", None, "closing"), ("TRANSACTION_BALANCES", 2, "balance")]
 
 
 def test_rewards(spark):
     e = entries(spark, O="1,000", E="50", B="0", R="100", C="951")
-    assert found(rules.rewards(e, "O", "E", "B", "R", "C")) == [("C", None, "rewards")]
+    assert found(rules.check(e, rules.rewards("O", "E", "B", "R", "C"))) == [("C", None, "rewards")]
 
 
 def test_ragged_group_fails(spark):
@@ -59,3 +59,12 @@ def test_interpolation(spark):
         df.select(lists.interpolate(F.lit("{C}"), F.col("f"))).collect()
     assert df.select(lists.placeholders(F.lit("{A} {B}"))).first()[0] == ["A", "B"]
     assert df.select(lists.braces_balanced(F.lit("{A")), lists.braces_balanced(F.lit("{A}"))).first()[:] == (False, True)
+
+
+def test_rules_take_one_pass(spark):
+    from oracle import SF
+
+    from scrivana.plans import registry
+
+    plan = registry.queries()["planted_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Generate") == 1
