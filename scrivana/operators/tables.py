@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 from itertools import zip_longest
@@ -108,11 +109,16 @@ def parse_tables(pages: pd.Series) -> pd.Series:
     return pages.map(lambda t: None if t is None else read_tables(t) if "<" in t else [])
 
 
+#: Pairs of rows for which two bytes each are held at a time.
+HELD_PAIRS = 4 << 20
+
+
 def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
     """A shortest edit script between two lists as pairs of positions; None: no counterpart.
 
     Equal ends are taken off first; among equally short scripts, walking back from the end, a deletion is preferred,
-    then an insertion, then a replacement. Two bytes are held for each pair of rows that remain.
+    then an insertion, then a replacement. Lists of more than ``HELD_PAIRS`` pairs are halved where that walk crosses the
+    middle of the first, so memory follows the lists' lengths and not their product.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -122,29 +128,65 @@ def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
         tail += 1
     numbers: dict = {}
     x, y = (np.array([numbers.setdefault(v, len(numbers)) for v in part], dtype=np.int64) for part in (a[head : len(a) - tail], b[head : len(b) - tail]))
+    middle: list[tuple[int | None, int | None]] = []
+    todo = [(0, len(x), 0, len(y))]  # the last part first, as the walk goes
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if i1 - i0 > 1 and (i1 - i0 + 1) * (j1 - j0 + 1) > HELD_PAIRS:
+            half = (i0 + i1) // 2
+            at = j0 + _crossing(x[i0:i1], y[j0:j1], half - i0)
+            todo += [(i0, half, j0, at), (half, i1, at, j1)]
+        else:
+            middle += ((None if i is None else head + i0 + i, None if j is None else head + j0 + j) for i, j in _walk_back(x[i0:i1], y[j0:j1]))
+    ends = [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    return [(k, k) for k in range(head)] + middle[::-1] + ends
+
+
+def _next_row(last: np.ndarray, item: int, y: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The next row of the table of distances."""
+    best = last + 1
+    best[1:] = np.minimum(best[1:], last[:-1] + (y != item))
+    return np.minimum.accumulate(best - steps) + steps
+
+
+def _crossing(x: np.ndarray, y: np.ndarray, half: int) -> int:
+    """The column at which the preferred walk back from the end comes to row ``half``: each place of a row takes it over
+    from the place that the walk goes on to."""
+    steps = np.arange(len(y) + 1)
+    last, crossed = steps, steps
+    for i in range(1, len(x) + 1):
+        row = _next_row(last, x[i - 1], y, steps)
+        if i > half:
+            deletes = row == last + 1
+            inserts = np.zeros(len(row), dtype=bool)
+            inserts[1:] = (row[1:] == row[:-1] + 1) & ~deletes[1:]
+            above = np.where(deletes, crossed, np.concatenate([crossed[:1], crossed[:-1]]))
+            crossed = above[np.maximum.accumulate(np.where(inserts, 0, steps))]
+        last = row
+    return int(crossed[-1])
+
+
+def _walk_back(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int | None, int | None]]:
+    """The preferred script from its end on."""
     n, m, steps = len(x), len(y), np.arange(len(y) + 1)
     deletes, inserts = np.zeros((2, n + 1, m + 1), dtype=bool)
     inserts[0, 1:], deletes[1:, 0] = True, True
     last = steps
     for i in range(1, n + 1):
-        best = last + 1
-        best[1:] = np.minimum(best[1:], last[:-1] + (y != x[i - 1]))
-        row = np.minimum.accumulate(best - steps) + steps
+        row = _next_row(last, x[i - 1], y, steps)
         deletes[i], inserts[i, 1:] = row == last + 1, row[1:] == row[:-1] + 1
         last = row
-    i, j, middle = n, m, []
+    i, j = n, m
     while i or j:
         if deletes[i, j]:
             i -= 1
-            middle.append((head + i, None))
+            yield i, None
         elif inserts[i, j]:
             j -= 1
-            middle.append((None, head + j))
+            yield None, j
         else:
             i, j = i - 1, j - 1
-            middle.append((head + i, head + j))
-    ends = [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
-    return [(k, k) for k in range(head)] + middle[::-1] + ends
+            yield i, j
 
 
 def compare_row(reference: list[str], prediction: list[str]) -> tuple[int, int]:

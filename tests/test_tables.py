@@ -103,3 +103,32 @@ def test_render_blank_header(spark):
     assert html == '<table><thead><tr><th></th><th></th></tr></thead><tbody><tr><td colspan="2">&lt;x&gt;</td></tr><tr><td rowspan="2">a</td></tr></tbody></table>'
     wide = rows.select(T.padded_row(F.col("cells"), 3).alias("c")).select(F.size("c")).collect()
     assert [r[0] for r in wide] == [2, 3]
+
+
+def test_long_lists_are_aligned_in_parts(monkeypatch):
+    """Halved lists give the very script of the whole table, ties included."""
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(400):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 25))]
+        b = [x for x in a if rng.random() > 0.2] if rng.random() < 0.5 else [rng.choice("abc") for _ in range(rng.randint(0, 25))]
+        pairs.append((a, b))
+    whole = [T.align(a, b) for a, b in pairs]
+    for held in (1, 9, 60):
+        monkeypatch.setattr(T, "HELD_PAIRS", held)
+        assert [T.align(a, b) for a, b in pairs] == whole
+
+
+def test_alignment_takes_memory_by_length(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(T, "HELD_PAIRS", 1 << 16)
+    rng = random.Random(13)
+    a = [rng.randint(0, 400) for _ in range(4000)]
+    b = [rng.randint(0, 400) if rng.random() < 0.1 else x for x in a if rng.random() > 0.05]
+    tracemalloc.start()
+    script = T.align(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # the whole table takes 30 MB
+    assert [i for i, _ in script if i is not None] == list(range(4000)) and [j for _, j in script if j is not None] == list(range(len(b)))
