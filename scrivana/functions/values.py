@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivana.functions.lists import is_present
@@ -132,12 +132,43 @@ def seeded_choice(pool: Column, seed: Column) -> Column:
     return pick(pool, hash_slice(F.sha2(seed.cast("string"), 256), 0, 12))
 
 
+#: Rounds of the permutation below, at any size of the pool.
+SWAPS = 48
+
+
+def cycle_place(position: Column, n: int | Column, seed: int) -> Column:
+    """The place, of 0 to n - 1, of a position (from 0): every round of n positions takes each place once, in an order of
+    its own.
+
+    A keyed permutation by swap-or-not steps: each step pairs every place with another one by a key, and a bit that both
+    of them share says whether they change places. So one place costs the same at any n, and no pool is put in order.
+    """
+    n = F.lit(n).cast("long")
+    turn = F.floor(position / n).cast("string")
+
+    def drawn(*parts: Column) -> Column:
+        return hash_slice(F.sha2(F.concat_ws("|", F.lit(str(seed)), turn, *(x.cast("string") for x in parts)), 256), 0, 12)
+
+    keys = F.transform(F.sequence(F.lit(0), F.lit(SWAPS - 1)), lambda r: F.struct(r.alias("r"), (drawn(r) % n).alias("k")))
+
+    def step(at: Column, key: Column) -> Column:
+        other = F.pmod(key["k"] - at, n)
+        return F.when(drawn(key["r"], F.greatest(at, other)) % 2 == 1, other).otherwise(at)
+
+    return F.aggregate(keys, (position % n).cast("long"), step)
+
+
 def cycled_choice(pool: list[str], position: Column, seed: int) -> Column:
     """No member again before all have been taken: the pool in an order of its own for each round of positions (from 0)."""
-    n, members = len(pool), F.array(*map(F.lit, pool))
-    turn = F.floor(position / n)
-    ranked = F.array_sort(F.transform(members, lambda x: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), turn.cast("string"), x), 256).alias("h"), x.alias("x"))))
-    return F.element_at(ranked, (position % n).cast("int") + 1)["x"]
+    return F.element_at(F.array(*map(F.lit, pool)), cycle_place(position, len(pool), seed).cast("int") + 1)
+
+
+def cycled_from(rows: DataFrame, pool: DataFrame, position: str, place: str, seed: int) -> DataFrame:
+    """The same with a pool of any size: a table whose ``place`` numbers its members from 0. Rows get their member's columns."""
+    n = pool.count()
+    if not n:
+        raise ValueError("the pool is empty")
+    return rows.withColumn(place, cycle_place(F.col(position), n, seed)).join(pool, place).drop(place)
 
 
 def person(first_names: list[str], last_names: list[str], seed: Column) -> Column:

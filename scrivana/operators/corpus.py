@@ -71,6 +71,18 @@ def refreshed(carried: DataFrame, tier_pages: DataFrame) -> DataFrame:
     return carried.join(tier_pages.select("stem").distinct(), "stem", "left_semi")
 
 
+#: Tiers that a page may have; more is a mistake, as every page is copied for each.
+MOST_TIERS = 10_000
+
+
+def in_tiers(pages: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Each page in each tier. Tiers are counted before they are broadcast."""
+    n = tiers.count()
+    if n > MOST_TIERS:
+        raise ValueError(f"{n} tiers; at most {MOST_TIERS} are expected")
+    return pages.crossJoin(F.broadcast(tiers))
+
+
 def summary(manifest: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """(what, name, n): pages by type and family, pages with tables; with events, also blocks and spans by category, and
     pages of several tables."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivana.functions import lists, payments, values
-from scrivana.operators import events, index, score, tables
+from scrivana.operators import corpus, events, index, score, tables
 from scrivana.plans.common import Query, table
 from scrivana.plans.reports import NORMAL
 
@@ -108,7 +108,7 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_nationkey, r_name AS tier FROM nation CROSS JOIN region""")
 def model_corpus_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = table(spark, sf_dir, "region").select(F.col("r_name").alias("tier"))
-    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(tiers))
+    return corpus.in_tiers(table(spark, sf_dir, "nation").select("n_nationkey"), tiers)
 
 
 _PREFIXES = [("STANDARD", "s1"), ("STANDARD ANODIZED", "s2"), ("SMALL", "m1"), ("ECONOMY", "e1"), ("ECONOMY BRUSHED", "e2"), ("PROMO", "p1"), ("LARGE BURNISHED", "l2")]

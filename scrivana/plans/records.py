@@ -173,16 +173,36 @@ def made_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", abn.alias("abn"), values.abn_is_valid(abn).alias("valid"))
 
 
-@query("""
-WITH s AS (SELECT c_custkey, c_custkey // 3 AS turn, c_custkey % 3 AS i FROM customer),
-h AS (SELECT *, list_sort(list_transform(['Net 7', 'Net 14', 'Net 30'], lambda x: [sha256('5|' || turn || '|' || x), x])) AS ranked FROM s)
-SELECT c_custkey, ranked[i + 1][2] AS cycled, ['Net 7', 'Net 14', 'Net 30'][(('0x' || substr(sha256(c_custkey::varchar), 1, 12))::bigint % 3 + 1)::int] AS chosen FROM h
+def cycle_sql(position: str, n: str, seed: int) -> str:
+    """DuckDB's form of ``values.cycle_place``."""
+    head = f"'{seed}|' || ({position} // {n}) || '|' || r"
+    other = f"((({_drawn_sql(head)} % {n}) - x) % {n} + {n}) % {n}"
+    return f"list_reduce(range(0, {values.SWAPS}), lambda x, r: CASE WHEN {_drawn_sql(f"{head} || '|' || greatest(x, {other})")} % 2 = 1 THEN {other} ELSE x END, {position} % {n})"
+
+
+def _drawn_sql(text: str) -> str:
+    return f"('0x' || substr(sha256({text}), 1, 12))::bigint"
+
+
+@query(f"""
+SELECT c_custkey, ['Net 7', 'Net 14', 'Net 30'][{cycle_sql("c_custkey", "3", 5)} + 1] AS cycled, ['Net 7', 'Net 14', 'Net 30'][(('0x' || substr(sha256(c_custkey::varchar), 1, 12))::bigint % 3 + 1)::int] AS chosen FROM customer
 """)
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool, key = ["Net 7", "Net 14", "Net 30"], F.col("c_custkey")
     return table(spark, sf_dir, "customer").select("c_custkey", values.cycled_choice(pool, key, 5).alias("cycled"), values.seeded_choice(F.array(*map(F.lit, pool)), key).alias("chosen"))
 
 
+@query(f"""
+WITH p AS (SELECT p_name AS member, row_number() OVER (ORDER BY p_partkey) - 1 AS place, count(*) OVER () AS n FROM part),
+c AS (SELECT c_custkey, (SELECT max(n) FROM p) AS n FROM customer)
+SELECT c_custkey, member FROM (SELECT c_custkey, {cycle_sql("c_custkey", "n", 9)} AS place FROM c) JOIN p USING (place)
+""")
+def cycled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's part, none again before all parts have been taken."""
+    pool = index.numbered(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("member")), "p_partkey", "place")
+    return values.cycled_from(table(spark, sf_dir, "customer").select("c_custkey"), pool, "c_custkey", "place", 9)
+
+
 @query("""
 WITH h AS (SELECT c_custkey, sha256('person|' || c_custkey) AS p, sha256('address|' || c_custkey) AS a FROM customer)
 SELECT c_custkey, ['Ana', 'Ben', 'Cleo'][(('0x' || substr(p, 1, 12))::bigint % 3 + 1)::int] || ' ' || ['Ng', 'Roy'][(('0x' || substr(p, 13, 12))::bigint % 2 + 1)::int] AS full_name,

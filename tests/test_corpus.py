@@ -68,3 +68,30 @@ def test_pools(tmp_path):
     p.write_text("doc_types: [r]\nfamilies: [scan, scan]\n")
     with pytest.raises(config.ConfigError):
         config.selection(p, ["r"], ["scan"])
+
+
+def test_cycles_take_each_place_once(spark):
+    for n in (1, 2, 3, 10, 57):
+        df = spark.range(n * 4).select("id", values.cycle_place(F.col("id"), n, 3).alias("place"))
+        got = [r.place for r in df.orderBy("id").collect()]
+        rounds = [got[k : k + n] for k in range(0, len(got), n)]
+        assert all(sorted(r) == list(range(n)) for r in rounds) and (n < 10 or len(set(map(tuple, rounds))) == 4)
+    # every order of three comes up, about equally often
+    orders = spark.range(3 * 3000).select(F.floor(F.col("id") / 3).alias("turn"), "id", values.cycle_place(F.col("id"), 3, 8).alias("p")).orderBy("id").collect()
+    seen = {}
+    for k in range(0, len(orders), 3):
+        key = tuple(r.p for r in orders[k : k + 3])
+        seen[key] = seen.get(key, 0) + 1
+    assert len(seen) == 6 and min(seen.values()) > 400
+    pool = spark.range(1_000_000).select(F.col("id").alias("place"), (F.col("id") * 2).alias("member"))
+    taken = values.cycled_from(spark.range(500), pool, "id", "place", 4).collect()
+    assert len({r.member for r in taken}) == 500
+    with pytest.raises(ValueError, match="empty"):
+        values.cycled_from(spark.range(5), pool.limit(0), "id", "place", 4)
+
+
+def test_tiers_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "MOST_TIERS", 3)
+    assert corpus.in_tiers(spark.range(5), spark.range(3).toDF("tier")).count() == 15
+    with pytest.raises(ValueError, match="4 tiers"):
+        corpus.in_tiers(spark.range(5), spark.range(4).toDF("tier"))
