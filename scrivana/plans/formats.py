@@ -167,10 +167,17 @@ def scored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.rows_with_columns(spark, [f"{at}/alpha", f"{at}/beta"], ["model", "corpus", "strict_cer"]).select("model", "corpus", "case_id", "strict_cer")
 
 
-@query("""SELECT unnest(['model_revision', 'host']) AS key""")
+@query("""
+SELECT key, count(*) AS records FROM (SELECT unnest(list_filter(['model_id', 'model_revision', 'generated_at', 'host'],
+  lambda k: CASE k WHEN 'model_id' THEN c_custkey % 7 = 0 WHEN 'model_revision' THEN c_mktsegment = 'BUILDING' WHEN 'generated_at' THEN c_acctbal < 0 ELSE c_custkey % 3 = 0 END)) AS key FROM customer) GROUP BY key
+""")
 def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that a run record leaves out or empty."""
+    """A run record a customer; how many leave which key out, or empty."""
+    key = F.col("c_custkey")
+    records = table(spark, sf_dir, "customer").select(
+        F.when(key % 7 != 0, key.cast("string")).alias("model_id"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("model_revision"),
+        F.lit("p").alias("prompt_sha256"), F.lit("c").alias("corpus"), F.sha2("c_name", 256).alias("corpus_manifest_sha256"),
+        F.when(F.col("c_acctbal") >= 0, "2024-01-01").alias("generated_at"), F.when(key % 3 == 0, "").otherwise("h").alias("host"))
     at = folder(spark, "run")
-    record = spark.createDataFrame([("m", "", "p", "c", "h", "2024-01-01")], "model_id string, model_revision string, prompt_sha256 string, corpus string, corpus_manifest_sha256 string, generated_at string")
-    readers.write_json(record, at)
-    return readers.run_faults(spark, at)
+    readers.write_json(records, at, keep_nulls=False)
+    return readers.run_faults(spark, at).groupBy("key").agg(F.count(F.lit(1)).alias("records"))

@@ -195,10 +195,10 @@ class FieldDefinitions:
 
     def of_type(self, doc_type: str) -> set[str]:
         """Fields of a document type, named in the singular or the plural."""
-        name = doc_type[:-1] if doc_type.endswith("s") else doc_type
-        if name not in self.document_fields:
+        named = {f"{name}s": fields for name, fields in self.document_fields.items()} | self.document_fields
+        if doc_type not in named:
             raise ConfigError(f"no fields for {doc_type!r}", "document_fields", f"one of {sorted(self.document_fields)}", "add the type or correct its name")
-        return set(self.document_fields[name])
+        return set(named[doc_type])
 
 
 @lru_cache(64)

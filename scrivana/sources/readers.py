@@ -142,17 +142,19 @@ def distinct_folders(paths: list[str]) -> list[str]:
 
 
 def rows_with_columns(spark: SparkSession, paths: list[str], required: list[str]) -> DataFrame:
-    """Scored rows of several files, all of which must state ``required``."""
-    parts = []
+    """Scored rows of several files, in each of which some record must state each of ``required``.
+
+    The first record mostly tells; a whole file is looked through only where it doesn't.
+    """
     for p in paths:
-        lacking = sorted(set(required) - set(spark.read.json(p).columns))
+        keys = spark.read.text(p).select(F.json_object_keys("value").alias("keys"))
+        first = keys.first()
+        lacking = sorted(set(required) - set((first and first["keys"]) or ()))
+        if lacking:
+            lacking = sorted(set(lacking) - {r.key for r in keys.select(F.explode("keys").alias("key")).where(F.col("key").isin(lacking)).distinct().collect()})
         if lacking:
             raise ValueError(f"{p} lacks columns {lacking}")
-        parts.append(json_lines(spark, p, SCORED))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    return json_lines(spark, paths, SCORED)
 
 
 def write_json(df: DataFrame, path: str, keep_nulls: bool = True, one_file: bool = False) -> None:
