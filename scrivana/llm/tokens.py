@@ -2,8 +2,8 @@
 
 A shard holds the documents of one range of doc_id, ascending. Its stream of ids (each document followed by the
 end id) is cut into sequences of ``length`` ids, stored as fixed-size lists beside a mask that is false on the
-padding of the shard's last sequence; a second file says where each document starts. Sequence k of a shard is
-thus bytes [k * length * width, (k + 1) * length * width) of a memory-mapped buffer.
+padding of the shard's last sequence; a second file says where each document starts. All batches of a file but its
+last hold equally many sequences, so sequence k is found by one division, in a memory-mapped buffer.
 
 Nulls count as empty texts; an empty text is its end id alone; rows that repeat a doc_id are all written, side
 by side in the order of their texts' first 32 characters, then of a hash; a null doc_id sorts first; an empty table gives no shard; other columns are not read.
@@ -160,7 +160,7 @@ def encoder(path: str) -> Encoder:
 
 
 class ShardWriter:
-    """Writes one shard; only whole sequences wait in memory, and no more than one batch of them."""
+    """Writes one shard in batches of equally many sequences; what doesn't fill one waits in memory."""
 
     def __init__(self, base: str, length: int, dtype, per_batch: int = 256):
         self.base, self.length, self.dtype, self.per_batch = base, length, np.dtype(dtype), per_batch
@@ -191,6 +191,7 @@ class ShardWriter:
     def _flush(self, last: bool) -> None:
         flat = np.concatenate([*self.held, np.zeros(0, dtype=self.dtype)])
         whole = len(flat) // self.length
+        whole -= 0 if last else whole % self.per_batch
         rest = flat[whole * self.length :]
         flat, real = flat[: whole * self.length], whole * self.length
         if last and len(rest):
@@ -262,14 +263,14 @@ def shard_ids(sequences: pa.ipc.RecordBatchFileReader) -> Iterator[np.ndarray]:
         yield ids if mask.true_count == len(ids) else ids[mask.to_numpy(zero_copy_only=False)]
 
 
-def sequence_at(sequences: pa.ipc.RecordBatchFileReader, k: int, per_batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence k: all batches but the last may be shorter only at a flush, so sizes are summed."""
-    for b in range(sequences.num_record_batches):
-        batch = sequences.get_batch(b)
-        if k < batch.num_rows:
-            return batch.column(0)[k].values.to_numpy(zero_copy_only=True), batch.column(1)[k].values.to_numpy(zero_copy_only=False)
-        k -= batch.num_rows
-    raise IndexError(k)
+def sequence_at(sequences: pa.ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and mask of sequence k. The first batch tells how many sequences a batch holds."""
+    if k < 0 or not sequences.num_record_batches:
+        raise IndexError(k)
+    b, place = divmod(k, sequences.get_batch(0).num_rows)
+    if b >= sequences.num_record_batches or place >= (batch := sequences.get_batch(b)).num_rows:
+        raise IndexError(k)
+    return batch.column(0)[place].values.to_numpy(zero_copy_only=True), batch.column(1)[place].values.to_numpy(zero_copy_only=False)
 
 
 #: Shards whose sizes are summed in one window.

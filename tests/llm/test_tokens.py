@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -87,3 +88,26 @@ def test_round_trip(spark, clashing, monkeypatch):
 def test_empty(spark, docs):
     assert T.token_rows(spark, docs([])).collect() == []
     assert [tuple(r)[:3] for r in T.token_rows(spark, docs([None])).collect()] == [(0, 0, 1)]
+
+
+def test_every_sequence_is_found_by_division(tmp_path):
+    """A shard that is flushed many times: batches are even, and each sequence is where it should be."""
+    rng = np.random.default_rng(3)
+    writer, whole = T.ShardWriter(str(tmp_path / "shard"), 8, np.uint16, per_batch=4), []
+    for k in range(60):
+        sizes = rng.integers(1, 40, size=rng.integers(1, 4))
+        ids = rng.integers(0, 50_000, size=sizes.sum()).astype(np.uint16)
+        writer.add(pa.array(np.arange(len(sizes)) + 10 * k), sizes, ids)
+        whole.append(ids)
+    whole = np.concatenate(whole)
+    n_docs, n_tokens, n_sequences = writer.close()
+    assert n_tokens == len(whole) and n_sequences == -(-len(whole) // 8)
+    with pa.memory_map(str(tmp_path / "shard" / "sequences.arrow")) as source:
+        read = pa.ipc.open_file(source)
+        assert [read.get_batch(b).num_rows for b in range(read.num_record_batches - 1)] == [4] * (read.num_record_batches - 1)
+        for k in range(n_sequences):
+            ids, mask = T.sequence_at(read, k)
+            assert (ids[mask] == whole[8 * k : 8 * k + 8]).all() and mask.sum() == min(8, len(whole) - 8 * k)
+        for k in (-1, n_sequences):
+            with pytest.raises(IndexError):
+                T.sequence_at(read, k)
