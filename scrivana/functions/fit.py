@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 FITTED = "struct<lines:array<string>,size:int,fault:string>"
+TO_FIT = "array<struct<texts:array<string>,budget:int>>"
 STRATEGIES = ("shrink", "wrap", "shrink_then_wrap")
 
 
@@ -107,3 +108,23 @@ def fit_text(text: Column, budget: Budget, advances: Advances) -> Column:
         return pa.array(found, pa.struct([("lines", pa.list_(pa.string())), ("size", pa.int32()), ("fault", pa.string())]))
 
     return run(text)
+
+
+def fit_lists(asked: Column, budgets: list[Budget], advances: Advances) -> Column:
+    """What came of lists of texts, each fitted by the budget that it names by number: an array of arrays of (lines, size,
+    fault), null for null. All texts of a page, and of many pages, take one call; equal texts of a batch are fitted once."""
+
+    @arrow_udf(f"array<array<{FITTED}>>")
+    def run(pages: pa.Array) -> pa.Array:
+        known: dict[tuple[str, int], dict] = {}
+
+        def one(text: str | None, budget: int) -> dict | None:
+            if text is not None and (text, budget) not in known:
+                known[text, budget] = dict(zip(("lines", "size", "fault"), fitted(text, budgets[budget], advances)))
+            return None if text is None else known[text, budget]
+
+        found = [None if page is None else [[one(t, x["budget"]) for t in x["texts"]] if x["texts"] is not None else None for x in page] for page in pages.to_pylist()]
+        kind = pa.struct([("lines", pa.list_(pa.string())), ("size", pa.int32()), ("fault", pa.string())])
+        return pa.array(found, pa.list_(pa.list_(kind)))
+
+    return run(asked)

@@ -62,3 +62,25 @@ def placeholders(template: Column) -> Column:
 def braces_balanced(template: Column) -> Column:
     """No brace is left once whole placeholders are taken out."""
     return ~F.regexp_replace(template, r"\{[^{}]*\}", "").rlike(r"[{}]")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it, in n^1.5 steps: an array can't grow in place, so sums are taken in
+    pieces of the root of n, and each piece is then raised by all pieces before it."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    scan = lambda a: F.slice(F.aggregate(a, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))), F.lit(1), F.size(a))
+    raised = lambda pieces: F.flatten(F.zip_with(pieces, scan(F.transform(pieces, total)), lambda p, t: F.transform(scan(p), lambda y: y + t)))
+
+    def whole(a: Column) -> Column:
+        n = F.size(a)
+        root = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        count = F.ceil(n / root).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.slice(a, i * root + 1, root))
+        return let(pieces, raised)
+
+    return let(numbers, whole)
