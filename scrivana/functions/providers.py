@@ -23,10 +23,13 @@ def bank_row(date: Column, description: Column, debit: Column, credit: Column, b
 
 
 def listed(fields: Column, names: dict[str, str]) -> Column:
-    """Rows of parallel pipe lists; ragged ones fail, absent ones have no rows."""
-    lists = {k: F.when(is_present(fields[name]), split_pipes(fields[name])).otherwise(F.array().cast("array<string>")) for k, name in names.items()}
-    ragged = F.raise_error(F.lit(f"ragged rows: {', '.join(names.values())}")).cast(f"array<struct<{','.join(f'{k}:string' for k in names)}>>")
-    return F.when(counts_agree(*lists.values()), F.arrays_zip(*(v.alias(k) for k, v in lists.items()))).otherwise(ragged)
+    """Rows of parallel pipe lists. Ragged ones fail; a list that is the sentinel alone is one absent item, and a group of
+    nothing but such lists has no rows."""
+    lists = {k: F.when(F.coalesce(fields[name], F.lit("")) != "", split_pipes(fields[name])).otherwise(F.array().cast("array<string>")) for k, name in names.items()}
+    kind = f"array<struct<{','.join(f'`{k}`:string' for k in names)}>>"
+    ragged = F.raise_error(F.lit(f"ragged rows: {', '.join(names.values())}")).cast(kind)
+    nothing_there = ~F.exists(F.array(*(fields[name] for name in names.values())), is_present)
+    return F.when(nothing_there, F.array().cast(kind)).when(counts_agree(*lists.values()), F.arrays_zip(*(v.alias(k) for k, v in lists.items()))).otherwise(ragged)
 
 
 def bank_transactions(

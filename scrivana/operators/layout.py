@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivana.functions.fit import FITTED, TO_FIT, Advances, Budget, fit_lists
-from scrivana.functions.lists import counts_agree, interpolate, is_present, let, split_pipes, sums_before
-from scrivana.functions.providers import PROVIDERS
+from scrivana.functions.lists import interpolate, is_present, let, sums_before
+from scrivana.functions.providers import PROVIDERS, listed
 from scrivana.functions.values import format_amount, long_date
 from scrivana.operators.events import CATEGORIES
 from scrivana.sources.config import ConfigError
@@ -182,11 +182,7 @@ class Body:
         """A table's rows: an array of structs with a field for each key, and ``synthetic``."""
         if "provider" in b:
             return PROVIDERS[b["provider"]](self.fields, **(b.get("params") or {}))
-        lists = {k: F.when(is_present(self.fields[name]), split_pipes(self.fields[name])).otherwise(F.array().cast("array<string>")) for k, name in b["rows"].items()}
-        even = counts_agree(*lists.values())
-        items = F.transform(F.arrays_zip(*(v.alias(k) for k, v in lists.items())), lambda r: F.struct(*(r[k].alias(k) for k in lists), F.lit(False).alias("synthetic")))
-        kind = f"array<struct<{','.join(f'`{k}`:string' for k in lists)},synthetic:boolean>>"
-        return F.when(even, items).otherwise(F.raise_error(F.lit(f"ragged table rows: {list(lists)}")).cast(kind))
+        return F.transform(listed(self.fields, b["rows"]), lambda r: F.struct(*(r[k].alias(k) for k in b["rows"]), F.lit(False).alias("synthetic")))
 
     def of_table(self, b: dict, x: int, width: int) -> Column:
         columns, place = b["columns"], {"x": x, "width": width}

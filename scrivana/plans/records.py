@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.functions import fit, image, lists, payments, text, values
+from scrivana.functions import fit, image, lists, payments, providers, text, values
 from scrivana.operators import corpus, events, index, layout, rules, tables
 from scrivana.plans.common import Query, table
 from scrivana.plans.corpora import POOLS
@@ -366,7 +366,8 @@ def captured_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LAYOUT = {
-    "title": "Statement",
+    "title": "Statement", "top": 50, "left": 10, "content_width": 400,
+    "defaults": {"line_advance": {"body": 22, "header": 30}, "banner_role": "header", "rule_height": 5, "row_height": 16},
     "body": [
         {"type": "banner", "content": "{NAME}"},
         {"type": "text", "from_layout": "title", "title": True},
@@ -382,10 +383,12 @@ LAYOUT = {
 WITH o AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks, list(o_totalprice::decimal(18,2) ORDER BY o_orderkey) AS ps FROM orders GROUP BY 1),
 c AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal::decimal(18,2) AS b, c_custkey % 3 <> 0 AS shown, ks, ps FROM customer JOIN o ON o_custkey = c_custkey)
 SELECT c_custkey, '# ' || c_name || chr(10) || '# Statement' || chr(10) || 'Segment: ' || c_mktsegment || CASE WHEN shown THEN chr(10) || 'Balance: $' || format('{:,.2f}', b::double) ELSE '' END AS said,
+  10 AS x, 400 AS width, 50 + 30 + 22 + 22 + 5 + CASE WHEN shown THEN 22 ELSE 0 END AS table_top, 50 + 30 + 22 + 22 + 5 + CASE WHEN shown THEN 22 ELSE 0 END + 16 * (len(ks) + 1) AS table_end,
   2 + 2 * len(ks) AS cells, len(ks) + 1 AS drawn_rows, 'Order,Price,' || array_to_string(flatten(list_transform(range(1, len(ks) + 1), lambda i: [ks[i]::varchar, ps[i]::varchar])), ',') AS row_text FROM c
 """)
 def compiled_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A layout compiled to events for every customer with orders: titles, pairs (one of them only where stated), a table."""
+    """A layout compiled to events for every customer with orders: titles, pairs (one of them only where stated), a table, and
+    where they stand."""
     by = F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))))
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(by.alias("x"))
     joined = lambda f: F.array_join(F.transform("x", f), "|")
@@ -398,9 +401,81 @@ def compiled_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("c_custkey").agg(
         F.array_join(ordered(block, block.isNotNull()), "\n").alias("said"), F.count_if(F.col("kind") == "cell").alias("cells"), F.count_if(F.col("kind") == "row_open").alias("drawn_rows"),
         F.array_join(ordered(F.col("text"), F.col("kind") == "cell"), ",").alias("row_text"),
+        F.min("x").alias("x"), F.min("width").alias("width"), *(F.max(F.when(F.col("kind") == k, F.col("y"))).alias(to) for k, to in (("table_open", "table_top"), ("table_close", "table_end"))),
     )
 
 
+MEASURED = {
+    "top": 40, "left": 10, "content_width": 300,
+    "field_budgets": {"orders": {"width": 300, "size": 10, "lines": 100000, "fit": "wrap"}},
+    "defaults": {"row_height": 20, "header_group_height": 25, "split_gap": 20},
+    "body": [
+        {"type": "text", "content": "{KEYS}", "budget": "orders"},
+        {"type": "split", "columns": [{"children": [{"type": "text", "content": "{KEYS}", "when": "EVEN"}]}, {"children": [{"type": "spacer", "height": 7}]}]},
+        {"type": "table", "rows": {"k": "LIST", "s": "STATUSES", "n": "NOTES"}, "span_key": "s", "header_groups": [{"label": "all", "span": ["k", "s"]}],
+         "columns": [{"key": "k", "label": "Order", "sub_line": {"key": "n", "offset_y": 12, "height": 15}}, {"key": "s", "label": "Status"}]},
+        {"type": "text", "content": "end"},
+    ],
+}
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER w - 1 AS i, o_orderkey % 2 = 0 AS noted, o_orderstatus IS DISTINCT FROM lag(o_orderstatus) OVER w AS starts FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+g AS (SELECT *, sum(starts::int) OVER w AS run, sum(noted::int) OVER w - noted::int AS noted_before FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY i ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, run) AS length FROM g),
+c AS (SELECT o_custkey, count(*) AS n, sum(noted::int) AS noted, string_agg(length::varchar, ',' ORDER BY i) FILTER (starts) AS spans, coalesce(sum(20 * i + 15 * noted_before + 12) FILTER (noted), 0) AS below,
+  40 + 20 * ceil(count(*) / 5)::int + CASE WHEN o_custkey % 2 = 0 THEN 20 ELSE 7 END AS t FROM r GROUP BY o_custkey)
+SELECT o_custkey AS c_custkey, ceil(n / 5)::int AS lines, t::int AS table_top, spans, noted AS sub_lines, (below + noted * (t + 45))::bigint AS sub_line_places, (t + 45 + 20 * n + 15 * noted)::int AS table_end, (t + 45 + 20 * n + 15 * noted)::int AS end_place FROM c
+""")
+def measured_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders as a page whose text is wrapped (five keys of eight digits a line), beside it a split, below it
+    a table with a header group, sub-lines on every second order or so, and statuses merged over runs."""
+    by = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(by.alias("o"))
+    joined = lambda f, sep: F.array_join(F.transform("o", f), sep)
+    key = lambda x: F.lpad(x["o_orderkey"].cast("string"), 8, "0")
+    note = lambda x: F.when(x["o_orderkey"] % 2 == 0, "even").otherwise("NOT_FOUND")
+    fields = string_map(KEYS=joined(key, " "), LIST=joined(key, "|"), STATUSES=joined(lambda x: x["o_orderstatus"], "|"), NOTES=joined(note, "|"), EVEN=F.when(F.col("c_custkey") % 2 == 0, "yes").otherwise("NOT_FOUND"))
+    out = layout.expand(orders.select("c_custkey", F.lit("plain").alias("layout"), fields.alias("fields")), {"plain": MEASURED}, ["c_custkey"])
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("y")))
+    sub, merged = F.col("kind") == "cell_sub_line", (F.col("kind") == "cell") & (F.col("column_key") == "s") & ~F.col("header")
+    return out.groupBy("c_custkey").agg(
+        F.max("lines").alias("lines"), at("table_open").alias("table_top"), at("table_close").alias("table_end"), F.max(F.when(F.col("text") == "end", F.col("y"))).alias("end_place"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(merged, F.struct("seq", "rowspan")))), lambda x: x["rowspan"].cast("string")), ",").alias("spans"),
+        F.count_if(sub).alias("sub_lines"), F.coalesce(F.sum(F.when(sub, F.col("y"))), F.lit(0)).alias("sub_line_places"),
+    )
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, (o_totalprice::decimal(18,2)) AS p, o_orderkey % 3 = 0 AS comes, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+b AS (SELECT *, (sum(CASE WHEN comes THEN p ELSE -p END) OVER (PARTITION BY o_custkey ORDER BY i ROWS UNBOUNDED PRECEDING) + 5000)::decimal(18,2) AS balance FROM o),
+r AS (SELECT o_custkey, i, 'order ' || o_orderkey AS description, CASE WHEN NOT comes THEN p END AS debit, CASE WHEN comes THEN p END AS credit, balance, false AS synthetic FROM b
+UNION ALL SELECT o_custkey, 0, 'Brought forward', NULL, NULL, 5000::decimal(18,2), true FROM b WHERE i = 1
+UNION ALL SELECT o_custkey, count(*) + 1, 'Carried forward', NULL, NULL, last(balance ORDER BY i), true FROM b GROUP BY 1
+UNION ALL SELECT o_custkey, -1, 'Totals', coalesce(sum(p) FILTER (NOT comes), 0)::decimal(18,2), coalesce(sum(p) FILTER (comes), 0)::decimal(18,2), NULL, true FROM b GROUP BY 1)
+SELECT o_custkey AS c_custkey, i::int AS i, description, debit, credit, CASE WHEN balance IS NOT NULL THEN '$' || format('{:,.2f}', abs(balance)::double) || CASE WHEN balance < 0 THEN ' DR' ELSE ' CR' END END AS balance, synthetic FROM r
+""")
+def bank_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every customer's statement with what is brought and carried forward, and its totals (as row -1)."""
+    p, comes = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey") % 3 == 0
+    by = F.array_sort(F.collect_list(F.struct("o_orderkey", F.when(~comes, p).alias("d"), F.when(comes, p).alias("c"))))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(by.alias("o"))
+    joined = lambda f: F.array_join(F.transform("o", f), "|")
+    zero = F.lit(0).cast("decimal(18,2)")
+    moved = F.transform("o", lambda x: (F.coalesce(x["c"], zero) - F.coalesce(x["d"], zero)).cast("decimal(18,2)"))
+    chain = F.aggregate(moved, F.array(F.lit(5000).cast("decimal(18,2)")), lambda a, m: F.concat(a, F.array((F.element_at(a, -1) + m).cast("decimal(18,2)"))))
+    balances = F.array_join(F.transform(F.slice(chain, F.lit(2), F.size("o")), lambda x: x.cast("string")), "|")
+    fields = string_map(
+        TRANSACTION_DATES=joined(lambda x: F.lit("01/02/2024")), TRANSACTION_DESCRIPTIONS=joined(lambda x: F.concat(F.lit("order "), x["o_orderkey"].cast("string"))), TRANSACTION_BALANCES=balances,
+        TRANSACTION_AMOUNTS_PAID=joined(lambda x: lists.or_not_found(x["d"].cast("string"))), TRANSACTION_AMOUNTS_RECEIVED=joined(lambda x: lists.or_not_found(x["c"].cast("string"))),
+    )
+    pages = orders.select("c_custkey", fields.alias("f"))
+    rows = pages.select("c_custkey", F.posexplode(providers.bank_transactions(F.col("f"), brought_forward="Brought forward", carried_forward="Carried forward", balance_suffix=("DR", "CR"))).alias("i", "r"))
+    totals = pages.select("c_custkey", F.lit(-1).alias("i"), F.explode(providers.bank_transaction_totals(F.col("f"), "Totals")).alias("r"))
+    shown = [F.col(f"r.{k}").alias(k) for k in ("description", "debit", "credit")]
+    return rows.select("c_custkey", "i", *shown, "r.balance", "r.synthetic").union(totals.select("c_custkey", "i", *shown, F.col("r.balance").cast("string").alias("balance"), "r.synthetic"))
+
+
 # corpora
 
 @query("""

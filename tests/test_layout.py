@@ -261,6 +261,8 @@ def test_bank_rows(spark):
     absent = dict.fromkeys(STATEMENT, "NOT_FOUND")
     assert made(absent, lambda f: providers.bank_transactions(f, opening_balance="x", carried_forward="y")) == []
     assert [str(r.debit) for r in made(absent, lambda f: providers.bank_transaction_totals(f, "Totals"))] == ["0.00"]
+    one = {**absent, "TRANSACTION_DATES": "07/10/2023", "TRANSACTION_DESCRIPTIONS": "rent", "TRANSACTION_AMOUNTS_PAID": "2.00", "TRANSACTION_BALANCES": "3.00"}
+    assert [(str(r.balance), r.credit) for r in made(one, lambda f: providers.bank_transactions(f, opening_balance="x"))] == [("5.00", None), ("3.00", None)]
     with pytest.raises(Exception, match="ragged"):
         made(STATEMENT | {"TRANSACTION_DATES": "07/10/2023"}, providers.bank_transactions)
     with pytest.raises(ValueError, match="keep one"):
