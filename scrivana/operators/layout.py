@@ -438,6 +438,9 @@ def geometry_faults(name: str, layout: dict, providers: dict[str, set[str]] | No
                 say(f"{where}.budget", f"budget of {budgets[b['budget']]['width']} pixels in a region of {width}", f"{width} or less")
             if kind == "pair" and b.get("value_align", defaults.get("pair_value_align")) == "right" and b.get("min_gap", defaults.get("pair_min_gap", 0)):
                 say(f"{where}.min_gap", "a least gap beside a budget and a value on the right", "no least gap: the budget sets the place")
+        for i, c in enumerate(b["columns"] if kind == "table" else ()):
+            if "budget" in c and c["budget"] not in budgets:
+                say(f"{where}.columns[{i}].budget", f"no budget {c['budget']!r}", f"one of {sorted(budgets)}")
         inner = [width]
         if kind == "panel":
             padding = b.get("padding", defaults.get("panel_padding", 0))

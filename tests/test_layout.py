@@ -87,6 +87,7 @@ FITTING = {
     [
         (lambda x: x["field_budgets"]["amount"].update(width=200), "budget of 200 pixels in a region of 190"),
         (lambda x: x["field_budgets"].clear(), "no budget 'amount'"),
+        (lambda x: x["body"].append({"type": "table", "columns": [{"key": "k", "label": "K", "budget": "wide"}], "rows": {"k": "A"}}), "no budget 'wide'"),
         (lambda x: x["body"][2].update(padding=200), "padding 200"),
         (lambda x: x["body"][2].update(height=19), "height 19"),
         (lambda x: x["body"][1].update(widths=[300, 100]), "columns [300, 100]"),
