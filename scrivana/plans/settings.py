@@ -14,6 +14,7 @@ from scrivana.functions import image, png
 from scrivana.operators import tables
 from scrivana.plans.common import Query, table
 from scrivana.sources import config, readers
+from scrivana.staging import spread
 
 QUERIES: dict[str, Query] = {}
 
@@ -170,6 +171,6 @@ def treated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.format_string("%02X", 40 + F.col("p_size"))
     page = F.unhex(F.repeat(level, 36))
     states = image.digests(page, F.lit(3), F.lit(4), F.col("p_partkey"), treatment, F.col("p_name"), F.col("p_type"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", states.alias("s"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_type")).select("p_partkey", states.alias("s"))
     said = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["phase"], x["step"])), ",")
     return rows.select("p_partkey", F.element_at("s", -1)["sha256"].alias("last_sha256"), said.alias("steps"))
