@@ -1,8 +1,12 @@
 """What keeps queries' time in step with their tables: work dealt over all cores, and steps that cost what they should."""
 
+import random
+
 import numpy as np
 
 from scrivana.functions import image
+from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all
+from scrivana.operators import tables
 from scrivana.staging import LEAST_ROWS, spread
 
 
@@ -28,3 +32,41 @@ def test_blur_of_small_sides_takes_the_same_weights():
             n = out.shape[axis]
             out = (sum(w * out.take(np.clip(np.arange(n) + k - reach, 0, n - 1), axis=axis) for k, w in enumerate(weights)) + 32768) >> 16
         assert (image.blur(page, 1.5) == out).all()
+
+
+def test_plain_tables_are_read_as_the_parser_reads_them(monkeypatch):
+    """Random pages of table tags in any order: one split finds what the tolerant parser finds."""
+    rng = random.Random(5)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "<thead>", "</tbody>", '<td colspan="2">', "<td rowspan=3>", "<th colspan='x' rowspan=\"0\">", '<td colspan="" colspan=3>',
+            "a", " b ", "&amp;lt;", "&#xFB01;", "x > y", "&nbsp", "c&d", "\n"]
+    odd = ["<b>", "<TD>", "<!-- <td> -->", "<td class=x>", "<", "</td >", "<br/>", "<script>", "<td colspan = 2>"]
+    pages = ["<table><tr>" * rng.randint(0, 1) + "".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    mixed = ["".join(rng.choice(bits + odd) for _ in range(20)) for _ in range(500)]
+    assert all(tables.plain_outline(p) is not None for p in pages)
+    assert any(tables.plain_outline(p) is None for p in mixed)
+    quick = [tables.read_tables(p) for p in pages + mixed]
+    monkeypatch.setattr(tables, "plain_outline", lambda page: None)
+    assert [tables.read_tables(p) for p in pages + mixed] == quick
+
+
+def test_cells_normalised_together_are_those_normalised_alone():
+    rng = random.Random(6)
+    bits = ["a", "B", " ", "\n", "#", "# ", "-", ":", "|", "*", "_", "`", "ﬁ", "＜", "“", "–", "́", "e", "ᄀ", "ᅡ", "\x85", "　", "ß", "\x1f", "---"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 7))) for _ in range(8000)]
+    for policy in (NormalisationPolicy(), NormalisationPolicy(fold_case=True), NormalisationPolicy(strip_markdown=False, fold_dashes=False), NormalisationPolicy(collapse_whitespace=False), NormalisationPolicy("NFD")):
+        assert normalised_all(texts, policy) == [normalised(t, policy) for t in texts]
+    assert normalised_all(["a\0 b", "ﬁ"], NormalisationPolicy()) == [normalised(t, NormalisationPolicy()) for t in ("a\0 b", "ﬁ")]
+    assert normalised_all([], NormalisationPolicy()) == []
+
+
+def test_short_lists_are_aligned_without_numpy(monkeypatch):
+    rng = random.Random(7)
+    pairs = [[[rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in "xy"] for _ in range(500)]
+    quick = [tables.align(a, b) for a, b in pairs]
+    monkeypatch.setattr(tables, "FEW_PAIRS", -1)
+    assert [tables.align(a, b) for a, b in pairs] == quick
+
+
+def test_nulls_and_pages_without_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, "x"), (3, "<table></table>"), (4, "<table><tr></tr><tr><td>a</table>")], "k int, h string")
+    assert [r.g for r in df.select("k", tables.parse_tables("h").alias("g")).orderBy("k").collect()] == [None, [], [[]], [[[], ["a"]]]]
