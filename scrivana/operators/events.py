@@ -48,18 +48,26 @@ def table_rows(events: DataFrame, page: list[str], seq: str = "seq", sub_line_jo
     ``sub_line_join`` stands between a cell and its sub-lines, ``newline_join`` for line ends inside any of them, as the
     serialisation policy says. A sub-line joins the cell of its column in the same row, or in the row before where its own row has none.
     """
-    numbered = table_numbers(events, page, seq)
-    keys = [*page, "table_no", "row_no"]
-    cells = numbered.where("kind = 'cell'").select(*keys, F.col(seq).alias("_seq"), "column_key", "header", "text", "colspan", "rowspan")
-    lines = numbered.where("kind = 'cell_sub_line'").select(*keys, F.col(seq).alias("_line"), F.col("column_key"), F.col("text").alias("_sub"))
-    here = lines.join(cells.select(*keys, "column_key", F.lit(0).alias("_back")), [*keys, "column_key"], "left")
-    target = here.withColumn("row_no", F.when(F.col("_back").isNull(), F.col("row_no") - 1).otherwise(F.col("row_no")))
-    subs = target.groupBy(*keys, "column_key").agg(F.array_sort(F.collect_list(F.struct("_line", "_sub"))).alias("_subs"))
-    text = F.concat(F.col("text"), F.coalesce(F.array_join(F.transform("_subs", lambda x: F.concat(F.lit(sub_line_join), x["_sub"])), ""), F.lit("")))
-    text = F.replace(text, F.lit("\n"), F.lit(newline_join)) if newline_join != "\n" else text
-    full = cells.join(subs, [*keys, "column_key"], "left").withColumn("text", text)
-    each = F.struct(F.col("_seq"), F.struct("text", F.col("colspan").cast("int").alias("colspan"), F.col("rowspan").cast("int").alias("rowspan")).alias("cell"))
-    return full.groupBy(*keys).agg(F.bool_or("header").alias("header"), F.transform(F.array_sort(F.collect_list(each)), lambda x: x["cell"]).alias("cells"))
+    numbered = table_numbers(events, page, seq).where(F.col("kind").isin("cell", "cell_sub_line"))
+    table = [*page, "table_no"]
+    cell = F.struct(F.col(seq).alias("_seq"), "column_key", "text", F.col("colspan").cast("int").alias("colspan"), F.col("rowspan").cast("int").alias("rowspan"))
+    line = F.struct(F.col(seq).alias("_line"), F.col("text").alias("_sub"), "column_key")
+    is_cell = F.col("kind") == "cell"
+    rows = numbered.groupBy(*table, "row_no").agg(
+        F.bool_or(F.when(is_cell, F.col("header"))).alias("header"), F.collect_list(F.when(is_cell, cell)).alias("_cells"), F.collect_list(F.when(~is_cell & F.col("table_no").isNotNull(), line)).alias("_lines"))
+    # a page is put together once: its rows stay where its events are, and a row asks the next one for sub-lines without a cell
+    after = Window.partitionBy(*table).orderBy("row_no")
+    homeless = F.filter("_lines", lambda s: ~F.exists("_cells", lambda c: F.coalesce(c["column_key"] == s["column_key"], F.lit(False))))
+    follows = F.lead("row_no").over(after) == F.col("row_no") + 1
+    rows = rows.withColumn("_homeless", homeless).withColumn("_subs", F.array_sort(F.concat("_lines", F.when(follows, F.lead("_homeless").over(after)).otherwise(F.slice("_lines", 1, 0)))))
+
+    def folded(c: Column) -> Column:
+        own = F.filter("_subs", lambda s: s["column_key"] == c["column_key"])
+        text = F.concat(c["text"], F.array_join(F.transform(own, lambda s: F.concat(F.lit(sub_line_join), s["_sub"])), ""))
+        text = F.replace(text, F.lit("\n"), F.lit(newline_join)) if newline_join != "\n" else text
+        return F.struct(text.alias("text"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"))
+
+    return rows.where(F.size("_cells") > 0).select(*table, "row_no", "header", F.transform(F.array_sort("_cells"), folded).alias("cells"))
 
 
 def bounding_box(polygons: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scrivana.functions import image, png
 from scrivana.operators import tables
 from scrivana.plans.common import Query, table
+from scrivana.plans.corpora import order_lines
 from scrivana.sources import config, readers
 from scrivana.staging import spread
 
@@ -126,7 +127,7 @@ def table_score_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     every seventh a table of one empty row too many."""
     key = F.col("l_orderkey")
     by = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(by.alias("x"))
+    rows = order_lines(spark, sf_dir).groupBy("l_orderkey").agg(by.alias("x"))
     row = lambda *cells: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells), F.lit("</tr>"))
     ours = lambda x, i: row(F.concat(F.lit("&#xFB01;x ＜"), x["l_partkey"].cast("string"), F.lit("／table＞")), F.concat(F.lit("“"), i.cast("string"), F.lit("”")), F.concat(x["q"].cast("string"), F.lit("&nbsp;–"), x["l_returnflag"]))
 

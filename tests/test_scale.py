@@ -6,7 +6,7 @@ import numpy as np
 
 from scrivana.functions import image
 from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all
-from scrivana.operators import tables
+from scrivana.operators import events, tables
 from scrivana.staging import LEAST_ROWS, spread
 
 
@@ -70,3 +70,16 @@ def test_short_lists_are_aligned_without_numpy(monkeypatch):
 def test_nulls_and_pages_without_tables(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (3, "<table></table>"), (4, "<table><tr></tr><tr><td>a</table>")], "k int, h string")
     assert [r.g for r in df.select("k", tables.parse_tables("h").alias("g")).orderBy("k").collect()] == [None, [], [[]], [[[], ["a"]]]]
+
+
+def test_table_rows_move_events_once(spark):
+    """Sub-lines before and after their cell, in the next row, without any cell, without a key; outside of tables."""
+    e = [(1, 0, "table_open"), (1, 1, "row_open"), (1, 2, "cell_sub_line", "a", "early"), (1, 3, "cell", "a", "x", True), (1, 4, "cell", "b", "y", False), (1, 5, "cell_sub_line", "a", "late"), (1, 6, "cell_sub_line", None, "lost"),
+         (1, 7, "row_open"), (1, 8, "cell_sub_line", "b", "up"), (1, 9, "cell", "a", "z", None), (1, 10, "cell_sub_line", "c", "lost"), (1, 11, "row_open"), (1, 12, "row_open"), (1, 13, "cell", "a", "w", False), (1, 14, "cell_sub_line", "b", "lost"),
+         (1, 15, "table_close"), (1, 16, "cell", "a", "outside", None), (1, 17, "cell_sub_line", "a", "lost")]
+    rows = [(*x, *(None,) * (6 - len(x)), 1, 1) for x in e]
+    df = spark.createDataFrame(rows, "page int, seq int, kind string, column_key string, text string, header boolean, colspan int, rowspan int")
+    out = events.table_rows(df, ["page"])
+    got = {(r.table_no, r.row_no): (r.header, [c.text for c in r.cells]) for r in out.collect()}
+    assert got == {(1, 1): (True, ["x\nearly\nlate", "y\nup"]), (1, 2): (None, ["z"]), (1, 4): (False, ["w"]), (None, None): (None, ["outside"])}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
