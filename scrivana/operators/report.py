@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivana.staging import Scratch
+from scrivana.staging import Scratch, spread
 
 KEYS = ("model", "corpus", "doc_type", "family", "severity")
 METRICS = ("normalised_cer", "strict_cer", "normalised_wer", "table_cell_error_rate")
@@ -41,25 +43,31 @@ def histograms(rows: DataFrame, keys: list[str], values: list[str], measures: di
 def expanded(rows: DataFrame, keys: list[str], sets: list[int]) -> DataFrame:
     """A row for each grouping set (``_set``: as SQL's GROUPING, a bit for each key that is left out, the first key's the
     highest); keys that are left out are null."""
-    rows = rows.withColumn("_set", F.explode(F.array(*map(F.lit, sets))))
-    kept = {k: F.when(F.col("_set").bitwiseAND(1 << (len(keys) - 1 - i)) == 0, F.col(k)) for i, k in enumerate(keys)}
-    return rows.withColumns(kept) if keys else rows
+    return rows.withColumn("_set", F.explode(F.array(*map(F.lit, sets)))).withColumns(kept_keys(keys))
+
+
+def kept_keys(keys: list[str]) -> dict[str, Column]:
+    """The keys of a row's set."""
+    return {k: F.when(F.col("_set").bitwiseAND(1 << (len(keys) - 1 - i)) == 0, F.col(k)) for i, k in enumerate(keys)}
 
 
 def statistics(rows: DataFrame, keys: list[str], sets: list[int], values: list[str], percentiles: tuple[int, ...], measures: dict[str, Column]) -> DataFrame:
     """Per grouping set and combination: ``pages`` (rows), sums of ``measures``, and of each value its mean and the exact
     values at ranks max(1, ceil(p * n / 100)) of the non-null ones.
 
-    The rows are read once, into histograms by all keys. Those are merged for every grouping set, first by bucket: counts
-    of buckets say in which bucket each rank lies, and only what lies in such buckets is merged value by value. So no
-    group is gathered, and what a task puts in order is the buckets of one group or the values of one bucket.
+    The rows are read once, into histograms by all keys. Those are merged by bucket, and only the buckets, whose number the
+    input's size doesn't raise, for every grouping set: their counts say in which bucket each rank lies. Only the values in
+    such buckets are then merged for the sets that asked. So no group is gathered, what a task puts in order is the buckets
+    of one group or the values of one bucket, and no row of the histograms is repeated for a set that doesn't need it.
     """
     scratch = Scratch(rows.sparkSession, "report")
     fine = scratch.put("fine", histograms(rows, keys, values, measures))
     group = ["_set", *keys]
     sums = [f"_s_{name}" for name in measures]
-    merged = expanded(fine.withColumn("b", bucket(F.col("v"))), keys, sets).groupBy(*group, "m", "b")
-    coarse = scratch.put("coarse", merged.agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("total"), *(F.sum(s).alias(s) for s in sums)))
+    base = fine.withColumn("b", bucket(F.col("v"))).groupBy(*keys, "m", "b")
+    base = scratch.put("base", base.agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("total"), *(F.sum(s).alias(s) for s in sums)))
+    merged = expanded(spread(base), keys, sets).groupBy(*group, "m", "b")
+    coarse = scratch.put("coarse", merged.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), *(F.sum(s).alias(s) for s in sums)))
 
     by_metric = Window.partitionBy(*group, "m")
     counted = coarse.where(F.col("m") != PLAIN).withColumns({"upto": F.sum("n").over(by_metric.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(by_metric)})
@@ -67,11 +75,17 @@ def statistics(rows: DataFrame, keys: list[str], sets: list[int], values: list[s
     places = counted.select(*group, "m", "b", (F.col("upto") - F.col("n")).alias("before"), "upto", ranks).select("*", "_r.p", "_r.rank").where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
     names = {c: f"_t{i}" for i, c in enumerate([*group, "m", "b"])}
     places = scratch.put("places", places.select(*(F.col(c).alias(n) for c, n in names.items()), "p", (F.col("rank") - F.col("before")).alias("within")))
-    same = F.lit(True)
-    for c, n in names.items():
-        same = same & F.col(c).eqNullSafe(F.col(n))
-    near = expanded(fine.where(F.col("m") != PLAIN).select(*keys, "m", "v", "n", bucket(F.col("v")).alias("b")), keys, sets)
-    near = near.join(F.broadcast(places) if places.count() <= FEW else places, same).groupBy(*group, "m", "p", "within", "v").agg(F.sum("n").alias("n"))
+    def equal(names: dict[str, str]) -> Column:
+        return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+
+    # which sets ask for a bucket of all keys, and for which ranks in it
+    own = {c: f"_o{i}" for i, c in enumerate([*keys, "m", "b"])}
+    buckets = spread(base.where(F.col("m") != PLAIN).select(*keys, "m", "b", *(F.col(c).alias(n) for c, n in own.items())))
+    asked = expanded(buckets, keys, sets).join(F.broadcast(places) if places.count() <= FEW else places, equal(names))
+    asked = scratch.put("asked", asked.groupBy(*own.values()).agg(F.collect_list(F.struct("_set", "p", "within")).alias("_asked")))
+    near = fine.where(F.col("m") != PLAIN).select(*keys, "m", "v", "n", bucket(F.col("v")).alias("b"))
+    near = near.join(F.broadcast(asked) if asked.count() <= FEW else asked, equal(own)).select(*keys, "m", "v", "n", F.explode("_asked").alias("_a")).select("*", "_a.*")
+    near = near.withColumns(kept_keys(keys)).groupBy(*group, "m", "p", "within", "v").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*group, "m", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     found = near.withColumn("upto", upto).where(F.col("upto") >= F.col("within")).groupBy(*group, "m", "p").agg(F.min("v").alias("x"))
 
