@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivana.functions.lists import is_present
+from scrivana.functions.lists import is_present, let
+from scrivana.staging import spread
 
 # Fixed values of the business-number checksum: weights of its eleven digits, and the modulus.
 ABN_WEIGHTS = (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)
@@ -39,10 +42,11 @@ def subtotal(total: Column, gst: Column) -> Column:
 
 def abn_is_valid(value: Column) -> Column:
     """Eleven digits; the first less one, weighted, sum to a multiple of 89."""
-    digits = F.regexp_replace(value, r"[^0-9]", "")
-    numbers = F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.substring(digits, i, F.lit(1)).cast("int") - F.when(i == 1, 1).otherwise(0))
-    total = F.aggregate(F.zip_with(numbers, F.array(*(F.lit(w) for w in ABN_WEIGHTS)), lambda d, w: d * w), F.lit(0), lambda a, x: a + x)
-    return F.when(F.length(digits) == 11, total % ABN_MODULUS == 0).otherwise(False)
+    def check(digits: Column) -> Column:
+        weighted = (w * (F.substring(digits, i + 1, 1).cast("int") - (1 if i == 0 else 0)) for i, w in enumerate(ABN_WEIGHTS))
+        return F.when(F.length(digits) == 11, reduce(add, weighted) % ABN_MODULUS == 0).otherwise(False)
+
+    return let(F.regexp_replace(value, r"[^0-9]", ""), check)
 
 
 def long_date(value: Column) -> Column:
@@ -120,11 +124,13 @@ def receipt_pos(case_id: Column, date: Column, pools: PosPools) -> dict[str, Col
 
 def make_abn(number: Column) -> Column:
     """A valid business number from the last nine digits of a number: the first two digits make the sum come out."""
-    body = F.lpad((number % 10**9).cast("string"), 9, "0")
-    total = F.aggregate(F.zip_with(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.substring(body, i, F.lit(1)).cast("int")), F.array(*(F.lit(w) for w in ABN_WEIGHTS[2:])), lambda d, w: d * w), F.lit(0), lambda a, x: a + x)
-    lead = F.pmod(-total, F.lit(ABN_MODULUS))
-    digits = F.concat((F.floor(lead / 10) + 1).cast("string"), (lead % 10).cast("string"), body)
-    return F.concat_ws(" ", F.substring(digits, 1, 2), F.substring(digits, 3, 3), F.substring(digits, 6, 3), F.substring(digits, 9, 3))
+    def whole(body: Column) -> Column:
+        total = reduce(add, (w * F.substring(body, i + 1, 1).cast("int") for i, w in enumerate(ABN_WEIGHTS[2:])))
+        digits = lambda lead: F.concat((F.floor(lead / 10) + 1).cast("string"), (lead % 10).cast("string"), body)
+        spaced = lambda d: F.concat_ws(" ", F.substring(d, 1, 2), F.substring(d, 3, 3), F.substring(d, 6, 3), F.substring(d, 9, 3))
+        return let(let(F.pmod(-total, F.lit(ABN_MODULUS)), digits), spaced)
+
+    return let(F.lpad((number % 10**9).cast("string"), 9, "0"), whole)
 
 
 def seeded_choice(pool: Column, seed: Column) -> Column:
@@ -152,8 +158,7 @@ def cycle_place(position: Column, n: int | Column, seed: int) -> Column:
     keys = F.transform(F.sequence(F.lit(0), F.lit(SWAPS - 1)), lambda r: F.struct(r.alias("r"), (drawn(r) % n).alias("k")))
 
     def step(at: Column, key: Column) -> Column:
-        other = F.pmod(key["k"] - at, n)
-        return F.when(drawn(key["r"], F.greatest(at, other)) % 2 == 1, other).otherwise(at)
+        return let(F.pmod(key["k"] - at, n), lambda other: F.when(drawn(key["r"], F.greatest(at, other)) % 2 == 1, other).otherwise(at))
 
     return F.aggregate(keys, (position % n).cast("long"), step)
 
@@ -168,7 +173,9 @@ def cycled_from(rows: DataFrame, pool: DataFrame, position: str, place: str, see
     n = pool.count()
     if not n:
         raise ValueError("the pool is empty")
-    return rows.withColumn(place, cycle_place(F.col(position), n, seed)).join(pool, place).drop(place)
+    # never null, or the join would compute every place once more to leave nulls out
+    at = F.coalesce(cycle_place(F.col(position), n, seed), F.lit(-1).cast("long"))
+    return spread(rows).withColumn(place, at).join(pool, place).drop(place)
 
 
 def person(first_names: list[str], last_names: list[str], seed: Column) -> Column:

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from scrivana.functions import image
+from scrivana.functions import image, values
 from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all
 from scrivana.operators import events, tables
 from scrivana.staging import LEAST_ROWS, spread
@@ -83,3 +84,19 @@ def test_table_rows_move_events_once(spark):
     got = {(r.table_no, r.row_no): (r.header, [c.text for c in r.cells]) for r in out.collect()}
     assert got == {(1, 1): (True, ["x\nearly\nlate", "y\nup"]), (1, 2): (None, ["z"]), (1, 4): (False, ["w"]), (None, None): (None, ["outside"])}
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_numbers_are_made_once(spark):
+    """A number's own digits aren't made anew for each digit that is checked."""
+    made = spark.range(3).select(values.abn_is_valid(values.make_abn(F.col("id"))).alias("valid"))
+    assert [r.valid for r in made.collect()] == [True] * 3
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("lpad(") == 1
+    odd = spark.createDataFrame([(None,), ("",), ("51 824 753 556",), ("51 824 753 557",), ("5182475355",)], "v string")
+    assert [r[0] for r in odd.select(values.abn_is_valid(F.col("v"))).collect()] == [False, False, True, False, False]
+
+
+def test_places_of_a_cycle_are_computed_once(spark):
+    pool = spark.range(7).select(F.col("id").alias("place"), F.col("id").cast("string").alias("member"))
+    out = values.cycled_from(spark.range(21).withColumnRenamed("id", "k"), pool, "k", "place", 4)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert sorted(r.member for r in out.collect()) == sorted([str(i) for i in range(7)] * 3)
