@@ -49,9 +49,14 @@ def required_fields(required: dict[str, list[str]]) -> Column:
     return F.concat(unknown, lacking)
 
 
+#: Layouts up to which they go to the entries, not the entries to them.
+FEW_LAYOUTS = 10_000
+
+
 def with_layouts(entries: DataFrame, layouts: DataFrame) -> DataFrame:
-    """Entries that know whether their layout is one of ``layouts``."""
-    return entries.join(layouts.select("layout", F.lit(True).alias("_layout_is_known")).distinct(), "layout", "left")
+    """Entries that know whether their layout is one of ``layouts``, which are counted before they are broadcast."""
+    known = layouts.select("layout", F.lit(True).alias("_layout_is_known")).distinct()
+    return entries.join(F.broadcast(known) if known.count() <= FEW_LAYOUTS else known, "layout", "left")
 
 
 def unknown_layouts() -> Column:

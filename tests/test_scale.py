@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivana.functions import image, values
 from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all
-from scrivana.operators import events, tables
+from scrivana.operators import events, rules, tables
 from scrivana.staging import LEAST_ROWS, spread
 
 
@@ -100,3 +100,10 @@ def test_places_of_a_cycle_are_computed_once(spark):
     out = values.cycled_from(spark.range(21).withColumnRenamed("id", "k"), pool, "k", "place", 4)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert sorted(r.member for r in out.collect()) == sorted([str(i) for i in range(7)] * 3)
+
+
+def test_entries_stay_where_they_are_for_few_layouts(spark):
+    entries = spark.createDataFrame([("1", "plain"), ("2", "none")], "case_id string, layout string")
+    out = rules.with_layouts(entries, spark.createDataFrame([("plain",), ("plain",)], "layout string"))
+    assert sorted((r.case_id, r._layout_is_known) for r in out.collect()) == [("1", True), ("2", None)]
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
