@@ -13,7 +13,7 @@ from scrivana.plans.corpora import edits_sql, misread, misread_sql
 from scrivana.plans.reports import order_lists
 from scrivana.sources import readers, vintages
 from scrivana.sources.config import FieldDefinitions
-from scrivana.staging import shared_dir
+from scrivana.staging import Scratch, shared_dir
 
 QUERIES: dict[str, Query] = {}
 
@@ -114,6 +114,7 @@ def extraction(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, FieldDefini
     fields = F.create_map(F.lit("DOCUMENT_TYPE"), F.lit("ORDER"), F.lit("PARTS"), F.col("parts"), F.lit("QUANTITIES"), F.col("quantities"), F.lit("FLAGS"), F.col("flags"))
     entries = lists_.select(F.col("l_orderkey").cast("string").alias("case_id"), F.lit("orders").alias("doc_type"), fields.alias("fields"))
     groups = {"ORDER": (("PARTS", "QUANTITIES", "FLAGS"),)}
+    entries = Scratch(spark, "entries").put("entries", entries)  # the export reads them many times
     return entries, FieldDefinitions(("DOCUMENT_TYPE", "PARTS", "TOTAL"), {}, {}, groups, {"PARTS": "part", "QUANTITIES": "quantity", "FLAGS": "flag"})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrivana.functions import image, values
 from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all
 from scrivana.operators import events, rules, tables
+from scrivana.plans import formats
 from scrivana.staging import LEAST_ROWS, spread
 
 
@@ -107,3 +108,8 @@ def test_entries_stay_where_they_are_for_few_layouts(spark):
     out = rules.with_layouts(entries, spark.createDataFrame([("plain",), ("plain",)], "layout string"))
     assert sorted((r.case_id, r._layout_is_known) for r in out.collect()) == [("1", True), ("2", None)]
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exported_entries_are_put_together_once(spark):
+    entries, _ = formats.extraction(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in entries._jdf.queryExecution().optimizedPlan().toString()
