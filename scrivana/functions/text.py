@@ -11,8 +11,10 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
@@ -180,49 +182,82 @@ def word_error_rate(reference: Column, prediction: Column) -> Column:
     return _rate(word_distance(reference, prediction), F.size(words(reference)), F.size(words(prediction)) == 0)
 
 
-DISTANCES = ("strict", "normalised", "words", "reference_chars", "prediction_chars", "reference_words", "prediction_words")
+NORMAL_DISTANCES = ("normalised", "words", "reference_chars", "prediction_chars", "reference_words", "prediction_words")
+#: Words that characters can stand for.
+MOST_CODES = 0x110000 - 0x800
 #: Characters of texts that are compared at a time.
-COMPARED_CHARS = 1 << 20
-
+COMPARED_CHARS = 1 << 22
+
+
+def _together(references: pa.Array, predictions: pa.Array, of_pairs: Callable[[list[tuple[str, str]]], list]) -> list:
+    """What ``of_pairs`` finds for each pair, None where either text is null. Some pairs at a time, so no more than
+    ``COMPARED_CHARS`` are held as strings (or one pair, if that is longer)."""
+    out: list = [None] * len(references)
+    held: list[int] = []
+    pairs: list[tuple[str, str]] = []
+    size = 0
+
+    def settle() -> None:
+        for k, found in zip(held, of_pairs(pairs)):
+            out[k] = found
+
+    for k, (a, b) in enumerate(zip(references, predictions)):
+        a, b = a.as_py(), b.as_py()
+        if a is None or b is None:
+            continue
+        if held and size + len(a) + len(b) > COMPARED_CHARS:
+            settle()
+            held, pairs, size = [], [], 0
+        held.append(k)
+        pairs.append((a, b))
+        size += len(a) + len(b)
+    settle()
+    return out
 
-def text_distances(reference: Column, prediction: Column, policy: NormalisationPolicy = NormalisationPolicy()) -> Column:
-    """Distances of texts of any length: in code points, in those of the normalised texts, and in the words of those,
-    with the sizes of the normalised texts; a struct of nulls where either is null.
 
-    Some pairs at a time, so no more than ``COMPARED_CHARS`` are held as strings (or one pair, if that is longer), and
-    normalised where they are compared. ``str.split`` knows the same white space as SPACE.
+@arrow_udf(IntegerType())
+def text_distance(reference: pa.Array, prediction: pa.Array) -> pa.Array:
+    """Levenshtein distance in code points, of texts of any length."""
+    return pa.array(_together(reference, prediction, distances), pa.int32())
+
+
+def word_codes(texts: list[str]) -> list[str] | None:
+    """A string for each text of collapsed white space, in which a character stands for a word: the same one for the same
+    word, in all texts. None where there are more words than characters."""
+    words_ = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = words_.flatten().dictionary_encode()
+    if len(coded.dictionary) > MOST_CODES:
+        return None
+    numbers = coded.indices.to_numpy().astype(np.uint32)
+    numbers[numbers >= 0xD800] += 0x800  # no surrogates
+    ends = words_.offsets.to_numpy()
+    raw = numbers.tobytes()
+    return ["" if not t else raw[4 * a : 4 * b].decode("utf-32-le") for t, a, b in zip(texts, ends.tolist(), ends[1:].tolist())]
+
+
+def normal_distances(reference: Column, prediction: Column, policy: NormalisationPolicy = NormalisationPolicy()) -> Column:
+    """Distances of the normalised texts, in code points and in words, with their sizes; a struct of nulls where either
+    text is null. The first is null, too, where normalising changes neither text: it then is ``text_distance``, which
+    is a function of its own, so that whoever asks for one of both doesn't pay for the other.
+
+    ``str.split`` knows the same white space as SPACE.
     """
 
-    def of_pairs(pairs: list[tuple[str, str]]) -> list[tuple[int, ...]]:
+    def of_pairs(pairs: list[tuple[str, str]]) -> list[tuple[int | None, ...]]:
         normal = [(normalised(a, policy), normalised(b, policy)) for a, b in pairs]
         changed = [k for k, (own, was) in enumerate(zip(normal, pairs)) if own != was]
-        strict = distances(pairs)
-        second = dict(zip(changed, distances([normal[k] for k in changed])))
-        split = [(c.split(), d.split()) for c, d in normal]
+        in_chars = dict(zip(changed, distances([normal[k] for k in changed])))
+        texts = [t for pair in normal for t in pair]
+        split = (policy.collapse_whitespace and word_codes(texts)) or [t.split() for t in texts]
+        split = list(zip(split[::2], split[1::2]))
         in_words = distances(split)
-        return [(strict[k], second.get(k, strict[k]), in_words[k], len(c), len(d), len(v), len(w)) for k, ((c, d), (v, w)) in enumerate(zip(normal, split))]
+        return [(in_chars.get(k), in_words[k], len(c), len(d), len(v), len(w)) for k, ((c, d), (v, w)) in enumerate(zip(normal, split))]
 
-    @arrow_udf(StructType([StructField(name, IntegerType()) for name in DISTANCES]))
+    @arrow_udf(StructType([StructField(name, IntegerType()) for name in NORMAL_DISTANCES]))
     def run(references: pa.Array, predictions: pa.Array) -> pa.Array:
-        out: list[tuple[int | None, ...]] = [(None,) * len(DISTANCES)] * len(references)
-        held: list[tuple[int, str, str]] = []
-        size = 0
-
-        def settle() -> None:
-            for (k, _, _), found in zip(held, of_pairs([(a, b) for _, a, b in held])):
-                out[k] = found
-
-        for k, (a, b) in enumerate(zip(references, predictions)):
-            a, b = a.as_py(), b.as_py()
-            if a is None or b is None:
-                continue
-            if held and size + len(a) + len(b) > COMPARED_CHARS:
-                settle()
-                held, size = [], 0
-            held.append((k, a, b))
-            size += len(a) + len(b)
-        settle()
-        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in zip(*out)] if out else [pa.array([], pa.int32())] * len(DISTANCES), names=list(DISTANCES))
+        rows = [(None,) * len(NORMAL_DISTANCES) if x is None else x for x in _together(references, predictions, of_pairs)]
+        columns = zip(*rows) if rows else [()] * len(NORMAL_DISTANCES)
+        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in columns], names=list(NORMAL_DISTANCES))
 
     return run(reference, prediction)
 

@@ -39,8 +39,8 @@ def score_pages(pages: DataFrame, key: list[str], policy: ScoringPolicy = Scorin
     """(reference, prediction) texts to distances, rates and table fields; all of them null where there is no prediction."""
     ref, pred = F.col("reference"), F.col("prediction")
     there = pred.isNotNull()
-    rows = pages.withColumn("_d", T.text_distances(ref, pred, policy.normalisation))
-    strict, normalised = F.col("_d.strict"), F.col("_d.normalised")
+    rows = pages.withColumns({"_strict": T.text_distance(ref, pred), "_d": T.normal_distances(ref, pred, policy.normalisation)})
+    strict, normalised = F.col("_strict"), F.coalesce("_d.normalised", "_strict")
     rows = rows.select(
         *pages.columns,
         F.length(ref).alias("ref_chars"),
@@ -59,6 +59,9 @@ def score_pages(pages: DataFrame, key: list[str], policy: ScoringPolicy = Scorin
     return rows.withColumn("_t", compared).select(*rows.columns, "_t.*").withColumn("table_cell_error_rate", cell_error_rate())
 
 
+#: Corpora times models up to which these are broadcast to the pages.
+FEW_PAIRS = 10_000
+
 ROW = ("model", "corpus", "case_id", "doc_type", "family", "severity", "verified")
 
 
@@ -88,9 +91,11 @@ def score_corpora(matrix: DataFrame, corpora: DataFrame, pages: DataFrame, runs:
     if not faults.isEmpty():
         raise ValueError(f"can't score: {[tuple(r) for r in faults.limit(5).collect()]}")
     pairs = matrix.select("corpus", "family", "severity").join(runs.select("model", "corpus").distinct(), "corpus")
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         raise ValueError("no corpus of the index has predictions of any model")
-    wanted = pages.select("corpus", "stem", "case_id", "doc_type", "reference").join(pairs, "corpus")
+    # by corpus, texts would come to as many tasks as there are corpora
+    wanted = pages.select("corpus", "stem", "case_id", "doc_type", "reference").join(F.broadcast(pairs) if n <= FEW_PAIRS else pairs, "corpus")
     both = with_predictions(wanted, predictions.select("model", "corpus", "stem", "prediction"), ["model", "corpus", "stem"], allow_missing)
     rows = score_pages(both.withColumn("verified", F.lit(verified)), ["model", "corpus", "stem"], policy)
     return rows.select(*ROW, *(c for c in rows.columns if c not in (*ROW, "stem", "reference", "prediction")))

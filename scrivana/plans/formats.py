@@ -13,7 +13,7 @@ from scrivana.plans.corpora import edits_sql, misread, misread_sql
 from scrivana.plans.reports import order_lists
 from scrivana.sources import readers, vintages
 from scrivana.sources.config import FieldDefinitions
-from scrivana.staging import Scratch, shared_dir
+from scrivana.staging import Scratch, shared_dir, spread
 
 QUERIES: dict[str, Query] = {}
 
@@ -148,7 +148,7 @@ def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = F.explode(F.array(F.struct(F.lit("alpha").alias("model"), F.lit(0).alias("kind")), F.struct(F.lit("beta").alias("model"), F.lit(1).alias("kind")))).alias("m")
     answered = (F.col("corpus") != "de") | (F.col("m.model") == "alpha")
     runs = corpora.select("corpus", "prompt_sha256", F.col("manifest_sha256").alias("corpus_manifest_sha256"), models).where(answered).select("m.model", "corpus", "prompt_sha256", "corpus_manifest_sha256")
-    said = docs.select("corpus", "stem", "doc_id", "reference", models).where(answered)
+    said = spread(docs.select("corpus", "stem", "doc_id", "reference")).select("*", models).where(answered)
     predictions = said.select("m.model", "corpus", "stem", F.when(F.col("doc_id") % 9 != 0, misread(F.col("reference"), F.col("m.kind"))).alias("prediction"))
     rows = score.score_corpora(matrix, corpora, docs, runs, predictions, allow_missing=True)
     return rows.select(*score.ROW, "ref_chars", "pred_chars", "prediction_present", "strict_edit_distance", F.round("strict_cer", 6).alias("strict_cer"), "degenerate")

@@ -5,10 +5,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from scrivana.functions import image, values
-from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all
+from scrivana.functions import edits, image, values
+from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all, word_codes
 from scrivana.operators import events, rules, tables
-from scrivana.plans import formats
+from scrivana.plans import corpora, formats
 from scrivana.staging import LEAST_ROWS, spread
 
 
@@ -113,3 +113,52 @@ def test_entries_stay_where_they_are_for_few_layouts(spark):
 def test_exported_entries_are_put_together_once(spark):
     entries, _ = formats.extraction(spark, "/root/testdata/sf0.001")
     assert "Aggregate" not in entries._jdf.queryExecution().optimizedPlan().toString()
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_a_corpus_take_only_the_distances_asked_for(spark):
+    """Texts aren't normalised for strict distances alone, and don't move to as many tasks as there are corpora."""
+    plan = optimized(formats.corpus_scores(spark, "/root/testdata/sf0.001"))
+    assert plan.count("ArrowEvalPython [text_distance(") == 1 and plan.count("ArrowEvalPython") == 1
+    assert "RepartitionByExpression" in plan or "Repartition" in plan
+    assert "strategy=broadcast" in plan
+
+
+def test_documents_of_one_file_are_scored_by_all_cores(spark, tmp_path):
+    spark.range(20 * LEAST_ROWS).select(F.col("id").alias("doc_id"), F.lit("nation").alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpora.score_documents(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert out.where("doc_id = 1").first().strict_edit_distance == 2
+
+
+def test_distances_from_both_ends_take_half_of_the_diagonals(monkeypatch):
+    rng = random.Random(9)
+    a = "".join(rng.choices("etaoin shrdlu", k=3000))
+    b = "".join(rng.choice("xyz") if rng.random() < 0.03 else c for c in a)
+    steps, slide = [], edits.Both.slide
+    monkeypatch.setattr(edits.Both, "slide", lambda self, x, *more: (steps.append(x.size), slide(self, x, *more))[1])
+    (d,) = edits.by_diagonals([(a, b)])
+    assert d == edits.by_table(a, b) > 50 and sum(steps) < 0.6 * d * d + 4 * d
+
+
+def test_distances_beyond_the_ends():
+    """Short and very unequal sequences, whose diagonals run out of the table from both ends."""
+    rng = random.Random(10)
+    for _ in range(40):
+        pairs = [tuple("".join(rng.choices("ab", k=rng.randint(1, top))) for top in rng.choice([(3, 40), (40, 3), (6, 6), (30, 30)])) for _ in range(50)]
+        want = [edits.by_table(a, b) for a, b in pairs]
+        assert all(x in (y, -1) and (x == y or y > edits.most_edits(len(a), len(b))) for x, y, (a, b) in zip(edits.by_diagonals(pairs), want, pairs))
+
+
+def test_words_as_characters(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(["a", "b", "ab", "ж", "世", "😀"], k=rng.randint(0, 9))) for _ in range(200)] + [" ".join(map(str, range(70_000)))]
+    codes = word_codes(texts)
+    assert [len(c) for c in codes] == [len(t.split()) for t in texts]
+    known = {}
+    assert all(known.setdefault(w, c) == c for t, code in zip(texts, codes) for w, c in zip(t.split(), code)) and len(set(known.values())) == len(known)
+    monkeypatch.setattr("scrivana.functions.text.MOST_CODES", 3)
+    assert word_codes(texts) is None
