@@ -17,6 +17,7 @@ from scrivana.operators.windows import first_per_group
 from scrivana.sources.config import FieldDefinitions
 from scrivana.sources.vintages import files_of, lines_of, write_vintage
 from scrivana.sources.readers import stem_of, write_csv, write_json
+from scrivana.staging import spread
 
 
 def of_types(pages: DataFrame, types: list[str] | None, known: list[str]) -> DataFrame:
@@ -144,7 +145,7 @@ def export_extraction(entries: DataFrame, manifest: DataFrame, definitions: Fiel
 
 def write_pages(pages: DataFrame, folder: str, suffix: str = ".md") -> None:
     """One text file for each (stem, text), as a vintage: all of them or none, in a folder that isn't there yet."""
-    write_vintage(files_of(pages, F.concat(F.col("stem").cast("string"), F.lit(suffix)), F.col("text")), folder)
+    write_vintage(files_of(spread(pages), F.concat(F.col("stem").cast("string"), F.lit(suffix)), F.col("text")), folder)
 
 
 def manifest_rows(pages: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:

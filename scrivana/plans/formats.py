@@ -75,8 +75,9 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a turn, as page texts are written, read back whole."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stem"), "text")
     at = folder(spark, "texts")
-    corpus.write_pages(turns, at)
-    return readers.texts(spark, at).select("stem", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+    corpus.write_pages(turns.where(F.col("text").isNotNull()), at)
+    texts = vintages.texts_below(spark, at).unionByName(turns.where(F.col("text").isNull()))  # what is no text has no file
+    return texts.select("stem", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query("""

@@ -3,12 +3,15 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from scrivana import ship
 from scrivana.functions import edits, image, values
 from scrivana.functions.text import NormalisationPolicy, normalised, normalised_all, word_codes
-from scrivana.operators import events, rules, tables
+from scrivana.operators import corpus, events, rules, tables
 from scrivana.plans import corpora, formats
+from scrivana.sources import vintages
 from scrivana.staging import LEAST_ROWS, spread
 
 
@@ -162,3 +165,30 @@ def test_words_as_characters(monkeypatch):
     assert all(known.setdefault(w, c) == c for t, code in zip(texts, codes) for w, c in zip(t.split(), code)) and len(set(known.values())) == len(known)
     monkeypatch.setattr("scrivana.functions.text.MOST_CODES", 3)
     assert word_codes(texts) is None
+
+
+def test_files_of_turns_are_read_by_few_tasks(spark, tmp_path):
+    """Empty turns have a file, absent ones none; both have their row, and thirty files don't make a task."""
+    rows = [(k, 0, "user", None if k == 3 else "" if k == 4 else f"é{k}") for k in range(150)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = formats.text_files(spark, str(tmp_path))
+    got = {r.stem: (r.chars, r.bytes) for r in out.collect()}
+    assert len(got) == 150 and got["3_0"] == (None, None) and got["4_0"] == (0, 0) and got["149_0"] == (4, 5)
+    assert out.where("chars > 0").rdd.getNumPartitions() <= 2
+
+
+def test_pages_are_written_by_all_cores(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(corpus, "write_vintage", lambda parts, folder: written.append(parts.rdd.getNumPartitions()))
+    corpus.write_pages(spark.range(20 * LEAST_ROWS).coalesce(1).select(F.col("id").alias("stem"), F.lit("x").alias("text")), str(tmp_path / "md"))
+    assert written == [4 * spark.sparkContext.defaultParallelism]
+
+
+def test_texts_below_a_folder(spark, tmp_path):
+    ship(spark)
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    for name, text in (("a.md", "one\ntwo\n"), ("deep/er/b.md", ""), ("deep/c.txt", "no")):
+        (tmp_path / name).write_text(text)
+    assert sorted(r[:] for r in vintages.texts_below(spark, f"file://{tmp_path}").collect()) == [("a", "one\ntwo\n"), ("b", "")]
+    with pytest.raises(Exception, match="nowhere"):
+        vintages.texts_below(spark, str(tmp_path / "nowhere")).collect()
