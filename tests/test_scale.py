@@ -1,6 +1,7 @@
 """What keeps queries' time in step with their tables: work dealt over all cores, and steps that cost what they should."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -192,3 +193,45 @@ def test_texts_below_a_folder(spark, tmp_path):
     assert sorted(r[:] for r in vintages.texts_below(spark, f"file://{tmp_path}").collect()) == [("a", "one\ntwo\n"), ("b", "")]
     with pytest.raises(Exception, match="nowhere"):
         vintages.texts_below(spark, str(tmp_path / "nowhere")).collect()
+
+
+def test_steps_of_misread_texts_follow_their_length(monkeypatch):
+    """A text with many edits is settled between places where both texts agree, not by the square of its edits."""
+    rng = random.Random(12)
+    steps, slide = [], edits.Both.slide
+    monkeypatch.setattr(edits.Both, "slide", lambda self, x, *more: (steps.append(x.size), slide(self, x, *more))[1])
+    taken = []
+    for n in (20_000, 40_000):
+        a = "".join(rng.choices("etaoin shrdlu", k=n))
+        replaced = "".join("ж" if rng.random() < 0.03 else c for c in a)
+        dropped = "".join(c for c in a if rng.random() > 0.03)
+        both = "".join(rng.choice(["ж", ""]) if rng.random() < 0.03 else c for c in a)
+        steps.clear()
+        assert edits.distances([(a, replaced), (a, dropped), (dropped, a), (both, a)]) == [replaced.count("ж"), n - len(dropped), n - len(dropped), n - len(both) + both.count("ж")]
+        taken.append(sum(steps))
+    assert taken[0] < taken[1] < 2.5 * taken[0] and taken[1] < 2 * 40_000
+
+
+def test_bounds_of_distances(monkeypatch):
+    """Whatever is cut where, bounds hold, and distances are those of whole tables: texts of one or many kinds of items,
+    with swapped passages, and edits that surplus items don't tell."""
+    rng = random.Random(13)
+    monkeypatch.setattr(edits, "MANY", 2)
+    for rare in (1, 3):
+        monkeypatch.setattr(edits, "RARE", rare)
+        pairs = []
+        for _ in range(400):
+            letters = rng.choice(["ab", "etaoin shrdlu", "abж世😀é"])
+            a = rng.choices(letters, k=rng.randint(1, rng.choice([6, 50, 200])))
+            k, other = rng.randrange(len(a)), rng.choice([letters, "ж", letters + "XYZ"])
+            b = [x for c in a for x in ([c], [], [rng.choice(other)], [c, rng.choice(other)])[int(rng.random() < 0.2) * rng.randrange(4)]] or ["b"]
+            pairs.append(("".join(a), "".join(rng.choice([b, b, b, a[k:] + a[:k]]))))
+        want = [edits.by_table(a, b) for a, b in pairs]
+        assert edits.distances(pairs) == want == edits.distances([([x * 300 for x in map(ord, a)], [x * 300 for x in map(ord, b)]) for a, b in pairs])
+        texts = [t for p in pairs for t in p]
+        codes, lengths = edits.coded(texts), np.array([len(t) for t in texts])
+        for c in (codes, codes.astype(np.uint32) * 5000):  # counted by kind, or sorted where kinds are many
+            least = edits.surplus(c, lengths)
+            assert least.tolist() == [max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) for a, b in pairs]
+            assert (least <= want).all() and (edits.in_pieces(c, lengths) >= want).all()
+    assert [edits.rising(x) for x in ([], [3], [1, 9, 2, 3, 0, 4], [3, 2, 1])] == [[], [0], [0, 2, 3, 5], [2]]
