@@ -233,5 +233,20 @@ def test_bounds_of_distances(monkeypatch):
         for c in (codes, codes.astype(np.uint32) * 5000):  # counted by kind, or sorted where kinds are many
             least = edits.surplus(c, lengths)
             assert least.tolist() == [max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) for a, b in pairs]
-            assert (least <= want).all() and (edits.in_pieces(c, lengths) >= want).all()
+            assert (least <= want).all() and (edits.in_pieces(c, lengths, least) >= want).all()
     assert [edits.rising(x) for x in ([], [3], [1, 9, 2, 3, 0, 4], [3, 2, 1])] == [[], [0], [0, 2, 3, 5], [2]]
+
+
+def test_repeated_passages_are_cut_too(monkeypatch):
+    """What both texts have equally often is matched in order; a piece may have all edits that its pair's bound allows."""
+    rng = random.Random(14)
+    steps, slide = [], edits.Both.slide
+    monkeypatch.setattr(edits.Both, "slide", lambda self, x, *more: (steps.append(x.size), slide(self, x, *more))[1])
+    passage = "".join(rng.choices("etaoin shrdlu", k=6000)).replace("sh", "tion")
+    a = passage * 4
+    b = a.replace("tion", "tж").replace("lu", "жu")
+    assert edits.distances([(a, b)]) == [b.count("ж") + len(a) - len(b)] and sum(steps) < len(a)
+    a = "nation " * 300 + passage
+    b = a.replace("tion", "tжжion")
+    codes, lengths = edits.coded([a, b]), np.array([len(a), len(b)])
+    assert edits.in_pieces(codes, lengths, edits.surplus(codes, lengths)) == edits.surplus(codes, lengths) == [b.count("ж")]
